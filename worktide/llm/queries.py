@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from worktide.llm import bpe_codec, token_counts
+from worktide.llm import bpe_codec, fingerprints, source_mix, token_counts
 from worktide.llm._common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,19 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    printed = fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+    digest = lambda column: F.sha2(F.col(column).cast("string"), 256)
+    return printed.select(
+        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), digest("marks").alias("fingerprint"), digest("edited_marks").alias("edited_fingerprint"), "near_edited", "near_next"
+    )
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = source_mix.weighted_fair_mix(table(spark, sf_dir, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe_codec.decode(bpe_codec.encode(docs, tokenizer_path()), tokenizer_path())
@@ -31,6 +44,8 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op3_fingerprints": op3_fingerprints,
+    "op5_source_mix": op5_source_mix,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
