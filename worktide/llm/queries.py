@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from worktide.llm import bpe_codec, fingerprints, source_mix, token_counts
+from worktide.llm import bpe_codec, fingerprints, source_mix, substring_dedup, token_counts
 from worktide.llm._common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -36,6 +36,11 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe_codec.decode(bpe_codec.encode(docs, tokenizer_path()), tokenizer_path())
@@ -46,6 +51,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_fingerprints": op3_fingerprints,
     "op5_source_mix": op5_source_mix,
+    "op6_substring_dedup": op6_substring_dedup,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
