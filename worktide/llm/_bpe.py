@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 from pyspark.sql import SparkSession
 
@@ -44,16 +44,21 @@ class Vocabulary:
     def __init__(self, text: str):
         spec = json.loads(text)
         letters = byte_letters()
-        raw = lambda token: bytes(letters[c] for c in token)
-        self.id_of = {raw(t): i for t, i in spec["model"]["vocab"].items() if all(c in letters for c in t)}
+        self.raw = lambda token: bytes(letters[c] for c in token)
+        self.id_of = {self.raw(t): i for t, i in spec["model"]["vocab"].items() if all(c in letters for c in t)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        pairs = [tuple(m) if not isinstance(m, str) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        self.merges = [(self.id_of[x := raw(a)], self.id_of[y := raw(b)], self.id_of[x + y]) for a, b in pairs]
-        self.bytes_of = {i: t for t, i in self.id_of.items()} | {i: s.encode() for s, i in self.special.items()}
         for s in self.special:
             self.id_of.pop(s.encode(), None)
+        self.bytes_of = {i: t for t, i in self.id_of.items()} | {i: s.encode() for s, i in self.special.items()}
         strings = sorted(self.special, key=len, reverse=True)
         self._special = re.compile("(" + "|".join(map(re.escape, strings)) + ")") if strings else None
+        self._text = text
+
+    @cached_property
+    def merges(self) -> list[tuple[int, int, int]]:
+        """(left id, right id, merged id) by rank."""
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in json.loads(self._text)["model"]["merges"])
+        return [(self.id_of[x], self.id_of[y], self.id_of[x + y]) for x, y in ((self.raw(a), self.raw(b)) for a, b in pairs)]
 
     def pieces(self, text: str) -> list[str]:
         """Ordinary text at even places, special strings at odd ones."""

@@ -21,13 +21,14 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, types as T
 
 from worktide.llm import _bpe
 
 SLICE_CHARS = 1 << 20
-MAX_WORDS = 250_000
+#: Words of a generation of the cache; the one before it is kept beside it.
+MAX_WORDS = 100_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -45,6 +46,7 @@ class Encoder:
         self.product = np.array([c for _, _, c in vocabulary.merges], np.int64)
         self.single = np.array([vocabulary.id_of[bytes((b,))] for b in range(256)], np.int64)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def ranks(self, symbols: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Rank of the pair that begins at each symbol; the number of merges if none."""
@@ -59,6 +61,8 @@ class Encoder:
 
     def learn(self, words: list[str]) -> None:
         """Encode new words together and keep their packed ids."""
+        if not words:
+            return
         raw = [w.encode() for w in words]
         symbols = self.single[np.frombuffer(b"".join(raw), np.uint8)]
         word = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
@@ -89,10 +93,12 @@ class Encoder:
         split = [self.vocabulary.pieces(t) for t in texts]
         found = [[self.find(p) if i % 2 == 0 else None for i, p in enumerate(parts)] for parts in split]
         if len(self.known) > MAX_WORDS:
-            self.known.clear()
-        new = {w for text in found for words in text if words for w in words if w not in self.known}
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = {w for text in found for words in text if words for w in words if w not in known}
         if new:
-            self.learn(list(new))
+            known.update((w, older[w]) for w in new if w in older)
+            self.learn([w for w in new if w not in older])
         get, out = self.known.__getitem__, []
         for parts, text in zip(split, found):
             out.append(b"".join(b"".join(map(get, w)) if w is not None else self.vocabulary.special[p].to_bytes(4, "little") for p, w in zip(parts, text)))
@@ -104,39 +110,58 @@ def encoder(vocabulary_file: str) -> Encoder:
     return Encoder(_bpe.parsed(vocabulary_file))
 
 
-def runs(texts: list[str]) -> Iterator[list[str]]:
-    run, chars = [], 0
+def runs(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts, as lists of about SLICE_CHARS characters; null as empty."""
+    run, size = [], 0
     for text in texts:
-        if run and chars + len(text) > SLICE_CHARS:
+        value = text.as_py() or ""
+        if run and size + len(value) > SLICE_CHARS:
             yield run
-            run, chars = [], 0
-        run.append(text)
-        chars += len(text) + 1
+            run, size = [], 0
+        run.append(value)
+        size += len(value) + 1
     if run:
         yield run
 
 
+def with_column(df: DataFrame, result: str, kind: str, values) -> DataFrame:
+    """``df`` with a column made from record batches, slice by slice.
+
+    values: batch -> iterator of lists, in order. Slices keep the Python
+    worker's memory to a few megabytes of text whatever Spark's batch size.
+    """
+    own = [f for f in df.schema.fields if f.name.lower() != result.lower()]
+    arrow, sql = {"binary": (pa.binary(), T.BinaryType()), "string": (pa.string(), T.StringType())}[kind]
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, at = batch.select([f.name for f in own]), 0
+            for out in values(batch):
+                part = kept.slice(at, len(out))
+                at += len(out)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, arrow)], names=[*part.schema.names, result])
+
+    return df.mapInArrow(fill, T.StructType([*own, T.StructField(result, sql)]))
+
+
 def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", result: str = "ids") -> DataFrame:
     """``docs`` with each whole text's token ids, packed. No shuffle."""
     held = _bpe.broadcast_vocabulary(docs.sparkSession, tokenizer_path)
 
-    @F.pandas_udf("binary")
-    def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = encoder(held.value)
-        for batch in batches:
-            yield pd.Series([ids for run in runs([t or "" for t in batch]) for ids in own.encode(run)], dtype=object)
+    def packed(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
+        return map(encoder(held.value).encode, runs(batch[text]))
 
-    return docs.withColumn(result, packed(F.col(text)))
+    return with_column(docs, result, "binary", packed)
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", result: str = "decoded") -> DataFrame:
     """``encoded`` with the text that each row's packed ids stand for. No shuffle."""
     held = _bpe.broadcast_vocabulary(encoded.sparkSession, tokenizer_path)
 
-    @F.pandas_udf("string")
-    def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def texts(batch: pa.RecordBatch) -> Iterator[list[str | None]]:
         get = _bpe.parsed(held.value).bytes_of.__getitem__
-        for batch in batches:
-            yield pd.Series([None if b is None else b"".join(map(get, np.frombuffer(b, "<u4").tolist())).decode("utf-8", "replace") for b in batch], dtype=object)
+        for at in range(0, len(batch), 256):
+            packed = batch[ids].slice(at, 256).to_pylist()
+            yield [None if b is None else b"".join(map(get, np.frombuffer(b, "<u4").tolist())).decode("utf-8", "replace") for b in packed]
 
-    return encoded.withColumn(result, text_of(F.col(ids)))
+    return with_column(encoded, result, "string", texts)

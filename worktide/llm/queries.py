@@ -43,7 +43,7 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe_codec.decode(bpe_codec.encode(docs, tokenizer_path()), tokenizer_path())
+    coded = bpe_codec.decode(bpe_codec.encode(docs, tokenizer_path()).drop("text"), tokenizer_path())
     return coded.select("doc_id", F.expr("length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
