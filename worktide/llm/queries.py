@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from worktide.llm import bpe_codec, fingerprints, source_mix, substring_dedup, token_counts
+from worktide.llm import bpe_codec, fingerprints, source_mix, substring_dedup, token_counts, toxicity
 from worktide.llm._common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -23,6 +23,26 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "n_tokens", (F.col("n_tokens") > LIMIT).alias("over_limit"))
 
 
+TOXIC = 0.7
+
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """The classifier of op2 and the pipeline: the labelled rows outside the
+    held-out third teach it."""
+    taught = labels.where(~held_out("doc_id")).select("doc_id", F.col("toxic").alias("label"))
+    return toxicity.fit(docs, taught)
+
+
+def held_out(doc_id: str):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = fit_toxicity(docs, table(spark, sf_dir, "labels")).score(docs)
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     printed = fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
     digest = lambda column: F.sha2(F.col(column).cast("string"), 256)
@@ -49,6 +69,7 @@ def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_toxicity": op2_toxicity,
     "op3_fingerprints": op3_fingerprints,
     "op5_source_mix": op5_source_mix,
     "op6_substring_dedup": op6_substring_dedup,
