@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from worktide.llm import bpe_codec, fingerprints, source_mix, substring_dedup, token_counts, toxicity
+from worktide.llm import bpe_codec, fingerprints, ngram_join, source_mix, substring_dedup, token_counts, toxicity
 from worktide.llm._common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -61,6 +61,10 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = bpe_codec.decode(bpe_codec.encode(docs, tokenizer_path()).drop("text"), tokenizer_path())
@@ -73,6 +77,7 @@ QUERIES = {
     "op3_fingerprints": op3_fingerprints,
     "op5_source_mix": op5_source_mix,
     "op6_substring_dedup": op6_substring_dedup,
+    "op8_ngram_join": op8_ngram_join,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
