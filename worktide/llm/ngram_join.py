@@ -18,11 +18,15 @@ document's component under links.
    is sent to few blocks. A block with more than TILE classes is dealt into
    tiles and its product into pairs of tiles, each a task's small piece: nothing
    is capped and no block has to fit a task.
-4. The product. A block multiplies its full incidence matrix by its transpose.
+4. Size-derived bounds first. A class carries its size and a parity bitmap of
+   its set, two bits or more for each shingle; two bitmaps differ in no more bits
+   than the sets in shingles. Where size or that bound excludes every partner in
+   a block, the class leaves it, before any whole set is moved.
+5. The product. A block multiplies its full incidence matrix by its transpose.
    Columns with one member drop out and equal columns are added up before; pairs
    below the overlap that their sizes demand are discarded. The links found come
    back as a spanning forest, never as all pairs.
-5. The forest's components, with the classes' members put back.
+6. The forest's components, with the classes' members put back.
 
 Null text or no words: an empty set, linked with nothing. A null doc_id gets a
 null component and links nothing. Rows with one doc_id are one document and share
@@ -103,17 +107,55 @@ def prefix_of(own: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray
     return own[:most]
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    """Parities of the set's shingles over a power of two of bits, at least 256
+    and at least twice the set's size."""
+    bits = max(256, 1 << (2 * len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(sizes: np.ndarray, bitmaps: list[bytes], percent: int) -> np.ndarray:
+    """Which sets may link with another one, by sizes and bitmaps alone."""
+    order = np.argsort(sizes, kind="stable")
+    words = [np.frombuffer(bitmaps[i], np.uint64) for i in order.tolist()]
+    n = sizes[order]
+    out = np.zeros(len(n), bool)
+    stop = np.searchsorted(n * percent, n * 100, "right")  # the last that is not too large
+    for i in range(len(n)):
+        own, a = words[i], i + 1
+        while a < stop[i]:
+            width = len(words[a])
+            b = a
+            while b < stop[i] and len(words[b]) == width:
+                b += 1
+            other = np.stack(words[a:b])
+            while other.shape[1] > len(own):
+                half = other.shape[1] // 2
+                other = other[:, :half] ^ other[:, half:]
+            differ = np.bitwise_count(other ^ own).sum(axis=1, dtype=np.int64)
+            # overlap >= percent / (100 + percent) * (n + m), so the sets differ in at most the rest
+            fits = (100 + percent) * differ <= (100 - percent) * (n[i] + n[a:b])
+            if fits.any():
+                out[i] = True
+                out[a:b] |= fits
+            a = b
+    back = np.zeros(len(n), bool)
+    back[order] = out
+    return back
+
+
 def signed(docs: DataFrame, n: int = N) -> DataFrame:
-    """doc_id, tie, n_shingles and the 128-bit signature of each row's set."""
-    names = ["doc_id", "tie", "n_shingles", "s1", "s2"]
+    """doc_id, tie, n_shingles, the 128-bit signature and the bitmap of each set."""
+    names = ["doc_id", "tie", "n_shingles", "s1", "s2", "bits"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(len(own), *signature(own)) for _, own in batches_of_sets(batch, n)]
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * 3
+            rows = [(len(own), *signature(own), bitmap(own)) for _, own in batches_of_sets(batch, n)]
+            columns = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate([pa.int64()] * 3 + [pa.binary()])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["tie"], *columns], names=names)
 
-    return docs.select("doc_id", "tie", "text").mapInArrow(sign, "doc_id long, tie long, n_shingles long, s1 long, s2 long")
+    return docs.select("doc_id", "tie", "text").mapInArrow(sign, "doc_id long, tie long, n_shingles long, s1 long, s2 long, bits binary")
 
 
 def columns(docs: DataFrame, frequent: np.ndarray, n: int, percent: int) -> DataFrame:
@@ -183,63 +225,82 @@ def forest(ids: np.ndarray, link: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[far], ids[label[far]]
 
 
-def block_links(blocks: DataFrame, percent: int) -> DataFrame:
-    """(a, b) edges of the blocks' spanning forests. blocks: rows of (hub, ti,
-    tj, doc_id, shingles), a block's rows together in one partition, sorted."""
+def blocks_of(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[tuple]]:
+    """The rows of each (hub, ti, tj) in turn, from sorted batches. A block has
+    two tiles at most."""
+    held, key = [], None
+    for batch in batches:
+        keys = zip(*(batch[c].to_pylist() for c in ("hub", "ti", "tj")))
+        values = [batch[c] for c in columns]
+        for i, k in enumerate(keys):
+            if k != key:
+                if len(held) > 1:
+                    yield held
+                held, key = [], k
+            held.append(tuple(v[i].as_py() if not pa.types.is_list(v.type) else v[i].values.to_numpy() for v in values))
+    if len(held) > 1:
+        yield held
+
+
+def bounded_members(blocks: DataFrame, percent: int) -> DataFrame:
+    """(hub, s1) of the classes that sizes and bitmaps leave in their block."""
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hubs: list[int] = []
+        classes: list[int] = []
+        for rows in blocks_of(batches, ["hub", "s1", "n_shingles", "bits"]):
+            stays = may_link(np.array([r[2] for r in rows]), [r[3] for r in rows], percent)
+            for i in np.flatnonzero(stays).tolist():
+                hubs.append(rows[i][0])
+                classes.append(rows[i][1])
+            if len(hubs) > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(classes, pa.int64())], names=["hub", "s1"])
+                hubs, classes = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(classes, pa.int64())], names=["hub", "s1"])
+
+    return blocks.mapInArrow(prune, "hub long, s1 long")
 
-    def solve(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array([r[0] for r in rows])
-        ids, first = np.unique(ids, return_index=True)
-        sets = [rows[i][1] for i in first.tolist()]
-        return forest(ids, linked(sets, percent)) if len(ids) > 1 else (ids[:0], ids[:0])
+
+def block_links(blocks: DataFrame, percent: int) -> DataFrame:
+    """(a, b) edges of the blocks' spanning forests."""
 
     def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, key = [], None
-        for batch in batches:
-            out = []
-            keys = list(zip(*(batch[c].to_pylist() for c in ("hub", "ti", "tj"))))
-            lists, ids = batch["shingles"], batch["doc_id"].to_pylist()
-            offsets = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy()
-            for i, k in enumerate(keys):
-                if k != key:
-                    out.append(solve(held)) if len(held) > 1 else None
-                    held, key = [], k
-                held.append((ids[i], flat[offsets[i] : offsets[i + 1]].copy()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[j] for o in out])) for j in (0, 1)], names=["a", "b"])
-        if len(held) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in solve(held)], names=["a", "b"])
+        for rows in blocks_of(batches, ["doc_id", "shingles"]):
+            ids, first = np.unique(np.array([r[0] for r in rows]), return_index=True)
+            if len(ids) > 1:
+                a, b = forest(ids, linked([rows[i][1] for i in first.tolist()], percent))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return blocks.mapInArrow(product, "a long, b long")
 
 
+def in_tiles(member: DataFrame, values: DataFrame) -> DataFrame:
+    """Members with their class's values, once for each pair of tiles of their
+    block, a block's rows together in one partition and sorted."""
+    tiles = member.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    tile = F.pmod(F.xxhash64("s1"), F.col("tiles")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    dealt = member.join(tiles, "hub").withColumn("tile", tile).withColumn("other", other).select("hub", "s1", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
+    width = n_partitions(member.sparkSession)
+    return dealt.join(values, "s1").repartition(width, "hub", "ti", "tj").sortWithinPartitions("hub", "ti", "tj")
+
+
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, tie (hash of the text), n_shingles and component_id of each row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     own = saved(signed(docs, n))
     known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
-    classes = saved(own.where(known).groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "tie")).alias("rep")).select("s1", "s2", "n_shingles", "rep.doc_id", "rep.tie"))
-
+    classes = saved(
+        own.where(known).groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "tie")).alias("rep"), F.first("bits").alias("bits")).select("s1", "s2", "n_shingles", "rep.doc_id", "rep.tie", "bits")
+    )
     incidence = columns(docs, frequent_shingles(docs, n), n, percent)
     hubs = incidence.groupBy("shingle").agg(F.min("s1").alias("hub"), F.max("s1").alias("last")).where("hub < last").drop("last")
     member = saved(incidence.join(hubs, "shingle").select("hub", "s1").distinct())
+    left = saved(bounded_members(in_tiles(member, classes.select("s1", "n_shingles", "bits")), percent).distinct())
 
-    tiles = member.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    needed = member.select("s1").distinct().join(classes.select("s1", "doc_id", "tie"), "s1")
+    needed = left.select("s1").distinct().join(classes.select("s1", "doc_id", "tie"), "s1")
     sets = saved(sets_of(docs.join(needed, ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie", "s1"]), n))
-    tile = F.pmod(F.xxhash64("s1"), F.col("tiles")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = (
-        member.join(tiles, "hub")
-        .withColumn("tile", tile)
-        .withColumn("other", other)
-        .select("hub", "s1", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
-        .join(sets, "s1")
-        .drop("s1")
-    )
-    width = n_partitions(docs.sparkSession)
-    links = block_links(dealt.repartition(width, "hub", "ti", "tj").sortWithinPartitions("hub", "ti", "tj"), percent)
+    links = block_links(in_tiles(left, sets), percent)
     shared = own.where(known).join(classes.select("s1", "s2", "n_shingles", F.col("doc_id").alias("rep")), ["s1", "s2", "n_shingles"])
     twice = shared.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")  # one id, several texts
     roots = components(links.union(twice), "a", "b")
