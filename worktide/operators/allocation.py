@@ -37,9 +37,9 @@ def discover_projects(signals: DataFrame, key: str, words: Column, unassigned: s
     Tokens are exploded once, counted with map-side combining, and joined back.
     """
     ids = signals.select(key, words.alias("_words"))
-    n = ids.agg(F.count(F.lit(1)).alias("n"))
+    n = ids.count()
     tokens = ids.select(key, F.explode("_words").alias("token")).where(F.length("token").between(3, 20))
-    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n)).where((F.col("df") >= 2) & (F.col("df") <= F.greatest(F.lit(3), F.floor(F.col("n") / 3)))).drop("n")
+    counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, max(3, n // 3)))
     best = tokens.join(counts, "token").groupBy(key).agg(F.min(F.struct((-F.col("df")).alias("d"), "token"))["token"].alias("project"))
     return signals.join(best, key, "left").withColumn("project", F.coalesce("project", F.lit(unassigned)))
 

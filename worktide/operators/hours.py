@@ -54,7 +54,7 @@ def monthly_load(hours: DataFrame, first: str, last: str, settings: Settings = S
     """
     low, high = F.lit(first).cast("date"), F.lit(last).cast("date")
     inside = hours.where(F.col("day").between(low, high)).withColumn("month", F.trunc("day", "MM"))
-    worked = inside.groupBy("owner", "month").agg(F.sum("hours").alias("worked"))
+    worked = inside.groupBy("owner", "month").agg(F.round(F.sum("hours"), 4).alias("worked"))
     if absence is None:
         away = None
     else:
@@ -145,13 +145,16 @@ def sampler_bridges(sampler: DataFrame, settings: Settings = Settings()) -> Data
     return merged.select("owner", "day", F.col("b").alias("a"), after.alias("b")).where((F.col("b") > F.col("a")) & (F.col("b") - F.col("a") <= settings.gap_bridge_min))
 
 
-def inferred_absences(hours: DataFrame, owners: DataFrame, days: DataFrame, machine: DataFrame, most_h: float = 0.25, most_on_h: float = 0.5, least_share: float = 0.4) -> DataFrame:
+def inferred_absences(hours: DataFrame, owners: DataFrame, first: str, last: str, machine: DataFrame, settings: Settings = Settings(), most_h: float = 0.25, most_on_h: float = 0.5, least_share: float = 0.4) -> DataFrame:
     """Workdays that look like leave: hardly any work, hardly any machine time, in
     a month in which the owner has machine records on enough workdays.
 
-    days: the calendar (small); machine: owner, day, on_h.
+    machine: owner, day, on_h.
     """
-    spine = owners.join(F.broadcast(days.where("workday")))
+    every = owners.select("owner", F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+    weekday = ((F.dayofweek("day") + 5) % 7 + 1).isin(*settings.workdays)
+    off = F.col("day").isin(*(F.lit(h).cast("date") for h in settings.holidays)) if settings.holidays else F.lit(False)
+    spine = every.where(weekday & ~off).withColumn("month", F.trunc("day", "MM"))
     facts = spine.join(hours.select("owner", "day", "hours"), ["owner", "day"], "left").join(machine.select("owner", "day", "on_h"), ["owner", "day"], "left")
     share = F.avg(F.when(F.col("on_h").isNotNull(), 1.0).otherwise(0.0)).over(W.partitionBy("owner", "month"))
     judged = facts.withColumn("share", share).na.fill(0.0, ["hours", "on_h"])

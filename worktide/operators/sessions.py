@@ -90,7 +90,7 @@ def gap_runs(rows: DataFrame, keys: list[str], day: str, calendar: DataFrame, le
     """
     ends = rows.groupBy(*keys).agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))
     have = rows.select(*keys, F.col(day).alias("day")).distinct()
-    spine = ends.join(F.broadcast(calendar), (calendar["day"] >= F.col("_lo")) & (calendar["day"] <= F.col("_hi"))).drop("_lo", "_hi")
+    spine = ends.select(*keys, F.explode(F.sequence("_lo", "_hi")).alias("day")).join(calendar.select("day", "n"), "day")
     missing = spine.join(have, [*keys, "day"], "left_anti")
     island = F.col("n") - F.row_number().over(W.partitionBy(*keys).orderBy("n"))
     return missing.withColumn("_i", island).groupBy(*keys, "_i").agg(F.min("day").alias("from_day"), F.max("day").alias("to_day"), F.count(F.lit(1)).alias("days")).where(F.col("days") >= least).drop("_i")

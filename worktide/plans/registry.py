@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from worktide.plans.oracles import ORACLE_SQL
+from worktide.plans.queries import QUERIES
+
+FLAGSHIP = "monthly_load"
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
