@@ -103,7 +103,7 @@ class Tokens:
             part = TaskContext.get().partitionId()
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64())], names=["part", "n"])
 
-        found = {r["part"]: r["n"] for r in docs.select("text").mapInArrow(count, "part int, n long").collect()}
+        found = {r["part"]: r["n"] for r in docs.mapInArrow(count, "part int, n long").collect()}
         return [found.get(p, 0) for p in range(max(found, default=-1) + 1)]
 
 
