@@ -40,9 +40,10 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 50-word windows that an earlier document has; a text
     that loses nothing stays as it is, white space included."""
-    done = substring_dedup.remove_repeats(whole_rows(docs, "doc_id", "text"))
-    shorter = F.col("row").withField("text", F.col("kept")).withField("n_chars", F.length("kept").cast("long"))
-    return done.select(F.when(F.col("n_removed") > 0, shorter).otherwise(F.col("row")).alias("row")).select("row.*")
+    rest = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest"), "doc_id", "text")
+    done, shorter = substring_dedup.remove_repeats(rest), F.col("n_removed") > 0
+    changed = {"text": F.when(shorter, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(shorter, F.length("kept")).otherwise(F.col("rest.n_chars")).cast("long")}
+    return done.select(*(changed.get(c, F.col("rest").getField(c)).alias(c) for c in docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

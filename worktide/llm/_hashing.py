@@ -11,8 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 
-SLICE_BYTES = 1 << 21
+#: Bytes of text that are worked on at once, and the most powers that are kept.
+SLICE_BYTES, KEPT_POWERS = 1 << 19, 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 RUN_BASE = 0xD6E8FEB86659FD93 | 1
 
@@ -37,14 +40,14 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i mod 2**64 for i below n."""
     have = _powers.get(base)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(1 << 16, 1 << (n - 1).bit_length())
         both = []
         for b in (base, pow(base, -1, 1 << 64)):
             p = np.full(size, b, np.uint64)
             p[0] = 1
             both.append(np.cumprod(p, dtype=np.uint64))
         have = tuple(both)
-        if size <= 4 * SLICE_BYTES:
+        if size <= KEPT_POWERS:
             _powers[base] = have
     return have[0][:n], have[1][:n]
 
@@ -76,13 +79,20 @@ def word_hashes(texts: list[bytes], lower: bool = False) -> tuple[np.ndarray, np
     return hashes, np.searchsorted(start, begins)
 
 
-def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[slice]:
-    """Runs of texts of about ``most`` bytes together; a longer text is alone."""
+def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of texts (null: empty) of about ``most`` bytes together, each with the
+    place of its first text; a longer text is alone. Only one run at a time is
+    copied out of the batch."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(texts), 0).to_pylist()
+
+    def run(a: int, b: int) -> tuple[int, list[bytes]]:
+        return a, [t or b"" for t in texts.slice(a, b - a).cast(pa.binary()).to_pylist()]
+
     first = total = 0
     for i, size in enumerate(sizes):
         if i > first and total + size > most:
-            yield slice(first, i)
+            yield run(first, i)
             first, total = i, 0
         total += size + 1
     if first < len(sizes):
-        yield slice(first, len(sizes))
+        yield run(first, len(sizes))

@@ -140,6 +140,8 @@ def with_column(df: DataFrame, result: str, kind: str, values) -> DataFrame:
                 part = kept.slice(at, len(out))
                 at += len(out)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, arrow)], names=[*part.schema.names, result])
+        encoder.cache_clear()  # a worker that waits for other work holds no vocabulary
+        _bpe.parsed.cache_clear()
 
     return df.mapInArrow(fill, T.StructType([*own, T.StructField(result, sql)]))
 

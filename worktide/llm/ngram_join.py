@@ -39,7 +39,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from worktide.llm import _hashing as H
@@ -68,11 +67,8 @@ def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
 
 
 def batches_of_sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, np.ndarray]]:
-    texts = batch["text"]
-    sizes = [0 if s is None else s for s in pa.compute.binary_length(texts).to_pylist()]
-    for run in H.slices(sizes):
-        data = [(t or "").encode() for t in texts.slice(run.start, run.stop - run.start).to_pylist()]
-        yield from enumerate(shingle_sets(data, n), run.start)
+    for first, texts in H.slices(batch["text"]):
+        yield from enumerate(shingle_sets(texts, n), first)
 
 
 def signature(own: np.ndarray) -> tuple[int, int]:

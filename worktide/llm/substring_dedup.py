@@ -33,9 +33,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from worktide.llm import _hashing as H
 from worktide.llm._common import saved
@@ -91,10 +90,10 @@ def anchor_rows(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode() for t in batch["text"].to_pylist()]
             ids, ties = batch["doc_id"].to_numpy(), batch["tie"].to_numpy()
-            for run in H.slices([len(t) for t in texts]):
-                a = Anchors(texts[run], window, k)
+            for first, texts in H.slices(batch["text"]):
+                run = slice(first, first + len(texts))
+                a = Anchors(texts, window, k)
                 if a.empty:
                     continue
                 base = a.offsets[a.of]
@@ -112,12 +111,12 @@ def branch_windows(texts: DataFrame, branches: DataFrame, window: int = WINDOW)
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [(t or "").encode() for t in batch["text"].to_pylist()]
             ids, ties, lists = batch["doc_id"].to_numpy(), batch["tie"].to_numpy(), batch["paths"]
-            for run in H.slices([len(t) for t in data]):
-                words, offsets = H.word_hashes(data[run])
+            for first, data in H.slices(batch["text"]):
+                run = slice(first, first + len(data))
+                words, offsets = H.word_hashes(data)
                 sums = H.prefix(words, H.RUN_BASE)
-                paths = lists.slice(run.start, run.stop - run.start)
+                paths = lists.slice(first, len(data))
                 per_text = np.diff(paths.offsets.to_numpy())
                 flat = paths.flatten()
                 anchor, lo, hi = (flat.field(i).to_numpy() for i in range(3))
@@ -155,19 +154,18 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, window: int = WINDOW, k: i
     return compact.union(spelled).groupBy("doc_id", "tie").agg(F.flatten(F.collect_set(F.array("from", "to"))).alias("spans"))
 
 
-def without_spans(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    """The words of a text outside its spans, joined by one space."""
-    out = []
-    for text, flat in zip(texts, spans):
-        words = (text or "").encode().split()
-        n = len(words)
-        if flat is not None and len(flat):
-            change = np.zeros(n + 1, np.int64)
-            np.add.at(change, np.asarray(flat[0::2]), 1)
-            np.add.at(change, np.asarray(flat[1::2]), -1)
-            words = [words[i] for i in np.flatnonzero(np.cumsum(change[:n]) == 0).tolist()]
-        out.append((n, n - len(words), b" ".join(words).decode()))
-    return pd.DataFrame(out, columns=["n_words", "n_removed", "kept"])
+def without_spans(text: bytes, spans: pa.ListScalar) -> tuple[int, int, bytes]:
+    """How many words a text has and loses to its spans, and the words left,
+    joined by one space."""
+    words = text.split()
+    n = len(words)
+    if spans.is_valid and len(spans.values):
+        flat = spans.values.to_numpy()
+        change = np.zeros(n + 1, np.int64)
+        np.add.at(change, flat[0::2], 1)
+        np.add.at(change, flat[1::2], -1)
+        words = [words[i] for i in np.flatnonzero(np.cumsum(change[:n]) == 0).tolist()]
+    return n, n - len(words), b" ".join(words)
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
@@ -175,8 +173,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     text joined by one space (columns of these names are replaced)."""
     result = ("n_words", "n_removed", "kept")
     own = [c for c in docs.columns if c.lower() not in result]
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    rest = [c for c in own if c.lower() != "text"]  # a text crosses the shuffle once
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     spans = saved(repeated_spans(docs, held, window, k))
-    met = held.join(spans, ["doc_id", "tie"], "left")
-    done = met.select("row", F.pandas_udf(without_spans, "n_words long, n_removed long, kept string")("text", "spans").alias("done"))
-    return done.select(*(F.col("row").getField(c).alias(c) for c in own), *(F.col("done").getField(c).alias(c) for c in result))
+    met = held.join(spans, ["doc_id", "tie"], "left").select("row", "text", "spans")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in H.slices(batch["text"]):
+                some = batch.slice(first, len(texts))
+                done = zip(*map(without_spans, texts, some["spans"]))
+                columns = [pa.array(list(x), kind) for x, kind in zip(done, (pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([some["row"], some["text"], *columns[:2], columns[2].cast(pa.string())], names=["row", "text", *result])
+
+    fields = {f.name: f for f in met.schema.fields}
+    schema = T.StructType([fields["row"], fields["text"], *(T.StructField(c, T.StringType() if c == "kept" else T.LongType()) for c in result)])
+    done = met.mapInArrow(cut, schema)
+    return done.select(*(F.col("text").alias(c) if c.lower() == "text" else F.col("row").getField(c).alias(c) for c in own), *result)
