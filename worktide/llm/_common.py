@@ -23,6 +23,18 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Bytes of rows that Spark hands to Python at once.
+BATCH_BYTES, BATCH_SETTING = "4m", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after bounding the session's Arrow batches by bytes where it sets no
+    bound itself: rows hold whole texts, so a number of rows bounds no memory."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, BATCH_BYTES)
+    return df
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there,
     and a lost executor costs no more than the tasks it was running."""

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
 
 from worktide.llm import _bpe
+from worktide.llm._common import in_small_batches
 
 SLICE_CHARS = 1 << 20
 #: Words of a generation of the cache; the one before it is kept beside it.
@@ -143,7 +144,7 @@ def with_column(df: DataFrame, result: str, kind: str, values) -> DataFrame:
         encoder.cache_clear()  # a worker that waits for other work holds no vocabulary
         _bpe.parsed.cache_clear()
 
-    return df.mapInArrow(fill, T.StructType([*own, T.StructField(result, sql)]))
+    return in_small_batches(df).mapInArrow(fill, T.StructType([*own, T.StructField(result, sql)]))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, text: str = "text", result: str = "ids") -> DataFrame:

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from worktide.llm import _hashing as H
-from worktide.llm._common import n_partitions, saved
+from worktide.llm._common import in_small_batches, n_partitions, saved
 from worktide.llm.components import components
 
 N, PERCENT = 5, 80
@@ -283,7 +283,7 @@ def in_tiles(member: DataFrame, values: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """doc_id, tie (hash of the text), n_shingles and component_id of each row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    docs = in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     own = saved(signed(docs, n))
     known = F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0)
     classes = saved(

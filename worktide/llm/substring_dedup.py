@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from worktide.llm import _hashing as H
-from worktide.llm._common import saved
+from worktide.llm._common import in_small_batches, saved
 
 WINDOW, K = 50, 10
 
@@ -174,7 +174,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     result = ("n_words", "n_removed", "kept")
     own = [c for c in docs.columns if c.lower() not in result]
     rest = [c for c in own if c.lower() != "text"]  # a text crosses the shuffle once
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    held = in_small_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
     spans = saved(repeated_spans(docs, held, window, k))
     met = held.join(spans, ["doc_id", "tie"], "left").select("row", "text", "spans")
 

@@ -33,6 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from worktide.llm import _bpe
+from worktide.llm._common import in_small_batches
 
 SLICE_CHARS = 1 << 20
 CHUNK = 512
@@ -286,4 +287,4 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, text: str = "text", resul
 
     No shuffle: one pass over the rows, one Arrow column to Python and one back.
     """
-    return docs.withColumn(result, token_count_udf(docs.sparkSession, tokenizer_path)(F.col(text)))
+    return in_small_batches(docs).withColumn(result, token_count_udf(docs.sparkSession, tokenizer_path)(F.col(text)))

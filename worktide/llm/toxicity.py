@@ -38,7 +38,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
-from worktide.llm._common import saved
+from worktide.llm._common import in_small_batches, saved
 
 MAX_ROWS, MAX_TERMS, MIN_CLASS = 30_000, 400, 6
 LEAST_RATIO, LEAST_ODDS = 18.0, 1.5
@@ -171,7 +171,7 @@ class Model:
     def score(self, docs: DataFrame, text: str = "text", result: str = "score") -> DataFrame:
         """``docs`` with a score from 0 to 1 for each whole text."""
         own = [c for c in docs.columns if c.lower() != result.lower()]
-        held = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), feature_column(self.lexicon, F.col(text)).alias("dense"))
+        held = in_small_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), feature_column(self.lexicon, F.col(text)).alias("dense"))
         if self.trees is None:
             got = held.withColumn("value", 1 - F.exp(-60.0 * F.element_at("dense", FEATURES.index("insult_rate") + 1)))
         else:
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int
         .orderBy(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), "doc_id", "label")
         .limit(max_rows)
     )
-    sample = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").repartition(FIT_PARTITIONS)
+    sample = in_small_batches(docs).where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").repartition(FIT_PARTITIONS)
     sample = saved(sample.withColumn("part", part))
     lexicon = learn_lexicon(sample.where("part < 4"))
     rows = saved(sample.where("part >= 4").select("part", "label", feature_column(lexicon, F.col("text")).alias("dense"))).withColumn("features", array_to_vector("dense"))

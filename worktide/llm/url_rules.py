@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from worktide.llm._common import n_partitions
+from worktide.llm._common import in_small_batches, n_partitions
 
 DEFAULT = "allow"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -133,7 +133,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     own = [c for c in pages.columns if c.lower() not in result]
     host, path = host_and_path(F.col(url))
     parts = 4 * n_partitions(pages.sparkSession)
-    urls = pages.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), host.alias("host"), path.alias("path")).withColumns({"key": canonical(F.col("host")), "salt": F.xxhash64("path", "row")})
+    urls = in_small_batches(pages).select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), host.alias("host"), path.alias("path")).withColumns({"key": canonical(F.col("host")), "salt": F.xxhash64("path", "row")})
     points = cuts(urls, parts)
     named = rules.where("host <> '' and path is not null").select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").withColumn("key", canonical(F.col("host")))
     dealt = in_parts(urls, points, False).withColumns({"is_url": F.lit(True), "verdict": F.lit(None).cast("string")})

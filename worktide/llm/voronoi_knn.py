@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from worktide.llm._common import n_partitions, saved
+from worktide.llm._common import in_small_batches, n_partitions, saved
 
 PIVOTS, K, SCALE, SEED = 64, 5, 256, 5
 BLOCK_LEAST, BLOCK_MOST = 512, 1 << 15
@@ -152,7 +152,7 @@ def solved(dealt: DataFrame, k: int) -> DataFrame:
 
 def top_k(vectors: DataFrame, is_query, k: int = K, scale: int = SCALE, n_pivots: int = PIVOTS, seed: int = SEED) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other vectors of each query."""
-    valid = quantised(vectors, scale)
+    valid = quantised(in_small_batches(vectors), scale)
     drawn = valid.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(n_pivots).select("dim", "v").collect()
     pivots = {d: np.unique(np.array([r["v"] for r in drawn if r["dim"] == d], np.int64), axis=0) for d in {r["dim"] for r in drawn}}
     placed = saved(in_cells(valid, pivots))
