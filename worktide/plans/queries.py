@@ -282,8 +282,8 @@ def scoped_alias(spark, sf):
 
 def program_usage_full_outer(spark, sf):
     e = t(spark, sf, "events")
-    front = e.where("event_type = 'click' and event_id % 3 = 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("front"))
-    back = e.where("event_type = 'error' and event_id % 3 = 1").groupBy("user_id").agg(F.count(F.lit(1)).alias("back"))
+    front = e.where("event_type = 'click'").groupBy("user_id").agg(F.count(F.lit(1)).alias("front"))
+    back = e.where("event_type = 'error'").groupBy("user_id").agg(F.count(F.lit(1)).alias("back"))
     return pivots.usage(front, back, ["user_id"])
 
 
