@@ -63,13 +63,37 @@ def pair_scores(pairs: DataFrame, profiles: DataFrame, never: DataFrame | None =
     return rows.withColumn("score", score).select("a", "b", "score").withColumn("band", band)
 
 
+def scopes(scores: DataFrame, names: DataFrame) -> DataFrame:
+    """name, scope: the least name of those that pairs of positive score link.
+
+    Clustering gains nothing across such components, so each is a problem of its
+    own. Large and small stars; the names are a small dimension.
+    """
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root") % 1_000_003)).first())
+
+    stars = scores.where("score > 0").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct().localCheckpoint()
+    before = None
+    while (now := state(stars)) != before:
+        before = now
+        both = stars.select(F.col("node").alias("x"), F.col("root").alias("y")).union(stars.select(F.col("root").alias("x"), F.col("node").alias("y")))
+        least = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        large = both.where("y > x").join(least, "x").select(F.col("y").alias("node"), F.col("m").alias("root")).distinct()
+        low = large.groupBy("node").agg(F.min("root").alias("m"))
+        small = large.join(low, "node").where("root != m").select(F.col("root").alias("node"), F.col("m").alias("root"))
+        stars = small.union(low.select("node", F.col("m").alias("root"))).distinct().localCheckpoint()
+    return names.select("name").join(stars.withColumnRenamed("node", "name"), "name", "left").select("name", F.coalesce("root", "name").alias("scope"))
+
+
 def clusters(scores: DataFrame, names: DataFrame, cap: int = 12, scope: str = "scope") -> DataFrame:
     """scope, name, canon: correlation clustering within each scope.
 
     Names in order of weight, then alphabet, take up the names behind them with a
     merge score, then single moves lower the cost while they can. No cluster holds
     a vetoed pair or more than ``cap`` names. scores: scope, a, b, score; names:
-    scope, name, weight. A scope is one project's names, a group of bounded size.
+    scope, name, weight. A scope is a group of linked names (``scopes``) or one
+    project's names.
     """
 
     def solve(key, pairs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:

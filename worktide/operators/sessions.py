@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StructField, StructType, TimestampNTZType
 
 from worktide.functions.config import Settings
 from worktide.operators.signals import is_night
@@ -26,12 +30,13 @@ def signal_sessions(signals: DataFrame, settings: Settings = Settings(), keys: t
     begins within the session gap. Night signals that are not productive and
     labels without width make no session. Sessions are clipped to the day.
     A fold, as whether a gap is bridged depends on all before it: one sorted
-    array for each owner and day, which a day's length bounds.
+    array for each owner and day. A repeated signal changes no session, so the
+    array holds each minute and label once, which a day's length bounds.
     """
     half = F.greatest(F.lit(2.5), F.col("width") / 2)
     used = signals.where((F.col("width") > 0) & (~is_night(F.col("minute"), settings) | F.col("productive")))
     item = F.struct(F.col("minute").alias("m"), F.col("source").alias("s"), (F.col("minute") - half).alias("a"), (F.col("minute") + half).alias("b"), F.col("active").alias("active"))
-    days = used.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    days = used.groupBy(*keys).agg(F.array_sort(F.collect_set(item)).alias("items"))
     span = "struct<a: double, b: double, active: boolean>"
     start = F.struct(F.array().cast(f"array<{span}>").alias("done"), F.lit(None).cast(span).alias("cur"))
 
@@ -99,20 +104,34 @@ def gap_runs(rows: DataFrame, keys: list[str], day: str, calendar: DataFrame, le
 def power_spans(events: DataFrame, keys: list[str], at: str, kind: str, cap_hours: float = 20.0, boot_after_min: float = 30.0) -> DataFrame:
     """On/off pairing: an on row opens unless one is open; off closes; a boot
     more than ``boot_after_min`` after the opening closes an open span at most
-    ``cap_hours`` after it and opens anew. kind holds on, off or boot."""
-    item = F.struct(F.col(at).alias("t"), F.col(kind).alias("k"))
-    lists = events.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    span = "struct<start: timestamp_ntz, end: timestamp_ntz>"
-    start = F.struct(F.array().cast(f"array<{span}>").alias("done"), F.lit(None).cast("timestamp_ntz").alias("open"))
-    cap = F.expr(f"INTERVAL {int(cap_hours * 3600)} SECONDS")
+    ``cap_hours`` after it and opens anew. kind holds on, off or boot.
 
-    def step(acc: Column, x: Column) -> Column:
-        old = F.timestamp_diff("SECOND", acc["open"], x["t"]) > int(boot_after_min * 60)
-        closes = acc["open"].isNotNull() & ((x["k"] == "off") | ((x["k"] == "boot") & old))
-        closed = F.struct(acc["open"].alias("start"), F.least(x["t"], acc["open"] + cap).alias("end")).cast(span)
-        done = F.when(closes, F.concat(acc["done"], F.array(closed))).otherwise(acc["done"])
-        opened = F.when(x["k"] == "off", F.lit(None).cast("timestamp_ntz")).when(closes | acc["open"].isNull(), x["t"]).otherwise(acc["open"])
-        return F.struct(done.alias("done"), opened.alias("open"))
-
-    folded = F.aggregate("items", start, step, lambda acc: acc["done"])
-    return lists.select(*keys, F.explode(folded).alias("s")).select(*keys, "s.start", "s.end").where(F.col("start") < F.col("end"))
+    Rows stream in order of key and time past one open span, so a key's rows are
+    never held together, however many there are.
+    """
+    old, cap = int(boot_after_min * 60) + 1, int(cap_hours * 3600) * 1_000_000
+    rows = events.where(F.col(at).isNotNull()).select(*keys, F.col(at).cast("timestamp_ntz").alias("_t"), F.col(kind).alias("_k"))
+    schema = StructType([rows.schema[k] for k in keys] + [StructField(c, TimestampNTZType()) for c in ("start", "end")])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, opened = None, None
+        for batch in batches:
+            at_us, kinds = batch["_t"].cast(pa.int64()).to_pylist(), batch["_k"].to_pylist()
+            places, starts, ends = [], [], []
+            for i, key in enumerate(zip(*(batch[k].to_pylist() for k in keys))):
+                if key != current:
+                    current, opened = key, None
+                t, k = at_us[i], kinds[i]
+                if opened is not None and (k == "off" or (k == "boot" and (t - opened) // 1_000_000 >= old)):
+                    if opened < t:
+                        places.append(i)
+                        starts.append(opened)
+                        ends.append(min(t, opened + cap))
+                    opened = None
+                if k != "off" and opened is None:
+                    opened = t
+            own = [batch[k].take(pa.array(places, pa.int64())) for k in keys]
+            times = [pa.array(x, pa.int64()).cast(pa.timestamp("us")) for x in (starts, ends)]
+            yield pa.RecordBatch.from_arrays(own + times, names=[*keys, "start", "end"])
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "_t", "_k").mapInArrow(pair, schema)

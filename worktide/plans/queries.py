@@ -477,8 +477,10 @@ def alias_closure(spark, sf):
 def name_clusters(spark, sf):
     p = t(spark, sf, "part").groupBy("p_name").agg(F.array_sort(F.collect_set("p_type")).alias("details"), F.count(F.lit(1)).alias("weight"))
     profiles = p.select(F.col("p_name").alias("name"), "details", F.lit("2024-01-01").cast("date").alias("first_day"), F.lit("2024-06-01").cast("date").alias("last_day"), F.lit(False).alias("pinned"), F.lit(None).cast("string").alias("product"), "weight")
-    scores = resolve.pair_scores(resolve.candidate_pairs(profiles, "name"), profiles).withColumn("scope", F.lit(0))
-    return resolve.clusters(scores, profiles.select(F.lit(0).alias("scope"), "name", "weight"), 6).select("name", "canon")
+    scores = resolve.pair_scores(resolve.candidate_pairs(profiles, "name"), profiles)
+    scope = resolve.scopes(scores, profiles)
+    within = scores.join(scope.withColumnRenamed("name", "a"), "a").join(scope.select(F.col("name").alias("b"), "scope"), ["b", "scope"]).select(F.col("scope").alias("scope"), "a", "b", "score")
+    return resolve.clusters(within, profiles.join(scope, "name").select("scope", "name", "weight"), 6).select("name", "canon")
 
 
 QUERIES = {
