@@ -69,3 +69,18 @@ def test_name_clusters_are_found_in_every_group_of_linked_names(spark, tmp_path)
     assert sorted(canon) == sorted(names) and canon["lone"] == "lone"
     assert len(set(canon.values())) == len(groups) + 1
     assert all(canon[a] == canon[b] for a, b in zip(names[0:18:2], names[1:18:2]))
+
+
+def test_periods_cover_all_events(spark, tmp_path):
+    at = lambda *d: dt.datetime(*d, 10)
+    seen = [d for d in (dt.date(2022, 11, 14) + dt.timedelta(days=i) for i in range(150)) if d.weekday() < 5 and d not in (dt.date(2023, 1, 18), dt.date(2023, 2, 7), dt.date(2023, 2, 8), dt.date(2023, 2, 9))]
+    path = events(spark, tmp_path, [(1, at(d.year, d.month, d.day), "purchase") for d in seen])
+    load = registry.QUERIES["monthly_load"](spark, path).collect()
+    assert sorted(r["month"] for r in load) == sorted({f"{d:%Y-%m}" for d in seen})
+    assert all(r["avail_mm"] == 1.0 for r in load)
+    away = {r["day"] for r in registry.QUERIES["absence_inference"](spark, path).collect()}
+    assert {dt.date(2023, 1, 18), dt.date(2023, 2, 7)} <= away
+    gaps = registry.QUERIES["evidence_gaps"](spark, path).collect()
+    assert [(r["from_day"], r["to_day"], r["days"]) for r in gaps] == [(dt.date(2023, 2, 7), dt.date(2023, 2, 9), 3)]
+    empty = events(spark, tmp_path / "none", [])
+    assert all(registry.QUERIES[q](spark, empty).count() == 0 for q in ("monthly_load", "absence_inference", "evidence_gaps"))

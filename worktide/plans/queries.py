@@ -19,6 +19,13 @@ def sig(spark, sf) -> DataFrame:
     return signals.signals_of_events(t(spark, sf, "events"), S)
 
 
+def period(spark, sf) -> tuple[str, str]:
+    """The first and the last day of the calendar months that the events touch;
+    without events any one day serves."""
+    ends = t(spark, sf, "events").agg(F.trunc(F.min("ts"), "MM").cast("string"), F.last_day(F.max("ts")).cast("string")).first()
+    return tuple(x or "2024-01-01" for x in ends)
+
+
 def lone(spark, sf) -> DataFrame:
     """Each signal as a span of its label's width, clipped to the day."""
     half = F.greatest(F.lit(2.5), F.col("width") / 2)
@@ -183,7 +190,7 @@ def episode_spans(spark, sf):
 def evidence_gaps(spark, sf):
     """Runs of three or more workdays without a purchase."""
     rows = t(spark, sf, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("owner"), F.to_date("ts").alias("day"))
-    days = hours.calendar(spark, "2024-01-01", "2024-12-31", S).where("workday")
+    days = hours.calendar(spark, *period(spark, sf), S).where("workday")
     numbered = days.select("day", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("day")).alias("n"))
     return sessions.gap_runs(rows, ["owner"], "day", numbered, 3)
 
@@ -203,7 +210,7 @@ def day_worked_hours(spark, sf):
 
 
 def monthly_load(spark, sf):
-    return hours.monthly_load(hours.day_hours(sig(spark, sf), S), "2024-01-01", "2024-03-31", S)
+    return hours.monthly_load(hours.day_hours(sig(spark, sf), S), *period(spark, sf), S)
 
 
 def worked_hours_floor(spark, sf):
@@ -218,7 +225,7 @@ def worked_hours_floor(spark, sf):
 def absence_inference(spark, sf):
     s = sig(spark, sf)
     machine = s.groupBy("owner", "day").agg(F.count(F.lit(1)).cast("double").alias("on_h"))
-    return hours.inferred_absences(hours.day_hours(s, S), s.select("owner").distinct(), "2024-01-01", "2024-01-31", machine, S)
+    return hours.inferred_absences(hours.day_hours(s, S), s.select("owner").distinct(), *period(spark, sf), machine, S)
 
 
 def sampling_step(spark, sf):
