@@ -35,16 +35,23 @@ MAX_REPEATS = 3
 SEED = 20240601
 #: Rows of a (source, slice) window to aim at, and the fewest slices.
 SLICE_ROWS, LEAST_SLICES = 100_000, 1024
-IDENTITY = ("mix_id", "mix_text", "mix_source")
+IDENTITY = ("mix_id", "mix_text", "mix_source", "mix_row")
 
 
-def identity(row: str = "") -> list:
+def identity(docs: DataFrame, row: str = "") -> list:
     """The columns that tell rows apart, none of them null; row: "struct."."""
     text, source = F.col(f"{row}text"), F.col(f"{row}source")
+    rest = []
+    for c in (c for c in docs.columns if c not in ("doc_id", "text", "source")):
+        value, kind = F.col(f"{row}`{c}`"), docs.schema[c].dataType.typeName()
+        if kind in ("struct", "array", "map"):  # maps have no hash, and hashes pass over nulls inside
+            value = F.to_json(F.struct(value), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+        rest += [value, value.isNull()]
     return [
         F.coalesce(F.col(f"{row}doc_id").cast("string"), F.lit("")).alias("mix_id"),
         F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).alias("mix_text"),
         F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("mix_source"),
+        F.xxhash64(F.col(f"{row}doc_id").isNull(), *rest).alias("mix_row"),
     ]
 
 
@@ -71,7 +78,7 @@ def weighted_fair_mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_R
     target (its source's), copies (times the mix takes it), taken (words) and
     finish (virtual finish time of its first copy)."""
     rows = saved(
-        docs.select(*identity(), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn(
+        docs.select(*identity(docs), "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")).withColumn(
             "draw", F.xxhash64(F.lit(seed), "mix_id", "mix_text")
         )
     )
@@ -114,12 +121,15 @@ def materialise(docs: DataFrame, mix: DataFrame) -> DataFrame:
     """The mix itself: the taken documents with all their columns, once a copy,
     range-partitioned and sorted by virtual finish time.
 
-    One shuffle meets documents with decisions, one sorts.
+    One shuffle meets documents with decisions, one sorts. Rows that are the same
+    in every column go once to the join, where each of their decisions meets them.
     """
     own = docs.columns
-    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("mix_rest")).select("mix_rest", *identity("mix_rest."))
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("mix_rest")).select("mix_rest", *identity(docs, "mix_rest."))
     once = keyed.groupBy(*IDENTITY).agg(F.first("mix_rest").alias("mix_rest"))
-    chosen = mix.where("copies > 0").groupBy(*IDENTITY).agg(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: F.col("finish") + k * F.coalesce("lap", F.lit(0.0))))).alias("mix_times"))
-    copies = once.join(chosen, list(IDENTITY)).select("mix_rest", F.explode("mix_times").alias("mix_time"), "mix_id", "mix_text")
+    times = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: F.col("finish") + k * F.coalesce("lap", F.lit(0.0)))
+    chosen = mix.where("copies > 0").select(*IDENTITY, times.alias("mix_times"))
+    copies = once.join(chosen, list(IDENTITY)).select("mix_rest", F.explode("mix_times").alias("mix_time"), *IDENTITY)
+    order = ["mix_time", "mix_text", "mix_id", "mix_row"]
     n = n_partitions(docs.sparkSession)
-    return copies.repartitionByRange(n, "mix_time", "mix_text", "mix_id").sortWithinPartitions("mix_time", "mix_text", "mix_id").select(*(F.col("mix_rest").getField(c).alias(c) for c in own))
+    return copies.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*(F.col("mix_rest").getField(c).alias(c) for c in own))
