@@ -14,10 +14,16 @@ reader can seek to where it stopped. Since slots are a permutation, shards are
 equal in size whatever the input's skew.
 
 Two passes: the first only counts the sequences of each partition (a number each
-to the driver), the second makes them. Both must see the same partitions, as a
-table read does; a partition whose count differs fails the job. A shard is
-written under an attempt's name and then moved into place, so a repeated task
-leaves one whole file. The shards' folder must be one that all executors share.
+to the driver), the second makes them. Both encode: keeping the first pass's ids
+would put a third copy of the corpus on disk beside shuffle and shards. Both must
+see the same partitions, as reads of one table do (save any other frame first); a
+partition whose count differs fails the job. A shard is written under an
+attempt's name and then moved into place, so a repeated task leaves one whole
+file. The shards' folder must be one that all executors share.
+
+White space in runs of LONG_BLANK and more is cut off before the splitting
+pattern sees it, since that pattern's look-ahead steps back over a whole run; the
+ids are the same. Texts reach Python in batches bounded by bytes.
 
 Null text counts as empty and gives one sequence of END. Repeated rows give their
 own sequences. Extra columns are not read. No rows give no shards.
@@ -26,8 +32,9 @@ own sequences. Extra columns are not read. No rows give no shards.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,7 +42,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from worktide.llm._common import in_small_batches
+
 STRIDE, PER_SHARD, KEY, ROUNDS = 256, 1 << 16, 0x5DEECE66D1234567, 6
+LONG_BLANK = 1000
+WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+LONG_RUN = re.compile(WHITE + f"{{{LONG_BLANK},}}")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -60,16 +72,36 @@ def slots(index: np.ndarray, n: int, key: int = KEY, rounds: int = ROUNDS) -> np
     return out.astype(np.int64)
 
 
-@lru_cache(maxsize=2)
-def tiktoken_encoder(file: bytes, pattern: str) -> Callable[[str], np.ndarray]:
-    """Ids of a text under a file of byte tokens by rank."""
-    import base64
+class Encoder:
+    """Ids of whole texts under a file of byte tokens by rank."""
+
+    def __init__(self, file: bytes, pattern: str):
+        import base64
 
-    import tiktoken
+        import tiktoken
 
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
-    encoding = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return encoding.encode_to_numpy
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
+        made = dict(mergeable_ranks=ranks, special_tokens={})
+        self.ordinary = tiktoken.Encoding("file", pat_str=pattern, **made).encode_ordinary
+        self.blank = tiktoken.Encoding("blank", pat_str=rf"{WHITE}+", **made).encode_ordinary
+
+    def ids(self, text: str) -> list[int]:
+        """The pattern keeps a run of white space whole, but for its last
+        character where more text follows, and never joins what is before a run
+        with it: so a run's beginning can be encoded by itself."""
+        if not (long := list(LONG_RUN.finditer(text))):
+            return self.ordinary(text)
+        out, at = [], 0
+        for run in long:
+            out += self.ordinary(text[at : run.start()])
+            at = run.end() if run.end() == len(text) else run.end() - 1
+            out += self.blank(text[run.start() : at])
+        return out + self.ordinary(text[at:])
+
+
+@lru_cache(maxsize=2)
+def encoder(file: bytes, pattern: str) -> Encoder:
+    return Encoder(file, pattern)
 
 
 class Tokens:
@@ -85,7 +117,7 @@ class Tokens:
 
     def sequences(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """A matrix of ids for each text, STRIDE to a row."""
-        ids_of = tiktoken_encoder(self.file.value, self.pattern)
+        ids_of = encoder(self.file.value, self.pattern).ids
         for text in texts:
             ids = ids_of(text.as_py() or "")
             n = len(ids) // self.stride + 1
@@ -97,7 +129,7 @@ class Tokens:
         """How many sequences each partition has."""
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids_of, n = tiktoken_encoder(self.file.value, self.pattern), 0
+            ids_of, n = encoder(self.file.value, self.pattern).ids, 0
             for batch in batches:
                 n += sum(len(ids_of(text.as_py() or "")) // self.stride + 1 for text in batch["text"])
             part = TaskContext.get().partitionId()
@@ -109,7 +141,7 @@ class Tokens:
 
 def training_order(docs: DataFrame, tokenizer_path: str, pattern: str, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = KEY) -> tuple[DataFrame, int]:
     """(slot, shard, doc_id, piece, record) in shards, and the number of sequences."""
-    docs = docs.select("doc_id", "text")
+    docs = in_small_batches(docs.select("doc_id", "text"))
     tokens = Tokens(docs.sparkSession, tokenizer_path, pattern, stride)
     counts = tokens.counts(docs)
     total, first = sum(counts), np.concatenate([[0], np.cumsum(counts)]).tolist()
