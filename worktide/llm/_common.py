@@ -14,12 +14,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that saved() has made, by application, for release().
+_made: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name under the cluster's shared checkpoint folder.
 
-    Where the session names none, as in tests, a folder under /tmp serves.
+    Where the session names none, as in tests, a local session's is under /tmp;
+    on a cluster that would be each machine's own disk, so it is an error.
     """
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "/tmp/checkpoints"
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -37,12 +46,31 @@ def in_small_batches(df: DataFrame) -> DataFrame:
 
 def saved(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there,
-    and a lost executor costs no more than the tasks it was running."""
+    and a lost executor costs no more than the tasks it was running. The folder
+    stays until release()."""
     spark = df.sparkSession
     path = shared_dir(spark)
+    folders(spark).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def folders(spark: SparkSession) -> list[str]:
+    """The folders that saved() has written in this session and that are still there."""
+    return _made.setdefault(spark.sparkContext.applicationId, [])
+
+
+def release(spark: SparkSession, keep: DataFrame, before: list[str]) -> None:
+    """Remove the folders that saved() wrote beside those of ``before``, but for
+    the one that ``keep``, itself a saved table, reads. Call it when no other
+    result of that time is read any more."""
+    made, files = folders(spark), keep.inputFiles()
+    for path in set(made) - set(before) if files else ():
+        if not any(f"/{path.rsplit('/', 1)[1]}/" in f for f in files):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            made.remove(path)
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -110,7 +110,7 @@ def features_of(text: str, terms: tuple[tuple[str, float], ...]) -> list[float]:
     hidden = 0
     for word in hard:
         plain = word.lower().translate(LEET)
-        hidden += plain in insults or any(plain.startswith(t.rstrip("*")) for t, _ in terms[:50])
+        hidden += plain in insults or any(plain.startswith(t.rstrip("*")) for t, _ in terms)
     places = np.array(second)
     close = sum(bool(len(places)) and int(np.abs(places - s).min()) <= NEAR for s, _, _ in hits)
     weight = sum(w for _, _, w in hits)
