@@ -5,6 +5,14 @@ the columns of ``documents``; the last returns the encoded corpus. A stage's
 result is written as Parquet and read again before the next one starts, so a lost
 executor costs tasks of one stage at most. SQL cannot express the stages; tests
 hold each against a brute-force version.
+
+Odd rows, in every stage: null and empty texts are clean, have no duplicates,
+lose nothing, mix with size 0 (taken while their source is) and encode to no
+ids. Rows without a doc_id are never dropped as duplicates. Equal rows are
+separate documents: duplicates of one doc_id stay together, the mix counts each.
+Ties go to the smaller doc_id, and in the mix to the order of a seeded hash. No
+rows give no rows. Extra columns pass through all stages but the last, whatever
+they are called.
 """
 
 from __future__ import annotations
@@ -12,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from worktide.llm import bpe_codec, ngram_join, queries, source_mix, substring_dedup
-from worktide.llm._common import saved, table
+from worktide.llm._common import folders, release, saved, table
 
 ORACLE_SQL = None
 
@@ -70,7 +78,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage wrote on its way goes as soon as its
+    result is there; only the result's folder stays."""
+    docs, before = table(spark, sf_dir, "documents"), list(folders(spark))
     for _, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir))
+        release(spark, docs, before)
     return docs
