@@ -113,28 +113,37 @@ def shares(sizes, weights=(5, 2, 1), most=3):
 
 
 def check_mix(rows, got):
+    """The whole mix made again: shares, finish times, one global sort, the cut."""
     sizes = Counter()
     for _, text, _, source, _ in rows:
         sizes[source] += len(word_list(text))
-    target, taken, largest = shares(sizes), Counter(), Counter()
-    by_source = {}
+    target, budget, by_source, copies = shares(sizes), sum(sizes.values()), {}, []
     for r in got:
-        s = None if r["mix_source"] == "n" else r["mix_source"][1:]
-        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(target[s])
-        assert r["taken"] == r["copies"] * r["size"] and 0 <= r["copies"] <= 3
-        taken[s] += r["taken"]
-        largest[s] = max(largest[s], r["size"])
-        by_source.setdefault(s, []).append(r)
-    for s in sizes:
-        assert abs(taken[s] - target[s]) <= largest[s]
-    assert sum(taken.values()) <= sum(sizes.values())
-    for s, own in by_source.items():  # the order of virtual finish times, replayed
-        own.sort(key=lambda r: (r["draw"] & (1 << 64) - 1, r["mix_id"], r["mix_text"]))
+        by_source.setdefault(None if r["mix_source"] == "n" else r["mix_source"][1:], []).append(r)
+    identity = lambda r: (r["mix_id"], r["mix_text"], r["mix_source"], r["mix_row"])
+    for s, own in by_source.items():
+        own.sort(key=lambda r: ((r["draw"] & (1 << 64) - 1) >> 54, r["draw"], identity(r)))
         reach = 0
         for r in own:
+            assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(target[s])
+            assert r["taken"] == r["copies"] * r["size"]
             reach += r["size"]
-            within = sum(reach + k * sizes[s] <= target[s] for k in range(3)) if r["size"] else None
-            assert within is None or r["copies"] in (within, within + 1)
+            for k in range(3 if r["size"] else 1):
+                copies.append(((reach + k * sizes[s]) / r["target"] if r["target"] else 0.0, r["draw"], identity(r), reach, r["size"]))
+    copies.sort()
+    total, took = 0, Counter()
+    for _, _, who, _, size in copies:
+        total += size
+        if total > budget:
+            break
+        took[who] += 1
+    assert took == +sum((Counter({identity(r): r["copies"]}) for r in got), Counter())
+    largest = Counter()
+    for s, own in by_source.items():
+        largest[s] = max(r["size"] for r in own)
+    for s, own in by_source.items():  # late documents of the others can hold a source back or push it
+        assert abs(sum(r["taken"] for r in own) - target[s]) <= sum(largest.values())
+    assert sum(r["taken"] for r in got) <= budget
 
 
 def test_mix_equals_brute_force(spark):

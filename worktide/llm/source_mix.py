@@ -8,15 +8,18 @@ per unit of weight, one prefix sum finds the level at which that sharing ends.
 
 Documents are shuffled by a seeded hash. The virtual finish time of a document's
 copy is the running size of its source up to and with that copy, divided by the
-source's target, so that every source's finish times reach 1 exactly at its
-target and the times sum to the budget there. The mix takes the copies in global
-order of finish time: all those up to time 1, then those copies that straddle 1
-and end nearer to their source's target than they began, in order of finish
-time, while the budget holds.
-
-Running sums are taken in two levels, by (source, slice of the hash) and within
-a slice, so a source with most of all rows is many small windows. Only the table
-of sources, one row each, is ever ordered as a whole. DataFrame functions only.
+source's target, so all sources advance at the rate of their targets. All copies,
+``max_repeats`` a document, are range-sorted by finish time (ties by the shuffle,
+then by the row); each range's words give its offset, and the order is cut before
+the first copy that does not fit the budget. That copy's place is one row: a
+document is taken once for each of its copies in front of it.
+
+Running sums are taken in two levels: by (source, slice of the hash) and within a
+slice for the finish times, so a source with most of all rows is many small
+windows; by range and within the one range that the budget ends in for the cut.
+Only the tables of sources and of ranges, one row each, are ever ordered as a
+whole. The ranges are written once, as sums and cut must see the same ones.
+DataFrame functions only.
 
 Null text has size 0, a null source is a source. Rows that repeat are mixed as
 separate documents; where they tie in every column they are interchangeable, so
@@ -36,6 +39,8 @@ SEED = 20240601
 #: Rows of a (source, slice) window to aim at, and the fewest slices.
 SLICE_ROWS, LEAST_SLICES = 100_000, 1024
 IDENTITY = ("mix_id", "mix_text", "mix_source", "mix_row")
+#: The global order of copies.
+ORDER = ("mix_time", "draw", *IDENTITY, "reach")
 
 
 def identity(docs: DataFrame, row: str = "") -> list:
@@ -93,28 +98,29 @@ def weighted_fair_mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_R
     own = F.sum("size").over(W.partitionBy("mix_source", "slice").orderBy("draw", *IDENTITY).rowsBetween(W.unboundedPreceding, 0))
     placed = saved(rows.withColumn("own", own).join(offsets, ["mix_source", "slice"]).withColumn("reach", F.col("own") + F.col("before")).drop("own", "before", "slice", "source"))
 
-    size, target, whole = F.col("size"), F.col("target"), F.col("source_size")
-    reaches = [F.col("reach") + whole * k for k in range(max_repeats)]
-    within = sum(((r <= target).cast("int") for r in reaches), F.lit(0))
-    placed = placed.withColumn("within", F.when(size > 0, within).otherwise(F.least(within, F.lit(1))))
-    straddles = F.coalesce(*(F.when((r > target) & (r - size < target), r) for r in reaches))
-    ends = placed.withColumn("end", straddles)
-    nearer = F.when((size > 0) & (F.col("end") - target <= target - (F.col("end") - size)), F.struct("end", "reach", "size"))
-    whole_table = W.partitionBy(F.lit(0))  # one row for each source
-    in_order = whole_table.orderBy(F.col("last.end") / F.col("target"), "mix_source")
-    extra = (
-        ends.groupBy("mix_source")
-        .agg(F.sum(F.col("within") * size).alias("words"), F.max(nearer).alias("last"), F.first("target").alias("target"), F.first("budget").alias("budget"))
-        .withColumn("words", F.sum("words").over(whole_table))
-        .where(F.col("last").isNotNull())
-        .withColumn("running", F.sum("last.size").over(in_order))
-        .where(F.col("words") + F.col("running") <= F.col("budget"))
-        .select("mix_source", "last.reach", "last.size", F.lit(1).alias("more"))
-    )
-    out = placed.join(extra, ["mix_source", "reach", "size"], "left")
-    copies = F.col("within") + F.coalesce("more", F.lit(0))
-    finish = F.when(target > 0, F.col("reach") / target).otherwise(F.lit(0.0))
-    return out.select(*IDENTITY, "doc_id", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * size).cast("long").alias("taken"), finish.alias("finish"), (whole / F.when(target > 0, target)).alias("lap"), "draw")
+    whole, due = F.col("source_size"), F.col("target") > 0
+    placed = placed.withColumns({"finish": F.when(due, F.col("reach") / F.col("target")).otherwise(F.lit(0.0)), "lap": F.when(due, whole / F.col("target")).otherwise(F.lit(0.0))})
+    times = F.transform(F.sequence(F.lit(0), F.when(F.col("size") > 0, max_repeats - 1).otherwise(0)), lambda k: F.col("finish") + k * F.col("lap"))
+    placed = placed.withColumn("times", times)
+    found = cut(placed.withColumn("mix_time", F.explode("times")).select(*ORDER, "size", "budget"))
+    ends = found.first()["ends"]  # one row
+    place = lambda t: F.struct(t.alias("mix_time"), *ORDER[1:])
+    stop = F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(ends or (), found.schema["ends"].dataType)))
+    taken = F.size(F.filter("times", lambda t: place(t) < stop) if ends else F.col("times"))
+    out = placed.withColumn("copies", taken)
+    return out.select(*IDENTITY, "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "finish", "lap", "draw", "reach")
+
+
+def cut(copies: DataFrame) -> DataFrame:
+    """One row: ``ends``, the place in ORDER of the first copy that does not fit
+    the budget (null if all fit)."""
+    n = n_partitions(copies.sparkSession)
+    ranged = saved(copies.repartitionByRange(n, *ORDER).withColumn("range", F.spark_partition_id()))
+    in_order = W.partitionBy(F.lit(0)).orderBy("range")
+    sums = ranged.groupBy("range").agg(F.sum("size").alias("words"), F.first("budget").alias("all")).withColumn("before", F.sum("words").over(in_order) - F.col("words"))
+    last = sums.where((F.col("before") <= F.col("all")) & (F.col("before") + F.col("words") > F.col("all"))).select("range", "before")  # one row at most
+    running = F.col("before") + F.sum("size").over(W.partitionBy("range").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0))
+    return ranged.join(F.broadcast(last), "range").withColumn("running", running).agg(F.min(F.when(F.col("running") > F.col("budget"), F.struct(*ORDER))).alias("ends"))
 
 
 def materialise(docs: DataFrame, mix: DataFrame) -> DataFrame:
@@ -127,9 +133,8 @@ def materialise(docs: DataFrame, mix: DataFrame) -> DataFrame:
     own = docs.columns
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("mix_rest")).select("mix_rest", *identity(docs, "mix_rest."))
     once = keyed.groupBy(*IDENTITY).agg(F.first("mix_rest").alias("mix_rest"))
-    times = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: F.col("finish") + k * F.coalesce("lap", F.lit(0.0)))
-    chosen = mix.where("copies > 0").select(*IDENTITY, times.alias("mix_times"))
-    copies = once.join(chosen, list(IDENTITY)).select("mix_rest", F.explode("mix_times").alias("mix_time"), *IDENTITY)
-    order = ["mix_time", "mix_text", "mix_id", "mix_row"]
+    times = F.transform(F.sequence(F.lit(0), F.col("copies") - 1), lambda k: F.col("finish") + k * F.col("lap"))
+    chosen = mix.where("copies > 0").select(*IDENTITY, "draw", "reach", times.alias("mix_times"))
+    copies = once.join(chosen, list(IDENTITY)).select("mix_rest", F.explode("mix_times").alias("mix_time"), *ORDER[1:])
     n = n_partitions(docs.sparkSession)
-    return copies.repartitionByRange(n, *order).sortWithinPartitions(*order).select(*(F.col("mix_rest").getField(c).alias(c) for c in own))
+    return copies.repartitionByRange(n, *ORDER).sortWithinPartitions(*ORDER).select(*(F.col("mix_rest").getField(c).alias(c) for c in own))
