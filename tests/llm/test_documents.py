@@ -206,6 +206,24 @@ def test_many_overlapping_passages(spark):
     assert substring_dedup.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_long_passages_are_one_span(spark):
+    passage, loop = words(77, 3000, 5000), " ".join(["la", "le", "lu"] * 700)
+    rows = [(i, f"{words(300 + i, 60)} {passage} {words(400 + i, 60)} {loop}", "en", "a", 0) for i in range(6)]
+    held = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "xxhash64(text) AS tie", "text")
+    spans = substring_dedup.repeated_spans(held, held).collect()
+    long = [s for s in spans if s["to"] - s["from"] >= 2900]
+    assert {s["doc_id"] for s in long} == set(range(1, 6)) and all(s["first_id"] == 0 for s in long)
+    assert len([s for s in spans if s["from"] < 3000]) <= 15  # a path, and where it branches at its ends
+    got = substring_dedup.remove_repeats(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(removed(rows, 50))
+
+
+def test_spans_that_differ_from_the_earlier_words_stay():
+    text, other = b"a b c d e f".split(), b"a b x d e f".split()
+    spans = [{"from": 0, "to": 3, "digest": substring_dedup.digest(other, 0, 3)}, {"from": 3, "to": 5, "digest": substring_dedup.digest(other, 3, 5)}]
+    assert substring_dedup.without_spans(b" ".join(text), spans) == (6, 2, b"a b c f")
+
+
 # -- near duplicates
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A word of the text contracts: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -72,5 +72,20 @@ def release(spark: SparkSession, keep: DataFrame, before: list[str]) -> None:
             made.remove(path)
 
 
+#: Rows of one key below which it is never set apart.
+HOT_ROWS = 2_000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` joined with ``keyed``, which has each key once and its number of
+    rows as n (left out of the result). Keys with more than a quarter of an even
+    partition's rows, fewer than 4 a partition, are joined by broadcast, so that no
+    task gets them all; both tables are read twice and should be saved."""
+    least = max(HOT_ROWS, rows.count() // (4 * n_partitions(rows.sparkSession)))
+    hot, cold = keyed.where(F.col("n") > least).drop("n"), keyed.where(F.col("n") <= least).drop("n")
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+
+
 def n_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

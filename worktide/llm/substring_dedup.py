@@ -3,41 +3,46 @@
 A window is WINDOW consecutive words of one document; a word goes if a window
 that covers it also starts in a document with a smaller doc_id.
 
-1. Every window names one anchor, the k-mer with the least hash inside it
-   (leftmost on ties): about one word in twenty. Windows are edges, and the
-   windows of one anchor are a short path. Equal windows name equal anchors, so
-   nothing repeated is lost by looking at anchors only.
-2. An anchor occurrence also carries the hash of its context, all words that
-   windows over it can reach, cut at the document's ends. Anchors in one
-   document only are dropped. Where two occurrences have equal contexts, the
-   path is nonbranching: it is compacted to one edge, and the smallest doc_id
-   of its class settles all its windows by one join.
-3. Where an anchor has several contexts the path branches. Only the first
-   document of each class then spells out the windows of that anchor; the
-   smallest doc_id for each window is found by one more aggregate and join.
-4. The spans found go back to the source coordinates (document, first word,
-   word after the last) and the words are removed there.
-
-Hashes of an anchor and of a context or window, 128 bits together, stand for
-equality of words.
-
-Aggregates are combined before the shuffle and the joins are plain joins that
-Spark may split, so a passage that a third of all documents share is no single
-task. Null text has no words; rows with a null doc_id keep all words and remove
-none. Rows with equal doc_ids don't remove each other's words. Repeated rows get
-equal results; other columns pass through. No rows give no rows.
+1. Edges. Every window names one k-mer, the one with the least hash inside it
+   (leftmost on ties): about one word in twenty. Equal windows name equal k-mers,
+   so nothing repeated is lost by keeping only those. A k-mer's occurrence also
+   carries the hash of its context, all words that windows over it can reach, cut
+   at the document's ends. K-mers in one document only are dropped; occurrences
+   with equal k-mer and context are one edge, and its place in the document with
+   the smallest doc_id (its first) is where all others are compared.
+2. Compaction. Two edges that several documents share are linked where they
+   follow and touch each other in a document. A link is nonbranching if it is the
+   only one out of the one and into the other, and straight if both edges lie the
+   same way in one first document. Paths of nonbranching straight links are
+   compacted by pointer doubling, a join a round: every edge learns its path's
+   head, its distance and its number. A document's consecutive edges on a path
+   are then one span, however long.
+3. Branches. Where a k-mer has several contexts, the first documents spell out
+   the windows of that k-mer; the smallest doc_id for each window is found by one
+   more aggregate and join, and consecutive windows are one span again.
+4. Verification. A span names its place in an earlier document. The words there
+   and here are compared by a 128-bit cryptographic digest of both, taken from
+   the texts at these source coordinates; only spans that agree are removed.
+
+Aggregates are combined before the shuffle, and where a k-mer, edge, window or
+span makes up an uncommon share of all rows it is joined by broadcast (there are
+few such), so a passage that a third of all documents share is no single task.
+Null text has no words; rows with a null doc_id keep all words and remove none.
+Rows with equal doc_ids don't remove each other's words. Repeated rows get equal
+results; other columns pass through. No rows give no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from worktide.llm import _hashing as H
-from worktide.llm._common import in_small_batches, saved
+from worktide.llm._common import in_small_batches, join_hot, saved
 
 WINDOW, K = 50, 10
 
@@ -84,9 +89,10 @@ class Anchors:
 
 
 def anchor_rows(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """An occurrence a row: anchor, context, doc_id, tie, the words its context
-    spans (left, right) and the starts of the windows that name it (lo..hi)."""
-    names = ["anchor", "context", "doc_id", "tie", "left", "right", "lo", "hi"]
+    """An occurrence a row: anchor (the k-mer), context, doc_id, tie, its place, the
+    words its context spans (left, right) and the starts of the windows that name
+    it (lo..hi)."""
+    names = ["anchor", "context", "doc_id", "tie", "place", "left", "right", "lo", "hi"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,11 +104,11 @@ def anchor_rows(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
                     continue
                 base = a.offsets[a.of]
                 columns = [a.anchor.view(np.int64), a.context.view(np.int64), ids[run][a.of], ties[run][a.of]]
-                columns += [(x - base).astype(np.int32) for x in (a.left, a.right, a.lo, a.hi)]
+                columns += [(x - base).astype(np.int32) for x in (a.place, a.left, a.right, a.lo, a.hi)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    return rows.mapInArrow(find, "anchor long, context long, doc_id long, tie long, left int, right int, lo int, hi int")
+    return rows.mapInArrow(find, "anchor long, context long, doc_id long, tie long, place int, left int, right int, lo int, hi int")
 
 
 def branch_windows(texts: DataFrame, branches: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -134,36 +140,103 @@ def branch_windows(texts: DataFrame, branches: DataFrame, window: int = WINDOW)
     return met.mapInArrow(spell, "anchor long, hash long, doc_id long, tie long, start int")
 
 
+EDGE = ["anchor", "context"]
+
+
+def compacted(shared: DataFrame) -> DataFrame:
+    """(anchor, context, head, offset, number) of the edges that follow another one
+    on a nonbranching path; shared: the occurrences of edges in several documents."""
+    after = F.lead(F.struct(*EDGE, "place", "left", "first")).over(W.partitionBy("doc_id", "tie").orderBy("place"))
+    steps = shared.withColumn("after", after).where("after.left <= right").withColumn("hop", F.col("after.place") - F.col("place"))
+    same = (F.col("after.first.doc_id") == F.col("first.doc_id")) & (F.col("after.first.tie") == F.col("first.tie")) & (F.col("after.first.place") - F.col("first.place") == F.col("hop"))
+    links = saved(steps.select(F.struct(*EDGE).alias("a"), F.struct(*(f"after.{c}" for c in EDGE)).alias("b"), "hop", same.alias("straight")).distinct())
+    only_out = links.groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.first("b").alias("b"), F.first("hop").alias("hop"), F.first("straight").alias("straight")).where("degree = 1 and straight")
+    only_in = links.groupBy("b").agg(F.count(F.lit(1)).alias("degree")).where("degree = 1").select("b")
+    pointers = saved(only_out.join(only_in, "b").select(F.col("b").alias("edge"), F.col("a").alias("head"), F.col("hop").alias("offset"), F.lit(1).alias("number")))
+    total = 0
+    while (reached := pointers.agg(F.sum("number")).first()[0] or 0) != total:
+        total = reached
+        further = pointers.select(F.col("edge").alias("head"), F.col("head").alias("further"), F.col("offset").alias("more"), F.col("number").alias("steps"))
+        joined = pointers.join(further, "head", "left")
+        add = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
+        pointers = saved(joined.select("edge", F.coalesce("further", "head").alias("head"), add("offset", "more"), add("number", "steps")))
+    return pointers.select("edge.*", "head", "offset", "number")
+
+
+def runs(rows: DataFrame, along: list[str], number: str) -> DataFrame:
+    """Rows (doc_id, tie, from, to, first, shift, ...) whose ``number`` counts on
+    without a gap, as one span each: first is where the span's words begin in the
+    earlier document."""
+    place = F.dense_rank().over(W.partitionBy("doc_id", "tie", *along).orderBy(number))
+    keys = ["doc_id", "tie", "first_id", "first_tie", "shift"]
+    joined = rows.withColumn("run", F.col(number) - place).groupBy(*keys, *(c for c in along if c not in keys), "run")
+    return joined.agg(F.min("from").alias("from"), F.max("to").alias("to")).select(*keys[:4], "from", "to", (F.col("from") + F.col("shift")).alias("first_from"), (F.col("to") + F.col("shift")).alias("first_to"))
+
+
 def repeated_spans(docs: DataFrame, texts: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """(doc_id, tie, spans): an array first, end, first, end ... of word places
-    that earlier documents already have; spans may overlap."""
-    occurrences = anchor_rows(docs, window, k)
-    repeated = (
-        occurrences.groupBy("anchor")
-        .agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.min("context").alias("c0"), F.max("context").alias("c1"))
-        .where("first < last")
-        .select("anchor", (F.col("c0") != F.col("c1")).alias("branches"))
+    """(doc_id, tie, from, to, first_id, first_tie, first_from, first_to): word
+    places that an earlier document seems to have, and where; spans may overlap."""
+    occurrences = saved(anchor_rows(docs, window, k))
+    least, most = F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
+    kmers = occurrences.groupBy("anchor").agg(least, most, F.min("context").alias("c0"), F.max("context").alias("c1"), F.count(F.lit(1)).alias("n")).where("least < most")
+    repeated = saved(kmers.select("anchor", "n", (F.col("c0") != F.col("c1")).alias("branches")))
+    rows = saved(join_hot(occurrences, repeated, ["anchor"]))
+    edges = saved(rows.groupBy(*EDGE).agg(F.min(F.struct("doc_id", "tie", "place")).alias("first"), most, F.count(F.lit(1)).alias("n")))
+    placed = saved(join_hot(rows, edges, EDGE).withColumn("shared", F.col("first.doc_id") < F.col("most")))
+
+    shared = placed.where("shared").select(*EDGE, "doc_id", "tie", "place", "left", "right", "first")
+    paths = saved(edges.where("first.doc_id < most").select(*EDGE, "n").join(compacted(shared), EDGE, "left").select(*EDGE, "n", F.coalesce("head", F.struct(*EDGE)).alias("head"), F.coalesce("offset", F.lit(0)).alias("offset"), F.coalesce("number", F.lit(0)).alias("number")))
+    first = [F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie")]
+    on_paths = join_hot(shared.where("first.doc_id < doc_id"), paths, EDGE).select(
+        "doc_id", "tie", *first, (F.col("first.place") - F.col("place")).alias("shift"), F.col("left").alias("from"), F.col("right").alias("to"), "head", (F.col("place") - F.col("offset")).alias("begin"), "number"
+    )
+    compact = runs(on_paths, ["first_id", "first_tie", "shift", "head", "begin"], "number")
+
+    windows = saved(branch_windows(texts, placed.where("branches and first.doc_id = doc_id"), window))
+    firsts = saved(windows.groupBy("anchor", "hash").agg(F.min(F.struct("doc_id", "tie", "start")).alias("first"), most, F.count(F.lit(1)).alias("n")).where("first.doc_id < most").drop("most"))
+    spelled = join_hot(windows, firsts, ["anchor", "hash"]).where("first.doc_id < doc_id").select(
+        "doc_id", "tie", *first, (F.col("first.start") - F.col("start")).alias("shift"), F.col("start").alias("from"), (F.col("start") + window).alias("to")
     )
-    edges = saved(occurrences.join(repeated, "anchor"))
-    classes = edges.groupBy("anchor", "context").agg(F.min("doc_id").alias("first"))
-    placed = edges.join(classes, ["anchor", "context"])
-    compact = placed.where("first < doc_id").select("doc_id", "tie", F.col("left").alias("from"), F.col("right").alias("to"))
-    windows = saved(branch_windows(texts, placed.where("branches and first = doc_id"), window))
-    firsts = windows.groupBy("anchor", "hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    spelled = windows.join(firsts.drop("last"), ["anchor", "hash"]).where("first < doc_id").select("doc_id", "tie", F.col("start").alias("from"), (F.col("start") + window).alias("to"))
-    return compact.union(spelled).groupBy("doc_id", "tie").agg(F.flatten(F.collect_set(F.array("from", "to"))).alias("spans"))
-
-
-def without_spans(text: bytes, spans: pa.ListScalar) -> tuple[int, int, bytes]:
-    """How many words a text has and loses to its spans, and the words left,
-    joined by one space."""
+    return compact.union(runs(spelled, ["first_id", "first_tie", "shift"], "from"))
+
+
+def digest(words: list[bytes], start: int, end: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[start:end]), digest_size=16).digest()
+
+
+def with_digests(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """``spans`` with the digest of the words at their place in the earlier document."""
+    place = ["first_id", "first_tie", "first_from", "first_to"]
+    wanted = saved(spans.groupBy(*place).agg(F.count(F.lit(1)).alias("n")))
+    listed = wanted.groupBy("first_id", "first_tie").agg(F.collect_list(F.struct("first_from", "first_to", "n")).alias("ranges"))
+    met = texts.withColumnsRenamed({"doc_id": "first_id", "tie": "first_tie"}).select("first_id", "first_tie", "text").join(listed, ["first_id", "first_tie"])
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, ties = batch["first_id"].to_pylist(), batch["first_tie"].to_pylist()
+            for at, data in H.slices(batch["text"]):
+                out = []
+                for i, text in enumerate(data, at):
+                    words = text.split()
+                    out += [(ids[i], ties[i], a, b, n, digest(words, a, b)) for a, b, n in (r.values() for r in batch["ranges"][i].as_py())]
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=[*place, "n", "digest"])
+
+    taken = met.mapInArrow(take, "first_id long, first_tie long, first_from int, first_to int, n long, digest binary").dropDuplicates(place)  # repeated rows
+    return join_hot(spans, saved(taken), place)
+
+
+def without_spans(text: bytes, spans: list | None) -> tuple[int, int, bytes]:
+    """How many words a text has and loses to those spans whose words have the
+    digest of the earlier document's, and the words left, joined by one space."""
     words = text.split()
     n = len(words)
-    if spans.is_valid and len(spans.values):
-        flat = spans.values.to_numpy()
+    if spans:
         change = np.zeros(n + 1, np.int64)
-        np.add.at(change, flat[0::2], 1)
-        np.add.at(change, flat[1::2], -1)
+        for a, b, want in (s.values() for s in spans):
+            if digest(words, a, b) == want:
+                change[a] += 1
+                change[b] -= 1
         words = [words[i] for i in np.flatnonzero(np.cumsum(change[:n]) == 0).tolist()]
     return n, n - len(words), b" ".join(words)
 
@@ -175,14 +248,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     own = [c for c in docs.columns if c.lower() not in result]
     rest = [c for c in own if c.lower() != "text"]  # a text crosses the shuffle once
     held = in_small_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    spans = saved(repeated_spans(docs, held, window, k))
-    met = held.join(spans, ["doc_id", "tie"], "left").select("row", "text", "spans")
+    spans = with_digests(saved(repeated_spans(docs, held, window, k)), held)
+    listed = saved(spans.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("from", "to", "digest")).alias("spans")))
+    met = held.join(listed, ["doc_id", "tie"], "left").select("row", "text", "spans")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in H.slices(batch["text"]):
                 some = batch.slice(first, len(texts))
-                done = zip(*map(without_spans, texts, some["spans"]))
+                done = zip(*map(without_spans, texts, some["spans"].to_pylist()))
                 columns = [pa.array(list(x), kind) for x, kind in zip(done, (pa.int64(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays([some["row"], some["text"], *columns[:2], columns[2].cast(pa.string())], names=["row", "text", *result])
 
