@@ -106,6 +106,20 @@ def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path):
     assert [x.tolist() for x in token_shards.read_records(folder, 150, 3, 16, 100)] == [x.tolist() for x in records[150:153]]
 
 
+def test_cut_texts_encode_like_whole_ones():
+    import random
+
+    import tiktoken
+
+    path = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = token_shards.Encoder(open(path, "rb").read(), public_tokenizers.PATTERN)
+    whole = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=token_shards_ranks(path), special_tokens={}).encode_ordinary
+    r = random.Random(6)
+    for _ in range(5000):
+        text = "".join(r.choice(" \n\t\xa0\u3000\x1c\x85ab'sé1!") for _ in range(r.randrange(30)))
+        assert own.ids(text) == whole(text), repr(text)
+
+
 def token_shards_ranks(path):
     import base64
 

@@ -21,9 +21,10 @@ partition whose count differs fails the job. A shard is written under an
 attempt's name and then moved into place, so a repeated task leaves one whole
 file. The shards' folder must be one that all executors share.
 
-White space in runs of LONG_BLANK and more is cut off before the splitting
-pattern sees it, since that pattern's look-ahead steps back over a whole run; the
-ids are the same. Texts reach Python in batches bounded by bytes.
+A splitting pattern that looks ahead for the end of white space steps back over
+whole runs of it. Such texts are cut there first and split by the rest of the
+pattern, which needs no stepping back: the same ids, in a time that does not
+depend on the runs. Texts reach Python in batches bounded by bytes.
 
 Null text counts as empty and gives one sequence of END. Repeated rows give their
 own sequences. Extra columns are not read. No rows give no shards.
@@ -45,9 +46,10 @@ from pyspark.sql import DataFrame, functions as F
 from worktide.llm._common import in_small_batches
 
 STRIDE, PER_SHARD, KEY, ROUNDS = 256, 1 << 16, 0x5DEECE66D1234567, 6
-LONG_BLANK = 1000
+# White space as the splitting pattern's \\s has it, and its look-ahead.
 WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-LONG_RUN = re.compile(WHITE + f"{{{LONG_BLANK},}}")
+LOOK_AHEAD, REST = r"\s+(?!\S)|", r"\s+"
+RUN = re.compile(f"{WHITE}{{2,}}")
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -81,22 +83,19 @@ class Encoder:
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file.splitlines())}
-        made = dict(mergeable_ranks=ranks, special_tokens={})
-        self.ordinary = tiktoken.Encoding("file", pat_str=pattern, **made).encode_ordinary
-        self.blank = tiktoken.Encoding("blank", pat_str=rf"{WHITE}+", **made).encode_ordinary
+        self.looks = pattern.endswith(LOOK_AHEAD + REST)
+        plain = pattern.replace(LOOK_AHEAD, "") if self.looks else pattern
+        self.plain = tiktoken.Encoding("file", pat_str=plain, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def ids(self, text: str) -> list[int]:
-        """The pattern keeps a run of white space whole, but for its last
-        character where more text follows, and never joins what is before a run
-        with it: so a run's beginning can be encoded by itself."""
-        if not (long := list(LONG_RUN.finditer(text))):
-            return self.ordinary(text)
+        """A run of white space is one piece, but for its last character where more
+        text follows: that goes with what follows or is a piece by itself."""
         out, at = [], 0
-        for run in long:
-            out += self.ordinary(text[at : run.start()])
-            at = run.end() if run.end() == len(text) else run.end() - 1
-            out += self.blank(text[run.start() : at])
-        return out + self.ordinary(text[at:])
+        for run in RUN.finditer(text) if self.looks else ():
+            if run.end() < len(text):
+                out += self.plain(text[at : run.end() - 1])
+                at = run.end() - 1
+        return out + self.plain(text[at:]) if at else self.plain(text)
 
 
 @lru_cache(maxsize=2)
