@@ -51,7 +51,7 @@ def saved(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     folders(spark).append(path)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,19 +72,24 @@ def release(spark: SparkSession, keep: DataFrame, before: list[str]) -> None:
             made.remove(path)
 
 
-#: Rows of one key below which it is never set apart.
-HOT_ROWS = 2_000
+#: Rows of one key below which it is never dealt out.
+HOT_ROWS = 1_000
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` joined with ``keyed``, which has each key once and its number of
-    rows as n (left out of the result). Keys with more than a quarter of an even
-    partition's rows, fewer than 4 a partition, are joined by broadcast, so that no
-    task gets them all; both tables are read twice and should be saved."""
-    least = max(HOT_ROWS, rows.count() // (4 * n_partitions(rows.sparkSession)))
-    hot, cold = keyed.where(F.col("n") > least).drop("n"), keyed.where(F.col("n") <= least).drop("n")
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(hot), keys).unionByName(rest.join(cold, keys))
+def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """``rows`` joined with ``keyed``, a saved table that has each key once and its
+    number of rows as n (left out of the result).
+
+    A key with more than a quarter of an even partition's rows is dealt into as
+    many pieces as it holds such quarters, by a hash of the columns ``spread``: at
+    most 4 keys and 8 pieces a partition, so the keys' table may be broadcast."""
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    piece = max(HOT_ROWS, total // (4 * n_partitions(rows.sparkSession)))
+    pieces = F.ceil(F.col("n") / piece).cast("int")
+    hot = F.broadcast(keyed.where(F.col("n") > piece).select(*keys, pieces.alias("hot_pieces")))
+    dealt = rows.join(hot, keys, "left").withColumn("hot_piece", F.coalesce(F.pmod(F.xxhash64(*spread), "hot_pieces"), F.lit(0)).cast("int")).drop("hot_pieces")
+    each = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > piece, pieces - 1).otherwise(0)))
+    return dealt.join(keyed.withColumn("hot_piece", each).drop("n"), [*keys, "hot_piece"]).drop("hot_piece")
 
 
 def n_partitions(spark: SparkSession) -> int:

@@ -18,15 +18,16 @@ that covers it also starts in a document with a smaller doc_id.
    head, its distance and its number. A document's consecutive edges on a path
    are then one span, however long.
 3. Branches. Where a k-mer has several contexts, the first documents spell out
-   the windows of that k-mer; the smallest doc_id for each window is found by one
-   more aggregate and join, and consecutive windows are one span again.
-4. Verification. A span names its place in an earlier document. The words there
-   and here are compared by a 128-bit cryptographic digest of both, taken from
-   the texts at these source coordinates; only spans that agree are removed.
-
-Aggregates are combined before the shuffle, and where a k-mer, edge, window or
-span makes up an uncommon share of all rows it is joined by broadcast (there are
-few such), so a passage that a third of all documents share is no single task.
+   the windows of that k-mer as 128-bit cryptographic digests of their words; the
+   smallest doc_id for each is found by one more aggregate and join, and
+   consecutive windows are one span again.
+4. Verification. A path's span names its place in an earlier document. The words
+   there and here are compared by a digest of both, taken from the texts at these
+   source coordinates; only spans that agree are removed.
+
+Aggregates are combined before the shuffle, and a k-mer, edge, window or span
+that makes up an uncommon share of all rows is dealt into pieces for its joins,
+so a passage that a third of all documents share is no single task.
 Null text has no words; rows with a null doc_id keep all words and remove none.
 Rows with equal doc_ids don't remove each other's words. Repeated rows get equal
 results; other columns pass through. No rows give no rows.
@@ -111,33 +112,32 @@ def anchor_rows(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
     return rows.mapInArrow(find, "anchor long, context long, doc_id long, tie long, place int, left int, right int, lo int, hi int")
 
 
-def branch_windows(texts: DataFrame, branches: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The windows of branching anchors, spelled out: anchor, window hash, where."""
-    names = ["anchor", "hash", "doc_id", "tie", "start"]
+def digest(words: list[bytes], start: int, end: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[start:end]), digest_size=16).digest()
+
 
-    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def read_back(texts: DataFrame, wanted: DataFrame, window: int = WINDOW) -> DataFrame:
+    """Digests of words at source coordinates. wanted: doc_id, tie, lo, hi, anchor
+    and n; without an anchor the one range lo..hi, else each window that starts
+    there. The result: anchor, doc_id, tie, start, end, n, digest."""
+    names = ["anchor", "doc_id", "tie", "start", "end", "n", "digest"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ties, lists = batch["doc_id"].to_numpy(), batch["tie"].to_numpy(), batch["paths"]
-            for first, data in H.slices(batch["text"]):
-                run = slice(first, first + len(data))
-                words, offsets = H.word_hashes(data)
-                sums = H.prefix(words, H.RUN_BASE)
-                paths = lists.slice(first, len(data))
-                per_text = np.diff(paths.offsets.to_numpy())
-                flat = paths.flatten()
-                anchor, lo, hi = (flat.field(i).to_numpy() for i in range(3))
-                of = np.repeat(np.arange(len(per_text)), per_text)
-                n = (hi - lo + 1).astype(np.int64)
-                path = np.repeat(np.arange(len(n)), n)
-                start = lo[path] + np.arange(len(path)) - np.repeat(np.cumsum(n) - n, n)
-                at = start + offsets[of[path]]
-                hashes = H.between(sums, at, at + window, H.RUN_BASE).view(np.int64)
-                columns = [anchor[path], hashes, ids[run][of[path]], ties[run][of[path]], start.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+            ids, ties = batch["doc_id"].to_pylist(), batch["tie"].to_pylist()
+            for at, data in H.slices(batch["text"]):
+                out = []
+                for i, text in enumerate(data, at):
+                    words = text.split()
+                    for anchor, lo, hi, n in (r.values() for r in batch["places"][i].as_py()):
+                        ranges = [(lo, hi)] if anchor is None else [(a, a + window) for a in range(lo, hi + 1)]
+                        out += [(anchor, ids[i], ties[i], a, b, n, digest(words, a, b)) for a, b in ranges]
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=names)
 
-    listed = branches.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("anchor", "lo", "hi")).alias("paths"))
+    listed = wanted.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("anchor", "lo", "hi", "n")).alias("places"))
     met = texts.select("doc_id", "tie", "text").join(listed, ["doc_id", "tie"])
-    return met.mapInArrow(spell, "anchor long, hash long, doc_id long, tie long, start int")
+    return met.mapInArrow(read, "anchor long, doc_id long, tie long, start int, end int, n long, digest binary")
 
 
 EDGE = ["anchor", "context"]
@@ -174,56 +174,37 @@ def runs(rows: DataFrame, along: list[str], number: str) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, texts: DataFrame, window: int = WINDOW, k: int = K) -> DataFrame:
-    """(doc_id, tie, from, to, first_id, first_tie, first_from, first_to): word
-    places that an earlier document seems to have, and where; spans may overlap."""
-    occurrences = saved(anchor_rows(docs, window, k))
-    least, most = F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
-    kmers = occurrences.groupBy("anchor").agg(least, most, F.min("context").alias("c0"), F.max("context").alias("c1"), F.count(F.lit(1)).alias("n")).where("least < most")
+    """(doc_id, tie, from, to, digest): word places that an earlier document has
+    if their words have that digest (null: compared already); spans may overlap."""
+    own, most, n = ["doc_id", "tie"], F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")
+    occurrences = anchor_rows(docs, window, k)
+    kmers = occurrences.groupBy("anchor").agg(F.min("doc_id").alias("least"), most, F.min("context").alias("c0"), F.max("context").alias("c1"), n).where("least < most")
     repeated = saved(kmers.select("anchor", "n", (F.col("c0") != F.col("c1")).alias("branches")))
-    rows = saved(join_hot(occurrences, repeated, ["anchor"]))
-    edges = saved(rows.groupBy(*EDGE).agg(F.min(F.struct("doc_id", "tie", "place")).alias("first"), most, F.count(F.lit(1)).alias("n")))
-    placed = saved(join_hot(rows, edges, EDGE).withColumn("shared", F.col("first.doc_id") < F.col("most")))
+    rows = saved(join_hot(occurrences, repeated, ["anchor"], own))
+    edges = saved(rows.groupBy(*EDGE).agg(F.min(F.struct("doc_id", "tie", "place")).alias("first"), most, n))
+    placed = saved(join_hot(rows, edges, EDGE, own).withColumn("shared", F.col("first.doc_id") < F.col("most")).drop("most"))
 
-    shared = placed.where("shared").select(*EDGE, "doc_id", "tie", "place", "left", "right", "first")
+    shared = placed.where("shared").select(*EDGE, *own, "place", "left", "right", "first")
     paths = saved(edges.where("first.doc_id < most").select(*EDGE, "n").join(compacted(shared), EDGE, "left").select(*EDGE, "n", F.coalesce("head", F.struct(*EDGE)).alias("head"), F.coalesce("offset", F.lit(0)).alias("offset"), F.coalesce("number", F.lit(0)).alias("number")))
     first = [F.col("first.doc_id").alias("first_id"), F.col("first.tie").alias("first_tie")]
-    on_paths = join_hot(shared.where("first.doc_id < doc_id"), paths, EDGE).select(
-        "doc_id", "tie", *first, (F.col("first.place") - F.col("place")).alias("shift"), F.col("left").alias("from"), F.col("right").alias("to"), "head", (F.col("place") - F.col("offset")).alias("begin"), "number"
+    on_paths = join_hot(shared.where("first.doc_id < doc_id"), paths, EDGE, own).select(
+        *own, *first, (F.col("first.place") - F.col("place")).alias("shift"), F.col("left").alias("from"), F.col("right").alias("to"), "head", (F.col("place") - F.col("offset")).alias("begin"), "number"
     )
-    compact = runs(on_paths, ["first_id", "first_tie", "shift", "head", "begin"], "number")
-
-    windows = saved(branch_windows(texts, placed.where("branches and first.doc_id = doc_id"), window))
-    firsts = saved(windows.groupBy("anchor", "hash").agg(F.min(F.struct("doc_id", "tie", "start")).alias("first"), most, F.count(F.lit(1)).alias("n")).where("first.doc_id < most").drop("most"))
-    spelled = join_hot(windows, firsts, ["anchor", "hash"]).where("first.doc_id < doc_id").select(
-        "doc_id", "tie", *first, (F.col("first.start") - F.col("start")).alias("shift"), F.col("start").alias("from"), (F.col("start") + window).alias("to")
+    compact = saved(runs(on_paths, ["first_id", "first_tie", "shift", "head", "begin"], "number"))
+
+    there = compact.groupBy("first_id", "first_tie", "first_from", "first_to").agg(n)
+    sources = there.select(F.col("first_id").alias("doc_id"), F.col("first_tie").alias("tie"), F.lit(None).cast("long").alias("anchor"), F.col("first_from").alias("lo"), F.col("first_to").alias("hi"), "n")
+    branches = placed.where("branches and first.doc_id = doc_id").select(*own, "anchor", "lo", "hi", F.lit(0).cast("long").alias("n"))
+    read = saved(read_back(texts, sources.union(branches), window))
+    digests = saved(read.where("anchor IS NULL").select(F.col("doc_id").alias("first_id"), F.col("tie").alias("first_tie"), F.col("start").alias("first_from"), F.col("end").alias("first_to"), "n", "digest").distinct())
+    verified = join_hot(compact, digests, ["first_id", "first_tie", "first_from", "first_to"], own).select(*own, "from", "to", "digest")
+
+    windows = read.where("anchor IS NOT NULL").drop("n")
+    firsts = saved(windows.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "tie", "start")).alias("first"), most, n).where("first.doc_id < most").drop("most"))
+    spelled = join_hot(windows, firsts, ["anchor", "digest"], own).where("first.doc_id < doc_id").select(
+        *own, *first, (F.col("first.start") - F.col("start")).alias("shift"), F.col("start").alias("from"), F.col("end").alias("to")
     )
-    return compact.union(runs(spelled, ["first_id", "first_tie", "shift"], "from"))
-
-
-def digest(words: list[bytes], start: int, end: int) -> bytes:
-    return hashlib.blake2b(b" ".join(words[start:end]), digest_size=16).digest()
-
-
-def with_digests(spans: DataFrame, texts: DataFrame) -> DataFrame:
-    """``spans`` with the digest of the words at their place in the earlier document."""
-    place = ["first_id", "first_tie", "first_from", "first_to"]
-    wanted = saved(spans.groupBy(*place).agg(F.count(F.lit(1)).alias("n")))
-    listed = wanted.groupBy("first_id", "first_tie").agg(F.collect_list(F.struct("first_from", "first_to", "n")).alias("ranges"))
-    met = texts.withColumnsRenamed({"doc_id": "first_id", "tie": "first_tie"}).select("first_id", "first_tie", "text").join(listed, ["first_id", "first_tie"])
-
-    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, ties = batch["first_id"].to_pylist(), batch["first_tie"].to_pylist()
-            for at, data in H.slices(batch["text"]):
-                out = []
-                for i, text in enumerate(data, at):
-                    words = text.split()
-                    out += [(ids[i], ties[i], a, b, n, digest(words, a, b)) for a, b, n in (r.values() for r in batch["ranges"][i].as_py())]
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=[*place, "n", "digest"])
-
-    taken = met.mapInArrow(take, "first_id long, first_tie long, first_from int, first_to int, n long, digest binary").dropDuplicates(place)  # repeated rows
-    return join_hot(spans, saved(taken), place)
+    return verified.union(runs(spelled, ["first_id", "first_tie", "shift"], "from").select(*own, "from", "to", F.lit(None).cast("binary").alias("digest")))
 
 
 def without_spans(text: bytes, spans: list | None) -> tuple[int, int, bytes]:
@@ -234,7 +215,7 @@ def without_spans(text: bytes, spans: list | None) -> tuple[int, int, bytes]:
     if spans:
         change = np.zeros(n + 1, np.int64)
         for a, b, want in (s.values() for s in spans):
-            if digest(words, a, b) == want:
+            if want is None or digest(words, a, b) == want:
                 change[a] += 1
                 change[b] -= 1
         words = [words[i] for i in np.flatnonzero(np.cumsum(change[:n]) == 0).tolist()]
@@ -248,7 +229,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, k: int = K) -> DataFra
     own = [c for c in docs.columns if c.lower() not in result]
     rest = [c for c in own if c.lower() != "text"]  # a text crosses the shuffle once
     held = in_small_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
-    spans = with_digests(saved(repeated_spans(docs, held, window, k)), held)
+    spans = repeated_spans(docs, held, window, k)
     listed = saved(spans.groupBy("doc_id", "tie").agg(F.collect_set(F.struct("from", "to", "digest")).alias("spans")))
     met = held.join(listed, ["doc_id", "tie"], "left").select("row", "text", "spans")
 
