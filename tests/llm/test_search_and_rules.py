@@ -16,7 +16,7 @@ def brute(rows, k=5, scale=256):
         if q % 50 == 0:
             best = []
             for d, vectors in ok.items():
-                scores = [sum(a * b for a, b in zip(ok[q][0], v)) for v in vectors if d != q and len(v) == len(ok[q][0])]
+                scores = [sum(a * b for a, b in zip(w, v)) for w in ok[q] for v in vectors if d != q and len(v) == len(w)]
                 if scores:
                     best.append((-max(scores), d))
             out += [(q, n + 1, d, -s) for n, (s, d) in enumerate(sorted(best)[:k])]
@@ -30,12 +30,25 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     rows += [(i, rows[7][1], 1) for i in range(300, 360)]  # ties
     rows += [(400, None, 1), (401, [1.0, None], 1), (402, [float("nan")] * 8, 1), (403, [float("inf")] * 8, 1), (None, rows[0][1], 1), (404, [], 1)]
     rows += [(450, [1.0, 2.0], 1), (451, [0.5, 2.0], 1), (9, rows[9][1], 1)]  # another length, a repeat
+    rows += [(100, rows[3][1], 1), (100, [-x for x in rows[4][1]], 1)]  # a query of three vectors
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumns({"cell": F.lit(1), "v": F.lit("x")})
     got = voronoi_knn.top_k(vectors, F.col("vec_id") % 50 == 0, n_pivots=12).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows)
     assert voronoi_knn.top_k(vectors.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_bounds_rule_out_other_clusters(spark, monkeypatch):
+    monkeypatch.setattr(voronoi_knn, "BLOCK_LEAST", 16)
+    r = np.random.default_rng(3)
+    centres = 4 * np.eye(8)
+    rows = [(i, [float(x) for x in (centres[i % 8] + r.normal(scale=0.03, size=8)).astype(np.float32)], 1) for i in range(1600)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    found = voronoi_knn.copies(vectors, F.col("vec_id") % 50 == 0).collect()
+    assert len(found) == 32 and all(r["copies"] <= r["blocks"] // 6 for r in found)  # its own cluster of eight
+    got = voronoi_knn.top_k(vectors, F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got) == brute(rows)
+
+
 def test_products_stay_exact_beyond_doubles():
     a = np.array([[1 << 29, 3]], np.int64)
     b = np.array([[(1 << 29) + 1, 7], [1, 1]], np.int64)
