@@ -15,9 +15,11 @@ document's component under links.
    only is dropped.
 3. Blocks. A column's classes meet in the block of its hub, the least of their
    signatures. Columns of one family of near copies have few hubs, so a class
-   is sent to few blocks. A block with more than TILE classes is dealt into
-   tiles and its product into pairs of tiles, each a task's small piece: nothing
-   is capped and no block has to fit a task.
+   is sent to few blocks. A block with more than TILE classes is cut by size into
+   bands so wide that only classes of one band or of two next to each other can
+   link, a band is dealt into tiles, and the product into pairs of tiles, each a
+   task's small piece: nothing is capped and no block has to fit a task. Tiles of
+   bands further apart never meet.
 4. Size-derived bounds first. A class carries its size and a parity bitmap of
    its set, two bits or more for each shingle; two bitmaps differ in no more bits
    than the sets in shingles. Where size or that bound excludes every partner in
@@ -35,14 +37,15 @@ a component; repeated rows are allowed. No rows give no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from worktide.llm import _hashing as H
-from worktide.llm._common import in_small_batches, n_partitions, saved
+from worktide.llm._common import in_small_batches, join_hot, n_partitions, saved
 from worktide.llm.components import components
 
 N, PERCENT = 5, 80
@@ -270,15 +273,26 @@ def block_links(blocks: DataFrame, percent: int) -> DataFrame:
     return blocks.mapInArrow(product, "a long, b long")
 
 
-def in_tiles(member: DataFrame, values: DataFrame) -> DataFrame:
+def in_tiles(member: DataFrame, values: DataFrame, percent: int) -> DataFrame:
     """Members with their class's values, once for each pair of tiles of their
-    block, a block's rows together in one partition and sorted."""
-    tiles = member.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    tile = F.pmod(F.xxhash64("s1"), F.col("tiles")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    dealt = member.join(tiles, "hub").withColumn("tile", tile).withColumn("other", other).select("hub", "s1", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
-    width = n_partitions(member.sparkSession)
-    return dealt.join(values, "s1").repartition(width, "hub", "ti", "tj").sortWithinPartitions("hub", "ti", "tj")
+    block that may hold links, a block's rows together in one partition and sorted.
+    member: hub, s1, n_shingles, saved."""
+    hubs = saved(member.groupBy("hub").agg(F.count(F.lit(1)).alias("n")).withColumn("wide", F.col("n") > TILE))
+    width = math.log(100 / percent) * (1 + 1e-9)  # sizes that may link are at most one band apart
+    banded = saved(join_hot(member, hubs, ["hub"], ["s1"]).select("hub", "s1", F.when(F.col("wide"), F.floor(F.log("n_shingles") / width)).otherwise(0).cast("int").alias("band")))
+    bands = banded.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("n")).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int"))
+    along = W.partitionBy("hub").orderBy("band")  # as many bands as sizes have orders
+    beside = lambda f, step: F.coalesce(F.when(f("band").over(along) == F.col("band") + step, f("tiles").over(along)), F.lit(0))
+    bands = saved(bands.withColumns({"below": beside(F.lag, -1), "above": beside(F.lead, 1)}))
+    met = join_hot(banded, bands, ["hub", "band"], ["s1"]).withColumn("tile", F.pmod(F.xxhash64("s1"), "tiles").cast("int"))
+    place = lambda band, tile: F.shiftleft(band.cast("long"), 32) + tile
+    own, every = place(F.col("band"), F.col("tile")), lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0), F.col(n) - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda a, b: F.struct(F.least(a, b).alias("ti"), F.greatest(a, b).alias("tj"))
+    with_tiles = lambda n, step: F.transform(every(n), lambda t: pair(own, place(F.col("band") + step, t)))
+    pairs = F.concat(with_tiles("tiles", 0), with_tiles("below", -1), with_tiles("above", 1))
+    dealt = met.select("hub", "s1", F.explode(pairs).alias("pair")).select("hub", "s1", "pair.ti", "pair.tj")
+    n = n_partitions(member.sparkSession)
+    return dealt.join(values, "s1").repartition(n, "hub", "ti", "tj").sortWithinPartitions("hub", "ti", "tj")
 
 
 def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
@@ -289,14 +303,15 @@ def near_duplicates(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     classes = saved(
         own.where(known).groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "tie")).alias("rep"), F.first("bits").alias("bits")).select("s1", "s2", "n_shingles", "rep.doc_id", "rep.tie", "bits")
     )
-    incidence = columns(docs, frequent_shingles(docs, n), n, percent)
-    hubs = incidence.groupBy("shingle").agg(F.min("s1").alias("hub"), F.max("s1").alias("last")).where("hub < last").drop("last")
-    member = saved(incidence.join(hubs, "shingle").select("hub", "s1").distinct())
-    left = saved(bounded_members(in_tiles(member, classes.select("s1", "n_shingles", "bits")), percent).distinct())
+    incidence = saved(columns(docs, frequent_shingles(docs, n), n, percent))
+    hubs = saved(incidence.groupBy("shingle").agg(F.min("s1").alias("hub"), F.max("s1").alias("last"), F.count(F.lit(1)).alias("n")).where("hub < last").drop("last"))
+    sized = classes.groupBy("s1").agg(F.max("n_shingles").alias("n_shingles"))
+    member = saved(join_hot(incidence, hubs, ["shingle"], ["s1"]).select("hub", "s1").distinct().join(sized, "s1"))
+    left = saved(bounded_members(in_tiles(member, classes.select("s1", "n_shingles", "bits"), percent), percent).distinct().join(sized, "s1"))
 
     needed = left.select("s1").distinct().join(classes.select("s1", "doc_id", "tie"), "s1")
     sets = saved(sets_of(docs.join(needed, ["doc_id", "tie"]).dropDuplicates(["doc_id", "tie", "s1"]), n))
-    links = block_links(in_tiles(left, sets), percent)
+    links = block_links(in_tiles(left, sets, percent), percent)
     shared = own.where(known).join(classes.select("s1", "s2", "n_shingles", F.col("doc_id").alias("rep")), ["s1", "s2", "n_shingles"])
     twice = shared.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")  # one id, several texts
     roots = components(links.union(twice), "a", "b")
