@@ -82,12 +82,15 @@ def join_hot(rows: DataFrame, keyed: DataFrame, keys: list[str], spread: list[st
 
     A key with more than a quarter of an even partition's rows is dealt into as
     many pieces as it holds such quarters, by a hash of the columns ``spread``: at
-    most 4 keys and 8 pieces a partition, so the keys' table may be broadcast."""
+    most 4 keys and 8 pieces a partition, so the keys' table may be broadcast. One
+    key of a single piece is always in it: the plan is the same at every size."""
     total = keyed.agg(F.sum("n")).first()[0] or 0
     piece = max(HOT_ROWS, total // (4 * n_partitions(rows.sparkSession)))
     pieces = F.ceil(F.col("n") / piece).cast("int")
-    hot = F.broadcast(keyed.where(F.col("n") > piece).select(*keys, pieces.alias("hot_pieces")))
-    dealt = rows.join(hot, keys, "left").withColumn("hot_piece", F.coalesce(F.pmod(F.xxhash64(*spread), "hot_pieces"), F.lit(0)).cast("int")).drop("hot_pieces")
+    found = keyed.where(F.col("n") > piece).select(*keys, pieces.alias("hot_pieces"))
+    one = rows.sparkSession.range(1).select(*(F.lit("0").cast(found.schema[k].dataType).alias(k) for k in keys), F.lit(1).alias("hot_pieces"))
+    hot = found.union(one).groupBy(*keys).agg(F.max("hot_pieces").alias("hot_pieces"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("hot_piece", F.coalesce(F.pmod(F.xxhash64(*spread), "hot_pieces"), F.lit(0)).cast("int")).drop("hot_pieces")
     each = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > piece, pieces - 1).otherwise(0)))
     return dealt.join(keyed.withColumn("hot_piece", each).drop("n"), [*keys, "hot_piece"]).drop("hot_piece")
 
