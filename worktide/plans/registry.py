@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from worktide.plans.oracles import ORACLE_SQL
-from worktide.plans.queries import QUERIES
+from worktide.plans import days, oracles, queries
 
+QUERIES = queries.QUERIES | days.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | days.ORACLE_SQL
 FLAGSHIP = "monthly_load"
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
