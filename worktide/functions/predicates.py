@@ -58,6 +58,78 @@ def meeting_skip(subject: Column, response: Column, busy: Column, tentative: str
     )
 
 
+def is_view_only(folder: Column, modified: Column, target: Column, paths: list[str]) -> Column:
+    """A document that was looked at: under a temporary path, or last changed more than
+    two minutes before it was opened."""
+    low = F.lower(F.replace(F.coalesce(folder, F.lit("")), F.lit("\\"), F.lit("/")))
+    under = F.lit(False)
+    for path in paths:
+        under = under | F.contains(low, F.lit(path.lower().replace("\\", "/")))
+    return under | F.coalesce(F.timestamp_diff("SECOND", target, modified) > 120, F.lit(False))
+
+
+def is_ide(process: Column, title: Column, hints: list[str], endings: list[str]) -> Column:
+    """A window of a programming tool: a hint in its name or title, or a file of code."""
+    both = F.lower(F.concat_ws(" ", F.coalesce(process, F.lit("")), F.coalesce(title, F.lit(""))))
+    out = F.lit(False)
+    for h in hints:
+        out = out | F.contains(both, F.lit(h))
+    for e in endings:
+        out = out | F.contains(both, F.lit(e + " ")) | F.endswith(both, F.lit(e))
+    return out
+
+
+def is_noise(process: Column, prefixes: list[str]) -> Column:
+    """No program that a person uses: nameless, or a service by its beginning."""
+    name = F.regexp_replace(F.lower(F.trim(F.coalesce(process, F.lit("")))), r"\.exe$", "")
+    out = name == ""
+    for p in prefixes:
+        out = out | F.startswith(name, F.lit(p))
+    return out
+
+
+def is_notice(sender: Column, words: list[str], generic: list[str]) -> Column:
+    """A sender of notices, by the parts of the shown name: a generic word must be a
+    whole part, a word of several parts may stand anywhere, others begin a part."""
+    low = F.lower(F.trim(F.coalesce(sender, F.lit(""))))
+    cut = r"[\s/|,;()\[\]<>\"'@._-]+"
+    parts = F.filter(F.split(low, cut), lambda x: x != "")
+    out = F.lit(False)
+    for w in words:
+        if re.search(cut, w):
+            out = out | F.contains(low, F.lit(w))
+        elif w in generic:
+            out = out | F.array_contains(parts, w)
+        else:
+            out = out | _begins(parts, w)
+    return out
+
+
+def _begins(parts: Column, word: str) -> Column:
+    return F.exists(parts, lambda x: F.startswith(x, F.lit(word)))
+
+
+def snap(value: Column, names: list[str]) -> Column:
+    """The category whose key equals a value's, else the only one that shares its first
+    three letters with it, else empty: no guess between several."""
+    key, keys = T.identity_key(value), {re.sub(r"[\s_\-./·,]+", "", n.lower()): n for n in names}
+    exact = F.coalesce(*(F.when(key == k, F.lit(n)) for k, n in keys.items()), F.lit(None).cast("string"))
+    close = F.filter(F.array(*(F.when(F.startswith(F.lit(k), F.substring(key, 1, 3)) | F.startswith(key, F.lit(k[:3])), F.lit(n)) for k, n in keys.items())), lambda x: x.isNotNull())
+    only = F.when((key != "") & (F.size(F.array_distinct(close)) == 1), F.element_at(F.array_distinct(close), 1))
+    return F.coalesce(exact, only, F.lit(""))
+
+
+def match_score(text: Column, name: str, keywords: list[str], described: list[str]) -> Column:
+    """1 for a project's name or a keyword of it, 0.67 for two words of its
+    description, else 0."""
+    low, words = F.lower(F.coalesce(text, F.lit(""))), T.tokens(text)
+    named = token_hit(words, name) | (F.contains(low, F.lit(name.lower())) if len(name) >= 5 else F.lit(False))
+    for k in keywords:
+        named = named | (token_hit(words, k) if len(k) >= 2 else F.lit(False))
+    common = F.size(F.array_intersect(words, F.array(*map(F.lit, described)))) if described else F.lit(0)
+    return F.when(low == "", 0.0).when(named, 1.0).when(common >= 2, 0.67).otherwise(0.0)
+
+
 def is_block(busy: Column, minutes: Column, offsite: Column) -> Column:
     """A calendar block that is not a meeting: free, or long without a status."""
     return (busy == 0) | (busy.isNull() & (minutes > 300) & ~offsite)
@@ -101,6 +173,19 @@ def token_hit(words: Column, keyword: str) -> Column:
     from four letters on, or nearly equal from five on (at most one edit in ten)."""
     out = F.lit(True)
     for part in keyword.lower().split():
-        near = lambda w, p=part: (w == p) | (F.lit(len(p) >= 4) & (F.startswith(w, F.lit(p)) | F.endswith(w, F.lit(p)))) | (F.lit(len(p) >= 5) & (F.levenshtein(w, F.lit(p)) * 10 <= F.greatest(F.length(w), F.lit(len(p)))))
-        out = out & F.exists(words, near)
+        out = out & _near(words, part)
     return out
+
+
+def _near(words: Column, part: str) -> Column:
+    n, part = len(part), F.lit(part)
+
+    def fits(w: Column) -> Column:
+        out = w == part
+        if n >= 4:
+            out = out | F.startswith(w, part) | F.endswith(w, part)
+        if n >= 5:
+            out = out | (F.levenshtein(w, part) * 10 <= F.greatest(F.length(w), F.lit(n)))
+        return out
+
+    return F.exists(words, fits)

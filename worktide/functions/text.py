@@ -9,10 +9,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
-# Version tails and reply prefixes.
+# Reply prefixes, file endings that carry a version, compound endings.
 REPLY = r"(?i)^\s*(?:(?:re|fw|fwd|aw|wg)\s*:\s*)+"
-VERSION_TAIL = r"(?i)[ _-]*(?:v|ver|rev|r)?[ _-]?\d{1,4}(?:[._-]\d{1,4})*$"
-COMPOUND = ("cas.h5", "dat.h5", "tar.gz", "tar.bz2")
+VERSIONED = r"\.(prt|asm|drw|frm|sec|lay|mfg|gph|neu)\.\d{1,4}$"
+COMPOUND = ("cas.gz", "dat.gz", "cas.h5", "dat.h5", "msh.h5", "msh.gz", "tar.gz", "tar.bz2")
 
 
 def collapse(text: Column, most: int | None = None) -> Column:
@@ -71,15 +71,64 @@ def numbers(name: Column) -> Column:
 
 
 def base_name(name: Column) -> Column:
-    """Without extension and version tail."""
-    return F.trim(F.regexp_replace(F.regexp_replace(name, r"\.[A-Za-z0-9]{1,5}(?:\.\d+)?$", ""), VERSION_TAIL, ""))
+    """Lower case, without the extension and a version number behind it; a name that
+    is all extension stays."""
+    low = F.lower(F.trim(name))
+    bare, ext = F.regexp_replace(low, r"\.\d{1,4}$", ""), extension(name)
+    known = (ext != "") & F.endswith(bare, F.concat(F.lit("."), ext))
+    cut = F.when(known, F.substr(bare, F.lit(1), F.length(bare) - F.length(ext) - 1)).otherwise(F.regexp_replace(bare, r"(?<=[^.])\.[^.]*$", ""))
+    return F.coalesce(blank_to_null(cut), low)
 
 
 def extension(name: Column) -> Column:
-    """Lower-case extension; compound ones whole, a version number behind it dropped."""
-    low = F.lower(name)
-    plain = F.regexp_extract(low, r"\.([a-z][a-z0-9]{0,4})(?:\.\d+)?$", 1)
-    return F.coalesce(*(F.when(F.endswith(low, F.lit("." + c)), F.lit(c)) for c in COMPOUND), plain)
+    """Lower-case extension: compound ones whole, the ending in front of a version
+    number where files are numbered so, else what follows the last dot."""
+    low = F.lower(F.trim(name))
+    plain = F.regexp_extract(low, r"^\.*[^.]+.*\.([^.]+)$", 1)
+    return F.coalesce(blank_to_null(F.regexp_extract(low, VERSIONED, 1)), *(F.when(F.endswith(low, F.lit("." + c)), F.lit(c)) for c in COMPOUND), plain)
+
+
+def signal_name(text: Column) -> Column:
+    """The file's name in a signal's text: before hint and folder, lower case, without
+    the notes on size."""
+    head = F.substring_index(F.substring_index(F.coalesce(text, F.lit("")), " \u00a7 ", 1), " | folder:", 1)
+    return F.trim(F.regexp_replace(F.lower(F.trim(head)), r"( and \d+ more| \((?:batch|output) \d+\))+$", ""))
+
+
+def person(name: Column) -> Column:
+    """A person's name or account to compare: no domain, mail host, note or separators."""
+    account = F.substring_index(F.substring_index(F.lower(F.trim(F.coalesce(name, F.lit("")))), "\\", -1), "@", 1)
+    return F.regexp_replace(F.regexp_replace(account, r"[(\[/|].*$", ""), r"[\s._\-]+", "")
+
+
+def loose(name: Column) -> Column:
+    """fold(), with brackets as separators too."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"[\s_\-./·,()\[\]{}]+", " "))
+
+
+def core(text: Column, most: int = 60) -> Column:
+    """What a subject is about: reply prefixes and leading brackets off, up to four
+    times, one space between words."""
+    out = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    for _ in range(4):
+        out = F.regexp_replace(F.regexp_replace(out, r"^\s*(re|fw|fwd|aw|wg)\s*[:)\]]\s*", ""), r"^\s*[\[(][^\])]{0,24}[\])]\s*", "")
+    return F.substring(F.regexp_replace(out, r"\s+", " "), 1, most)
+
+
+def detail_words(name: Column, stop: tuple[str, ...] = ("work", "task", "misc", "support", "and", "for")) -> Column:
+    """The distinct words of a detail's name that tell it from others."""
+    words = F.split(F.lower(F.coalesce(name, F.lit(""))), r"[\s_\-·/()\[\],]+")
+    return F.array_sort(F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*stop))))
+
+
+def count_or(value: Column, items: Column, default: int = 0) -> Column:
+    """A count written as a number, or as the list that it counts."""
+    return F.coalesce(F.when(items.isNotNull(), F.size(items)), value.try_cast("double").cast("int"), F.lit(default))
+
+
+def row_signature(*parts: Column) -> Column:
+    """One hash of a row's parts; null is not the empty text."""
+    return F.xxhash64(*(F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("-")) for p in parts))
 
 
 def folder_label(path: Column, generic: tuple[str, ...] = ("documents", "desktop", "downloads", "data", "tmp", "temp")) -> Column:

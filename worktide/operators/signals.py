@@ -58,6 +58,55 @@ def ledger(rows: DataFrame, reason: str = "reason") -> DataFrame:
     return rows.where(F.col(reason).isNotNull()).groupBy(reason).agg(F.count(F.lit(1)).alias("n"))
 
 
+def ingest(rows: DataFrame, key: list[str], first: str, last: str, private: Column, non_work: Column, order: str) -> tuple[DataFrame, DataFrame]:
+    """One funnel for all sources: the signals that count, and the ledger of the rest.
+
+    rows: at, source, text, weight, the columns of ``key`` and a unique ``order``. Of
+    equal keys (several machines, histories) the heaviest row counts, of equals the
+    first; then it must have a text, lie in the period, be not private and, but for
+    files, not be about leave or the like. private and non_work name what was hit, or
+    are null. The aggregate combines before the shuffle.
+    """
+    whole = rows.withColumns({"_no": F.coalesce(F.length(F.trim("text")) == 0, F.lit(True)) | F.col("at").isNull(), "_private": private, "_other": F.when(F.col("source") != "file", non_work)})
+    rest = [c for c in whole.columns if c not in key]
+    best = whole.where("not _no").groupBy(*key).agg(F.min_by(F.struct(*rest), F.struct((-F.col("weight")).alias("w"), F.col(order).alias("o"))).alias("best"), F.count(F.lit(1)).alias("_n"))
+    one = best.select(*key, *(F.col("best").getField(c).alias(c) for c in rest), "_n")
+    inside = F.to_date("at").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    reason = first_reason(("period", ~inside), ("private", F.col("_private").isNotNull()), ("non-work", F.col("_other").isNotNull()))
+    judged = one.withColumn("reason", reason)
+    word = F.when(F.col("reason") == "private", F.col("_private")).when(F.col("reason") == "non-work", F.col("_other"))
+    counts = judged.select("reason", word.alias("word"), F.lit(1).alias("n")).where("reason IS NOT NULL")
+    counts = counts.union(judged.select(F.lit("duplicate").alias("reason"), F.lit(None).cast("string").alias("word"), (F.col("_n") - 1).cast("int").alias("n")).where("n > 0"))
+    counts = counts.union(whole.where("_no").select(F.lit("empty"), F.lit(None).cast("string"), F.lit(1)))
+    left = counts.groupBy("reason", "word").agg(F.sum("n").alias("n"))
+    return judged.where("reason IS NULL").drop("reason", "_n", "_no", "_private", "_other"), left
+
+
+def notices(mail: DataFrame, sender: str, notice: Column, replied: DataFrame) -> DataFrame:
+    """Mail with whether it is a notice; a sender we have exchanged mail with is never one."""
+    known = replied.select(sender).distinct().withColumn("_replied", F.lit(True))
+    return mail.join(known, sender, "left").withColumn("notice", notice & F.col("_replied").isNull()).drop("_replied")
+
+
+def simulation_outputs(files: DataFrame, keys: list[str], outputs: list[str]) -> DataFrame:
+    """The groups of files that a solver wrote: nine in ten have an output's ending, and
+    there are two endings at most or half of the files share their base name. files:
+    keys, ext, base."""
+    bases = files.groupBy(*keys, "base").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ext").isin(*outputs)).alias("out"))
+    shared = F.sum(F.when(F.col("n") >= 2, F.col("n")).otherwise(0)).alias("shared")
+    groups = bases.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("out").alias("out"), shared)
+    kinds = files.groupBy(*keys).agg(F.count_distinct("ext").alias("kinds"))
+    few = (F.col("kinds") <= 2) | (F.col("shared") * 2 >= F.col("n"))
+    return groups.join(kinds, keys).where((F.col("out") * 10 >= F.col("n") * 9) & few).select(*keys, "n", "kinds")
+
+
+def non_projects(names: DataFrame, name: str, overrides: DataFrame, rule: Column) -> DataFrame:
+    """Names with whether they are no project: a decision once made (name,
+    is_project) wins over the rule."""
+    known = overrides.groupBy(F.col("name").alias(name)).agg(F.max("is_project").alias("_is"))
+    return names.join(known, name, "left").withColumn("nonproject", F.coalesce(~F.col("_is"), rule)).drop("_is")
+
+
 def one_way_senders(mail: DataFrame, conversation: str, sender: str, sent: Column, least: int = 5) -> DataFrame:
     """Senders of at least ``least`` messages in conversations that never got one
     from us: a semi join gives the replied senders, an anti join drops them."""

@@ -224,7 +224,7 @@ d AS (SELECT x.p_name AS a, y.p_name AS b, round(2.0 * len(list_intersect(x.g, y
 d AS (SELECT x.p_name AS a, y.p_name AS b, round(len(list_intersect(x.t, y.t)) / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))), 4)::DOUBLE AS jaccard FROM g x JOIN g y ON x.p_name < y.p_name AND len(list_intersect(x.g, y.g)) > 0) SELECT a, b, jaccard FROM d WHERE jaccard > 0""",
     "note_number_veto": f"SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'even' ELSE '' END AS note, CAST(p_size AS VARCHAR) AS numbers, {_KEY.format("(p_name || ' ' || p_size)")} AS key FROM part",
     "text_scalars": r"""WITH n AS (SELECT p_partkey, p_size, replace(p_name, ' ', '_') AS stem, (['.prt.3', '.cas.h5', '.DOCX'])[p_size % 3 + 1] AS tail FROM part)
-SELECT p_partkey, CASE p_size % 3 WHEN 1 THEN stem || '_v' || p_size || '.cas' ELSE stem END AS base, (['prt', 'cas.h5', 'docx'])[p_size % 3 + 1] AS ext,
+SELECT p_partkey, lower(stem) || '_v' || p_size AS base, (['prt', 'cas.h5', 'docx'])[p_size % 3 + 1] AS ext,
   CAST(CASE WHEN p_size * 7 % 75 < 60 AND (p_size < 24 OR (p_size = 24 AND p_size * 7 % 75 = 0)) THEN p_size * 60 + p_size * 7 % 75 END AS INTEGER) AS minutes, substr(stem || '_v' || p_size || tail, 1, 40) AS safe FROM n""",
     "json_island": "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1",
     "page_text": r"""WITH s AS (SELECT page_id, html, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b.*?</script>', ' ', 'g'), '(?is)<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS x FROM pages)

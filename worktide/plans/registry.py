@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from worktide.plans import days, oracles, queries
+from worktide.plans import days, oracles, queries, rollups
 
-QUERIES = queries.QUERIES | days.QUERIES
-ORACLE_SQL = oracles.ORACLE_SQL | days.ORACLE_SQL
+QUERIES = queries.QUERIES | days.QUERIES | rollups.QUERIES
+ORACLE_SQL = oracles.ORACLE_SQL | days.ORACLE_SQL | rollups.ORACLE_SQL
 FLAGSHIP = "monthly_load"
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
