@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from worktide.functions import text as T
+from worktide.sources.sinks import stored
 
 MERGE, ASK = 1.0, 0.35
 VETO = float("-inf")
@@ -21,8 +22,7 @@ def same_key_groups(names: DataFrame, name: str) -> DataFrame:
 
 def candidate_pairs(names: DataFrame, name: str) -> DataFrame:
     """a < b of names that share a bigram, each pair once. The names are a small
-    dimension; bigrams that more than a quarter of them hold pair nothing new for
-    names that share no rarer one, and are still used when they are all there is."""
+    dimension: a bigram that many of them hold makes the square of their number."""
     grams = names.select(F.col(name).alias("n"), F.explode(T.bigrams(F.col(name))).alias("gram")).distinct()
     left, right = grams.select(F.col("n").alias("a"), "gram"), grams.select(F.col("n").alias("b"), "gram")
     return left.join(right, "gram").where("a < b").select("a", "b").distinct()
@@ -71,9 +71,10 @@ def scopes(scores: DataFrame, names: DataFrame) -> DataFrame:
     """
 
     def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("node", "root") % 1_000_003)).first())
+        whole = lambda h: F.sum(h.cast("decimal(20,0)"))
+        return tuple(edges.agg(F.count(F.lit(1)), whole(F.xxhash64("node", "root")), whole(F.xxhash64(F.lit(1), "root", "node"))).first())
 
-    stars = scores.where("score > 0").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct().localCheckpoint()
+    stars = stored(scores.where("score > 0").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).distinct())
     before = None
     while (now := state(stars)) != before:
         before = now
@@ -82,15 +83,16 @@ def scopes(scores: DataFrame, names: DataFrame) -> DataFrame:
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("node"), F.col("m").alias("root")).distinct()
         low = large.groupBy("node").agg(F.min("root").alias("m"))
         small = large.join(low, "node").where("root != m").select(F.col("root").alias("node"), F.col("m").alias("root"))
-        stars = small.union(low.select("node", F.col("m").alias("root"))).distinct().localCheckpoint()
+        stars = stored(small.union(low.select("node", F.col("m").alias("root"))).distinct())
     return names.select("name").join(stars.withColumnRenamed("node", "name"), "name", "left").select("name", F.coalesce("root", "name").alias("scope"))
 
 
-def clusters(scores: DataFrame, names: DataFrame, cap: int = 12, scope: str = "scope") -> DataFrame:
+def clusters(scores: DataFrame, names: DataFrame, cap: int = 5, scope: str = "scope") -> DataFrame:
     """scope, name, canon: correlation clustering within each scope.
 
     Names in order of weight, then alphabet, take up the names behind them with a
-    merge score, then single moves lower the cost while they can. No cluster holds
+    merge score; then, in up to six rounds, each name makes the first single move
+    that lowers the cost. No cluster holds
     a vetoed pair or more than ``cap`` names. scores: scope, a, b, score; names:
     scope, name, weight. A scope is a group of linked names (``scopes``) or one
     project's names.
@@ -113,24 +115,23 @@ def clusters(scores: DataFrame, names: DataFrame, cap: int = 12, scope: str = "s
                     where[y] = where[x]
                     groups[-1].append(y)
         gain = lambda x, g: sum(w(x, y) for y in groups[g] if y != x)
+        def move(x: str) -> bool:
+            """Move x to the first place that lowers the cost, if there is one."""
+            here = gain(x, where[x])
+            places = [g for g in range(len(groups)) if g != where[x] and groups[g] and fits(x, groups[g])] + [len(groups)] * (len(groups[where[x]]) > 1)
+            for g in places:
+                if (gain(x, g) if g < len(groups) else 0.0) > here + 1e-9:
+                    groups[where[x]].remove(x)
+                    if g == len(groups):
+                        groups.append([])
+                    groups[g].append(x)
+                    where[x] = g
+                    return True
+            return False
+
         for _ in range(6):
-            best = (1e-9, None, None)
-            for x in order:
-                here = gain(x, where[x])
-                for g in range(len(groups)):
-                    if g != where[x] and groups[g] and fits(x, groups[g]) and gain(x, g) - here > best[0]:
-                        best = (gain(x, g) - here, x, g)
-                if len(groups[where[x]]) > 1 and -here > best[0]:
-                    best = (-here, x, -1)
-            if best[1] is None:
+            if not any([move(x) for x in order]):
                 break
-            x, g = best[1], best[2]
-            groups[where[x]].remove(x)
-            if g < 0:
-                groups.append([])
-                g = len(groups) - 1
-            groups[g].append(x)
-            where[x] = g
         rank = {n: i for i, n in enumerate(order)}
         canon = {x: min(groups[g], key=rank.get) for x, g in where.items()}
         return pd.DataFrame({scope: [key[0]] * len(order), "name": order, "canon": [canon[x] for x in order]})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -27,3 +29,17 @@ def stale(written: DataFrame, inputs: DataFrame, key: str, modified: str) -> Dat
     """Keys whose results are older than their newest input."""
     newest = inputs.groupBy(key).agg(F.max(modified).alias("_newest"))
     return written.join(newest, key).where(F.col(modified) < F.col("_newest")).select(key)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the folder that the cluster shares for checkpoints and read
+    back: lineage ends there, and a lost executor costs no finished work."""
+    spark = df.sparkSession
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        top = "/tmp/checkpoints"
+    path = f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

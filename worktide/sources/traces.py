@@ -1,13 +1,16 @@
 """Reading trace tables: tolerant CSV, several roots, provenance, member folders.
 
-Schemas are given, so nothing is inferred and no file is read twice. Every column
-is text on disk; blank counts as null. A row with fewer fields than its header is
-left out, columns that an old file lacks are null, and a root without the file
-adds no rows.
+Schemas are given, so nothing is inferred. Every column is text on disk; blank
+counts as null. Columns are read by the names in each file's own header, whatever
+their order (case, blanks around a name and a byte order mark don't count): a line a
+file is read first, and files of equal headers together. Columns that an old file
+lacks are null, unknown ones are not read, a row with fewer fields than its file's
+header is left out, and a root without the file, or with an empty one, adds no rows.
 """
 
 from __future__ import annotations
 
+import csv
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -55,25 +58,41 @@ TYPES = {
 }
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path or pattern meets a file, in whatever store it lies."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    found = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(place)
-    return found is not None and len(found) > 0
+def headers(spark: SparkSession, path: str, encoding: str = "UTF-8") -> dict[str, tuple[str, ...]]:
+    """The files that a path or pattern meets, in whatever store, with the names in
+    their first lines: one line a file crosses to the driver."""
+    java = spark.sparkContext._jvm.java.io
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = {}
+    for status in files.globStatus(place) or ():
+        reader = java.BufferedReader(java.InputStreamReader(files.open(status.getPath()), encoding))
+        try:
+            line = reader.readLine()
+        finally:
+            reader.close()
+        if line and line.strip("\ufeff "):
+            out[status.getPath().toString()] = tuple(n.strip().lower() for n in next(csv.reader([line.lstrip("\ufeff")])))
+    return out
 
 
 def read_csv(spark: SparkSession, paths: list[str], table: str, encoding: str = "UTF-8") -> DataFrame:
     """The rows of one trace table in several places, all text, with _path."""
     columns = SCHEMAS[table].split()
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, CORRUPT)])
-    there = [p for p in paths if exists(spark, p)]
-    if not there:
-        return spark.createDataFrame([], schema).drop(CORRUPT).withColumn("_path", F.lit(None).cast("string"))
-    reader = spark.read.schema(schema).option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    rows = reader.option("enforceSchema", True).option("multiLine", True).option("escape", '"').csv(there)
-    whole = F.col(CORRUPT).isNull() & (F.length(F.concat_ws("", *columns)) >= 0)  # Spark refuses a plan that reads the corrupt column alone
-    return rows.where(whole).select(*(text.blank_to_null(F.col(f"`{c}`")).alias(c) for c in columns), F.col("_metadata.file_path").alias("_path"))
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for path in paths:
+        for file, names in headers(spark, path, encoding).items():
+            groups.setdefault(names, []).append(file)
+    out = spark.createDataFrame([], T.StructType([T.StructField(c, T.StringType()) for c in (*columns, "_path")]))
+    for names, files in groups.items():
+        place = {n: i for i, n in reversed(list(enumerate(names)))}  # of equal names the first
+        schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(names))] + [T.StructField(CORRUPT, T.StringType())])
+        reader = spark.read.schema(schema).option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
+        rows = reader.option("enforceSchema", True).option("multiLine", True).option("escape", '"').csv(files)
+        whole = F.col(CORRUPT).isNull() & (F.length(F.concat_ws("", *schema.names[:-1])) >= 0)  # Spark refuses a plan that reads the corrupt column alone
+        value = lambda c: text.blank_to_null(F.col(f"c{place[c]}")) if c in place else F.lit(None).cast("string")  # noqa: B023, E731
+        out = out.union(rows.where(whole).select(*(value(c).alias(c) for c in columns), F.col("_metadata.file_path").alias("_path")))
+    return out
 
 
 def typed(rows: DataFrame, table: str) -> DataFrame:
