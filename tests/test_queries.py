@@ -8,6 +8,7 @@ import pytest
 from worktide.plans import registry
 
 SF = "/root/testdata/sf0.001"
+BRUTE = {"name_clusters": "tests/test_clusters.py"}
 
 
 @pytest.fixture(scope="module")
@@ -28,10 +29,9 @@ def rounded(rows, columns, order):
 def test_query_equals_its_sql(spark, db, name):
     got = registry.QUERIES[name](spark, SF)
     rows = [tuple(r) for r in got.collect()]
-    sql = registry.ORACLE_SQL.get(name)
-    if sql is None:
-        assert got.columns
+    if name in BRUTE:  # not SQL: tested against a brute-force version
         return
+    sql = registry.ORACLE_SQL[name]
     want = db.execute(sql)
     names = [d[0] for d in want.description]
     assert sorted(names) == sorted(got.columns)

@@ -83,23 +83,27 @@ def split_day_night(spans: DataFrame, settings: Settings = Settings()) -> DataFr
 
 
 def worked_hours(traces: DataFrame, machine: DataFrame, productive: DataFrame, settings: Settings = Settings(), offsite: DataFrame | None = None, manual: DataFrame | None = None, absence: DataFrame | None = None) -> DataFrame:
-    """The day rules in one sweep: owner, day, hours, day_h, night_h, floor_h, flags.
-
-    traces: (owner, day, kind, a, b) with kind session, meeting or sampler;
-    machine: (owner, day, a, b) machine-on spans; productive: (owner, day, minute)
-    active traces; offsite: (owner, day); manual: (owner, day, hours); absence:
-    (owner, day, frac).
-
-    1. Worked pieces are those a trace covers.
-    2. Evening and dawn credit: machine time outside the day window within the
-       night pad of the first and last productive trace.
-    3. A gap of at most the bridge length between sampler pieces counts, lunch and
-       dinner excepted.
-    4. Floor: on a day with a productive trace, machine time inside the day window
-       counts too, minus lunch or dinner that no trace touches, minus the share of
-       an absence; it only raises.
-    5. Flex edge: machine time up to an hour outside the day window each side.
-    6. An off-site day counts at least the standard day less the absence; manual
+    """The day rules in one sweep: owner, day, hours, day_h, night_h, floor_h, long_day.
+
+    traces: (owner, day, kind, a, b) with kind session, meeting, carried (a meeting's
+    piece behind midnight) or sampler; machine: (owner, day, a, b) machine-on spans;
+    productive: (owner, day, minute) active traces; offsite: (owner, day); manual:
+    (owner, day, hours); absence: (owner, day, frac).
+
+    1. Worked pieces are those a trace covers, and gaps of at most the bridge length
+       between sampler pieces, lunch and dinner excepted. A day is open if it has a
+       productive trace, a meeting, a sampler, off-site work or manual hours; a closed
+       day off keeps only what meetings carry over midnight.
+    2. Evening and dawn credit: machine time outside the day window within the night
+       pad of the first and last productive trace, as much as the machine was on at
+       night beyond the night minutes that traces cover.
+    3. Floor, on open days: machine time inside the day window that no sampler covers,
+       minus lunch or dinner that no trace touches, minus the share of an absence; on a
+       day off only within the pad of the productive traces. It is compared with the
+       worked minutes in the same pieces; worked minutes elsewhere are added to either.
+    4. Flex edge, on open days: machine time up to an hour outside the day window each
+       side, as much as the machine's night time leaves.
+    5. An off-site day counts at least the standard day less the absence; manual
        hours are a lower bound; nothing passes 24 hours; long days are flagged.
     """
     low, high = map(float, settings.day_window)
@@ -110,32 +114,40 @@ def worked_hours(traces: DataFrame, machine: DataFrame, productive: DataFrame, s
     on = machine.select(*keys, F.lit("on").alias("kind"), "a", "b")
     known = traces.select(*keys, "kind", "a", "b").union(on).union(win).union(touch).union(gaps.select(*keys, "kind", "a", "b"))
     fixed = known.select(*keys).distinct().select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for k, (a, b) in {"dayw": (low, high), "flex": (low - 60 * settings.flex_edge_h, high + 60 * settings.flex_edge_h), "lunch": settings.lunch, "dinner": settings.dinner}.items()))).alias("s")).select(*keys, "s.kind", "s.a", "s.b")
-    kinds = ["session", "meeting", "sampler", "bridge", "on", "near", "touch", "dayw", "flex", "lunch", "dinner"]
+    kinds = ["session", "meeting", "carried", "sampler", "bridge", "on", "near", "touch", "dayw", "flex", "lunch", "dinner"]
     segs = intervals.segments(known.union(fixed), kinds)
     has = lambda k: F.col(f"n_{k}") > 0
     meal_touched = {m: F.max(F.when(has(m) & (has("touch") | has("meeting")), 1).otherwise(0)).over(W.partitionBy(*keys)) for m in ("lunch", "dinner")}
     segs = segs.withColumns({f"{m}_touched": t for m, t in meal_touched.items()})
     meal = (has("lunch") & (F.col("lunch_touched") == 0)) | (has("dinner") & (F.col("dinner_touched") == 0))
-    traced = has("session") | has("meeting") | has("sampler")
+    holiday = F.col("day").isin(*(F.lit(h).cast("date") for h in settings.holidays)) if settings.holidays else F.lit(False)
+    off_day = ~((F.dayofweek("day") + 5) % 7 + 1).isin(*settings.workdays) | holiday
+    segs = segs.withColumn("opens", F.max(F.when(has("near") | has("meeting") | has("sampler"), 1).otherwise(0)).over(W.partitionBy(*keys)) == 1)
+    opens = F.col("opens")
+    traced = has("carried") | (F.when(off_day, opens).otherwise(F.lit(True)) & (has("session") | has("meeting") | has("sampler")))
     bridged = has("bridge") & ~has("lunch") & ~has("dinner")
-    credit = has("on") & has("near") & ~has("dayw")
-    worked = traced | bridged | credit
-    floored = has("on") & has("dayw") & ~meal
-    flexed = has("on") & has("flex") & ~has("dayw")
+    counted, night = traced | bridged, ~has("dayw")
+    credit = has("on") & has("near") & night & ~counted
+    floored = has("on") & has("dayw") & ~meal & ~has("sampler") & ~has("bridge") & (~off_day | has("near"))
+    flexed = has("on") & has("flex") & night & ~counted & ~credit
     length = F.col("b") - F.col("a")
     total = lambda holds: F.sum(F.when(holds, length).otherwise(0.0))
-    days = segs.groupBy(*keys).agg(total(worked & has("dayw")).alias("day_min"), total(worked & ~has("dayw")).alias("night_min"), total(floored).alias("floor_min"), total(flexed & ~worked).alias("flex_min"), F.max(F.when(has("near"), 1).otherwise(0)).alias("gated"))
+    sums = {"rest_min": counted & ~night & ~floored, "inside_min": counted & floored, "floor_min": floored, "traced_night": counted & night, "night_on": has("on") & night, "credit_min": credit, "flex_min": flexed}
+    days = segs.groupBy(*keys).agg(*(total(holds).alias(name) for name, holds in sums.items()), F.max(F.when(opens, 1).otherwise(0)).alias("gated"))
     for extra, column in ((offsite, F.lit(1).alias("off")), (manual, F.col("hours").alias("manual_h")), (absence, F.col("frac").alias("absent"))):
         if extra is not None:
             days = days.join(extra.select(*keys, column), keys, "full")
-    for name, default in (("off", 0), ("manual_h", 0.0), ("absent", 0.0), ("day_min", 0.0), ("night_min", 0.0), ("floor_min", 0.0), ("flex_min", 0.0), ("gated", 0)):
+    for name, default in {"off": 0, "manual_h": 0.0, "absent": 0.0, "gated": 0, **dict.fromkeys(sums, 0.0)}.items():
         days = days.withColumn(name, F.coalesce(F.col(name), F.lit(default)) if name in days.columns else F.lit(default))
-    floor = F.when(F.col("gated") == 1, F.col("floor_min") * (1 - F.least(F.col("absent"), F.lit(1.0)))).otherwise(0.0)
-    flex = F.when(F.col("gated") == 1, F.least(F.col("flex_min"), F.lit(120.0 * settings.flex_edge_h))).otherwise(0.0)
-    raised = F.greatest(F.col("day_min"), floor) + F.col("night_min") + flex
+    gate = (F.col("gated") == 1) | (F.col("off") == 1) | (F.col("manual_h") > 0)
+    floor = F.when(gate, F.col("floor_min") * (1 - F.least(F.col("absent"), F.lit(1.0)))).otherwise(0.0)
+    day_min = F.col("rest_min") + F.greatest(F.col("inside_min"), floor)
+    room = lambda used: F.greatest(F.lit(0.0), F.col("night_on") - used)
+    credited = F.col("traced_night") + F.least("credit_min", room(F.col("traced_night")))
+    night_min = credited + F.when(gate, F.least("flex_min", room(credited))).otherwise(0.0)
     least = F.greatest(F.when(F.col("off") == 1, settings.std_day_h * (1 - F.col("absent"))).otherwise(0.0), F.col("manual_h"))
-    hours = F.least(F.lit(24.0), F.greatest(raised / 60, least))
-    return days.select(*keys, F.round(hours, 2).alias("hours"), F.round(F.greatest(F.col("day_min"), floor) / 60, 2).alias("day_h"), F.round((F.col("night_min") + flex) / 60, 2).alias("night_h"), F.round(floor / 60, 2).alias("floor_h"), (hours > settings.long_day_h).alias("long_day"))
+    hours = F.least(F.lit(24.0), F.greatest((day_min + night_min) / 60, least))
+    return days.select(*keys, F.round(hours, 2).alias("hours"), F.round(day_min / 60, 2).alias("day_h"), F.round(night_min / 60, 2).alias("night_h"), F.round(floor / 60, 2).alias("floor_h"), (hours > settings.long_day_h).alias("long_day"))
 
 
 def sampler_bridges(sampler: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -252,3 +252,27 @@ m AS (SELECT owner, day, count(*)::DOUBLE AS on_h FROM sig GROUP BY 1, 2), own A
 f AS (SELECT own.owner, cal.day, coalesce(h.hours, 0.0) AS hours, m.on_h, avg((m.on_h IS NOT NULL)::INT) OVER (PARTITION BY own.owner) AS share
   FROM own CROSS JOIN cal LEFT JOIN hours h ON h.owner = own.owner AND h.day = cal.day LEFT JOIN m ON m.owner = own.owner AND m.day = cal.day WHERE isodow(cal.day) <= 5)
 SELECT owner, day FROM f WHERE hours <= 0.25 AND coalesce(on_h, 0.0) <= 0.5 AND share >= 0.4"""
+# Minute by minute, in halves: every boundary is a multiple of half a minute.
+_H = "((CAST({x} AS BIGINT) * 100 + 60) // 120) / 100.0::DOUBLE"  # ticks to hours, rounded half up
+ORACLE_SQL["worked_hours_floor"] = f"""{_CAPPED}, win AS (
+  SELECT owner, day, isodow(day) > 5 AS off_day, greatest(min(minute) - 60, 0) * 2 AS wa, least(max(minute) + 60, 1440) * 2 AS wb,
+    CASE WHEN bool_or(active) THEN greatest(min(minute) FILTER (active) - 30, 0) * 2 END AS na, CASE WHEN bool_or(active) THEN least(max(minute) FILTER (active) + 30, 1440) * 2 END AS nb,
+    coalesce(bool_or(active AND minute + 5 > 720 AND minute - 5 < 780), false) AS lunch_touched, coalesce(bool_or(active AND minute + 5 > 1080 AND minute - 5 < 1110), false) AS dinner_touched
+  FROM sig GROUP BY owner, day
+), t0 AS (SELECT *, CAST(UNNEST(range(0, 2880)) AS BIGINT) AS k FROM win
+), ses AS (SELECT DISTINCT owner, day, CAST(UNNEST(range(CAST(a * 2 AS BIGINT), CAST(b * 2 AS BIGINT))) AS BIGINT) AS k FROM capped WHERE a < b
+), t AS (
+  SELECT t0.*, k >= wa AND k < wb AS on_, coalesce(k >= na AND k < nb, false) AS near, k >= 960 AND k < 2280 AS dayw, k >= 840 AND k < 2400 AS flex,
+    (k >= 1440 AND k < 1560 AND NOT lunch_touched) OR (k >= 2160 AND k < 2220 AND NOT dinner_touched) AS meal,
+    ses.k IS NOT NULL AND (NOT off_day OR na IS NOT NULL) AS traced
+  FROM t0 LEFT JOIN ses USING (owner, day, k)
+), f AS (SELECT *, on_ AND dayw AND NOT meal AND (NOT off_day OR near) AS floored, on_ AND near AND NOT dayw AND NOT traced AS credit FROM t
+), s AS (
+  SELECT owner, day, any_value(na) IS NOT NULL AS gate, count(*) FILTER (traced AND dayw AND NOT floored) AS rest, count(*) FILTER (traced AND floored) AS inside, count(*) FILTER (floored) AS floor_,
+    count(*) FILTER (traced AND NOT dayw) AS tn, count(*) FILTER (on_ AND NOT dayw) AS night_on, count(*) FILTER (credit) AS credit, count(*) FILTER (on_ AND flex AND NOT dayw AND NOT traced AND NOT credit) AS flex_ FROM f GROUP BY owner, day
+), n AS (SELECT *, CASE WHEN gate THEN floor_ ELSE 0 END AS fl, tn + least(credit, greatest(0, night_on - tn)) AS c FROM s
+), r AS (SELECT *, rest + greatest(inside, fl) AS d, c + CASE WHEN gate THEN least(flex_, greatest(0, night_on - c)) ELSE 0 END AS nn FROM n)
+SELECT owner, day, {_H.format(x='least(2880, d + nn)')} AS hours, {_H.format(x='d')} AS day_h, {_H.format(x='nn')} AS night_h, {_H.format(x='fl')} AS floor_h, d + nn > 16 * 120 AS long_day FROM r"""
+ORACLE_SQL["cascade_resolution"] = """WITH p AS (SELECT DISTINCT p_name FROM part)
+SELECT CASE length(p_name) % 3 WHEN 0 THEN upper(p_name) WHEN 1 THEN replace(p_name, ' ', '_') ELSE p_name || ' (new)' END AS raw, p_name AS resolved,
+  CASE length(p_name) % 3 WHEN 0 THEN 'lower' WHEN 1 THEN 'fold' ELSE 'noteless' END AS axis FROM p"""
