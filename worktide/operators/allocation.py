@@ -46,8 +46,15 @@ def discover_projects(signals: DataFrame, key: str, words: Column, unassigned: s
 
 def match_projects(signals: DataFrame, text: str, needles: DataFrame, key: str, unassigned: str = "unassigned") -> DataFrame:
     """The first project (by priority) with a needle in the text. needles:
-    (project, needle, priority); broadcast by Spark only while it is small."""
-    hits = signals.select(key, F.lower(text).alias("_t")).join(needles, F.contains("_t", F.lower("needle")))
+    (project, needle, priority); empty needles fit nothing.
+
+    A needle's first letters, three at most, are looked up among the text's runs of as
+    many letters, an equal join; the whole needle is compared where they meet."""
+    low = signals.select(key, F.lower(text).alias("_t"))
+    runs = lambda n: F.when(F.length("_t") >= n, F.transform(F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i: F.substr("_t", i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = low.withColumn("_g", F.explode(F.array_distinct(F.concat(runs(1), runs(2), runs(3)))))
+    known = needles.select("project", "priority", F.lower("needle").alias("_n")).withColumn("_g", F.substring("_n", 1, 3)).where("_n <> ''")
+    hits = grams.join(known, "_g").where(F.contains("_t", F.col("_n")))
     best = hits.groupBy(key).agg(F.min(F.struct("priority", "project"))["project"].alias("project"))
     return signals.join(best, key, "left").withColumn("project", F.coalesce("project", F.lit(unassigned)))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from worktide.functions import text as T
 from worktide.sources.sinks import stored
@@ -28,6 +28,32 @@ def candidate_pairs(names: DataFrame, name: str) -> DataFrame:
     return left.join(right, "gram").where("a < b").select("a", "b").distinct()
 
 
+def similar_pairs(names: DataFrame, name: str, least: float) -> DataFrame:
+    """a < b and dice of names whose bigrams are alike by more than ``least``.
+
+    Two sets of more than that share one of the n - ceil(least * n / (2 - least)) + 1
+    rarest bigrams of either; only those are joined, so a common bigram hardly ever
+    makes pairs. Then the whole sets are compared."""
+    own = names.select(F.col(name).alias("n")).distinct().withColumn("grams", T.bigrams(F.col("n")))
+    each = own.select("n", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    rare = each.join(each.groupBy("gram").agg(F.count(F.lit(1)).alias("df")), "gram")
+    place = F.row_number().over(W.partitionBy("n").orderBy("df", "gram"))
+    kept = F.col("size") - F.ceil(F.col("size") * (least / (2 - least)) - 1e-9) + 1
+    prefix = rare.withColumn("place", place).where(F.col("place") <= kept).select("n", "gram")
+    met = prefix.withColumnRenamed("n", "a").join(prefix.withColumnRenamed("n", "b"), "gram").where("a < b").select("a", "b").distinct()
+    both = met.join(own.select(F.col("n").alias("a"), F.col("grams").alias("ga")), "a").join(own.select(F.col("n").alias("b"), F.col("grams").alias("gb")), "b")
+    return both.select("a", "b", T.dice(F.col("ga"), F.col("gb")).alias("dice")).where(F.col("dice") > least)
+
+
+def sharing_pairs(names: DataFrame, name: str) -> DataFrame:
+    """a < b and jaccard of names that share a word, joined on words."""
+    own = names.select(F.col(name).alias("n")).distinct().withColumn("words", T.tokens(F.col("n")))
+    each = own.select("n", "words", F.explode("words").alias("word"))
+    met = each.select(F.col("n").alias("a"), F.col("words").alias("wa"), "word").join(each.select(F.col("n").alias("b"), F.col("words").alias("wb"), "word"), "word").where("a < b")
+    shared = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"), F.first(F.size("wa") + F.size("wb")).alias("both"))
+    return shared.select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("jaccard"))
+
+
 def pair_scores(pairs: DataFrame, profiles: DataFrame, never: DataFrame | None = None, half_days: int = 14) -> DataFrame:
     """a, b, score, band. profiles: name, details (array), first_day, last_day,
     pinned, product. Vetoes come first: marked never, other note, other numbers;

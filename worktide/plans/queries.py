@@ -53,9 +53,10 @@ def share_allocation(spark, sf):
 
 def strongest_signal(spark, sf):
     """One signal an owner, day and source: the heaviest, then the earliest."""
+    keys = ["owner", "day", "event_type"]
     rows = t(spark, sf, "events").select(F.col("user_id").alias("owner"), F.to_date("ts").alias("day"), "event_type", "value", "event_id")
-    best = F.min_by("event_id", F.struct((-F.col("value")).alias("v"), "event_id"))
-    return rows.groupBy("owner", "day", "event_type").agg(best.alias("event_id"), F.max("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    best = signals.strongest_of_key(rows, keys, "value", "event_id")
+    return best.join(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), keys)
 
 
 def mm_rescale(spark, sf):
@@ -380,8 +381,9 @@ def month_window_gantt(spark, sf):
 
 
 def candidate_merge(spark, sf):
-    rows = t(spark, sf, "lineitem").join(t(spark, sf, "part"), F.col("l_partkey") == F.col("p_partkey"))
-    return team.merge_candidates(rows.select(T.identity_key(F.col("p_name")).alias("name"), "l_quantity", "l_suppkey", "p_type"), "name", "l_quantity", "l_suppkey", "p_type")
+    parts = t(spark, sf, "part").select("p_partkey", T.identity_key(F.col("p_name")).alias("name"), "p_type")
+    rows = t(spark, sf, "lineitem").join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    return team.merge_candidates(rows.select("name", "l_quantity", "l_suppkey", "p_type"), "name", "l_quantity", "l_suppkey", "p_type")
 
 
 def history_upsert(spark, sf):
@@ -439,15 +441,13 @@ def longest_prefix_lookup(spark, sf):
 
 
 def bigram_dice_pairs(spark, sf):
-    names = t(spark, sf, "part").select("p_name").distinct()
-    pairs = resolve.candidate_pairs(names, "p_name")
-    return pairs.select("a", "b", F.round(T.dice(T.bigrams(F.col("a")), T.bigrams(F.col("b"))), 4).alias("dice")).where("dice > 0.45")
+    pairs = resolve.similar_pairs(t(spark, sf, "part"), "p_name", 0.45)
+    return pairs.select("a", "b", F.round("dice", 4).alias("dice"))
 
 
 def token_jaccard_pairs(spark, sf):
-    names = t(spark, sf, "part").select("p_name").distinct()
-    pairs = resolve.candidate_pairs(names, "p_name")
-    return pairs.select("a", "b", F.round(T.jaccard(T.tokens(F.col("a")), T.tokens(F.col("b"))), 4).alias("jaccard")).where("jaccard > 0")
+    pairs = resolve.sharing_pairs(t(spark, sf, "part"), "p_name")
+    return pairs.select("a", "b", F.round("jaccard", 4).alias("jaccard"))
 
 
 def note_number_veto(spark, sf):
@@ -462,7 +462,8 @@ def text_scalars(spark, sf):
 
 
 def json_island(spark, sf):
-    return t(spark, sf, "events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
+    html = F.concat(F.lit('<html><script>x</script><script type="application/json" id="data">'), "props", F.lit("</script></html>"))
+    return t(spark, sf, "events").groupBy(F.get_json_object(T.island(html, "data"), "$.k").cast("int").alias("k")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def page_text(spark, sf):
