@@ -150,6 +150,32 @@ def worked_hours(traces: DataFrame, machine: DataFrame, productive: DataFrame, s
     return days.select(*keys, F.round(hours, 2).alias("hours"), F.round(day_min / 60, 2).alias("day_h"), F.round(night_min / 60, 2).alias("night_h"), F.round(floor / 60, 2).alias("floor_h"), (hours > settings.long_day_h).alias("long_day"))
 
 
+def sampler_spans(samples: DataFrame, step_min: float, idle_s: float = 300.0, bridge_min: float = 10.0, stuck_h: float = 14.0, stuck_share: float = 0.02) -> DataFrame:
+    """owner, day, kind (active, cover), a, b: what a window sampler saw.
+
+    samples: owner, day, minute, idle (seconds), title; one a time counts. An active
+    sample lasts a step; it reaches back to the end of the active sample before it
+    where that is at most the bridge length ago and the same title stayed in front all
+    the while, idle samples included (reading). Every sample covers three steps. A day
+    that looks stuck, covered for hours on end with hardly ever an idle second, is
+    dropped whole."""
+    keys = ["owner", "day"]
+    one = samples.groupBy(*keys, "minute").agg(F.min(F.struct("idle", "title")).alias("s")).select(*keys, "minute", "s.*")
+    along = W.partitionBy(*keys).orderBy("minute")
+    changed = F.when(F.col("title").eqNullSafe(F.lag("title").over(along)), 0).otherwise(1)
+    seen = one.withColumn("_changed", changed).withColumn("_run", F.sum("_changed").over(along))
+    end = F.least(F.lit(1440.0), F.col("minute") + step_min)
+    before = F.lag("_end").over(W.partitionBy(*keys, "_run").orderBy("minute"))
+    active = seen.where(F.col("idle") <= idle_s).withColumn("_end", end).withColumn("_before", before)
+    back = F.col("minute") - F.col("_before")
+    spans = active.select(*keys, F.when((back >= 0) & (back <= bridge_min), F.col("_before")).otherwise(F.col("minute")).alias("a"), F.col("_end").alias("b"))
+    cover = intervals.union(one.select(*keys, F.col("minute").alias("a"), F.least(F.lit(1440.0), F.col("minute") + 3 * step_min).alias("b")))
+    length = cover.groupBy(*keys).agg(F.sum(F.col("b") - F.col("a")).alias("_covered"))
+    stuck = one.groupBy(*keys).agg(F.avg((F.col("idle") > 0).cast("int")).alias("_share")).join(length, keys).where((F.col("_covered") >= 60 * stuck_h) & (F.col("_share") < stuck_share)).select(*keys)
+    both = intervals.union(spans).withColumn("kind", F.lit("active")).unionByName(cover.withColumn("kind", F.lit("cover")))
+    return both.join(stuck, keys, "left_anti").select(*keys, "kind", "a", "b")
+
+
 def sampler_bridges(sampler: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The gaps of at most the bridge length between merged sampler spans."""
     merged = intervals.union(sampler.select("owner", "day", "a", "b"))

@@ -78,6 +78,17 @@ def order_to_done(rows: DataFrame, keys: list[str], at: str, is_order: Column, i
     return near.groupBy(*keys, "done_at").agg(F.max(at).alias("order_at"), F.min("lead_h").alias("lead_h"))
 
 
+def order_to_shared_done(rows: DataFrame, keys: list[str], at: str, words: str, is_order: Column, is_done: Column, days: int) -> DataFrame:
+    """Each order with the first done row of its key within ``days`` that shares a word
+    with it; of several orders with one done row the shortest lead stays. Orders and
+    done rows meet on key and word, so only rows with a common word are ever paired."""
+    each = lambda holds, name: rows.where(holds).select(*keys, F.col(at).alias(name), F.explode(F.array_distinct(words)).alias("_word"))
+    lead = F.timestamp_diff("MICROSECOND", F.col("order_at"), F.col("done_at"))
+    met = each(is_order, "order_at").join(each(is_done, "done_at"), [*keys, "_word"]).where((lead > 0) & (lead <= days * 86_400_000_000))
+    paired = met.groupBy(*keys, "order_at").agg(F.min("done_at").alias("done_at"))
+    return paired.groupBy(*keys, "done_at").agg(F.max("order_at").alias("order_at")).withColumn("lead_h", F.round(lead / 3600e6, 2))
+
+
 def episodes(rows: DataFrame, keys: list[str], day: str, gap_days: int) -> DataFrame:
     """Runs of active days with at most ``gap_days`` whole days between them."""
     along = W.partitionBy(*keys).orderBy(day)

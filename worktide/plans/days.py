@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from worktide.functions.config import Settings
-from worktide.operators import calendar_days as C, intervals, machine
+from worktide.operators import calendar_days as C, hours, intervals, machine, sessions
 
 S = Settings()
 FIRST, LAST = "1990-01-01", "2099-12-31"
@@ -109,9 +109,41 @@ def power_days(spark, sf):
     return machine.power_days(machine_rows(spark, sf), machine_spans(spark, sf), S)
 
 
-QUERIES = {f.__name__: f for f in (meeting_spans, calendar_absence_days, offsite_days, manual_hours, daily_from_spans, merged_machine_days, power_days)}
+def sampler_spans(spark, sf):
+    """Events as window samples of three owners; one owner's are never idle."""
+    e = _t(spark, sf, "events")
+    idle = F.when(F.col("user_id") % 3 == 0, 0).otherwise(F.col("event_id") * 7 % 500).cast("double")
+    samples = e.select((F.col("user_id") % 3).alias("owner"), F.to_date("ts").alias("day"), (F.hour("ts") * 60 + F.minute("ts")).cast("double").alias("minute"), idle.alias("idle"), F.when(F.col("event_id") % 5 < 4, "doc").otherwise(F.col("event_type")).alias("title"))
+    spans = hours.sampler_spans(samples, 5.0)
+    return spans.groupBy("owner", "day", "kind").agg(F.round(F.sum(F.col("b") - F.col("a")), 2).alias("minutes"), F.count(F.lit(1)).alias("spans"))
+
+
+def order_shared_done(spark, sf):
+    rows = _t(spark, sf, "events").select(F.col("user_id").alias("owner"), "ts", "event_type", F.array(F.concat(F.lit("w"), F.col("event_id") % 20), F.concat(F.lit("w"), F.col("event_id") % 7)).alias("words"))
+    return sessions.order_to_shared_done(rows, ["owner"], "ts", "words", F.col("event_type") == "view", F.col("event_type") == "purchase", S.order_done_days)
+
+
+QUERIES = {f.__name__: f for f in (sampler_spans, order_shared_done, meeting_spans, calendar_absence_days, offsite_days, manual_hours, daily_from_spans, merged_machine_days, power_days)}
 
 ORACLE_SQL = {
+    "sampler_spans": """WITH o AS (
+  SELECT user_id % 3 AS owner, CAST(ts AS DATE) AS day, (hour(ts) * 60 + minute(ts))::DOUBLE AS m, min((CASE WHEN user_id % 3 = 0 THEN 0 ELSE event_id * 7 % 500 END, CASE WHEN event_id % 5 < 4 THEN 'doc' ELSE event_type END)) AS s FROM events GROUP BY 1, 2, 3
+), x AS (SELECT owner, day, m, s[1] AS idle, s[2] AS title FROM o
+), c AS (SELECT *, CASE WHEN title = lag(title) OVER w THEN 0 ELSE 1 END AS ch FROM x WINDOW w AS (PARTITION BY owner, day ORDER BY m)
+), r AS (SELECT *, sum(ch) OVER (PARTITION BY owner, day ORDER BY m) AS run FROM c
+), act AS (SELECT *, least(1440.0, m + 5) AS e, lag(least(1440.0, m + 5)) OVER (PARTITION BY owner, day, run ORDER BY m) AS p FROM r WHERE idle <= 300
+), allspans AS (
+  SELECT owner, day, 'active' AS kind, CASE WHEN m - p BETWEEN 0 AND 10 THEN p ELSE m END AS a, e AS b FROM act UNION ALL SELECT owner, day, 'cover', m, least(1440.0, m + 15) FROM x
+), um AS (SELECT *, max(b) OVER (PARTITION BY owner, day, kind ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM allspans WHERE a < b
+), ug AS (SELECT *, sum(CASE WHEN a <= reach THEN 0 ELSE 1 END) OVER (PARTITION BY owner, day, kind ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS g FROM um
+), u AS (SELECT owner, day, kind, max(b) - min(a) AS n FROM ug GROUP BY owner, day, kind, g
+), d AS (SELECT owner, day, kind, round(sum(n), 2)::DOUBLE AS minutes, count(*) AS spans FROM u GROUP BY 1, 2, 3
+), st AS (SELECT x.owner, x.day FROM x JOIN d ON d.owner = x.owner AND d.day = x.day AND d.kind = 'cover' GROUP BY 1, 2 HAVING any_value(d.minutes) >= 840 AND avg((idle > 0)::INT) < 0.02)
+SELECT owner, day, kind, minutes, spans FROM d ANTI JOIN st USING (owner, day)""",
+    "order_shared_done": """WITH e AS (SELECT user_id AS owner, ts, event_type, event_id % 20 AS w1, event_id % 7 AS w2 FROM events),
+p AS (SELECT v.owner, v.ts AS order_at, min(d.ts) AS done_at FROM e v JOIN e d ON d.owner = v.owner AND d.event_type = 'purchase' AND v.event_type = 'view' AND d.ts > v.ts AND epoch_us(d.ts) - epoch_us(v.ts) <= 14 * 86400000000
+  AND (v.w1 IN (d.w1, d.w2) OR v.w2 IN (d.w1, d.w2)) GROUP BY 1, 2)
+SELECT owner, done_at, max(order_at) AS order_at, round((epoch_us(done_at) - epoch_us(max(order_at))) / 3600e6, 2) AS lead_h FROM p GROUP BY 1, 2""",
     "meeting_spans": f"""WITH {_ENTRIES}, held AS (
   SELECT *, CASE WHEN status IS NULL AND response IS NULL THEN b2 IN (2, 3) ELSE s1 IN (1, 3) OR r1 IN (1, 3) END AS acc FROM judged
   WHERE NOT leave AND NOT skip AND NOT all_day AND e > s AND NOT (training AND b2 NOT IN (2, 3) AND r1 NOT IN (1, 3))
