@@ -161,8 +161,8 @@ SELECT sender, count(*) AS n FROM m WHERE NOT sent AND sender NOT IN (SELECT sen
     "alias_left_coalesce": "SELECT coalesce(p_brand, CAST(l_partkey AS VARCHAR)) AS name, sum(l_quantity) AS quantity FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size <= 5 GROUP BY 1",
     "scoped_alias": "SELECT CASE WHEN l_returnflag = 'A' AND s_suppkey IS NOT NULL THEN 'n' || s_nationkey ELSE l_returnflag END AS flag, sum(l_quantity) AS quantity, count(*) AS n FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1",
     "program_usage_full_outer": """SELECT user_id, coalesce(f.n, 0) AS front, coalesce(b.n, 0) AS back FROM
-(SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' AND event_id % 3 = 0 GROUP BY 1) f FULL JOIN
-(SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' AND event_id % 3 = 1 GROUP BY 1) b USING (user_id)""",
+(SELECT user_id, count(*) AS n FROM events WHERE event_type = 'click' GROUP BY 1) f FULL JOIN
+(SELECT user_id, count(*) AS n FROM events WHERE event_type = 'error' GROUP BY 1) b USING (user_id)""",
     "pivot_two_way": f"""WITH c AS (SELECT p_brand, p_type, sum(l_quantity) AS value FROM {_LP} GROUP BY 1, 2),
 l AS (SELECT 'model' AS side, p_brand AS key, p_type AS other, value FROM c UNION ALL SELECT 'worktype', p_type, p_brand, value FROM c),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY side, key ORDER BY value DESC, other) AS INTEGER) AS rank FROM l) SELECT * FROM r WHERE rank <= 10""",
