@@ -120,3 +120,19 @@ def test_labels_of_the_held_out_third_teach_nothing(spark):
 def test_obfuscation_is_seen(text, hidden):
     row = dict(zip(toxicity.FEATURES, toxicity.features_of(text, ())))
     assert (row["obfuscated_rate"] > 0) is hidden
+
+
+def test_features_of_a_text_worked_out_by_hand():
+    import math
+
+    text = "You are an idiot! STUPID id1ot aaargh"
+    got = dict(zip(toxicity.FEATURES, toxicity.features_of(text, (("argh*", 2.0),))))
+    n, chars = 7, len(text)
+    want = {
+        "words": math.log1p(n), "hits": 2, "hit_rate": 2 / n, "distinct_hits": 2, "weight": 0.0, "insults": 2, "insult_rate": 2 / n, "strongest": 0.0, "close_hits": 2, "close_rate": 2 / n, "second_person_rate": 1 / n,
+        "capital_rate": 7 / chars, "shouted_rate": 1 / n, "punctuation_rate": 1 / chars, "emphasis_rate": 0.0, "obfuscated_rate": 1 / n, "obfuscated_hits": 1, "stretched_rate": 1 / n,
+    }
+    assert {k: got[k] for k in want} == pytest.approx(want)
+    hidden = toxicity.features_of("a b1rk", tuple((f"t{i:03d}", 1.0) for i in range(80)) + (("birk", 1.0),))
+    assert dict(zip(toxicity.FEATURES, hidden))["obfuscated_hits"] == 1  # terms far down the lexicon count too
+    assert toxicity.features_of("", ())[0] == 0.0
