@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from worktide.functions import predicates as P, text as T
+from worktide.functions.config import settings_from
 from worktide.operators import judged as J, signals
+from worktide.sources import traces
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -172,11 +174,43 @@ def file_names(spark, sf):
     return _t(spark, sf, "part").select("p_partkey", T.base_name(name).alias("base"), T.extension(name).alias("ext"), T.row_signature(name, F.lit(None)).isNotNull().alias("signed"))
 
 
+def rule_scalars(spark, sf):
+    """Small rules of text, time and number on values that hit each of their cases."""
+    p, k = _t(spark, sf, "part"), F.col("p_partkey")
+    pick = lambda *values: F.element_at(F.array(*(F.lit(v).cast("string") for v in values)), (k % len(values) + 1).cast("int"))
+    return p.select(
+        k, T.month_key(F.date_add(F.lit("2024-01-15").cast("date"), (k % 60).cast("int"))).alias("month"), T.heat_bucket(k % 11, F.lit(10)).alias("heat"), T.percent(k % 7 / 2.0).alias("percent"), T.number_or(pick("3.5", "x", "NaN", "Infinity", None), 9.0).alias("number"),
+        T.domain_only(pick("Ann <a@X.com>", "none", None)).alias("domain"), T.folder_label(pick("C:\\Data\\2024\\Wing", "/documents/tmp", "D:/a/Desktop")).alias("folder"), T.strict_timestamp(pick("2024-01-02 26:00:00", "2024-01-02 10:30", "2024-01-02")).alias("at"),
+        P.is_half_day(pick("half day off", "whole", "PM off")).alias("half"), P.is_placeholder(pick("<name>", "<a> b", " <x> ")).alias("placeholder"), P.has_token_suffix(pick("annual myleave", "2leave", "notice"), ["leave"]).alias("leave"), P.is_me(pick("", "Kim Ann", "bob"), ["kimann"]).alias("me"),
+    )
+
+
+def config_refusals(spark, sf):
+    """What settings are refused, with the reason."""
+    raw = {"std_day_h": "7.5", "burst_n": 1, "session_gap_min": "x", "unknown": 1, "lunch": [720, 750], "day_window": 5, "min_weight": 0.5}
+    _, warnings = settings_from(raw)
+    return spark.createDataFrame(warnings, "name string, reason string")
+
+
+def file_choice(spark, sf):
+    """For each customer the file whose total is nearest to the official one."""
+    o, c = _t(spark, sf, "orders"), _t(spark, sf, "customer").select(F.col("c_custkey").alias("owner"), "c_acctbal")
+    files = o.select(F.col("o_custkey").alias("owner"), F.concat(F.lit("f"), "o_orderkey").alias("path"), F.col("o_totalprice").alias("total"), F.col("o_orderdate").cast("timestamp").alias("at")).join(c, "owner")
+    return traces.best_file(files, "owner", F.col("total"), F.col("c_acctbal") * 10, F.col("at"))
+
+
+def refined_rows(spark, sf):
+    """Refined rows of customers where they are not older than the plain ones."""
+    o = _t(spark, sf, "orders").select(F.col("o_custkey").alias("owner"), "o_orderkey", F.col("o_orderdate").alias("at"))
+    plain, refined = o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1")  # two tables of one
+    return traces.refined_or_plain(plain, refined, "owner", "at").select("owner", "o_orderkey")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         judged_rows, signal_stats, report_rows, project_clusters, automation_ratio, worktype_sums, flow_mm, fold_small, unit_priorities, best_matches, source_inventory, month_coverage, reliable_comparison,
-        ingested_signals, ingestion_ledger, notice_senders, simulation_outputs, non_projects, window_rules, name_scalars, file_names,
+        ingested_signals, ingestion_ledger, notice_senders, simulation_outputs, non_projects, window_rules, name_scalars, file_names, rule_scalars, config_refusals, file_choice, refined_rows,
     )
 }
 
@@ -238,6 +272,13 @@ SELECT p_partkey, replace(p_name, ' ', '') AS person, p_name || '.prt' AS signal
   CAST(CASE WHEN p_partkey % 5 = 0 THEN 2 WHEN p_partkey % 3 = 1 THEN 7 ELSE 0 END AS INTEGER) AS count,
   CASE substr(p_type, 1, 3) WHEN 'ECO' THEN 'Economy' WHEN 'PRO' THEN 'Promotion' WHEN 'STA' THEN 'Standard' ELSE '' END AS category,
   CASE WHEN p_name LIKE '%widget%' OR ty LIKE 'promo%' THEN 1.0 WHEN len(list_filter(list_distinct([w1, w2, ty]), lambda x: x IN ('large', 'standard', 'bolt'))) >= 2 THEN 0.67 ELSE 0.0 END::DOUBLE AS score, w1 AS first FROM p""",
+    "rule_scalars": r"""SELECT p_partkey, strftime(DATE '2024-01-15' + CAST(p_partkey % 60 AS INTEGER), '%Y-%m') AS month, CAST(least(5, floor(p_partkey % 11 / 10.0 * 6)) AS INTEGER) AS heat,
+  (p_partkey % 7 // 2) || CASE WHEN p_partkey % 7 % 2 = 1 THEN '.5%' ELSE '%' END AS percent, CASE WHEN p_partkey % 5 = 0 THEN 3.5 ELSE 9.0 END::DOUBLE AS number, CASE WHEN p_partkey % 3 = 0 THEN '@x.com' ELSE '(none)' END AS domain,
+  (['Wing', NULL, 'a'])[p_partkey % 3 + 1] AS folder, ([NULL, TIMESTAMP '2024-01-02 10:30:00', TIMESTAMP '2024-01-02 00:00:00'])[p_partkey % 3 + 1] AS "at", p_partkey % 3 <> 1 AS half, p_partkey % 3 <> 1 AS placeholder, p_partkey % 3 = 0 AS leave, p_partkey % 3 <> 2 AS me FROM part""",
+    "config_refusals": "SELECT * FROM (VALUES ('burst_n', 'out of range'), ('session_gap_min', 'not a number'), ('unknown', 'unknown'), ('day_window', 'not a pair or list')) t(name, reason)",
+    "file_choice": """SELECT o_custkey AS owner, first('f' || o_orderkey ORDER BY abs(o_totalprice - c_acctbal * 10), o_orderdate DESC, 'f' || o_orderkey) AS path FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
+    "refined_rows": """WITH m AS (SELECT o_custkey, max(o_orderdate) FILTER (o_orderkey % 2 = 1) AS r, max(o_orderdate) FILTER (o_orderkey % 2 = 0) AS p FROM orders GROUP BY 1)
+SELECT o_custkey AS owner, o_orderkey FROM orders JOIN m USING (o_custkey) WHERE o_orderkey % 2 = CASE WHEN r IS NOT NULL AND (p IS NULL OR r >= p) THEN 1 ELSE 0 END""",
     "file_names": """WITH n AS (SELECT p_partkey, lower(replace(p_name, ' ', '_')) || '_' || p_size AS stem, p_partkey % 7 AS k FROM part)
 SELECT p_partkey, stem AS base, (['prt', 'cas.h5', 'docx', '7z', 'sldprt', '', '2024'])[k + 1] AS ext, true AS signed FROM n""",
 }
