@@ -69,3 +69,18 @@ def test_the_query_clusters_whole_components(spark):
     assert all(len(g) <= 6 for g in groups.values())
     alone = {n for n in types if not any(n != m and grams(n) & grams(m) and score(n, m) > 1e-9 for m in types)}
     assert all(found[n] == n and groups[n] == {n} for n in alone)
+
+
+def test_pairs_refined_together_score_one_more(spark):
+    import datetime as dt
+
+    day = dt.date(2024, 1, 1)
+    rows = [(n, ["x"], day, day, False, None) for n in ("lens holder", "lens holdr", "mount", "mount (old)")]
+    profiles = spark.createDataFrame(rows, "name string, details array<string>, first_day date, last_day date, pinned boolean, product string")
+    pairs = spark.createDataFrame([("lens holder", "lens holdr"), ("lens holder", "mount"), ("mount", "mount (old)")], "a string, b string")
+    refined = spark.createDataFrame([("mount", "lens holder"), ("mount (old)", "mount")], "a string, b string")
+    plain = {(r["a"], r["b"]): r["score"] for r in resolve.pair_scores(pairs, profiles).collect()}
+    more = {(r["a"], r["b"]): r["score"] for r in resolve.pair_scores(pairs, profiles, refined=refined).collect()}
+    assert more["lens holder", "lens holdr"] == plain["lens holder", "lens holdr"]
+    assert abs(more["lens holder", "mount"] - plain["lens holder", "mount"] - 1.0) < 1e-9
+    assert more["mount", "mount (old)"] == resolve.VETO

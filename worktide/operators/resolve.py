@@ -54,9 +54,10 @@ def sharing_pairs(names: DataFrame, name: str) -> DataFrame:
     return shared.select("a", "b", (F.col("common") / (F.col("both") - F.col("common"))).alias("jaccard"))
 
 
-def pair_scores(pairs: DataFrame, profiles: DataFrame, never: DataFrame | None = None, half_days: int = 14) -> DataFrame:
+def pair_scores(pairs: DataFrame, profiles: DataFrame, never: DataFrame | None = None, half_days: int = 14, refined: DataFrame | None = None) -> DataFrame:
     """a, b, score, band. profiles: name, details (array), first_day, last_day,
-    pinned, product. Vetoes come first: marked never, other note, other numbers;
+    pinned, product; never: pairs that must stay apart; refined: pairs that were once
+    refined together; half_days: at least 14 and half the period's days. Vetoes come first: marked never, other note, other numbers;
     then the same key, then both pinned; then the weighted evidence."""
     p = profiles.withColumns({"key": T.identity_key(F.col("name")), "note": T.note(F.col("name")), "nums": T.numbers(F.col("name")), "grams": T.bigrams(F.col("name")), "toks": T.tokens(F.col("name"))})
     one, two = (p.select(*(F.col(c).alias(f"{side}_{c}") for c in p.columns)) for side in "ab")
@@ -66,6 +67,11 @@ def pair_scores(pairs: DataFrame, profiles: DataFrame, never: DataFrame | None =
     else:
         marked = never.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("_never")).distinct()
         rows = rows.join(marked, ["a", "b"], "left").na.fill(False, ["_never"])
+    if refined is None:
+        rows = rows.withColumn("_refined", F.lit(False))
+    else:
+        together = refined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("_refined")).distinct()
+        rows = rows.join(together, ["a", "b"], "left").na.fill(False, ["_refined"])
     name = T.dice(F.col("a_grams"), F.col("b_grams"))
     details = T.jaccard(F.col("a_details"), F.col("b_details"))
     exclusive = (details == 0) & (F.size("a_details") >= 2) & (F.size("b_details") >= 2)
@@ -75,6 +81,7 @@ def pair_scores(pairs: DataFrame, profiles: DataFrame, never: DataFrame | None =
     evidence = (
         F.when(name > 0.45, 2.4 * (name - 0.45)).otherwise(0.0)
         + F.when(details > 0, 2.0 * details).when(exclusive, -0.8).otherwise(0.0)
+        + F.when(F.col("_refined"), 1.0).otherwise(0.0)
         + F.when(F.col("a_product").isNotNull() & (F.col("a_product") == F.col("b_product")), 1.2).otherwise(0.0)
         - F.when(subset, 0.5).otherwise(0.0)
         - F.when(apart >= half_days, 0.6).otherwise(0.0)
