@@ -98,6 +98,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in scored)
 
 
+def test_toxicity_of_few_labels_learns_from_all_of_them(spark):
+    small, large = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    model = queries.fit_toxicity(docs, labels)
+    assert model.few and model.trees is not None
+    rule = toxicity.Model(toxicity.Lexicon(()))
+    asked = spark.read.parquet(f"{large}/documents.parquet").select("doc_id", "text")
+    floor = {r["doc_id"]: r["score"] for r in rule.score(asked).collect()}
+    assert all(floor[r["doc_id"]] <= r["score"] <= 1 for r in model.score(asked).collect())
+
+
 def test_toxicity_handles_odd_rows_and_missing_labels(spark):
     docs = frame(spark)
     model = toxicity.fit(docs, spark.createDataFrame([(1, 1), (2, None), (None, 0)], "doc_id long, label int"))

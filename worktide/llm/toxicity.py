@@ -17,10 +17,17 @@ sample by hash of the id, split in three by the same hash):
 (an Aho-Corasick automaton finds lexicon hits), trees and calibration in Spark.
 The fitted lexicon and trees are a few kilobytes whatever the corpus.
 
+With fewer than MIN_CLASS rows of either class in the trees' or the calibration
+part, the parts are not kept apart: the calibration learns from scores of FOLDS
+models, each row's from the one that has not seen it, and the lexicon and trees
+that stay learn from all rows (``cross_fitted``). A score is then no less than
+the fixed rule's, 1 - exp(-60 x the rate of the common insults).
+
 Null text counts as empty. Rows without a label (or with a null one) teach
-nothing; with fewer than MIN_CLASS rows of either class in a part, the score is a
-fixed rule on lexicon density instead. Repeated rows score alike. Extra columns
-pass through; the result's column is replaced.
+nothing; with fewer than MIN_CLASS labelled rows of either class there is nothing
+to learn from and the score is that rule's.
+Repeated rows score alike. Extra columns pass through; the result's column is
+replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +36,7 @@ import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -42,7 +49,7 @@ from worktide.llm._common import in_small_batches, saved
 
 MAX_ROWS, MAX_TERMS, MIN_CLASS = 30_000, 400, 6
 LEAST_RATIO, LEAST_ODDS = 18.0, 1.5
-FIT_PARTITIONS = 8
+FIT_PARTITIONS, FOLDS = 8, 3
 
 # Common insults and second persons in English, German, French and Spanish.
 INSULTS = "asshole bastard bitch clown cretin disgusting dumb dumbass fool freak garbage idiot imbecile jerk loser moron pathetic retard scum shit stupid trash worthless abschaum arschloch blödmann depp dummkopf idiotin schlampe versager abruti connard crétin débile imbécile minable ordure salaud basura cabrón escoria estúpido idiota imbécil patético".split()
@@ -166,18 +173,20 @@ class Model:
     lexicon: Lexicon
     trees: object = None
     calibration: object = None
+    few: bool = False
     fields: tuple[str, ...] = field(default=FEATURES)
 
     def score(self, docs: DataFrame, text: str = "text", result: str = "score") -> DataFrame:
         """``docs`` with a score from 0 to 1 for each whole text."""
         own = [c for c in docs.columns if c.lower() != result.lower()]
         held = in_small_batches(docs).select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), feature_column(self.lexicon, F.col(text)).alias("dense"))
+        rule = 1 - F.exp(-60.0 * F.element_at("dense", FEATURES.index("insult_rate") + 1))
         if self.trees is None:
-            got = held.withColumn("value", 1 - F.exp(-60.0 * F.element_at("dense", FEATURES.index("insult_rate") + 1)))
+            got = held.withColumn("value", rule)
         else:
             judged = self.trees.transform(held.withColumn("features", array_to_vector("dense")))
-            chance = judged.select("row", F.element_at(vector_to_array("probability"), 2).alias("chance"))
-            got = self.calibration.transform(chance).withColumn("value", F.least(F.greatest(F.col("calibrated"), F.lit(0.0)), F.lit(1.0)))
+            chance = judged.select("row", F.element_at(vector_to_array("probability"), 2).alias("chance"), (rule if self.few else F.lit(0.0)).alias("least"))
+            got = self.calibration.transform(chance).withColumn("value", F.least(F.greatest("calibrated", "least"), F.lit(1.0)))
         return got.select(*(F.col("row").getField(c).alias(c) for c in own), F.col("value").alias(result))
 
 
@@ -197,11 +206,42 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int
     sample = in_small_batches(docs).where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").repartition(FIT_PARTITIONS)
     sample = saved(sample.withColumn("part", part))
     lexicon = learn_lexicon(sample.where("part < 4"))
-    rows = saved(sample.where("part >= 4").select("part", "label", feature_column(lexicon, F.col("text")).alias("dense"))).withColumn("features", array_to_vector("dense"))
+    rows = dense_rows(sample.where("part >= 4"), lexicon)
     sizes = rows.agg(*(F.sum(F.when((F.col("label") == y) & (F.col("part") < 8 if low else F.col("part") >= 8), 1).otherwise(0)) for y in (0, 1) for low in (True, False))).first()
     if min(s or 0 for s in sizes) < MIN_CLASS:
-        return Model(lexicon)
-    trees = GBTClassifier(labelCol="label", featuresCol="features", maxDepth=3, maxIter=24, stepSize=0.2, maxBins=64, seed=seed, minInstancesPerNode=5).fit(rows.where("part < 8").coalesce(FIT_PARTITIONS))
-    judged = trees.transform(rows.where("part >= 8")).select(F.element_at(vector_to_array("probability"), 2).alias("chance"), "label")
-    calibration = IsotonicRegression(featuresCol="chance", labelCol="label", predictionCol="calibrated").fit(judged)
-    return Model(lexicon, trees, calibration)
+        return cross_fitted(sample, seed)
+    trees = grow(rows.where("part < 8"), seed)
+    return Model(lexicon, trees, calibrate(chances(trees, rows.where("part >= 8"))))
+
+
+def cross_fitted(sample: DataFrame, seed: int) -> Model:
+    """A model of the few rows of ``sample`` (doc_id, text, label); the fixed rule
+    with fewer than MIN_CLASS of either class. Trees grow in one task: at most
+    max_rows rows of numbers, in many short jobs."""
+    sizes = sample.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
+    if min(s or 0 for s in sizes) < MIN_CLASS:
+        return Model(Lexicon(()))
+    fold, unseen = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("doc_id")), F.lit(FOLDS)), []
+    for k in range(FOLDS):
+        rest = sample.where(fold != k)
+        lexicon = learn_lexicon(rest)
+        trees = grow(dense_rows(rest, lexicon), seed, 1)
+        unseen.append(saved(chances(trees, dense_rows(sample.where(fold == k), lexicon))))
+    lexicon = learn_lexicon(sample)
+    return Model(lexicon, grow(dense_rows(sample, lexicon), seed, 1), calibrate(reduce(DataFrame.union, unseen)), few=True)
+
+
+def dense_rows(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
+    return saved(sample.select("part", "label", feature_column(lexicon, F.col("text")).alias("dense"))).withColumn("features", array_to_vector("dense"))
+
+
+def grow(rows: DataFrame, seed: int, parts: int = FIT_PARTITIONS):
+    return GBTClassifier(labelCol="label", featuresCol="features", maxDepth=3, maxIter=24, stepSize=0.2, maxBins=64, seed=seed, minInstancesPerNode=5).fit(rows.coalesce(parts))
+
+
+def chances(trees, rows: DataFrame) -> DataFrame:
+    return trees.transform(rows).select(F.element_at(vector_to_array("probability"), 2).alias("chance"), "label")
+
+
+def calibrate(judged: DataFrame):
+    return IsotonicRegression(featuresCol="chance", labelCol="label", predictionCol="calibrated").fit(judged)
