@@ -140,3 +140,15 @@ def test_live_visits_equal_batch_visits(spark, tmp_path):
     got = key(spark.table("visits").collect())
     assert got == key(sessions.visit_sessions(events, ["owner"], "ts", 30.0, 5.0).collect())
     assert [g[3] for g in got] == [2, 1, 1]
+
+
+def test_one_folder_of_a_colleague_is_one_vote(spark):
+    from worktide.operators import team
+
+    day = lambda d: f"2024-03-{d:02d} 10:00:00"
+    rows = [(1, "CORP\\bob", "shared", day(1))] * 50 + [(1, "Ann.Lee@x.com", f"f{d}", day(d)) for d in (1, 2, 3)] + [(2, "ann", "f", day(d)) for d in (1, 2)] + [(3, "cy", "f", day(d)) for d in (1, 2, 3)] + [(4, None, None, None)]
+    files = spark.createDataFrame(rows, "owner int, author string, folder string, at string")
+    known = spark.createDataFrame([(3, "Dee (lead)"), (1, "x"), (1, None)], "owner int, name string")
+    got = {(r["owner"], r["name"], r["votes"], r["of"]) for r in team.self_names(files, known).collect()}
+    assert got == {(1, "annlee", 3, 4), (3, "dee", None, None)}
+    assert team.self_names(files.limit(0), known.limit(0)).count() == 0

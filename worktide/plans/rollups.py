@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from worktide.functions import predicates as P, text as T
 from worktide.functions.config import settings_from
-from worktide.operators import judged as J, signals
+from worktide.operators import judged as J, signals, team
 from worktide.sources import traces
 
 
@@ -74,6 +74,16 @@ def fold_small(spark, sf):
     return J.fold_small(judged_signals(spark, sf).select("owner", "source", F.col("model").alias("project"), (F.col("weight") / 1000).alias("mm")), ["owner", "source"], "project", 0.6)
 
 
+def self_names(spark, sf):
+    """Files of owners of whom some are configured; the others' own share of files varies."""
+    owner = F.col("l_partkey") % 60
+    own = F.concat(F.lit("CORP\\Ann."), owner.cast("string"), F.lit(" (Lab)"))
+    other = F.concat(F.lit("bob-"), (F.col("l_suppkey") % 4).cast("string"), F.lit("@x.com"))
+    files = _t(spark, sf, "lineitem").select(owner.alias("owner"), F.when(F.col("l_orderkey") % 10 < owner % 10, own).otherwise(other).alias("author"), F.col("l_returnflag").alias("folder"), F.col("l_shipdate").alias("at"))
+    known = _t(spark, sf, "nation").select(F.col("n_nationkey").alias("owner"), F.when(F.col("n_nationkey") % 2 == 0, F.concat(F.lit("Kim-"), "n_nationkey")).otherwise(F.lit("k")).alias("name"))
+    return team.self_names(files, known)
+
+
 def unit_priorities(spark, sf):
     units = _t(spark, sf, "part").select((F.col("p_partkey") % 3).alias("owner"), F.col("p_type").alias("level1"), F.col("p_brand").alias("project"), F.concat("p_name", F.lit(" "), "p_partkey").alias("unit"), F.col("p_size").cast("double").alias("mm"), (F.col("p_partkey") % 11).alias("weight"))
     return J.priorities(units, ["owner"], ["PROMO", "SMALL"]).select("owner", "unit", "place")
@@ -209,7 +219,7 @@ def refined_rows(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        judged_rows, signal_stats, report_rows, project_clusters, automation_ratio, worktype_sums, flow_mm, fold_small, unit_priorities, best_matches, source_inventory, month_coverage, reliable_comparison,
+        judged_rows, signal_stats, report_rows, project_clusters, automation_ratio, worktype_sums, flow_mm, fold_small, self_names, unit_priorities, best_matches, source_inventory, month_coverage, reliable_comparison,
         ingested_signals, ingestion_ledger, notice_senders, simulation_outputs, non_projects, window_rules, name_scalars, file_names, rule_scalars, config_refusals, file_choice, refined_rows,
     )
 }
@@ -238,6 +248,11 @@ SELECT arg_min(project, (-length(project), project)) AS project, round(sum(p_siz
 SELECT flow, round(coalesce(own, listed, CASE WHEN p IS NULL AND d IS NULL THEN 0.0 ELSE measured END, 0.0), 3)::DOUBLE AS mm FROM m""",
     "fold_small": f"""WITH {_SIG}, t AS (SELECT owner, source, model AS project, sum(weight / 1000) AS mm FROM s GROUP BY 1, 2, 3), b AS (SELECT *, bool_or(mm >= 0.6) OVER (PARTITION BY owner, source) AS any_big FROM t)
 SELECT owner, source, CASE WHEN mm < 0.6 AND any_big THEN 'others' ELSE project END AS project, round(sum(mm), 3) AS mm FROM b GROUP BY 1, 2, 3""",
+    "self_names": """WITH g AS (SELECT DISTINCT l_partkey % 60 AS owner, CASE WHEN l_orderkey % 10 < l_partkey % 60 % 10 THEN 'ann' || (l_partkey % 60) ELSE 'bob' || (l_suppkey % 4) END AS name, l_returnflag, CAST(l_shipdate AS DATE) AS d FROM lineitem),
+k AS (SELECT n_nationkey AS owner, 'kim' || n_nationkey AS name FROM nation WHERE n_nationkey % 2 = 0), v AS (SELECT owner, name, count(*) AS votes FROM g GROUP BY 1, 2),
+r AS (SELECT *, sum(votes) OVER (PARTITION BY owner)::BIGINT AS total, row_number() OVER (PARTITION BY owner ORDER BY votes DESC, name) AS i FROM v)
+SELECT owner, name, NULL::BIGINT AS votes, NULL::BIGINT AS "of" FROM k
+UNION ALL SELECT owner, name, votes, total FROM r WHERE i = 1 AND votes >= 3 AND votes * 2 >= total AND owner NOT IN (SELECT owner FROM k)""",
     "unit_priorities": """WITH u AS (SELECT p_partkey % 3 AS owner, p_type, p_brand, p_name || ' ' || p_partkey AS unit, p_partkey % 11 AS w, sum(p_size) OVER (PARTITION BY p_partkey % 3, p_brand) AS t FROM part)
 SELECT owner, unit, CAST(row_number() OVER (PARTITION BY owner ORDER BY CASE p_type WHEN 'PROMO' THEN 1 WHEN 'SMALL' THEN 2 ELSE 3 END, t DESC, p_brand, w DESC, unit) AS INTEGER) AS place FROM u""",
     "best_matches": """WITH a AS (SELECT user_id % 40 AS owner, event_type AS task, event_id AS batch, least(event_id * 13 % 140 - 20, 100) AS fit, 'r' || event_id AS reason, ['w' || (event_id % 12), 'w' || (event_id % 5)] AS work FROM events),
