@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from worktide.llm import bpe_codec, fingerprints, ngram_join, source_mix, substring_dedup, token_counts, token_shards, toxicity, url_rules, voronoi_knn
-from worktide.llm._common import shared_dir, table
+from worktide.llm import bpe_codec, decontaminate, fingerprints, merkle_manifest, ngram_join, periodic_runs, source_mix, substring_dedup, token_counts, token_shards, toxicity, url_rules, voronoi_knn
+from worktide.llm._common import WORD, shared_dir, table
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -90,6 +90,51 @@ def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.write_shards(ordered, shared_dir(spark))
 
 
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text of ``docs``, a tenth of them (by crc32 of doc_id) repeating a
+    stretch of their words from some word on."""
+    h = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(1))
+    words = F.filter(F.split("text", WORD.replace("[^", "[")), lambda w: w != "")
+    picked = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
+    n, g = F.size("words"), F.expr("h div 10")
+    start = picked.withColumns({"a": F.when(n > 0, (g % n).cast("int")), "g": g})
+    placed = start.withColumn("p", F.expr("cast(1 + (size(words) - a) div (3 + g % 8) as int)"))
+    text = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[a + (i - a) % p])), ' ')")
+    return placed.select("doc_id", F.when(n > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    better = lambda a, b: F.when((b["length"] * a["period"] > a["length"] * b["period"]) | a["length"].isNull(), b).otherwise(a)
+    nothing = F.expr("cast(null as struct<start: long, length: long, period: long>)")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *(r[c].cast("string") for c in ("start", "length", "period"))), F.lit("\n")))
+    best = found.withColumn("best", F.aggregate("runs", nothing, better))
+    return best.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.encode(F.array_join(lines, ""), "UTF-8"), 256).alias("runs_sha256"), F.sha2(F.encode("kept", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    leaf = lambda text: merkle_manifest.leaf(*(F.col(c) for c in ("doc_id", "source", "lang", "n_chars")), text)
+    tampered = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    leaves = docs.select("doc_id", "source", leaf(F.col("text")).alias("node"), F.when(tampered, leaf(F.translate("text", CAPITALS, SMALL))).alias("changed"))
+    proofs = merkle_manifest.manifest(leaves, "source", "doc_id", "node", ["doc_id", "changed"])
+    folded = merkle_manifest.folded(F.coalesce("changed", "node"), F.col("path")).alias("folded_root")
+    proof = F.sha2(F.encode(merkle_manifest.joined(F.col("path")), "UTF-8"), 256).alias("proof_sha256")
+    return proofs.select("doc_id", F.col("node").alias("leaf"), "subroot", "root", proof, folded).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_toxicity": op2_toxicity,
@@ -101,6 +146,9 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_bpe_codec": op9_bpe_codec,
     "op10_token_shards": op10_token_shards,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_decontaminate": op12_decontaminate,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
