@@ -195,6 +195,16 @@ def test_removed_words_equal_brute_force(spark, window, k):
     assert sorted(map(tuple, got), key=key) == sorted(removed(documents(), window), key=key)
 
 
+@pytest.mark.parametrize("times", [2, 3])
+@pytest.mark.parametrize("length", [50, 55, 400])
+def test_repeated_rows_lose_what_an_earlier_document_has(spark, times, length):
+    text = words(61, length)
+    rows = [(1, text, "en", "a", 0)] * times + [(2, text, "en", "a", 0), (3, words(62, 30) + " " + text, "en", "a", 0)] * (times - 1) + [(1, text + " more", "en", "a", 0)]
+    got = substring_dedup.remove_repeats(frame(spark, rows)).select("doc_id", "n_words", "n_removed", "kept").collect()
+    assert sorted(map(tuple, got)) == sorted(removed(rows, 50))
+    assert {r["n_removed"] for r in got if r["doc_id"] == 2} == {length} and {r["n_removed"] for r in got if r["doc_id"] == 1} == {0}
+
+
 def test_many_overlapping_passages(spark):
     import random
 

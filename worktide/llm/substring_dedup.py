@@ -146,20 +146,23 @@ EDGE = ["anchor", "context"]
 def compacted(shared: DataFrame) -> DataFrame:
     """(anchor, context, head, offset, number) of the edges that follow another one
     on a nonbranching path; shared: the occurrences of edges in several documents."""
-    after = F.lead(F.struct(*EDGE, "place", "left", "first")).over(W.partitionBy("doc_id", "tie").orderBy("place"))
-    steps = shared.withColumn("after", after).where("after.left <= right").withColumn("hop", F.col("after.place") - F.col("place"))
+    along = W.partitionBy("doc_id", "tie").orderBy("place")
+    once = shared.withColumn("before", F.lag("place").over(along)).where("before IS NULL OR before < place").drop("before")  # repeated rows
+    after = F.lead(F.struct(*EDGE, "place", "left", "first")).over(along)
+    steps = once.withColumn("after", after).where("after.left <= right").withColumn("hop", F.col("after.place") - F.col("place")).where("hop > 0")
     same = (F.col("after.first.doc_id") == F.col("first.doc_id")) & (F.col("after.first.tie") == F.col("first.tie")) & (F.col("after.first.place") - F.col("first.place") == F.col("hop"))
     links = saved(steps.select(F.struct(*EDGE).alias("a"), F.struct(*(f"after.{c}" for c in EDGE)).alias("b"), "hop", same.alias("straight")).distinct())
     only_out = links.groupBy("a").agg(F.count(F.lit(1)).alias("degree"), F.first("b").alias("b"), F.first("hop").alias("hop"), F.first("straight").alias("straight")).where("degree = 1 and straight")
     only_in = links.groupBy("b").agg(F.count(F.lit(1)).alias("degree")).where("degree = 1").select("b")
     pointers = saved(only_out.join(only_in, "b").select(F.col("b").alias("edge"), F.col("a").alias("head"), F.col("hop").alias("offset"), F.lit(1).alias("number")))
-    total = 0
-    while (reached := pointers.agg(F.sum("number")).first()[0] or 0) != total:
-        total = reached
+    going = True
+    while going:
         further = pointers.select(F.col("edge").alias("head"), F.col("head").alias("further"), F.col("offset").alias("more"), F.col("number").alias("steps"))
         joined = pointers.join(further, "head", "left")
         add = lambda c, more: (F.col(c) + F.coalesce(more, F.lit(0))).alias(c)
-        pointers = saved(joined.select("edge", F.coalesce("further", "head").alias("head"), add("offset", "more"), add("number", "steps")))
+        pointers = saved(joined.select("edge", F.coalesce("further", "head").alias("head"), add("offset", "more"), add("number", "steps"), F.col("further").isNotNull().alias("moved")))
+        going = bool(pointers.agg(F.max("moved")).first()[0])
+        pointers = pointers.drop("moved")
     return pointers.select("edge.*", "head", "offset", "number")
 
 
