@@ -77,6 +77,22 @@ def judged(url):
     return host, path, best and best[0] + best[1], best[2] if best else "allow"
 
 
+def test_extra_columns_of_any_type_pass_through(spark):
+    pages = spark.sql("SELECT id AS page_id, 'http://a.net/es/' AS url, map('k', id) AS m, array(map(1, id)) AS n, named_struct('x', map('y', 'z')) AS s, parse_json('{\"v\": 1}') AS v FROM range(5)")
+    rows = url_rules.judge_urls(pages, spark.createDataFrame(RULES, "host string, path string, verdict string")).collect()
+    assert sorted((r["page_id"], r["m"]["k"], r["s"]["x"]["y"], r["rule"]) for r in rows) == [(i, i, "z", judged("http://a.net/es/")[2]) for i in range(5)]
+
+
+def test_very_many_rules_of_one_host():
+    import time
+
+    level, began = url_rules.Open("com/", "com"), time.perf_counter()
+    for i in range(100_000):
+        level.add(f"/{i}/" + "x" * (i % 300), "block")
+    assert level.longest("/7/" + "x" * 7 + "/more") == "/7/xxxxxxx" and level.longest("/none") is None
+    assert time.perf_counter() - began < 5
+
+
 def test_urls_equal_brute_force(spark):
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS * 40)], "page_id long, url string").withColumns({"key": F.lit("k"), "host": F.lit("h"), "salt": F.lit(1)})
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")

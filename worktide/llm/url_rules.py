@@ -88,10 +88,13 @@ class Open:
     def add(self, path: str, verdict: str) -> None:
         if self.paths.get(path) != "block":
             self.paths[path] = verdict
-        self.lengths = sorted({len(p) for p in self.paths}, reverse=True)
+        at = bisect.bisect_left(self.lengths, len(path))
+        if self.lengths[at : at + 1] != [len(path)]:
+            self.lengths.insert(at, len(path))
 
     def longest(self, path: str) -> str | None:
-        return next((path[:n] for n in self.lengths if n <= len(path) and path[:n] in self.paths), None)
+        known = self.lengths[: bisect.bisect_right(self.lengths, len(path))]
+        return next((path[:n] for n in reversed(known) if path[:n] in self.paths), None)
 
 
 def sweep(both: DataFrame, default: str) -> DataFrame:
@@ -127,13 +130,20 @@ def sweep(both: DataFrame, default: str) -> DataFrame:
     return both.mapInArrow(judge, T.StructType([fields["row"], *text]))
 
 
+def told_apart(pages: DataFrame, names: list[str]) -> list[Column]:
+    """What tells rows apart, as columns that have a hash: maps have none."""
+    nested = ("map", "array", "struct", "variant")
+    value = lambda c: F.to_json(F.struct(F.col(f"row.`{c}`"))) if pages.schema[c].dataType.typeName() in nested else F.col(f"row.`{c}`")
+    return [value(c) for c in names]
+
+
 def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = DEFAULT) -> DataFrame:
     """``pages`` with host, path, rule and verdict; rules: host, path, verdict."""
     result = ("host", "path", "rule", "verdict")
     own = [c for c in pages.columns if c.lower() not in result]
     host, path = host_and_path(F.col(url))
     parts = 4 * n_partitions(pages.sparkSession)
-    urls = in_small_batches(pages).select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), host.alias("host"), path.alias("path")).withColumns({"key": canonical(F.col("host")), "salt": F.xxhash64("path", "row")})
+    urls = in_small_batches(pages).select(F.struct(*(F.col(f"`{c}`") for c in own)).alias("row"), host.alias("host"), path.alias("path")).withColumns({"key": canonical(F.col("host")), "salt": F.xxhash64("path", *told_apart(pages, own))})
     points = cuts(urls, parts)
     named = rules.where("host <> '' and path is not null").select(F.translate("host", UPPER, LOWER).alias("host"), "path", "verdict").withColumn("key", canonical(F.col("host")))
     dealt = in_parts(urls, points, False).withColumns({"is_url": F.lit(True), "verdict": F.lit(None).cast("string")})
