@@ -29,7 +29,9 @@ rows give no rows.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -92,9 +94,9 @@ def numbered(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     ids = np.empty(sum(map(len, texts)), np.int32)
     begins, base = [0], 0
     for words in texts:
-        table: dict[bytes, int] = {}
+        table: dict[bytes, int] = defaultdict(count().__next__)  # a new word gets the next number
         at = begins[-1]
-        ids[at : at + len(words)] = [table.setdefault(w, len(table)) for w in words]
+        ids[at : at + len(words)] = np.fromiter(map(table.__getitem__, words), np.int32, len(words))
         ids[at : at + len(words)] += base
         base += len(table)
         begins.append(at + len(words))

@@ -95,12 +95,14 @@ def planted_periods(docs: DataFrame) -> DataFrame:
     stretch of their words from some word on."""
     h = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(1))
     words = F.filter(F.split("text", WORD.replace("[^", "[")), lambda w: w != "")
-    picked = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, words).alias("words"))
-    n, g = F.size("words"), F.expr("h div 10")
-    start = picked.withColumns({"a": F.when(n > 0, (g % n).cast("int")), "g": g})
-    placed = start.withColumn("p", F.expr("cast(1 + (size(words) - a) div (3 + g % 8) as int)"))
-    text = F.expr("array_join(transform(words, (w, i) -> if(i < a, w, words[a + (i - a) % p])), ' ')")
-    return placed.select("doc_id", F.when(n > 0, text).otherwise(F.col("text")).alias("text"))
+    # exploding an array of one splits each text once; a plain column would be put in again wherever it is used
+    picked = docs.select("doc_id", "text", h.alias("h"), F.explode(F.array(F.when(h % 10 == 0, words))).alias("words"))
+    n, m = F.size("words"), F.col("n") - F.col("a")
+    start = picked.withColumn("n", n).withColumns({"a": F.expr("if(n > 0, cast((h div 10) % n as int), 0)"), "k": F.expr("cast(3 + (h div 10) % 8 as int)")})
+    placed = start.withColumn("p", F.expr("1 + (n - a) div k").cast("int"))
+    unit = F.slice("words", F.col("a") + 1, F.col("p"))
+    again = F.slice(F.flatten(F.array_repeat(unit, F.ceil(m / F.col("p")).cast("int"))), F.lit(1), m)
+    return placed.select("doc_id", F.when(F.col("n") > 0, F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ")).otherwise(F.col("text")).alias("text"))
 
 
 def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
