@@ -9,8 +9,8 @@ item that has fewer.
    they compress), with a directory of the shard's documents. Places count on over a
    shard's documents with a hole between two, so no phrase runs over a text's end.
    The index is a table; nothing is shuffled to build it.
-2. Anchors. How often each word of the benchmark occurs in the corpus is one sum over
-   its index rows. Every window names its rarest word (the first of equals; a word
+2. Anchors. The lists of the benchmark's words are taken out of the index once. How
+   often each word occurs in the corpus is one sum over them. Every window names its rarest word (the first of equals; a word
    that nowhere occurs rules the window out); windows of an item that name the same
    place are one anchor.
 3. Intersection. Anchors meet the shards that hold their word, and the shard's lists
@@ -29,7 +29,9 @@ benchmark hits nothing, and no documents give no rows. Other columns are not rea
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +42,10 @@ from worktide.llm import _hashing as H
 from worktide.llm._common import in_small_batches, saved
 
 WIDTH = 10
-#: Bytes of text in a shard, and benchmark words that meet a shard at once.
-SHARD_BYTES, BLOCK_WORDS = 4 << 20, 1_000_000
+#: Bytes of text in a shard (and one more batch at most), and benchmark words that meet a shard at once.
+SHARD_BYTES, BLOCK_WORDS = 32 << 20, 1_000_000
+#: Bytes of benchmark words that may be broadcast.
+BROADCAST_BYTES = 16 << 20
 #: What every byte counts as: letters in lower case, digits, bytes beyond ASCII; else a blank.
 COUNTS_AS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 INDEX = "shard long, term string, n long, steps binary, doc_ids array<long>, begins array<int>, sizes array<int>"
@@ -51,43 +55,64 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(COUNTS_AS).split()
 
 
-def shard_rows(shard: int, doc_ids: list, texts: list[bytes]) -> pa.RecordBatch:
-    """A shard's directory (term null) and its posting lists."""
-    table: dict[bytes, int] = {}
-    ids, sizes = [], []
-    for text in texts:
-        words = words_of(text)
-        sizes.append(len(words))
-        ids.append(np.fromiter((table.setdefault(w, len(table)) for w in words), np.int32, len(words)))
-    sizes = np.array(sizes, np.int32)
-    begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]]).astype(np.int32) if len(sizes) else np.zeros(0, np.int32)
-    ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-    places = (np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)).astype(np.int32)
-    places = places[np.argsort(ids, kind="stable")]
-    counts = np.bincount(ids, minlength=len(table))
-    ends = np.cumsum(counts)
-    steps = np.diff(places, prepend=np.int32(0)).astype(np.int32)
-    first = ends - counts
-    steps[first] = places[first]
-    n = len(table) + 1
-    data = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0, 0], ends * 4]).astype(np.int32)), pa.py_buffer(steps)])
-    only = lambda values, kind: pa.array([values] + [None] * (n - 1), pa.list_(kind))
-    columns = [pa.array(np.full(n, shard)), pa.array([None, *table], pa.binary()).cast(pa.string()), pa.array(np.concatenate([[len(sizes)], counts]).astype(np.int64)), data]
-    columns += [only(doc_ids, pa.int64()), only(begins.tolist(), pa.int32()), only(sizes.tolist(), pa.int32())]
-    return pa.RecordBatch.from_arrays(columns, names=["shard", "term", "n", "steps", "doc_ids", "begins", "sizes"])
+def by_number(ids: np.ndarray) -> np.ndarray:
+    """A stable order of ids, by halves of 16 bits, which numpy sorts by radix."""
+    order = np.argsort(ids.astype(np.uint16), kind="stable")
+    high = (ids >> 16).astype(np.uint16)
+    return order[np.argsort(high[order], kind="stable")] if high.any() else order
+
+
+class Shard:
+    """Documents of one shard: their words as numbers, and the words so far."""
+
+    def __init__(self):
+        self.table: dict[bytes, int] = defaultdict(count().__next__)  # a new word gets the next number
+        self.ids, self.sizes, self.doc_ids, self.bytes = [], [], [], 0
+
+    def add(self, doc_ids: list, texts: list[bytes]) -> None:
+        for text in texts:
+            words = words_of(text)
+            self.sizes.append(len(words))
+            self.ids.append(np.fromiter(map(self.table.__getitem__, words), np.int32, len(words)))
+        self.doc_ids += doc_ids
+        self.bytes += sum(map(len, texts))
+
+    def rows(self, shard: int) -> pa.RecordBatch:
+        """The directory (term null) and the posting lists."""
+        sizes, ids = np.array(self.sizes, np.int32), np.concatenate(self.ids)
+        begins = np.cumsum(sizes + 1) - sizes - 1
+        places = (np.arange(len(ids)) + np.repeat(np.arange(len(sizes)), sizes)).astype(np.int32)[by_number(ids)]
+        counts = np.bincount(ids, minlength=len(self.table))
+        ends = np.cumsum(counts)
+        steps = np.diff(places, prepend=np.int32(0)).astype(np.int32)
+        steps[ends - counts] = places[ends - counts]
+        n = len(self.table) + 1
+        data = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.concatenate([[0, 0], ends * 4]).astype(np.int32)), pa.py_buffer(steps)])
+        only = lambda values, kind: pa.array([values] + [None] * (n - 1), pa.list_(kind))
+        columns = [pa.array(np.full(n, shard)), pa.array([None, *self.table], pa.binary()).cast(pa.string()), pa.array(np.concatenate([[len(sizes)], counts]).astype(np.int64)), data]
+        columns += [only(self.doc_ids, pa.int64()), only(begins.tolist(), pa.int32()), only(self.sizes, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["shard", "term", "n", "steps", "doc_ids", "begins", "sizes"])
 
 
 def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The stored index of docs (doc_id, text): see INDEX."""
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() << 32
+        number, open_ = TaskContext.get().partitionId() << 32, Shard()
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            rows = open_.rows(number)
+            for at in range(0, len(rows), 4096):
+                yield rows.slice(at, 4096)
+
         for batch in batches:
-            for first, texts in H.slices(batch["text"], shard_bytes):
-                rows = shard_rows(shard, batch["doc_id"].slice(first, len(texts)).to_pylist(), texts)
-                shard += 1
-                for at in range(0, len(rows), 4096):
-                    yield rows.slice(at, 4096)
+            for first, texts in H.slices(batch["text"]):
+                open_.add(batch["doc_id"].slice(first, len(texts)).to_pylist(), texts)
+                if open_.bytes >= shard_bytes:
+                    yield from closed()
+                    number, open_ = number + 1, Shard()
+        if open_.sizes:
+            yield from closed()
 
     return saved(in_small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(shards, INDEX))
 
@@ -105,12 +130,21 @@ def item_words(items: DataFrame) -> DataFrame:
     return saved(items.select(F.col("item_id").cast("string").alias("item_id"), words.alias("words")).where(F.size("words") > 0).withColumn("no", F.monotonically_increasing_id()))
 
 
-def anchors(items: DataFrame, index: DataFrame, width: int = WIDTH) -> DataFrame:
+def tested_lists(items: DataFrame, index: DataFrame) -> DataFrame:
+    """The index's lists of words that items have: shard, term, n, steps. Few items'
+    words are broadcast, their bytes being counted first; else both sides meet by word."""
+    terms = saved(items.select(F.explode("words").alias("term")).distinct())
+    size = terms.agg(F.sum(F.octet_length("term") + 16)).first()[0] or 0
+    terms = F.broadcast(terms) if size <= BROADCAST_BYTES else terms
+    return saved(index.where("term IS NOT NULL").select("shard", "term", "n", "steps").join(terms, "term"))
+
+
+def anchors(items: DataFrame, lists: DataFrame, width: int = WIDTH) -> DataFrame:
     """no, term, at, low, words, counts: an anchor's word and its place in its item,
     where its first window starts, and the words (with their numbers in the corpus)
     from there to its last window's end. Windows with an absent word are gone."""
     each = items.select("no", F.posexplode("words").alias("at", "term"))
-    counts = index.where("term IS NOT NULL").select("term", "n").join(each.select("term").distinct(), "term").groupBy("term").agg(F.sum("n").alias("count"))
+    counts = lists.groupBy("term").agg(F.sum("n").alias("count"))
     known = each.join(counts, "term", "left").withColumn("count", F.coalesce("count", F.lit(0)))
     frame = W.partitionBy("no").orderBy("at").rowsBetween(0, width - 1)
     window = known.select("no", F.col("at").alias("start"), F.collect_list(F.struct("term", "count", "at")).over(frame).alias("window")).where((F.size("window") == width) | (F.col("start") == 0))
@@ -169,10 +203,9 @@ def near_spans(lists: dict[str, np.ndarray], term: str, words: list[str], reach:
 MATCH = "shard long, begin int, no long, start long, end long, item_start int"
 
 
-def intersected(index: DataFrame, found: DataFrame, spans) -> DataFrame:
+def intersected(index: DataFrame, listed: DataFrame, found: DataFrame, spans) -> DataFrame:
     """MATCH rows: ``spans(lists, anchor)`` gives first, last place beyond and item
     place of an anchor's matches in one shard's posting lists."""
-    listed = index.where("term IS NOT NULL").select("shard", "term", "n", "steps")
     total = found.agg(F.sum("size")).first()[0] or 0
     blocks = -(-total // BLOCK_WORDS) or 1
     block = F.pmod(F.xxhash64("no"), F.lit(blocks)).cast("int").alias("block")
@@ -214,13 +247,15 @@ def phrase_matches(index: DataFrame, items: DataFrame, width: int = WIDTH) -> Da
         starts, left, right = phrase_spans(lists, anchor["term"], anchor["at"] - anchor["low"], anchor["words"], anchor["counts"], width)
         return starts + left, starts + right, anchor["low"] + left
 
-    return intersected(index, anchors(items, index, width), spans)
+    lists = tested_lists(items, index)
+    return intersected(index, lists, anchors(items, lists, width), spans)
 
 
 def near_matches(index: DataFrame, items: DataFrame, reach: int, width: int = WIDTH) -> DataFrame:
     """As phrase_matches, for stretches of at most ``reach`` document words that hold
     all words of one of the item's windows, in any order; item_start: the window's."""
-    narrow = anchors(items, index, width)
+    lists = tested_lists(items, index)
+    narrow = anchors(items, lists, width)
     last = F.greatest(F.size("words") - width, F.lit(0))
     every = narrow.select("no", "term", "at", F.explode(F.sequence(F.lit(0), last)).alias("start"), "low", "words", "counts").select(
         "no", "term", "at", (F.col("low") + F.col("start")).alias("low"), F.slice("words", F.col("start") + 1, width).alias("words"), F.slice("counts", F.col("start") + 1, width).alias("counts")
@@ -230,7 +265,7 @@ def near_matches(index: DataFrame, items: DataFrame, reach: int, width: int = WI
         first, last = near_spans(lists, anchor["term"], anchor["words"], reach)
         return first, last, np.full(len(first), anchor["low"])
 
-    return intersected(index, saved(every.withColumn("size", F.size("words"))), spans).distinct()
+    return intersected(index, lists, saved(every.withColumn("size", F.size("words"))), spans).distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH) -> DataFrame:
