@@ -106,7 +106,7 @@ def build_index(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                 yield rows.slice(at, 4096)
 
         for batch in batches:
-            for first, texts in H.slices(batch["text"]):
+            for first, texts in H.slices(batch["text"], min(shard_bytes, H.SLICE_BYTES)):
                 open_.add(batch["doc_id"].slice(first, len(texts)).to_pylist(), texts)
                 if open_.bytes >= shard_bytes:
                     yield from closed()
