@@ -188,3 +188,74 @@ ORACLE_SQL: dict[str, str] = {
         SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.verdict, 'allow') AS verdict FROM parts p LEFT JOIN fits f USING (page_id)
     """,
 }
+
+#: crc32 of a decimal number as SQL: a table of 256 remainders, then a byte at a time.
+_CRC = """crc_table AS (
+            SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+        )"""
+_CRC_OF_ID = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+
+def _levels(source: str, name: str) -> str:
+    """A recursive table of all levels of the trees over ``source`` (tree, i, h, n)."""
+    return f"""{name}(lvl, tree, i, h, n) AS (
+            SELECT 0, tree, i, h, n FROM {source}
+            UNION ALL
+            SELECT lvl + 1, tree, i // 16, sha256(string_agg(h, '' ORDER BY i)), (n + 15) // 16 FROM {name} WHERE n > 1 GROUP BY lvl, tree, i // 16, n
+        )"""
+
+
+def _steps(source: str, levels: str, name: str) -> str:
+    """tree, i of each node of ``source`` and its siblings left and right by level."""
+    return f"""{name} AS (
+            SELECT tree, i, list({{'l': l, 'r': r}} ORDER BY lvl) AS path FROM (
+                SELECT a.tree, a.i, b.lvl, coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i // (16 ** b.lvl)::BIGINT), '') AS l,
+                       coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i // (16 ** b.lvl)::BIGINT), '') AS r
+                FROM {source} a JOIN {levels} b ON b.tree = a.tree AND b.n > 1 AND b.i // 16 = a.i // (16 ** (b.lvl + 1))::BIGINT
+                GROUP BY a.tree, a.i, b.lvl
+            ) GROUP BY tree, i
+        )"""
+
+
+ORACLE_SQL |= {
+    "op12_decontaminate": r"""
+        WITH item AS (
+            SELECT row_number() OVER () AS no, item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), win AS (
+            SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS k
+            FROM (SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM item WHERE len(w) > 0)
+        ), doc AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+        ), place AS (
+            SELECT r, n, i, array_to_string(w[i : i + n - 1], ' ') AS k
+            FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM doc JOIN (SELECT DISTINCT n FROM win) ON len(w) >= n)
+        ), hit AS (SELECT r, i, n, item_id FROM place JOIN win USING (n, k)
+        ), word AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS j FROM hit) GROUP BY r
+        ), name AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR) FILTER (item_id IS NOT NULL)) AS ids FROM hit GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+               sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM doc LEFT JOIN word USING (r) LEFT JOIN name USING (r)
+    """,
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE {_CRC}, part AS (
+            SELECT doc_id, coalesce('=' || source, '') AS tree, coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+                   || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head, text,
+                   CASE WHEN coalesce({_CRC_OF_ID} % 5 = 0, false) THEN translate(text, '{CAPITALS}', '{SMALL}') ELSE text END AS forged
+            FROM documents, crc_table
+        ), hashed AS (
+            SELECT doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h, sha256(head || coalesce(strlen(forged) || ':' || forged, '-')) AS f FROM part
+        ), leaf AS (
+            SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY tree) AS n FROM hashed
+        ), {_levels('leaf', 'node')}, {_steps('leaf', 'node', 'inner_path')}, top AS (
+            SELECT '' AS tree, tree AS of_tree, h, row_number() OVER (ORDER BY tree) - 1 AS i, count(*) OVER () AS n FROM node WHERE n = 1
+        ), {_levels('top', 'above')}, {_steps('top', 'above', 'upper_path')}, whole AS (
+            SELECT leaf.doc_id, leaf.h, leaf.f, top.h AS subroot, (SELECT h FROM above WHERE n = 1) AS root, list_concat(coalesce(p.path, []), coalesce(u.path, [])) AS path
+            FROM leaf JOIN top ON top.of_tree = leaf.tree LEFT JOIN inner_path p ON p.tree = leaf.tree AND p.i = leaf.i LEFT JOIN upper_path u ON u.i = top.i
+        ), done AS (
+            SELECT doc_id, h AS leaf, subroot, root, sha256(array_to_string(list_transform(path, lambda s: s.l || s.r), '')) AS proof_sha256,
+                   list_reduce(list_prepend({{'l': '', 'r': f}}, path), lambda a, s: {{'l': '', 'r': sha256(s.l || a.r || s.r)}}).r AS folded_root
+            FROM whole
+        )
+        SELECT *, folded_root = root AS verified FROM done
+    """,
+}
