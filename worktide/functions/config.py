@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, fields, replace
 
+from pyspark.sql import DataFrame, functions as F
+
 
 @dataclass(frozen=True)
 class Label:
@@ -89,3 +91,26 @@ def settings_from(raw: dict) -> tuple[Settings, list[tuple[str, str]]]:
                 continue
         kept[name] = value
     return replace(Settings(), **kept), warnings
+
+
+def judged_settings(rows: DataFrame) -> DataFrame:
+    """``rows`` (name, value as text; many people's settings) with reason: why a value
+    is refused, null where it is kept. The rules of ``settings_from`` as columns: pairs
+    are two numbers with a comma between them, whole numbers have no fraction. The
+    table of settings has a row for each field, so it is broadcast."""
+    known = []
+    for f in fields(Settings):
+        if f.name != "labels":
+            default = getattr(Settings(), f.name)
+            low, high = RANGES.get(f.name, (float("-inf"), float("inf")))
+            kind = "number" if isinstance(default, float) else "whole" if isinstance(default, int) else "pair" if len(default) == 2 else "list"
+            known.append((f.name, kind, float(low), float(high)))
+    table = rows.sparkSession.createDataFrame(known, "name string, kind string, low double, high double")
+    number = F.expr("try_cast(value AS double)")
+    whole = (F.col("kind") == "whole") & (number != F.floor(number))
+    reason = (
+        F.when(F.col("kind").isNull(), "unknown")
+        .when((F.col("kind") == "pair") & ~F.coalesce(F.col("value").rlike(r"^-?[0-9.]+,-?[0-9.]+$"), F.lit(False)), "not a pair or list")
+        .when(F.col("kind").isin("number", "whole"), F.when(number.isNull() | whole, "not a number").when(~number.between(F.col("low"), F.col("high")), "out of range"))
+    )
+    return rows.join(F.broadcast(table), "name", "left").select(*rows.columns, reason.alias("reason"))

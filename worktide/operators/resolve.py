@@ -173,21 +173,50 @@ def clusters(scores: DataFrame, names: DataFrame, cap: int = 5, scope: str = "sc
     return scores.groupBy(scope).cogroup(names.groupBy(scope)).applyInPandas(solve, f"{scope} {kind}, name string, canon string")
 
 
-def close_aliases(edges: DataFrame, alias: str = "alias", canon: str = "canon", hops: int = 32) -> DataFrame:
-    """Chains flattened: alias, canon. A cycle's representative is its least name.
-
-    Pointer jumping: every round joins the table with itself and halves the
-    chains, so 32 hops take five joins.
+def close_aliases(edges: DataFrame, alias: str = "alias", canon: str = "canon", scope: list[str] | None = None, rank: Column | None = None) -> DataFrame:
+    """scope, alias, canon: every chain followed to its end, within its scope.
+
+    An alias with several canons takes the least. A chain that runs into a cycle ends
+    at the cycle's representative: the node of the least ``rank`` (a column over
+    ``canon``; shortest without extra white space, then shortest, then first by
+    default), which is nobody's alias. Names that are their own canon are left out.
+
+    Pointer jumping: a round joins the table with itself and doubles each pointer's
+    reach. The nodes that pointers within the table lead to become fewer until those
+    on cycles are left, which a pointer only permutes; then the rounds stop, however
+    long the chains are. The least rank then goes round the cycles in the same way.
     """
-    table = edges.where(F.col(alias) != F.col(canon)).groupBy(F.col(alias).alias("x")).agg(F.min(canon).alias("y"))
-    least = table.withColumn("m", F.least("x", "y"))
-    jumps = 1
-    while jumps < hops:
-        nxt = least.select(F.col("x").alias("y"), F.col("y").alias("y2"), F.col("m").alias("m2"))
-        least = least.join(nxt, "y", "left").select("x", F.coalesce("y2", "y").alias("y"), F.least("m", F.coalesce("m2", "m")).alias("m"))
-        jumps *= 2
-    ends = table.select(F.col("x").alias("y")).withColumn("_cycle", F.lit(True))
-    out = least.join(ends, "y", "left").select(F.col("x").alias(alias), F.when(F.col("_cycle"), F.col("m")).otherwise(F.col("y")).alias(canon))
+    keys = scope or []
+    name = F.col(canon)
+    rank = rank if rank is not None else F.struct(F.length(F.trim(F.regexp_replace(name.cast("string"), r"\s+", " "))), F.length(name.cast("string")), name)
+    held = edges.where(F.col(alias) != F.col(canon)).groupBy(*keys, F.col(alias).alias("x")).agg(F.min(canon).alias("y"))
+    first = stored(held)
+    inner = first.select(*keys, F.col("x").alias("y")).withColumn("inside", F.lit(True))
+
+    def hop(table: DataFrame) -> DataFrame:
+        onward = table.select(*keys, F.col("x").alias("y"), F.col("y").alias("y2"))
+        return stored(table.join(onward, [*keys, "y"], "left").select(*keys, "x", F.coalesce("y2", "y").alias("y")))
+
+    def on_table(table: DataFrame) -> DataFrame:
+        """The nodes that pointers lead to and that point on themselves."""
+        return table.select(*keys, "y").distinct().join(inner, [*keys, "y"], "left_semi")
+
+    reach, left = first, None
+    while (now := on_table(reach).count()) and now != left:
+        reach, left = hop(reach), now
+    if not now:
+        return reach.select(*keys, F.col("x").alias(alias), F.col("y").alias(canon))
+
+    cycle = stored(on_table(reach).withColumnRenamed("y", "x"))
+    ranked = stored(first.join(cycle, [*keys, "x"], "left_semi").withColumn(canon, F.col("x")).select(*keys, "x", "y", rank.alias("rank"), F.col("x").alias("name")))
+    state = lambda t: t.agg(F.sum(F.xxhash64(*keys, "x", "name").cast("decimal(20,0)"))).first()[0]
+    before, best = None, ranked.select(*keys, "x", "y", F.struct("rank", "name").alias("best"), "name")
+    while (after := state(best)) != before:
+        onward = best.select(*keys, F.col("x").alias("y"), F.col("y").alias("y2"), F.col("best").alias("best2"))
+        both = best.join(onward, [*keys, "y"]).select(*keys, "x", F.col("y2").alias("y"), F.least("best", "best2").alias("best"))
+        before, best = after, stored(both.withColumn("name", F.col("best.name")))
+    heads = best.select(*keys, F.col("x").alias("y"), F.col("name").alias("head"))
+    out = reach.join(heads, [*keys, "y"], "left").select(*keys, F.col("x").alias(alias), F.coalesce("head", "y").alias(canon))
     return out.where(F.col(alias) != F.col(canon))
 
 

@@ -64,9 +64,10 @@ def cap_passive(spans: DataFrame, most: float, keys: tuple[str, ...] = ("owner",
 
 
 def next_matching(rows: DataFrame, keys: list[str], order: list[str], holds: Column, value: Column, name: str) -> DataFrame:
-    """As-of join forward: the value of the first later row for which ``holds``."""
-    later = W.partitionBy(*keys).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
-    return rows.withColumn(name, F.first(F.when(holds, value), ignorenulls=True).over(later))
+    """As-of join forward: the value of the first later row for which ``holds``. The
+    rows run backwards, so that the last match seen is kept and no frame is read anew."""
+    later = W.partitionBy(*keys).orderBy(*(F.desc(c) for c in order)).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn(name, F.last(F.when(holds, value), ignorenulls=True).over(later))
 
 
 def order_to_done(rows: DataFrame, keys: list[str], at: str, is_order: Column, is_done: Column, days: int) -> DataFrame:
@@ -81,10 +82,13 @@ def order_to_done(rows: DataFrame, keys: list[str], at: str, is_order: Column, i
 def order_to_shared_done(rows: DataFrame, keys: list[str], at: str, words: str, is_order: Column, is_done: Column, days: int) -> DataFrame:
     """Each order with the first done row of its key within ``days`` that shares a word
     with it; of several orders with one done row the shortest lead stays. Orders and
-    done rows meet on key and word, so only rows with a common word are ever paired."""
-    each = lambda holds, name: rows.where(holds).select(*keys, F.col(at).alias(name), F.explode(F.array_distinct(words)).alias("_word"))
+    done rows of a key and word run backwards together, each order taking the done row
+    seen last, so that nothing is paired: the work grows with the rows."""
+    each = rows.select(*keys, F.col(at).alias("_at"), is_order.alias("_order"), is_done.alias("_done"), F.explode(F.array_distinct(words)).alias("_word")).where("_order OR _done")
+    back = W.partitionBy(*keys, "_word").orderBy(F.desc("_at"), F.col("_done")).rowsBetween(W.unboundedPreceding, -1)
     lead = F.timestamp_diff("MICROSECOND", F.col("order_at"), F.col("done_at"))
-    met = each(is_order, "order_at").join(each(is_done, "done_at"), [*keys, "_word"]).where((lead > 0) & (lead <= days * 86_400_000_000))
+    done = F.last(F.when(F.col("_done"), F.col("_at")), ignorenulls=True).over(back)
+    met = each.withColumn("done_at", done).where("_order").select(*keys, F.col("_at").alias("order_at"), "done_at").where((lead > 0) & (lead <= days * 86_400_000_000))
     paired = met.groupBy(*keys, "order_at").agg(F.min("done_at").alias("done_at"))
     return paired.groupBy(*keys, "done_at").agg(F.max("order_at").alias("order_at")).withColumn("lead_h", F.round(lead / 3600e6, 2))
 

@@ -231,7 +231,15 @@ SELECT p_partkey, lower(stem) || '_v' || p_size AS base, (['prt', 'cas.h5', 'doc
 SELECT page_id, CAST(length(trim(regexp_replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))) AS INTEGER) AS n_chars, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title FROM s""",
     "meeting_rules": """WITH r AS (SELECT CASE WHEN o_orderstatus = 'P' THEN 'cancelled' WHEN o_custkey % 6 = 4 THEN 'declined' WHEN o_orderkey % 3 = 0 AND o_custkey % 6 NOT IN (1, 3) THEN 'free' WHEN o_custkey % 6 = 2 AND o_orderkey % 3 = 1 THEN 'tentative' END AS reason FROM orders)
 SELECT reason, count(*) AS n FROM r GROUP BY 1""",
-    "alias_closure": """WITH RECURSIVE c AS (SELECT p_partkey AS alias, p_partkey // 3 AS canon FROM part WHERE p_partkey > 0 UNION ALL SELECT alias, canon // 3 FROM c WHERE canon > 0) SELECT alias, min(canon) AS canon FROM c GROUP BY 1""",
+    "alias_closure": """WITH RECURSIVE k AS (SELECT c_custkey AS k, c_custkey % 200 // 2 AS r, c_custkey // 200 % 2 = 1 AS plain FROM customer
+), s AS (SELECT k, CASE WHEN r < 60 THEN 2 WHEN plain THEN NULL WHEN r < 69 THEN 2 WHEN r < 70 THEN -18 WHEN r < 75 THEN -12 WHEN r < 76 THEN 2 WHEN r < 77 THEN -2 END AS step FROM k
+), e AS (SELECT k % 2 AS scope, k, k + step AS n FROM s WHERE step IS NOT NULL
+), w AS (SELECT scope, k, n AS cur, [k] AS seen FROM e UNION ALL SELECT w.scope, w.k, e.n, list_append(w.seen, w.cur) FROM w JOIN e ON e.scope = w.scope AND e.k = w.cur WHERE NOT list_contains(w.seen, w.cur)
+), l AS (SELECT scope, k, arg_max(cur, len(seen)) AS cur, arg_max(seen, len(seen)) AS seen FROM w GROUP BY 1, 2
+), m AS (SELECT scope, k, unnest(CASE WHEN list_contains(seen, cur) THEN seen[list_position(seen, cur):] ELSE [cur] END) AS c FROM l
+), x AS (SELECT *, CASE WHEN c % 3 = 0 THEN 'task  ' ELSE 'task ' END || c AS name FROM m
+), f AS (SELECT scope, CASE WHEN k % 3 = 0 THEN 'task  ' ELSE 'task ' END || k AS alias, arg_min(name, (length('task ' || c), length(name), name)) AS canon FROM x GROUP BY scope, k)
+SELECT * FROM f WHERE alias <> canon""",
 }
 _SESSIONS = ORACLE_SQL["session_active_passive"].rsplit("SELECT owner, day, greatest(min(a)", 1)[0].rstrip()
 _CAPPED = f"""{_SESSIONS}, spans AS (

@@ -477,9 +477,15 @@ def meeting_rules(spark, sf):
 
 
 def alias_closure(spark, sf):
-    """Each part's name points to the part a third of its key away; chains end at 0."""
-    edges = t(spark, sf, "part").where("p_partkey > 0").select(F.col("p_partkey").alias("alias"), F.floor(F.col("p_partkey") / 3).alias("canon"))
-    return resolve.close_aliases(edges)
+    """Customers' names as aliases within two scopes: chains of sixty, into a cycle of
+    ten or to an end, tails that lead into a cycle, cycles of two and lone names."""
+    k, r = F.col("c_custkey"), F.floor(F.col("c_custkey") % 200 / 2)
+    plain = F.floor(F.col("c_custkey") / 200) % 2 == 1
+    step = F.when(r < 60, 2).when(plain, None).when(r < 69, 2).when(r < 70, -18).when(r < 75, -12).when(r < 76, 2).when(r < 77, -2)
+    names = t(spark, sf, "customer").withColumn("step", step)
+    name = lambda key: F.concat(F.when(key % 3 == 0, "task  ").otherwise("task "), key.cast("string"))
+    edges = names.where("step IS NOT NULL").select((k % 2).alias("scope"), name(k).alias("alias"), name(k + F.col("step")).alias("canon"))
+    return resolve.close_aliases(edges, scope=["scope"])
 
 
 def name_clusters(spark, sf):

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from worktide.functions import predicates as P, text as T
-from worktide.functions.config import settings_from
+from worktide.functions import config, predicates as P, text as T
 from worktide.operators import judged as J, signals, team
 from worktide.sources import traces
 
@@ -47,7 +46,7 @@ def project_clusters(spark, sf):
     p = _t(spark, sf, "part")
     name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_brand")).otherwise(F.concat(F.replace("p_brand", F.lit("#"), F.lit("# ")), F.lit("_")))
     clusters = p.select(F.col("p_partkey").alias("cluster"), name.alias("project"), (F.col("p_size") / 4.0).alias("mm"), (F.col("p_size") / 8.0).alias("ax_mm"), F.lit(1).alias("flows"))
-    people = _t(spark, sf, "lineitem").where("l_linenumber = 1").select(F.col("l_partkey").alias("cluster"), (F.col("l_suppkey") % 9).alias("who"))
+    people = _t(spark, sf, "lineitem").select(F.col("l_partkey").alias("cluster"), (F.col("l_suppkey") % 9).alias("who"))
     return J.by_project(clusters, people)
 
 
@@ -96,9 +95,9 @@ def best_matches(spark, sf):
 
 def source_inventory(spark, sf):
     e = _t(spark, sf, "events")
-    expected = spark.createDataFrame([("click", False), ("purchase", False), ("mail", True), ("calendar", False)], "source string, optional boolean")
+    expected = spark.createDataFrame([("click", False), ("web", False), ("purchase", False), ("mail", True), ("calendar", False)], "source string, optional boolean")
     as_of = F.lit("2024-02-20").cast("date")
-    rows = e.where("event_type <> 'click' OR event_id < 20").select(F.col("event_type").alias("source"), "ts").withColumnRenamed("ts", "at")
+    rows = e.select(F.when((F.col("event_type") == "click") & (F.col("event_id") >= 20), "web").otherwise(F.col("event_type")).alias("source"), F.col("ts").alias("at"))
     return J.source_inventory(rows, expected, as_of, 25, 1000).select("source", "n", "age_days", "status")
 
 
@@ -140,8 +139,8 @@ _FUNNEL = """e AS (
 def notice_senders(spark, sf):
     e = _t(spark, sf, "events")
     name = F.element_at(F.array(*map(F.lit, ("Notice / Team", "Noticeboard Kim", "no-reply@x", "helpdesk-2", "Ann Lee", "IT help"))), (F.col("user_id") % 6 + 1).cast("int"))
-    mail = e.select("event_id", "event_type", F.concat(name, F.lit(" "), F.col("user_id")).alias("sender"))
-    out = signals.notices(mail, "sender", P.is_notice(F.col("sender"), ["notice", "no-reply", "helpdesk"], ["notice"]), mail.where("event_type = 'purchase' AND event_id % 50 = 2"))
+    mail = e.select("event_id", "event_type", F.concat(name, F.lit(" "), F.col("user_id") * 31 + F.col("event_id") % 31).alias("sender"))
+    out = signals.notices(mail, "sender", P.is_notice(F.col("sender"), ["notice", "no-reply", "helpdesk"], ["notice"]), mail.where("event_type = 'purchase'"))
     return out.groupBy("sender").agg(F.max("notice").alias("notice"), F.count(F.lit(1)).alias("n"))
 
 
@@ -196,10 +195,11 @@ def rule_scalars(spark, sf):
 
 
 def config_refusals(spark, sf):
-    """What settings are refused, with the reason."""
-    raw = {"std_day_h": "7.5", "burst_n": 1, "session_gap_min": "x", "unknown": 1, "lunch": [720, 750], "day_window": 5, "min_weight": 0.5}
-    _, warnings = settings_from(raw)
-    return spark.createDataFrame(warnings, "name string, reason string")
+    """Each customer's setting, kept or refused, with the reason."""
+    k = F.col("c_custkey")
+    name = F.element_at(F.array(*map(F.lit, ("std_day_h", "burst_n", "session_gap_min", "colour", "lunch", "day_window", "min_weight"))), (k % 7 + 1).cast("int"))
+    value = F.when(k % 11 == 0, "x").when(k % 5 == 0, F.concat_ws(",", (k % 9).cast("string"), (k % 13).cast("string"))).otherwise(F.concat(F.floor(F.col("c_acctbal") / 10).cast("string"), F.when(k % 2 == 0, ".5").otherwise("")))
+    return config.judged_settings(_t(spark, sf, "customer").select("c_custkey", name.alias("name"), value.alias("value")))
 
 
 def file_choice(spark, sf):
@@ -236,7 +236,7 @@ FROM h JOIN k ON k.i = 1 AND (k.owner, k.model, k.detail) = (h.owner, h.model, h
     "report_rows": f"""WITH {_SIG} SELECT model AS level2, detail AS level3, round(sum(weight / 10), 3) AS mm, round(sum(weight / 100), 4) AS share,
   coalesce(string_agg(DISTINCT CASE WHEN worktype <> 'office' THEN worktype END, '; ' ORDER BY CASE WHEN worktype <> 'office' THEN worktype END), '') AS description, string_agg(DISTINCT source, '; ' ORDER BY source) AS evidence FROM s GROUP BY 1, 2""",
     "project_clusters": """WITH c AS (SELECT p_partkey AS cluster, p_brand AS b, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE replace(p_brand, '#', '# ') || '_' END AS project, p_size FROM part),
-w AS (SELECT l_partkey AS cluster, l_suppkey % 9 AS who FROM lineitem WHERE l_linenumber = 1), h AS (SELECT cluster, count(DISTINCT who) AS n FROM w GROUP BY 1)
+w AS (SELECT l_partkey AS cluster, l_suppkey % 9 AS who FROM lineitem), h AS (SELECT cluster, count(DISTINCT who) AS n FROM w GROUP BY 1)
 SELECT arg_min(project, (-length(project), project)) AS project, round(sum(p_size / 4.0), 2)::DOUBLE AS mm, round(sum(p_size / 8.0), 2)::DOUBLE AS ax_mm, count(*) AS flows, count(*) AS types, count(*) FILTER (n > 1) AS shared,
   coalesce((SELECT count(DISTINCT who) FROM w JOIN c c2 USING (cluster) WHERE c2.b = c.b), 0) AS people FROM c LEFT JOIN h USING (cluster) GROUP BY b""",
     "automation_ratio": "SELECT user_id, count(*) AS steps, round(avg(CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'click' THEN 0.5 ELSE 0.0 END), 4)::DOUBLE AS ax FROM events GROUP BY 1",
@@ -259,8 +259,8 @@ SELECT owner, unit, CAST(row_number() OVER (PARTITION BY owner ORDER BY CASE p_t
 g AS (SELECT * FROM a WHERE fit > 0), w AS (SELECT owner, task, w, min(batch) AS b FROM (SELECT owner, task, batch, UNNEST(work) AS w FROM g) GROUP BY 1, 2, 3),
 n AS (SELECT *, row_number() OVER (PARTITION BY owner, task ORDER BY b, w) AS i FROM w), l AS (SELECT owner, task, string_agg(w, '; ' ORDER BY i) AS work FROM n WHERE i <= 4 GROUP BY 1, 2)
 SELECT g.owner, g.task, CAST(max(fit) AS INTEGER) AS fit, arg_min(reason, (-fit, batch)) AS reason, any_value(l.work) AS work FROM g JOIN l ON l.owner = g.owner AND l.task = g.task GROUP BY 1, 2""",
-    "source_inventory": """WITH x(source, optional) AS (VALUES ('click', false), ('purchase', false), ('mail', true), ('calendar', false)),
-f AS (SELECT event_type AS source, count(*) AS n, max(ts) AS newest FROM events WHERE event_type <> 'click' OR event_id < 20 GROUP BY 1)
+    "source_inventory": """WITH x(source, optional) AS (VALUES ('click', false), ('web', false), ('purchase', false), ('mail', true), ('calendar', false)),
+f AS (SELECT CASE WHEN event_type = 'click' AND event_id >= 20 THEN 'web' ELSE event_type END AS source, count(*) AS n, max(ts) AS newest FROM events GROUP BY 1)
 SELECT x.source, coalesce(n, 0) AS n, CAST(DATE '2024-02-20' - CAST(newest AS DATE) AS INTEGER) AS age_days,
   CASE WHEN n IS NULL THEN CASE WHEN optional THEN 'off' ELSE 'bad' END WHEN n < 1000 OR DATE '2024-02-20' - CAST(newest AS DATE) > 25 THEN 'warn' ELSE 'ok' END AS status FROM x LEFT JOIN f USING (source)""",
     "month_coverage": """WITH m AS (SELECT CAST(UNNEST(generate_series(DATE '1992-01-01', DATE '2002-12-31', INTERVAL 1 MONTH)) AS DATE) AS m), k AS (SELECT DISTINCT o_orderstatus FROM orders)
@@ -272,8 +272,8 @@ SELECT c_custkey, reliable, CASE WHEN reliable THEN round(c_acctbal - avg(c_acct
   SELECT reason, CASE reason WHEN 'private' THEN text WHEN 'non-work' THEN 'five' END AS word FROM r WHERE reason IS NOT NULL
   UNION ALL SELECT 'duplicate', NULL FROM b WHERE i > 1 UNION ALL SELECT 'empty', NULL FROM e WHERE text = ''
 ) SELECT reason, word, count(*) AS n FROM c GROUP BY 1, 2""",
-    "notice_senders": """WITH m AS (SELECT event_id, event_type, user_id, (['Notice / Team', 'Noticeboard Kim', 'no-reply@x', 'helpdesk-2', 'Ann Lee', 'IT help'])[user_id % 6 + 1] || ' ' || user_id AS sender FROM events),
-r AS (SELECT DISTINCT sender FROM m WHERE event_type = 'purchase' AND event_id % 50 = 2)
+    "notice_senders": """WITH m AS (SELECT event_id, event_type, user_id, (['Notice / Team', 'Noticeboard Kim', 'no-reply@x', 'helpdesk-2', 'Ann Lee', 'IT help'])[user_id % 6 + 1] || ' ' || (user_id * 31 + event_id % 31) AS sender FROM events),
+r AS (SELECT DISTINCT sender FROM m WHERE event_type = 'purchase')
 SELECT sender, any_value(user_id % 6 IN (0, 2, 3)) AND sender NOT IN (SELECT sender FROM r) AS notice, count(*) AS n FROM m GROUP BY sender""",
     "simulation_outputs": """WITH f AS (SELECT l_orderkey % 400 AS folder, (['out', 'dat', 'f06', 'log', 'docx'])[(l_partkey + l_orderkey * 3) % CASE WHEN l_orderkey % 2 = 0 THEN 4 ELSE 5 END + 1] AS ext, l_suppkey % 5 AS base FROM lineitem),
 b AS (SELECT folder, base, count(*) AS n FROM f GROUP BY 1, 2), s AS (SELECT folder, sum(CASE WHEN n >= 2 THEN n ELSE 0 END) AS shared FROM b GROUP BY 1),
@@ -290,7 +290,11 @@ SELECT p_partkey, replace(p_name, ' ', '') AS person, p_name || '.prt' AS signal
     "rule_scalars": r"""SELECT p_partkey, strftime(DATE '2024-01-15' + CAST(p_partkey % 60 AS INTEGER), '%Y-%m') AS month, CAST(least(5, floor(p_partkey % 11 / 10.0 * 6)) AS INTEGER) AS heat,
   (p_partkey % 7 // 2) || CASE WHEN p_partkey % 7 % 2 = 1 THEN '.5%' ELSE '%' END AS percent, CASE WHEN p_partkey % 5 = 0 THEN 3.5 ELSE 9.0 END::DOUBLE AS number, CASE WHEN p_partkey % 3 = 0 THEN '@x.com' ELSE '(none)' END AS domain,
   (['Wing', NULL, 'a'])[p_partkey % 3 + 1] AS folder, ([NULL, TIMESTAMP '2024-01-02 10:30:00', TIMESTAMP '2024-01-02 00:00:00'])[p_partkey % 3 + 1] AS "at", p_partkey % 3 <> 1 AS half, p_partkey % 3 <> 1 AS placeholder, p_partkey % 3 = 0 AS leave, p_partkey % 3 <> 2 AS me FROM part""",
-    "config_refusals": "SELECT * FROM (VALUES ('burst_n', 'out of range'), ('session_gap_min', 'not a number'), ('unknown', 'unknown'), ('day_window', 'not a pair or list')) t(name, reason)",
+    "config_refusals": """WITH r AS (SELECT c_custkey, (['std_day_h', 'burst_n', 'session_gap_min', 'colour', 'lunch', 'day_window', 'min_weight'])[c_custkey % 7 + 1] AS name,
+  CASE WHEN c_custkey % 11 = 0 THEN 'x' WHEN c_custkey % 5 = 0 THEN (c_custkey % 9) || ',' || (c_custkey % 13) ELSE CAST(floor(c_acctbal / 10) AS BIGINT) || CASE WHEN c_custkey % 2 = 0 THEN '.5' ELSE '' END END AS value FROM customer
+), n AS (SELECT *, TRY_CAST(value AS DOUBLE) AS x FROM r)
+SELECT c_custkey, name, value, CASE WHEN name = 'colour' THEN 'unknown' WHEN name IN ('lunch', 'day_window') THEN CASE WHEN value LIKE '%,%' THEN NULL ELSE 'not a pair or list' END
+  WHEN x IS NULL OR (name = 'burst_n' AND x <> floor(x)) THEN 'not a number' WHEN x < CASE name WHEN 'std_day_h' THEN 1 WHEN 'burst_n' THEN 2 ELSE 0 END OR x > CASE name WHEN 'std_day_h' THEN 24 WHEN 'burst_n' THEN 1000 WHEN 'session_gap_min' THEN 240 ELSE 100 END THEN 'out of range' END AS reason FROM n""",
     "file_choice": """SELECT o_custkey AS owner, first('f' || o_orderkey ORDER BY abs(o_totalprice - c_acctbal * 10), o_orderdate DESC, 'f' || o_orderkey) AS path FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1""",
     "refined_rows": """WITH m AS (SELECT o_custkey, max(o_orderdate) FILTER (o_orderkey % 2 = 1) AS r, max(o_orderdate) FILTER (o_orderkey % 2 = 0) AS p FROM orders GROUP BY 1)
 SELECT o_custkey AS owner, o_orderkey FROM orders JOIN m USING (o_custkey) WHERE o_orderkey % 2 = CASE WHEN r IS NOT NULL AND (p IS NULL OR r >= p) THEN 1 ELSE 0 END""",
