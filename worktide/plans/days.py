@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from worktide.functions.config import Settings
-from worktide.operators import calendar_days as C, hours, intervals, machine, sessions
+from worktide.operators import calendar_days as C, hours, intervals, machine, sessions, solver_nights as N
 
 S = Settings()
 FIRST, LAST = "1990-01-01", "2099-12-31"
@@ -123,9 +123,47 @@ def order_shared_done(spark, sf):
     return sessions.order_to_shared_done(rows, ["owner"], "ts", "words", F.col("event_type") == "view", F.col("event_type") == "purchase", S.order_done_days)
 
 
-QUERIES = {f.__name__: f for f in (sampler_spans, order_shared_done, meeting_spans, calendar_absence_days, offsite_days, manual_hours, daily_from_spans, merged_machine_days, power_days)}
+def night_traces(spark, sf) -> dict[str, DataFrame]:
+    """Events as what a night is made of: signups write outputs for up to 40 minutes,
+    purchases are work, views are only looked at, clicks are sampled for 20 minutes."""
+    e = _t(spark, sf, "events")
+    m = (F.hour("ts") * 60 + F.minute("ts")).cast("double")
+    at = e.select("event_id", "event_type", F.col("user_id").alias("owner"), F.to_date("ts").alias("day"), m.alias("a"))
+    long = lambda kind, more: at.where(F.col("event_type") == kind).select("owner", "day", "a", F.least(F.lit(1440.0), F.col("a") + more).alias("b"))
+    return {"outputs": long("signup", F.col("event_id") % 5 * 10.0), "people": long("purchase", F.lit(0.0)), "views": long("view", F.lit(0.0)), "spans": long("click", F.lit(20.0))}
+
+
+def solver_night_credit(spark, sf):
+    """Minutes that solver nights credit to each date, and what became of the cap."""
+    nights = N.solver_nights(**night_traces(spark, sf), settings=S)
+    dated = nights.withColumn("date", F.floor(F.col("a") / 1440))
+    return dated.groupBy("owner", F.date_add(F.lit("1970-01-01").cast("date"), F.col("date").cast("int")).alias("day")).agg(
+        F.round(F.sum(F.col("b") - F.col("a")), 2).alias("minutes"), F.count_distinct("night").alias("nights"), F.max("opened").alias("opened"), F.max("capped").alias("capped"), F.min(F.col("a") - F.col("date") * 1440).alias("start")
+    )
+
+
+QUERIES = {f.__name__: f for f in (solver_night_credit, sampler_spans, order_shared_done, meeting_spans, calendar_absence_days, offsite_days, manual_hours, daily_from_spans, merged_machine_days, power_days)}
+
+_NIGHT_ROWS = """ev AS (
+  SELECT user_id AS owner, event_type AS kind, (CAST(ts AS DATE) - DATE '1970-01-01') * 1440 + hour(ts) * 60 + minute(ts) AS a, event_id, CAST(ts AS DATE) AS day FROM events
+), x AS (SELECT owner, kind, a, CASE kind WHEN 'signup' THEN least(a + event_id % 5 * 10, (a // 1440 + 1) * 1440) WHEN 'click' THEN least(a + 20, (a // 1440 + 1) * 1440) ELSE a END AS b FROM ev
+), nights AS (SELECT DISTINCT owner, unnest([a // 1440 - 1, a // 1440]) AS night FROM x WHERE kind = 'signup'
+), w AS (SELECT *, night * 1440 + 1140 AS w0, night * 1440 + 1920 AS w1 FROM nights
+), o AS (SELECT w.owner, night, w0, w1, min(greatest(a, w0)) AS first, max(least(b, w1)) AS last FROM w JOIN x ON x.owner = w.owner AND x.kind = 'signup' AND b >= w0 AND a < w1 GROUP BY ALL
+), s AS (
+  SELECT o.owner, night, last, coalesce(max(CASE WHEN kind = 'purchase' AND a >= w0 AND a <= first THEN a WHEN kind = 'click' AND b > w0 AND a <= first THEN least(b, first) END), first) AS start,
+    coalesce(bool_or(CASE WHEN kind IN ('purchase', 'view') THEN a > first AND a <= w1 WHEN kind = 'click' THEN b > first AND a < w1 END), false) AS opened
+  FROM o LEFT JOIN x ON x.owner = o.owner AND x.kind <> 'signup' AND x.a <= o.w1 AND x.b >= o.w0 GROUP BY o.owner, night, last, first
+), c AS (SELECT owner, night, opened, NOT opened AND last - start > 240 AS capped, CASE WHEN NOT opened THEN greatest(start, last - 240) ELSE start END AS a, last AS b FROM s WHERE last > start
+), d AS (
+  SELECT owner, night, opened, capped, greatest(a, date * 1440) AS a, least(b, (date + 1) * 1440) AS b, date FROM (SELECT *, unnest(range(CAST(floor(a / 1440.0) AS BIGINT), CAST(ceil(b / 1440.0) AS BIGINT))) AS date FROM c)
+), f AS (
+  SELECT *, CASE WHEN bool_or(opened) OVER q THEN 1440 ELSE 240 END - coalesce(sum(b - a) OVER (q ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM d WINDOW q AS (PARTITION BY owner, date)
+), credit AS (SELECT owner, night, opened, capped, date, greatest(a, b - room) AS a, b FROM f WHERE b > greatest(a, b - room))"""
 
 ORACLE_SQL = {
+    "solver_night_credit": f"""WITH {_NIGHT_ROWS}
+SELECT owner, DATE '1970-01-01' + CAST(date AS INTEGER) AS day, sum(b - a)::DOUBLE AS minutes, count(DISTINCT night) AS nights, bool_or(opened) AS opened, bool_or(capped) AS capped, min(a - date * 1440)::DOUBLE AS start FROM credit GROUP BY owner, date""",
     "sampler_spans": """WITH o AS (
   SELECT user_id % 3 AS owner, CAST(ts AS DATE) AS day, (hour(ts) * 60 + minute(ts))::DOUBLE AS m, min((CASE WHEN user_id % 3 = 0 THEN 0 ELSE event_id * 7 % 500 END, CASE WHEN event_id % 5 < 4 THEN 'doc' ELSE event_type END)) AS s FROM events GROUP BY 1, 2, 3
 ), x AS (SELECT owner, day, m, s[1] AS idle, s[2] AS title FROM o
