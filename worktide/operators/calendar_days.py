@@ -85,16 +85,16 @@ def skipped(tentative: str = "skip") -> Column:
 
 
 def meeting_spans(entries: DataFrame, first: str, last: str, now: Column | None = None, words: Words = Words(), settings: Settings = Settings(), tentative: str = "skip") -> DataFrame:
-    """owner, day, a, b (minutes), block, accepted, carried: timed entries cut at
+    """owner, day, a, b (minutes), block, away, accepted, carried: timed entries cut at
     midnights. A piece longer than its cap (eight hours of an entry of several days,
     else the day window's length if that is more) keeps what lies in the day window,
     or its beginning. accepted: a real meeting by status or response, or by busy where
     neither is known; carried: a piece behind the first day; block: an appointment,
-    no working time by itself. What lies behind ``now`` and its slack has not happened."""
+    no working time by itself; away: with a word for off-site work or training. What lies behind ``now`` and its slack has not happened."""
     low, high = map(float, settings.day_window)
     gone = has(F.col("subject"), words.private) | is_leave(words) | unaccepted_training(words) | skipped(tentative) | F.coalesce("all_day", F.lit(False))
     held = entries.where(~gone & (F.col("start") < F.col("end"))).select(
-        "owner", "start", "end", is_appointment(words).alias("block"), length_min().alias("length"),
+        "owner", "start", "end", is_appointment(words).alias("block"), has(F.col("subject"), words.offsite + words.training).alias("away"), length_min().alias("length"),
         F.when(F.col("status").isNull() & F.col("response").isNull(), known("busy", 2).isin(2, 3)).otherwise(known("status").isin(1, 3) | known("response").isin(1, 3)).alias("accepted"),
     )
     if now is not None:
@@ -105,22 +105,36 @@ def meeting_spans(entries: DataFrame, first: str, last: str, now: Column | None
     long = F.col("b") - F.col("a") > cap
     a = F.when(long & inside, F.greatest("a", F.lit(low))).otherwise(F.col("a"))
     b = F.when(long & inside, F.least("b", F.lit(high))).otherwise(F.col("b"))
-    return pieces.withColumns({"from": a, "to": F.least(b, a + cap)}).select("owner", "day", F.col("from").alias("a"), F.col("to").alias("b"), "block", "accepted", (F.col("day") > F.to_date("start")).alias("carried"))
+    return pieces.withColumns({"from": a, "to": F.least(b, a + cap)}).select("owner", "day", F.col("from").alias("a"), F.col("to").alias("b"), "block", "away", "accepted", (F.col("day") > F.to_date("start")).alias("carried"))
 
 
-def absence_days(entries: DataFrame, first: str, last: str, words: Words = Words()) -> DataFrame:
-    """owner, day, frac: the largest share of a day that leave entries take. A whole
-    day, or half where the subject says so; timed out-of-office up to five hours is
-    half a day; other timed leave counts by its length (3 h half, 6 h whole)."""
+def leave_share(words: Words = Words()) -> Column:
+    """What share of a day a leave entry takes: a whole day, or half where the subject
+    says so; timed out-of-office up to five hours is half a day; other timed leave
+    counts by its length (3 h half, 6 h whole)."""
     half = has(F.col("subject"), words.half)
     hours = length_min() / 60
     timed = F.when(known("busy") == 3, F.when(half | (hours <= 5), 0.5).otherwise(1.0)).when(hours >= 6, F.when(half, 0.5).otherwise(1.0)).when(hours >= 3, 0.5)
-    frac = F.when(F.coalesce("all_day", F.lit(False)), F.when(half, 0.5).otherwise(1.0)).when(F.col("start") < F.col("end"), timed)
-    rows = entries.where(~not_my_absence() & is_leave(words) & F.col("start").isNotNull()).withColumn("frac", frac).where("frac IS NOT NULL")
-    inside = dates(rows).where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
+    return F.when(F.coalesce("all_day", F.lit(False)), F.when(half, 0.5).otherwise(1.0)).when(F.col("start") < F.col("end"), timed)
+
+
+def own_leave(entries: DataFrame, words: Words = Words()) -> DataFrame:
+    rows = entries.where(~not_my_absence() & is_leave(words) & F.col("start").isNotNull())
+    return rows.withColumn("frac", leave_share(words)).where("frac IS NOT NULL")
+
+
+def absence_days(entries: DataFrame, first: str, last: str, words: Words = Words()) -> DataFrame:
+    """owner, day, frac: the largest share of a day that leave entries take."""
+    inside = dates(own_leave(entries, words)).where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date")))
     return inside.groupBy("owner", "day").agg(F.max("frac").alias("frac"))
 
 
+def leave_spans(entries: DataFrame, first: str, last: str, words: Words = Words()) -> DataFrame:
+    """owner, day, a, b: when timed half days of leave are, cut at midnights."""
+    timed = own_leave(entries, words).where("frac < 1 AND NOT coalesce(all_day, false)")
+    return intervals.midnight_split(timed, "start", "end").where(F.col("day").between(F.lit(first).cast("date"), F.lit(last).cast("date"))).select("owner", "day", "a", "b")
+
+
 def offsite_days(entries: DataFrame, first: str, last: str, words: Words = Words(), tentative: str = "skip") -> DataFrame:
     """owner, day, subject (of the earliest entry): all-day entries, and blocks of six
     hours or more, that are out of office or elsewhere, or busy with a word for it. A
