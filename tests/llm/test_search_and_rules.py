@@ -114,15 +114,49 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in scored)
 
 
-def test_toxicity_of_few_labels_learns_from_all_of_them(spark):
-    small, large = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+def test_few_labels_lean_on_the_prior_and_many_outweigh_it(spark):
+    small = "/root/testdata/sf0.001"
     docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
     model = queries.fit_toxicity(docs, labels)
-    assert model.few and model.trees is not None
-    rule = toxicity.Model(toxicity.Lexicon(()))
-    asked = spark.read.parquet(f"{large}/documents.parquet").select("doc_id", "text")
-    floor = {r["doc_id"]: r["score"] for r in rule.score(asked).collect()}
-    assert all(floor[r["doc_id"]] <= r["score"] <= 1 for r in model.score(asked).collect())
+    assert model.trees is not None and 0 < model.taught < 40
+    rule, alone = toxicity.Model(toxicity.Lexicon(())), toxicity.Model(model.lexicon, model.trees, model.calibration, 1e9)
+    a, b, c = ([r["score"] for r in m.score(docs.select("doc_id", "text")).orderBy("doc_id").collect()] for m in (model, rule, alone))
+    share = toxicity.PRIOR / (model.taught + toxicity.PRIOR)
+    assert all(abs(x - (z + share * max(0.0, y - z))) < 1e-5 for x, y, z in zip(a, b, c))
+
+
+def test_lexicon_and_calibration_equal_counts_by_hand(spark):
+    import math
+    import random
+    import re
+
+    r, rows = random.Random(1), []
+    for i in range(400):
+        label = int(i % 4 == 0)
+        rows.append((i, " ".join(r.choice(["vile", "vilest", "calm", "blue"] if label else ["calm", "blue", "green"]) for _ in range(6)), float(label)))
+    found = dict(toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, label double")).terms)
+    n, toxic = len(rows), sum(y for *_, y in rows)
+    for term in ("vile", "vilest", "calm", "blue", "green", "vile*"):
+        held = [(term in t.split() if not term.endswith("*") else bool(re.search(r"\bvile\w", t)), y) for _, t, y in rows]
+        a, b = sum(y for h, y in held if h), sum(1 - y for h, y in held if h)
+        part = lambda seen, expected: seen * math.log(seen / expected) if seen else 0.0
+        ratio = 2 * (part(a, (a + b) * toxic / n) + part(b, (a + b) * (n - toxic) / n) + part(toxic - a, (n - a - b) * toxic / n) + part(n - toxic - b, (n - a - b) * (n - toxic) / n))
+        odds = math.log((a + 0.5) / (toxic - a + 0.5)) - math.log((b + 0.5) / (n - toxic - b + 0.5))
+        if a >= 3 and ratio >= toxicity.LEAST_RATIO and odds >= toxicity.LEAST_ODDS:
+            assert found[term] == round(odds, 6)
+        else:
+            assert term not in found
+    judged = [(r.random(), float(r.random() < 0.5)) for _ in range(60)]
+    model = toxicity.calibrate(spark.createDataFrame(judged, "chance double, label double"))
+    blocks = []  # pooled adjacent violators
+    for x, y in sorted(judged):
+        blocks.append([y, 1, [x]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] >= blocks[-1][0] / blocks[-1][1]:
+            last = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + last[0], blocks[-1][1] + last[1], blocks[-1][2] + last[2]]
+    want = {x: s / k for s, k, xs in blocks for x in xs}
+    got = model.transform(spark.createDataFrame([(x,) for x in want], "chance double")).collect()
+    assert all(abs(g["calibrated"] - want[g["chance"]]) < 1e-9 for g in got)
 
 
 def test_toxicity_handles_odd_rows_and_missing_labels(spark):

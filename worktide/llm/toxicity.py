@@ -1,7 +1,7 @@
 """Toxicity by gradient-boosted trees over dense features, isotonically calibrated.
 
 ``fit`` reads labelled texts only and at most ``max_rows`` of them (a bounded
-sample by hash of the id, split in three by the same hash):
+sample by hash of the id), in the same way however many there are:
 
 1. The lexicon. Words, and word beginnings of four to six letters (for inflected
    languages), that occur in significantly more toxic than clean documents
@@ -11,21 +11,20 @@ sample by hash of the id, split in three by the same hash):
    alone: lexicon densities, lexicon hits close to a second person, capitals,
    punctuation and obfuscation rates.
 3. The calibration: Spark ML's isotonic regression from the trees' probability
-   to the label, on texts that neither step saw.
+   to the label. It learns from FOLDS models, each row's probability from the one
+   that has not seen it (its lexicon and trees come from the other folds); the
+   lexicon and trees that stay learn from all rows.
+4. The prior: where the fixed rule 1 - exp(-60 x the rate of the common insults)
+   says more than the calibration, it counts as PRIOR labelled rows of the rarer
+   class beside those that there are. Few labels lean on it, many outweigh it;
+   without any it is all there is.
 
 ``score`` is one pass over the documents without a shuffle: features in Python
 (an Aho-Corasick automaton finds lexicon hits), trees and calibration in Spark.
 The fitted lexicon and trees are a few kilobytes whatever the corpus.
 
-With fewer than MIN_CLASS rows of either class in the trees' or the calibration
-part, the parts are not kept apart: the calibration learns from scores of FOLDS
-models, each row's from the one that has not seen it, and the lexicon and trees
-that stay learn from all rows (``cross_fitted``). A score is then no less than
-the fixed rule's, 1 - exp(-60 x the rate of the common insults).
-
 Null text counts as empty. Rows without a label (or with a null one) teach
-nothing; with fewer than MIN_CLASS labelled rows of either class there is nothing
-to learn from and the score is that rule's.
+nothing; without labelled texts there is nothing to learn from.
 Repeated rows score alike. Extra columns pass through; the result's column is
 replaced.
 """
@@ -47,7 +46,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from worktide.llm._common import in_small_batches, saved
 
-MAX_ROWS, MAX_TERMS, MIN_CLASS = 30_000, 400, 6
+MAX_ROWS, MAX_TERMS, PRIOR = 30_000, 400, 30.0
 LEAST_RATIO, LEAST_ODDS = 18.0, 1.5
 FIT_PARTITIONS, FOLDS = 8, 3
 
@@ -152,15 +151,13 @@ def learn_lexicon(labelled: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
     terms_of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
     totals = labelled.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
     toxic, clean = float(totals["toxic"] or 0), float(totals["clean"] or 0)
-    if min(toxic, clean) < MIN_CLASS:
-        return Lexicon(())
     counts = (
         labelled.select("label", F.explode(F.pandas_udf(terms_of, "array<string>")("text")).alias("term"))
         .groupBy("term")
         .agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
         .where("a >= 3")
     )
-    n, a, b = toxic + clean, F.col("a"), F.col("b")
+    n, a, b = toxic + clean, F.col("a"), F.col("b")  # a >= 3: with no toxic text there is no term
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     ratio = 2 * (part(a, (a + b) * toxic / n) + part(b, (a + b) * clean / n) + part(toxic - a, (n - a - b) * toxic / n) + part(clean - b, (n - a - b) * clean / n))
     odds = F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (clean - b + 0.5))
@@ -173,7 +170,7 @@ class Model:
     lexicon: Lexicon
     trees: object = None
     calibration: object = None
-    few: bool = False
+    taught: float = 0.0
     fields: tuple[str, ...] = field(default=FEATURES)
 
     def score(self, docs: DataFrame, text: str = "text", result: str = "score") -> DataFrame:
@@ -185,8 +182,9 @@ class Model:
             got = held.withColumn("value", rule)
         else:
             judged = self.trees.transform(held.withColumn("features", array_to_vector("dense")))
-            chance = judged.select("row", F.element_at(vector_to_array("probability"), 2).alias("chance"), (rule if self.few else F.lit(0.0)).alias("least"))
-            got = self.calibration.transform(chance).withColumn("value", F.least(F.greatest("calibrated", "least"), F.lit(1.0)))
+            chance = judged.select("row", F.element_at(vector_to_array("probability"), 2).alias("chance"), rule.alias("rule"))
+            lifted = F.col("calibrated") + PRIOR / (self.taught + PRIOR) * F.greatest(F.lit(0.0), F.col("rule") - F.col("calibrated"))
+            got = self.calibration.transform(chance).withColumn("value", F.least(F.greatest(lifted, F.lit(0.0)), F.lit(1.0)))
         return got.select(*(F.col("row").getField(c).alias(c) for c in own), F.col("value").alias(result))
 
 
@@ -196,7 +194,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int
     The sample is drawn from the labels, so it may be broadcast: max_rows pairs
     of a long and a double. The texts are read once and not shuffled.
     """
-    part = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(10))
     drawn = (
         labels.where(F.col("label").isin(0, 1))
         .select("doc_id", F.col("label").cast("double").alias("label"))
@@ -204,39 +201,31 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int
         .limit(max_rows)
     )
     sample = in_small_batches(docs).where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").repartition(FIT_PARTITIONS)
-    sample = saved(sample.withColumn("part", part))
-    lexicon = learn_lexicon(sample.where("part < 4"))
-    rows = dense_rows(sample.where("part >= 4"), lexicon)
-    sizes = rows.agg(*(F.sum(F.when((F.col("label") == y) & (F.col("part") < 8 if low else F.col("part") >= 8), 1).otherwise(0)) for y in (0, 1) for low in (True, False))).first()
-    if min(s or 0 for s in sizes) < MIN_CLASS:
-        return cross_fitted(sample, seed)
-    trees = grow(rows.where("part < 8"), seed)
-    return Model(lexicon, trees, calibrate(chances(trees, rows.where("part >= 8"))))
-
-
-def cross_fitted(sample: DataFrame, seed: int) -> Model:
-    """A model of the few rows of ``sample`` (doc_id, text, label); the fixed rule
-    with fewer than MIN_CLASS of either class. Trees grow in one task: at most
-    max_rows rows of numbers, in many short jobs."""
+    sample = saved(sample)
     sizes = sample.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
-    if min(s or 0 for s in sizes) < MIN_CLASS:
+    if sizes[0] is None:
         return Model(Lexicon(()))
     fold, unseen = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("doc_id")), F.lit(FOLDS)), []
     for k in range(FOLDS):
         rest = sample.where(fold != k)
+        if rest.isEmpty():  # all rows there are lie in one fold
+            continue
         lexicon = learn_lexicon(rest)
-        trees = grow(dense_rows(rest, lexicon), seed, 1)
-        unseen.append(saved(chances(trees, dense_rows(sample.where(fold == k), lexicon))))
+        unseen.append(saved(chances(grow(dense_rows(rest, lexicon), seed), dense_rows(sample.where(fold == k), lexicon))))
     lexicon = learn_lexicon(sample)
-    return Model(lexicon, grow(dense_rows(sample, lexicon), seed, 1), calibrate(reduce(DataFrame.union, unseen)), few=True)
+    judged = reduce(DataFrame.union, unseen) if unseen else None
+    if judged is None or judged.isEmpty():
+        return Model(Lexicon(()))
+    return Model(lexicon, grow(dense_rows(sample, lexicon), seed), calibrate(judged), float(min(sizes)))
 
 
 def dense_rows(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
-    return saved(sample.select("part", "label", feature_column(lexicon, F.col("text")).alias("dense"))).withColumn("features", array_to_vector("dense"))
+    return saved(sample.select("label", feature_column(lexicon, F.col("text")).alias("dense"))).withColumn("features", array_to_vector("dense"))
 
 
-def grow(rows: DataFrame, seed: int, parts: int = FIT_PARTITIONS):
-    return GBTClassifier(labelCol="label", featuresCol="features", maxDepth=3, maxIter=24, stepSize=0.2, maxBins=64, seed=seed, minInstancesPerNode=5).fit(rows.coalesce(parts))
+def grow(rows: DataFrame, seed: int):
+    """At most max_rows rows of numbers, in many short jobs: few partitions."""
+    return GBTClassifier(labelCol="label", featuresCol="features", maxDepth=3, maxIter=24, stepSize=0.2, maxBins=64, seed=seed, minInstancesPerNode=5).fit(rows.coalesce(FIT_PARTITIONS))
 
 
 def chances(trees, rows: DataFrame) -> DataFrame:
