@@ -85,9 +85,12 @@ def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path):
     docs = frame(spark)
     ordered, total = token_shards.training_order(docs, path, public_tokenizers.PATTERN, stride=16, per_shard=100)
     folder = str(tmp_path / "shards")
-    rows = token_shards.write_shards(ordered, folder, per_shard=100).collect()
+    written = token_shards.write_shards(ordered, folder, 16, 100)
+    assert token_shards.read_manifest(folder) == {"sequences": total, "shards": -(-total // 100), "per_shard": 100, "stride": 16, "key": token_shards.KEY}
+    assert len(written.limit(5).collect()) == 5 and len(list((tmp_path / "shards").glob("shard-*.bin"))) == -(-total // 100)  # reading part of the rows takes nothing away
+    rows = written.collect()
     assert sorted(r["slot"] for r in rows) == list(range(total))
-    records = list(token_shards.read_records(folder, 0, total, 16, 100))
+    records = list(token_shards.read_records(folder, 0, total))
     for r in rows:
         assert r["record_sha256"] == hashlib.sha256(records[r["slot"]].tobytes()).hexdigest()
         assert r["offset"] == (r["slot"] % 100) * 32 and r["shard"] == r["slot"] // 100
@@ -103,7 +106,13 @@ def test_shards_hold_every_sequence_at_its_slot(spark, tmp_path):
         own = encoding.encode_ordinary(texts[i] or "")
         assert ids[: len(own)] == own and set(ids[len(own) :]) == {50256}
     assert len(want) == len(documents())
-    assert [x.tolist() for x in token_shards.read_records(folder, 150, 3, 16, 100)] == [x.tolist() for x in records[150:153]]
+    assert [x.tolist() for x in token_shards.read_records(folder, 150, 3)] == [x.tolist() for x in records[150:153]]
+
+
+def test_shards_without_a_manifest_are_not_whole(tmp_path):
+    (tmp_path / "shard-00000000.bin").write_bytes(b"\0" * 64)
+    with pytest.raises(FileNotFoundError):
+        next(token_shards.read_records(str(tmp_path), 0, 1))
 
 
 def test_cut_texts_encode_like_whole_ones():

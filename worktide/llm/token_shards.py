@@ -19,7 +19,10 @@ would put a third copy of the corpus on disk beside shuffle and shards. Both mus
 see the same partitions, as reads of one table do (save any other frame first); a
 partition whose count differs fails the job. A shard is written under an
 attempt's name and then moved into place, so a repeated task leaves one whole
-file. The shards' folder must be one that all executors share.
+file. All shards are written by one action; then MANIFEST is published, with the
+number of sequences and shards, stride and key. Without it the set is not whole, and
+readers refuse it; the rows that ``write_shards`` returns are read from what that
+action wrote. The shards' folder must be one that all executors share.
 
 A splitting pattern that looks ahead for the end of white space steps back over
 whole runs of it. Such texts are cut there first and split by the rest of the
@@ -33,6 +36,7 @@ own sequences. Extra columns are not read. No rows give no shards.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import uuid
 from collections.abc import Iterator
@@ -43,11 +47,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from worktide.llm._common import in_small_batches
+from worktide.llm._common import in_small_batches, saved
 
 STRIDE, PER_SHARD, KEY, ROUNDS = 256, 1 << 16, 0x5DEECE66D1234567, 6
 # White space as the splitting pattern's \\s has it, and its look-ahead.
 WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+MANIFEST = "manifest.json"
 LOOK_AHEAD, REST = r"\s+(?!\S)|", r"\s+"
 RUN = re.compile(f"{WHITE}{{2,}}")
 
@@ -175,14 +180,19 @@ def training_order(docs: DataFrame, tokenizer_path: str, pattern: str, stride: i
     return rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot"), total
 
 
-def write_shards(ordered: DataFrame, folder: str, per_shard: int = PER_SHARD) -> DataFrame:
-    """Write the shards; a row for each sequence: slot, shard, offset (bytes),
-    doc_id, piece and the record's SHA-256. Rows appear as files are written."""
+def place(folder: str):
+    """The file system of a folder, and its path there."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+
+def write_shards(ordered: DataFrame, folder: str, stride: int = STRIDE, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
+    """Write all shards, then the manifest; a row for each sequence: slot, shard, offset
+    (bytes), doc_id, piece and the record's SHA-256."""
     names = ["slot", "shard", "offset", "doc_id", "piece", "record_sha256"]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
         out = files = shard = None
         temporary = final = ""
         for batch in batches:
@@ -190,7 +200,7 @@ def write_shards(ordered: DataFrame, folder: str, per_shard: int = PER_SHARD) ->
                 continue
             if out is None:
                 shard = batch["shard"][0].as_py()
-                files, top = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+                files, top = place(folder)
                 final, temporary = f"{top}/shard-{shard:08d}.bin", f"{top}/.shard-{shard:08d}.{uuid.uuid4().hex}"
                 files.create_dir(top, recursive=True)
                 out = files.open_output_stream(temporary)
@@ -205,21 +215,36 @@ def write_shards(ordered: DataFrame, folder: str, per_shard: int = PER_SHARD) ->
             files.move(temporary, final)
 
     kind = ordered.schema["doc_id"].dataType.simpleString()
-    return ordered.mapInArrow(write, f"slot long, shard int, offset long, doc_id {kind}, piece int, record_sha256 string")
+    done = saved(ordered.mapInArrow(write, f"slot long, shard int, offset long, doc_id {kind}, piece int, record_sha256 string"))
+    total, shards = done.agg(F.count(F.lit(1)), F.count_distinct("shard")).first()
+    files, top = place(folder)
+    files.create_dir(top, recursive=True)
+    temporary = f"{top}/.{MANIFEST}.{uuid.uuid4().hex}"
+    with files.open_output_stream(temporary) as out:
+        out.write(json.dumps({"sequences": total, "shards": shards, "per_shard": per_shard, "stride": stride, "key": key}).encode())
+    files.move(temporary, f"{top}/{MANIFEST}")
+    return done
 
 
-def read_records(folder: str, start: int, count: int, stride: int = STRIDE, per_shard: int = PER_SHARD) -> Iterator[np.ndarray]:
-    """Sequences in training order from slot ``start`` on, by seeking."""
-    from pyarrow import fs
+def read_manifest(folder: str) -> dict:
+    """What a whole set of shards holds; FileNotFoundError if it is not whole."""
+    files, top = place(folder)
+    with files.open_input_file(f"{top}/{MANIFEST}") as f:
+        return json.loads(f.read())
 
-    files, top = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+def read_records(folder: str, start: int, count: int) -> Iterator[np.ndarray]:
+    """Sequences in training order from slot ``start`` on, by seeking."""
+    known, (files, top) = read_manifest(folder), place(folder)
+    stride, per_shard = known["stride"], known["per_shard"]
+    count = min(count, known["sequences"] - start)
     while count > 0:
-        shard, place = divmod(start, per_shard)
+        shard, at = divmod(start, per_shard)
         with files.open_input_file(f"{top}/shard-{shard:08d}.bin") as f:
-            f.seek(place * 2 * stride)
-            data = f.read(2 * stride * min(count, per_shard - place))
+            f.seek(at * 2 * stride)
+            data = f.read(2 * stride * min(count, per_shard - at))
         rows = np.frombuffer(data, "<u2").reshape(-1, stride)
         if not len(rows):
-            return
+            raise EOFError(f"shard {shard} is shorter than the manifest says")
         yield from rows
         start, count = start + len(rows), count - len(rows)
