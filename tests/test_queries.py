@@ -8,7 +8,7 @@ import pytest
 from worktide.plans import registry
 
 SF = "/root/testdata/sf0.001"
-BRUTE = {"name_clusters": "tests/test_clusters.py"}
+BRUTE = {"name_clusters": "tests/test_clusters.py", "project_merges": "tests/test_merge_map.py"}
 
 
 @pytest.fixture(scope="module")

@@ -72,6 +72,16 @@ def pair_scores(pairs: DataFrame, profiles: DataFrame, never: DataFrame | None =
     else:
         together = refined.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(True).alias("_refined")).distinct()
         rows = rows.join(together, ["a", "b"], "left").na.fill(False, ["_refined"])
+    same = F.col("a_product").isNotNull() & (F.col("a_product") == F.col("b_product"))
+    return rows.withColumn("score", evidence_score(same, F.lit(half_days))).select("a", "b", "score").withColumn("band", band())
+
+
+def band() -> Column:
+    return F.when(F.col("score") == VETO, "veto").when(F.col("score") >= MERGE, "merge").when(F.col("score") >= ASK, "ask").otherwise("apart")
+
+
+def evidence_score(same_product: Column, half_days: Column) -> Column:
+    """The score of joined profiles (columns a_ and b_, _never, _refined)."""
     name = T.dice(F.col("a_grams"), F.col("b_grams"))
     details = T.jaccard(F.col("a_details"), F.col("b_details"))
     exclusive = (details == 0) & (F.size("a_details") >= 2) & (F.size("b_details") >= 2)
@@ -82,18 +92,16 @@ def pair_scores(pairs: DataFrame, profiles: DataFrame, never: DataFrame | None =
         F.when(name > 0.45, 2.4 * (name - 0.45)).otherwise(0.0)
         + F.when(details > 0, 2.0 * details).when(exclusive, -0.8).otherwise(0.0)
         + F.when(F.col("_refined"), 1.0).otherwise(0.0)
-        + F.when(F.col("a_product").isNotNull() & (F.col("a_product") == F.col("b_product")), 1.2).otherwise(0.0)
+        + F.when(same_product, 1.2).otherwise(0.0)
         - F.when(subset, 0.5).otherwise(0.0)
         - F.when(apart >= half_days, 0.6).otherwise(0.0)
     )
-    score = (
+    return (
         F.when(F.col("_never") | (F.col("a_note") != F.col("b_note")) | (F.col("a_nums") != F.col("b_nums")), F.lit(VETO))
         .when(F.col("a_key") == F.col("b_key"), 10.0)
         .when(F.col("a_pinned") & F.col("b_pinned"), F.lit(VETO))
         .otherwise(F.round(evidence, 6))
     )
-    band = F.when(F.col("score") == VETO, "veto").when(F.col("score") >= MERGE, "merge").when(F.col("score") >= ASK, "ask").otherwise("apart")
-    return rows.withColumn("score", score).select("a", "b", "score").withColumn("band", band)
 
 
 def scopes(scores: DataFrame, names: DataFrame) -> DataFrame:
@@ -128,8 +136,10 @@ def clusters(scores: DataFrame, names: DataFrame, cap: int = 5, scope: str = "sc
     that lowers the cost. No cluster holds
     a vetoed pair or more than ``cap`` names. scores: scope, a, b, score; names:
     scope, name, weight. A scope is a group of linked names (``scopes``) or one
-    project's names.
+    project's names. With a column seed, names of one seed start as a cluster, which
+    only the seed itself adds to, and stay in it.
     """
+    seeded = "seed" in names.columns
 
     def solve(key, pairs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         weight = {(min(a, b), max(a, b)): s for a, b, s in zip(pairs["a"], pairs["b"], pairs["score"])}
@@ -138,15 +148,25 @@ def clusters(scores: DataFrame, names: DataFrame, cap: int = 5, scope: str = "sc
         fits = lambda x, group: len(group) < cap and all(w(x, y) != VETO for y in group)
         groups: list[list[str]] = []
         where: dict[str, int] = {}
+        seeds = dict(zip(own["name"], own["seed"])) if seeded else {}
+        held = {x for x in order if seeds.get(x)}
+        first: dict[str, int] = {}
+        for x in (x for x in order if x in held):
+            if seeds[x] not in first:
+                first[seeds[x]] = len(groups)
+                groups.append([])
+            where[x] = first[seeds[x]]
+            groups[where[x]].append(x)
         for x in order:
-            if x in where:
+            if x in where and seeds.get(x) != x:
                 continue
-            where[x] = len(groups)
-            groups.append([x])
+            if x not in where:
+                where[x] = len(groups)
+                groups.append([x])
             for y in order:
-                if y not in where and w(x, y) >= MERGE and fits(y, groups[-1]):
+                if y not in where and w(x, y) >= MERGE and fits(y, groups[where[x]]):
                     where[y] = where[x]
-                    groups[-1].append(y)
+                    groups[where[x]].append(y)
         gain = lambda x, g: sum(w(x, y) for y in groups[g] if y != x)
         def move(x: str) -> bool:
             """Move x to the first place that lowers the cost, if there is one."""
@@ -163,7 +183,7 @@ def clusters(scores: DataFrame, names: DataFrame, cap: int = 5, scope: str = "sc
             return False
 
         for _ in range(6):
-            if not any([move(x) for x in order]):
+            if not any([move(x) for x in order if x not in held]):
                 break
         rank = {n: i for i, n in enumerate(order)}
         canon = {x: min(groups[g], key=rank.get) for x, g in where.items()}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from worktide.operators import grouping
+from worktide.operators import grouping, merge_map
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +47,55 @@ def evidence_rows(spark, sf):
     return grouping.evidence(p.select(asked.alias("asked")), "asked", rows, "row", [F.col("p_name"), F.concat_ws(" ", "p_brand", "p_name")])
 
 
-QUERIES = {f.__name__: f for f in (merged_details, similar_names, evidence_rows)}
+def project_inputs(spark, sf) -> dict[str, DataFrame]:
+    """Five owners' projects from parts: names with spellings, details, products and
+    days; every customer's segment counts as a pinned name."""
+    p, k = _t(spark, sf, "part"), F.col("p_partkey")
+    name = F.when(k % 6 < 3, F.col("p_name")).when(k % 6 == 3, F.replace("p_name", F.lit(" "), F.lit("-"))).when(k % 6 == 4, F.concat("p_name", F.lit(" (new)"))).otherwise(F.concat("p_name", F.lit(" ")  , (k % 2 + 1).cast("string")))
+    rows = p.select((k % 5).alias("owner"), name.alias("name"), (F.col("p_size") / 8.0).alias("mm"), F.concat_ws(" ", F.lower("p_type"), (F.col("p_size") % 7).cast("string")).alias("detail"), F.when(k % 40 == 0, F.col("p_brand")).alias("product"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 120).cast("int")).alias("day"))
+    pinned = _t(spark, sf, "customer").select(F.lower("c_mktsegment").alias("name")).distinct().union(p.where("p_size = 50").select(F.col("p_name").alias("name")).distinct())
+    known = merge_map.profiles(rows, "owner", "name", "mm", "detail", "product", rows.select("owner", "name", "day"), pinned)
+    never = p.where("p_size = 1").select(F.col("p_name").alias("a"), F.replace("p_name", F.lit(" "), F.lit(" s")).alias("b"))
+    refined = rows.where("mm > 6").groupBy("owner", "day").agg(F.array_sort(F.collect_set("name")).alias("n")).where(F.size("n") == 2).select("owner", F.col("n")[0].alias("a"), F.col("n")[1].alias("b"))
+    old = rows.where("mm < 0.3").groupBy("owner").agg(F.array_sort(F.collect_set("name")).alias("n")).where(F.size("n") >= 2).select("owner", F.col("n")[1].alias("alias"), F.col("n")[0].alias("canon"))
+    return {"known": known, "never": never, "refined": refined, "old": old}
+
+
+def project_pairs(spark, sf):
+    """Pairs of project names with any evidence, their score and what follows from it."""
+    i = project_inputs(spark, sf)
+    return merge_map.pairs(i["known"], i["never"], i["refined"])
+
+
+def project_merges(spark, sf):
+    """The merge map of project names after a run on top of an earlier map."""
+    i = project_inputs(spark, sf)
+    return merge_map.merge_map(merge_map.pairs(i["known"], i["never"], i["refined"]), i["known"], i["old"])
+
+
+QUERIES = {f.__name__: f for f in (project_pairs, project_merges, merged_details, similar_names, evidence_rows)}
 
 ORACLE_SQL = {
+    "project_pairs": r"""WITH r AS (
+  SELECT p_partkey % 5 AS owner, CASE WHEN p_partkey % 6 < 3 THEN p_name WHEN p_partkey % 6 = 3 THEN replace(p_name, ' ', '-') WHEN p_partkey % 6 = 4 THEN p_name || ' (new)' ELSE p_name || ' ' || (p_partkey % 2 + 1) END AS name,
+    p_size / 8.0 AS mm, replace(lower(p_type), ' ', '') || (p_size % 7) AS detail, CASE WHEN p_partkey % 40 = 0 THEN lower(p_brand) END AS product, DATE '2024-01-01' + CAST(p_partkey % 120 AS INTEGER) AS day FROM part
+), pin AS (SELECT DISTINCT lower(c_mktsegment) AS k FROM customer UNION SELECT DISTINCT replace(p_name, ' ', '') FROM part WHERE p_size = 50
+), n AS (
+  SELECT owner, name, list_sort(list(DISTINCT detail)) AS details, list_sort(list(DISTINCT product) FILTER (product IS NOT NULL)) AS products, min(day) AS d0, max(day) AS d1, regexp_replace(lower(name), '[\s_\-./·,]+', '', 'g') AS key,
+    regexp_extract(name, '\(([^()]*)\)\s*$', 1) AS note, list_sort(list_distinct(regexp_extract_all(name, '\d+'))) AS nums, list_distinct(list_filter(regexp_split_to_array(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: length(w) >= 2 AND NOT regexp_matches(w, '\d'))) AS toks FROM r GROUP BY owner, name
+), m AS (SELECT *, list_distinct(list_transform(range(1, length(key)), lambda j: key[j:j + 1])) AS grams, key IN (SELECT k FROM pin) AS pinned, greatest(14, date_diff('day', min(d0) OVER (PARTITION BY owner), max(d1) OVER (PARTITION BY owner)) // 2) AS half FROM n
+), nv AS (SELECT DISTINCT least(a, b) AS k1, greatest(a, b) AS k2 FROM (SELECT replace(p_name, ' ', '') AS a, replace(p_name, ' ', 's') AS b FROM part WHERE p_size = 1)
+), rf AS (SELECT DISTINCT owner, l[1] AS a, l[2] AS b FROM (SELECT owner, day, list_sort(list(DISTINCT name)) AS l FROM r WHERE mm > 6 GROUP BY 1, 2) WHERE len(l) = 2
+), j AS (
+  SELECT x.owner, x.name AS a, y.name AS b, 2.0 * len(list_intersect(x.grams, y.grams)) / (len(x.grams) + len(y.grams)) AS dice, len(list_intersect(x.details, y.details)) / (len(x.details) + len(y.details) - len(list_intersect(x.details, y.details)))::DOUBLE AS jac,
+    len(list_intersect(coalesce(x.products, []), coalesce(y.products, []))) > 0 AS prod, rf.a IS NOT NULL AS refined, nv.k1 IS NOT NULL AS never, x.key = y.key AS same, x.note <> y.note OR x.nums <> y.nums AS other, x.pinned AND y.pinned AS pins,
+    len(x.details) >= 2 AND len(y.details) >= 2 AS many, len(list_intersect(x.toks, y.toks)) IN (len(x.toks), len(y.toks)) AND abs(len(x.toks) - len(y.toks)) >= 2 AS subset, date_diff('day', least(x.d1, y.d1), greatest(x.d0, y.d0)) >= x.half AS apart
+  FROM m x JOIN m y ON x.owner = y.owner AND x.name < y.name LEFT JOIN nv ON nv.k1 = least(x.key, y.key) AND nv.k2 = greatest(x.key, y.key) LEFT JOIN rf ON rf.owner = x.owner AND rf.a = x.name AND rf.b = y.name
+), s AS (
+  SELECT owner, a, b, CASE WHEN never OR other THEN '-Infinity'::DOUBLE WHEN same THEN 10.0 WHEN pins THEN '-Infinity'::DOUBLE ELSE round(CASE WHEN dice > 0.45 THEN 2.4 * (dice - 0.45) ELSE 0 END + CASE WHEN jac > 0 THEN 2 * jac WHEN many THEN -0.8 ELSE 0 END
+    + CASE WHEN refined THEN 1.0 ELSE 0 END + CASE WHEN prod THEN 1.2 ELSE 0 END - CASE WHEN subset THEN 0.5 ELSE 0 END - CASE WHEN apart THEN 0.6 ELSE 0 END, 6) END AS score FROM j WHERE dice > 0.45 OR jac >= 0.175 OR prod OR refined OR same
+)
+SELECT *, CASE WHEN score = '-Infinity'::DOUBLE THEN 'veto' WHEN score >= 1 THEN 'merge' WHEN score >= 0.35 THEN 'ask' ELSE 'apart' END AS band FROM s""",
     "merged_details": rf"""WITH RECURSIVE p AS ({_PART}), r AS (SELECT brand, size, {_DETAIL} AS detail FROM p
 ), s AS (SELECT brand, detail, sum(size)::BIGINT AS size, bool_or(size = 50) AS fixed FROM r GROUP BY 1, 2
 ), o AS (
