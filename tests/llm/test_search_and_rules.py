@@ -134,7 +134,11 @@ def test_lexicon_and_calibration_equal_counts_by_hand(spark):
     for i in range(400):
         label = int(i % 4 == 0)
         rows.append((i, " ".join(r.choice(["vile", "vilest", "calm", "blue"] if label else ["calm", "blue", "green"]) for _ in range(6)), float(label)))
-    found = dict(toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, label double")).terms)
+    every = [(*row, row[0] % toxicity.FOLDS) for row in rows] + [(1000 + i, "vile calm", 0.0, 1) for i in range(50)]
+    counts = toxicity.term_counts(spark.createDataFrame(every, "doc_id long, text string, label double, fold int"))
+    sizes = [(sum(y for *_, y, k in every if k == f), sum(1 - y for *_, y, k in every if k == f)) for f in range(toxicity.FOLDS)]
+    found = dict(toxicity.learn_lexicon(counts, sizes, 1).terms)
+    rows = [row[:3] for row in every if row[3] != 1]
     n, toxic = len(rows), sum(y for *_, y in rows)
     for term in ("vile", "vilest", "calm", "blue", "green", "vile*"):
         held = [(term in t.split() if not term.endswith("*") else bool(re.search(r"\bvile\w", t)), y) for _, t, y in rows]

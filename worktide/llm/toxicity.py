@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from worktide.llm._common import in_small_batches, saved
 
 MAX_ROWS, MAX_TERMS, PRIOR = 30_000, 400, 30.0
-LEAST_RATIO, LEAST_ODDS = 18.0, 1.5
+LEAST_TEXTS, LEAST_RATIO, LEAST_ODDS = 3, 18.0, 1.5
 FIT_PARTITIONS, FOLDS = 8, 3
 
 # Common insults and second persons in English, German, French and Spanish.
@@ -138,8 +138,10 @@ def feature_column(lexicon: Lexicon, text: Column) -> Column:
     return F.pandas_udf(dense, "array<double>")(text)
 
 
-def learn_lexicon(labelled: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
-    """The terms of (text, label) rows that mark label 1."""
+def term_counts(labelled: DataFrame) -> DataFrame:
+    """term, toxic, clean of (text, label, fold) rows: in how many toxic and clean texts
+    of each fold a term is (arrays by fold). Terms of fewer than three toxic texts are
+    left out."""
 
     def terms_of(texts: pd.Series) -> pd.Series:
         out = []
@@ -149,19 +151,25 @@ def learn_lexicon(labelled: DataFrame, max_terms: int = MAX_TERMS) -> Lexicon:
         return pd.Series(out)
 
     terms_of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    totals = labelled.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).first()
-    toxic, clean = float(totals["toxic"] or 0), float(totals["clean"] or 0)
-    counts = (
-        labelled.select("label", F.explode(F.pandas_udf(terms_of, "array<string>")("text")).alias("term"))
-        .groupBy("term")
-        .agg(F.sum("label").cast("double").alias("a"), F.sum(1 - F.col("label")).cast("double").alias("b"))
-        .where("a >= 3")
-    )
-    n, a, b = toxic + clean, F.col("a"), F.col("b")  # a >= 3: with no toxic text there is no term
+    each = labelled.select("label", "fold", F.explode(F.pandas_udf(terms_of, "array<string>")("text")).alias("term"))
+    of = lambda value: F.array(*(F.sum(F.when(F.col("fold") == k, value).otherwise(0.0)) for k in range(FOLDS)))
+    counts = each.groupBy("term").agg(of(F.col("label")).alias("toxic"), of(1 - F.col("label")).alias("clean"), F.sum("label").alias("all"))
+    return counts.where(F.col("all") >= LEAST_TEXTS).drop("all")
+
+
+def learn_lexicon(counts: DataFrame, sizes: list[tuple[float, float]], without: int | None = None, max_terms: int = MAX_TERMS) -> Lexicon:
+    """The terms that mark label 1, by the counts of all folds but ``without``; sizes:
+    how many toxic and clean texts each fold has."""
+    used = [k for k in range(FOLDS) if k != without]
+    toxic, clean = (sum(sizes[k][y] for k in used) for y in (0, 1))
+    a, b = F.col("a"), F.col("b")
+    total = lambda column: reduce(Column.__add__, (F.col(column)[k] for k in used))
+    n = toxic + clean  # a >= 3: with no toxic text there is no term
     part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
     ratio = 2 * (part(a, (a + b) * toxic / n) + part(b, (a + b) * clean / n) + part(toxic - a, (n - a - b) * toxic / n) + part(clean - b, (n - a - b) * clean / n))
     odds = F.log((a + 0.5) / (toxic - a + 0.5)) - F.log((b + 0.5) / (clean - b + 0.5))
-    best = counts.withColumns({"ratio": ratio, "odds": odds}).where((F.col("ratio") >= LEAST_RATIO) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("ratio"), "term").limit(max_terms)
+    kept = counts.select("term", total("toxic").alias("a"), total("clean").alias("b")).where(a >= LEAST_TEXTS).withColumns({"ratio": ratio, "odds": odds})
+    best = kept.where((F.col("ratio") >= LEAST_RATIO) & (F.col("odds") >= LEAST_ODDS)).orderBy(F.desc("ratio"), "term").limit(max_terms)
     return Lexicon(tuple((r["term"], round(r["odds"], 6)) for r in best.select("term", "odds").collect()))
 
 
@@ -201,26 +209,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int
         .limit(max_rows)
     )
     sample = in_small_batches(docs).where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(drawn), "doc_id").repartition(FIT_PARTITIONS)
-    sample = saved(sample)
-    sizes = sample.agg(F.sum("label"), F.sum(1 - F.col("label"))).first()
-    if sizes[0] is None:
-        return Model(Lexicon(()))
-    fold, unseen = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("doc_id")), F.lit(FOLDS)), []
-    for k in range(FOLDS):
-        rest = sample.where(fold != k)
-        if rest.isEmpty():  # all rows there are lie in one fold
-            continue
-        lexicon = learn_lexicon(rest)
-        unseen.append(saved(chances(grow(dense_rows(rest, lexicon), seed), dense_rows(sample.where(fold == k), lexicon))))
-    lexicon = learn_lexicon(sample)
-    judged = reduce(DataFrame.union, unseen) if unseen else None
-    if judged is None or judged.isEmpty():
+    fold = F.pmod(F.xxhash64(F.lit(seed + 2), F.col("doc_id")), F.lit(FOLDS)).cast("int")
+    sample = saved(sample.withColumn("fold", fold))
+    found = {r["fold"]: (r["toxic"], r["clean"]) for r in sample.groupBy("fold").agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).collect()}
+    if len(found) < 2:  # nothing labelled, or no fold that others could judge
         return Model(Lexicon(()))
-    return Model(lexicon, grow(dense_rows(sample, lexicon), seed), calibrate(judged), float(min(sizes)))
+    sizes = [found.get(k, (0.0, 0.0)) for k in range(FOLDS)]
+    counts, unseen = saved(term_counts(sample)), []
+    for k in found:
+        lexicon = learn_lexicon(counts, sizes, k)
+        rows = dense_rows(sample, lexicon)
+        unseen.append(saved(chances(grow(rows.where(F.col("fold") != k), seed), rows.where(F.col("fold") == k))))
+    lexicon = learn_lexicon(counts, sizes)
+    taught = min(sum(x) for x in zip(*sizes))
+    return Model(lexicon, grow(dense_rows(sample, lexicon), seed), calibrate(reduce(DataFrame.union, unseen)), float(taught))
 
 
 def dense_rows(sample: DataFrame, lexicon: Lexicon) -> DataFrame:
-    return saved(sample.select("label", feature_column(lexicon, F.col("text")).alias("dense"))).withColumn("features", array_to_vector("dense"))
+    return saved(sample.select("fold", "label", feature_column(lexicon, F.col("text")).alias("dense"))).withColumn("features", array_to_vector("dense"))
 
 
 def grow(rows: DataFrame, seed: int):
