@@ -141,31 +141,58 @@ def grams_of(text: Column, n: int = GRAM) -> Column:
     return F.when(F.length(text) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substr(text, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
-    """inner, outer: distinct texts (column text, GRAM letters at least) of which the
-    first lies inside the second. Whatever holds a text holds its rarest gram: only
-    texts that share that one meet and are compared."""
-    held = outer.select(F.col("text").alias("outer"), F.explode(grams_of(F.col("text"))).alias("gram"))
-    common = held.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    asked = inner.select(F.col("text").alias("inner"), F.explode(grams_of(F.col("text"))).alias("gram")).join(common, "gram", "left")
-    rarest = asked.groupBy("inner").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).where("r.df > 0").select("inner", "r.gram")
-    return rarest.join(held, "gram").where(F.contains("outer", "inner")).select("inner", "outer")
-
-
-def evidence(asked: DataFrame, name: str, rows: DataFrame, row: str, keys: list[Column]) -> DataFrame:
+def contained(inner: DataFrame, outer: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """keys, inner, outer: distinct texts (column text, GRAM letters at least) of which
+    the first lies inside the second, within equal keys. Whatever holds a text holds its
+    rarest gram: only texts that share that one meet and are compared."""
+    held = outer.select(*keys, F.col("text").alias("outer"), F.explode(grams_of(F.col("text"))).alias("gram"))
+    common = held.groupBy(*keys, "gram").agg(F.count(F.lit(1)).alias("df"))
+    asked = inner.select(*keys, F.col("text").alias("inner"), F.explode(grams_of(F.col("text"))).alias("gram")).join(common, [*keys, "gram"], "left")
+    rarest = asked.groupBy(*keys, "inner").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "gram")).alias("r")).where("r.df > 0").select(*keys, "inner", "r.gram")
+    return rarest.join(held, [*keys, "gram"]).where(F.contains("outer", "inner")).select(*keys, "inner", "outer")
+
+
+def evidence(asked: DataFrame, name: str, rows: DataFrame, row: str, keys: list[Column], within: str | None = None) -> DataFrame:
     """name, row, how: the rows that a name means. By any of a row's keys, folded
     (exact); else without spaces (joined); else where one lies inside the other, both
-    of GRAM letters at least (inside). Each later way is for names without a hit."""
-    of = rows.select(F.col(row).alias("row"), F.explode(F.array_distinct(F.array(*(T.fold(k) for k in keys)))).alias("key")).where("key <> ''")
+    of GRAM letters at least (inside). Each later way is for names without a hit.
+    within: a column of both sides whose values must agree; the result then has it."""
+    scope = F.col(within) if within else F.lit(0)
+    of = rows.select(scope.alias("of"), F.col(row).alias("row"), F.explode(F.array_distinct(F.array(*(T.fold(k) for k in keys)))).alias("key")).where("key <> ''")
     index = stored(of.withColumn("joined", F.replace("key", F.lit(" "), F.lit(""))))
-    names = asked.select(F.col(name).alias("name"), T.fold(F.col(name)).alias("key")).distinct().where("key <> ''").withColumn("joined", F.replace("key", F.lit(" "), F.lit("")))
-    exact = stored(names.join(index.select("key", "row"), "key").select("name", "row").distinct())
-    rest = stored(names.join(exact.select("name").distinct(), "name", "left_anti"))
-    joined = stored(rest.join(index.select("joined", "row"), "joined").select("name", "row").distinct())
-    last = stored(rest.join(joined.select("name").distinct(), "name", "left_anti").where(F.length("joined") >= GRAM))
-    keyed = stored(index.where(F.length("joined") >= GRAM).select(F.col("joined").alias("text")).distinct())
-    left = last.select(F.col("joined").alias("text")).distinct()
-    both = contained(left, keyed).select(F.col("inner").alias("of"), F.col("outer").alias("joined")).union(contained(keyed, left).select(F.col("outer").alias("of"), F.col("inner").alias("joined"))).distinct()
-    inside = last.select("name", F.col("joined").alias("of")).join(both, "of").join(index.select("joined", "row"), "joined").select("name", "row").distinct()
-    named = lambda frame, how: frame.select(F.col("name").alias(name), F.col("row").alias(row), F.lit(how).alias("how"))
+    names = asked.select(scope.alias("of"), F.col(name).alias("name"), T.fold(F.col(name)).alias("key")).distinct().where("key <> ''").withColumn("joined", F.replace("key", F.lit(" "), F.lit("")))
+    hit = lambda found, by: stored(found.join(index.select("of", by, "row"), ["of", by]).select("of", "name", "row").distinct())
+    exact = hit(names, "key")
+    rest = stored(names.join(exact.select("of", "name").distinct(), ["of", "name"], "left_anti"))
+    joined = hit(rest, "joined")
+    last = stored(rest.join(joined.select("of", "name").distinct(), ["of", "name"], "left_anti").where(F.length("joined") >= GRAM))
+    keyed = stored(index.where(F.length("joined") >= GRAM).select("of", F.col("joined").alias("text")).distinct())
+    left = last.select("of", F.col("joined").alias("text")).distinct()
+    inner = contained(left, keyed, ("of",)).select("of", F.col("inner").alias("said"), F.col("outer").alias("joined"))
+    outer = contained(keyed, left, ("of",)).select("of", F.col("outer").alias("said"), F.col("inner").alias("joined"))
+    inside = hit(last.select("of", "name", F.col("joined").alias("said")).join(inner.union(outer).distinct(), ["of", "said"]), "joined")
+    out = [F.col("of").alias(within)] if within else []
+    named = lambda frame, how: frame.select(*out, F.col("name").alias(name), F.col("row").alias(row), F.lit(how).alias("how"))
     return named(exact, "exact").union(named(joined, "joined")).union(named(inside, "inside"))
+
+
+def series(groups: DataFrame, aliases: DataFrame) -> DataFrame:
+    """series, label, names, persons (of a team), mm: groups of one series as one.
+
+    groups: name, who, mm; aliases: alias, canon from earlier answers, chains followed
+    to their ends. Names whose representatives are the same but for case and separators
+    are one series; its label is the words that all its names begin with and ' series',
+    or its longest name where they share none. What all sorted lists begin with is what
+    the first and the last of them do, so the label is an aggregate."""
+    flat = resolve.close_aliases(aliases)
+    placed = groups.join(flat.select(F.col("alias").alias("name"), F.col("canon").alias("rep")), "name", "left").withColumn("rep", F.coalesce("rep", "name"))
+    words = F.split(F.trim(F.regexp_replace("name", r"\s+", " ")), " ")
+    parts = placed.withColumns({"key": T.identity_key(F.col("rep")), "folded": F.transform(words, T.fold)})
+    longest = F.min(F.struct((-F.length("name")).alias("n"), "name"))["name"]
+    sums = parts.groupBy(F.col("key").alias("series")).agg(
+        F.array_sort(F.collect_set("name")).alias("names"), F.min("name").alias("first"), F.min("folded").alias("low"), F.max("folded").alias("high"), longest.alias("longest"), F.count_distinct("who").alias("persons"), F.round(F.sum("mm"), 3).alias("mm")
+    )
+    same = F.aggregate(F.arrays_zip("low", "high"), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda acc, x: F.struct((acc["n"] + F.when(acc["on"] & (x["low"] == x["high"]), 1).otherwise(0)).alias("n"), F.coalesce(acc["on"] & (x["low"] == x["high"]), F.lit(False)).alias("on")), lambda acc: acc["n"])
+    stem = F.array_join(F.slice(F.split(F.trim(F.regexp_replace("first", r"\s+", " ")), " "), F.lit(1), F.col("common")), " ")
+    label = F.when(F.size("names") < 2, F.col("first")).when(F.col("common") > 0, F.concat(stem, F.lit(" series"))).otherwise(F.col("longest"))
+    return sums.withColumn("common", same).select("series", label.alias("label"), "names", "persons", "mm")

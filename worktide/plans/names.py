@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from worktide.operators import grouping, merge_map
+from worktide.operators import agentic, grouping, merge_map
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,9 +73,53 @@ def project_merges(spark, sf):
     return merge_map.merge_map(merge_map.pairs(i["known"], i["never"], i["refined"]), i["known"], i["old"])
 
 
-QUERIES = {f.__name__: f for f in (project_pairs, project_merges, merged_details, similar_names, evidence_rows)}
+def task_loads(spark, sf):
+    """Eight tasks for each of five owners, matched to parts' names: what they would take
+    over, what they share, and what nobody claims."""
+    p, k = _t(spark, sf, "part"), F.col("p_partkey")
+    rows = p.groupBy((k % 5).alias("owner"), "p_brand", "p_name").agg(F.sum(F.col("p_size") / 16.0).alias("mm"), F.min("p_partkey").alias("row"))
+    work = F.when(k % 3 == 0, F.col("p_name")).when(k % 3 == 1, F.concat_ws(" ", "p_brand", "p_name")).otherwise(F.concat(F.lit("no "), F.reverse("p_name")))
+    matches = p.where("p_size > 40").groupBy((k % 5).alias("owner"), (F.col("p_size") % 8).alias("task")).agg(F.array_sort(F.collect_set(work)).alias("works"))
+    tasks = matches.select("owner", (F.col("owner") * 100 + F.col("task")).alias("match"), F.concat(F.lit("t"), F.col("task") % 7).alias("task"), "works", (F.col("task") < 7).alias("fit"))
+    found = agentic.recalculated(tasks, rows, [F.col("p_name"), F.concat_ws(" ", "p_brand", "p_name")])
+    return found.select("owner", "match", "task", F.round("load_mm", 3).alias("load_mm"), F.round("split_mm", 3).alias("split_mm"), "rows", F.array_join("shared", ",").alias("shared"))
+
+
+def series_labels(spark, sf):
+    """Parts' names as projects: aliases lead each fourth name to the next of its kind."""
+    p, k = _t(spark, sf, "part"), F.col("p_partkey")
+    name = F.concat_ws(" ", F.split("p_name", " ")[1], F.when(k % 3 == 0, F.upper(F.split("p_name", " ")[0])).otherwise(F.split("p_name", " ")[0]), (k % 11).cast("string"))
+    groups = p.select(name.alias("name"), (k % 9).alias("who"), (F.col("p_size") / 16.0).alias("mm"))
+    nth = F.element_at(F.split("name", " "), -1).cast("int")
+    aliases = groups.select("name").distinct().where(nth % 4 > 0).select(F.col("name").alias("alias"), F.concat_ws(" ", F.split("name", " ")[0], F.split("name", " ")[1], (nth - 1).cast("string")).alias("canon"))
+    found = grouping.series(groups, aliases)
+    return found.select("series", "label", F.array_join("names", ",").alias("names"), "persons", "mm")
+
+
+QUERIES = {f.__name__: f for f in (task_loads, series_labels, project_pairs, project_merges, merged_details, similar_names, evidence_rows)}
 
 ORACLE_SQL = {
+    "task_loads": """WITH r AS (SELECT p_partkey % 5 AS owner, p_brand AS brand, p_name AS n, sum(p_size / 16.0) AS mm, min(p_partkey) AS row FROM part GROUP BY 1, 2, 3
+), m AS (
+  SELECT p_partkey % 5 AS owner, p_size % 8 AS task, list(DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand || ' ' || p_name ELSE 'no ' || reverse(p_name) END) AS works FROM part WHERE p_size > 40 GROUP BY 1, 2
+), t AS (SELECT owner, owner * 100 + task AS match, 't' || (task % 7) AS task, task < 7 AS fit, works FROM m
+), w AS (SELECT owner, match, task, replace(lower(unnest(works)), ' ', '') AS k FROM t WHERE fit
+), x AS (SELECT owner, row, unnest([replace(lower(n), ' ', ''), replace(lower(brand || ' ' || n), ' ', '')]) AS k FROM r
+), h AS (SELECT w.owner, match, task, w.k, row, w.k = x.k AS same FROM w JOIN x ON w.owner = x.owner AND (w.k = x.k OR contains(w.k, x.k) OR contains(x.k, w.k))
+), c AS (SELECT DISTINCT owner, match, task, row FROM (SELECT *, bool_or(same) OVER (PARTITION BY owner, k) AS any_same FROM h) WHERE same OR NOT any_same
+), n AS (SELECT c.*, mm, count(*) OVER (PARTITION BY c.owner, c.row) AS claimed FROM c JOIN r ON r.owner = c.owner AND r.row = c.row
+), s AS (SELECT a.owner, a.match, list_sort(list(DISTINCT b.task)) AS shared FROM n a JOIN n b ON a.owner = b.owner AND a.row = b.row AND a.task <> b.task GROUP BY 1, 2
+), g AS (SELECT owner, match, sum(mm) AS load_mm, sum(mm / claimed) AS split_mm, count(*) AS rows FROM n GROUP BY 1, 2)
+SELECT t.owner, t.match, task, round(coalesce(load_mm, 0), 3)::DOUBLE AS load_mm, round(coalesce(split_mm, 0), 3)::DOUBLE AS split_mm, coalesce(rows, 0) AS rows, coalesce(array_to_string(shared, ','), '') AS shared FROM t LEFT JOIN g ON g.owner = t.owner AND g.match = t.match LEFT JOIN s ON s.owner = t.owner AND s.match = t.match
+UNION ALL SELECT owner, NULL, NULL, 0.0, round(sum(mm), 3)::DOUBLE, count(*), '' FROM r ANTI JOIN c USING (owner, row) GROUP BY owner""",
+    "series_labels": """WITH RECURSIVE p AS (
+  SELECT split_part(p_name, ' ', 2) AS a, CASE WHEN p_partkey % 3 = 0 THEN upper(split_part(p_name, ' ', 1)) ELSE split_part(p_name, ' ', 1) END AS b, p_partkey % 11 AS i, p_partkey % 9 AS who, p_size / 16.0 AS mm FROM part
+), g AS (SELECT *, a || ' ' || b || ' ' || i AS name FROM p), e AS (SELECT DISTINCT a, b, i, name FROM g
+), r AS (SELECT a, b, i, i AS to_ FROM e UNION ALL SELECT r.a, r.b, r.i, r.to_ - 1 FROM r WHERE r.to_ % 4 > 0 AND EXISTS (SELECT 1 FROM e WHERE e.a = r.a AND e.b = r.b AND e.i = r.to_)
+), f AS (SELECT a, b, i, lower(a || b) || min(to_) AS series FROM r GROUP BY a, b, i
+), s AS (SELECT series, g.* FROM g JOIN f USING (a, b, i)
+), l AS (SELECT series, list_sort(list(DISTINCT name)) AS names, min(name) AS first, count(DISTINCT who) AS persons, round(sum(mm), 3)::DOUBLE AS mm, count(DISTINCT lower(a)) AS na, count(DISTINCT lower(b)) AS nb, count(DISTINCT i) AS ni FROM s GROUP BY series)
+SELECT series, CASE WHEN len(names) < 2 THEN first WHEN na = 1 THEN array_to_string(string_split(first, ' ')[1:CASE WHEN nb = 1 THEN CASE WHEN ni = 1 THEN 3 ELSE 2 END ELSE 1 END], ' ') || ' series' ELSE first END AS label, array_to_string(names, ',') AS names, persons, mm FROM l""",
     "project_pairs": r"""WITH r AS (
   SELECT p_partkey % 5 AS owner, CASE WHEN p_partkey % 6 < 3 THEN p_name WHEN p_partkey % 6 = 3 THEN replace(p_name, ' ', '-') WHEN p_partkey % 6 = 4 THEN p_name || ' (new)' ELSE p_name || ' ' || (p_partkey % 2 + 1) END AS name,
     p_size / 8.0 AS mm, replace(lower(p_type), ' ', '') || (p_size % 7) AS detail, CASE WHEN p_partkey % 40 = 0 THEN lower(p_brand) END AS product, DATE '2024-01-01' + CAST(p_partkey % 120 AS INTEGER) AS day FROM part
