@@ -260,3 +260,62 @@ def cascade(rows: DataFrame, column: str, pool: DataFrame, name: str) -> DataFra
     for axis, c in reversed(found):
         how = F.when(c.isNotNull(), axis).otherwise(how)
     return out.withColumns({"resolved": F.coalesce(*(c for _, c in found)), "axis": how}).drop(*(f"_to_{a}" for a in axes))
+
+
+MIN_PREFIX = 8
+
+
+def plain(name: Column) -> Column:
+    """Lower case, one space between words; separators stay."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\s+", " "))
+
+
+def without_dash(name: Column) -> Column:
+    """Without an explanation behind a dash that stands between spaces."""
+    return F.trim(F.regexp_replace(name, r"\s+[-\u2013\u2014]\s+.*$", ""))
+
+
+def joined(name: Column) -> Column:
+    return F.regexp_replace(name, " ", "")
+
+
+def prefixes(name: Column) -> Column:
+    """What a name begins with, of MIN_PREFIX letters at least, up to where a word ends."""
+    text = plain(name)
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: (i >= MIN_PREFIX) & ((i == F.length(text)) | ~F.substr(text, i + 1, F.lit(1)).rlike(r"[\p{L}\p{N}]")))
+    return F.transform(ends, lambda i: F.substr(text, F.lit(1), i))
+
+
+def axes(detail: Column | None) -> list[tuple[str, object, object]]:
+    """Ever looser ways to compare: name, key of what was said, keys of an entry."""
+    one = lambda f: lambda c: F.array(f(c))
+    bare = lambda c: T.without_note(without_dash(plain(c)))
+    ways = [
+        ("exact", lambda c: c, one(lambda c: c)), ("lower", F.lower, one(F.lower)), ("fold", T.fold, one(T.fold)), ("plain", plain, one(plain)), ("dashless", lambda c: without_dash(plain(c)), one(plain)),
+        ("dashless joined", lambda c: joined(without_dash(plain(c))), one(lambda c: joined(plain(c)))), ("key", T.identity_key, one(T.identity_key)), ("noteless", bare, one(bare)),
+        ("prefix", lambda c: F.when(F.length(F.regexp_replace(plain(c), "[. ]+$", "")) >= MIN_PREFIX, F.regexp_replace(plain(c), "[. ]+$", "")), prefixes),
+    ]
+    return ways if detail is None else [*ways, ("detail", T.identity_key, lambda _: F.array(T.identity_key(detail)))]
+
+
+def resolve_scoped(said: DataFrame, raw: str, pool: DataFrame, name: str, scope: str, detail: str | None = None) -> DataFrame:
+    """said's rows with resolved and axis: the entry of the scope's pool that ``raw``
+    means, by the first axis on which its key is one entry's alone; null without one.
+
+    All axes are one table of (scope, axis, key): entries are told unique by one
+    aggregate, and both sides meet in one join, however many axes there are. On the
+    axis without notes, what was said may lack the entry's note but not have another."""
+    ways = axes(F.col("part") if detail else None)
+    own = pool.select(F.col(scope).alias("s"), F.col(name).alias("entry"), F.col(detail or name).alias("part"))
+    spread = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), of(F.col("entry")).alias("keys")) for i, (_, _, of) in enumerate(ways))))
+    each = stored(own.withColumn("w", spread).select("s", "entry", "w.i", F.explode("w.keys").alias("key")).where("key <> ''"))
+    single = each.groupBy("s", "i", "key").agg(F.min("entry").alias("entry"), F.max("entry").alias("last")).where("entry = last").drop("last")
+    distinct = said.select(F.col(scope).alias("s"), F.col(raw).alias("raw")).distinct()
+    asked = distinct.withColumn("keys", F.array(*(of(F.col("raw")) for _, of, _ in ways))).select("s", "raw", F.posexplode("keys").alias("i", "key")).where("key <> ''")
+    note = lambda c: F.trim(F.lower(T.note(F.col(c))))
+    noteless = next(i for i, (w, _, _) in enumerate(ways) if w == "noteless")
+    fits = (F.col("i") != noteless) | (note("raw") == "") | (note("raw") == note("entry"))
+    found = asked.join(single, ["s", "i", "key"]).where(fits).groupBy("s", "raw").agg(F.min(F.struct("i", "entry")).alias("hit"))
+    names = F.element_at(F.array(*(F.lit(w) for w, _, _ in ways)), F.col("hit.i") + 1)
+    table = found.select(F.col("s").alias(scope), F.col("raw").alias(raw), F.col("hit.entry").alias("resolved"), names.alias("axis"))
+    return said.join(table, [scope, raw], "left")

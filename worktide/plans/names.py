@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from worktide.operators import agentic, grouping, merge_map
+from worktide.operators import agentic, grouping, merge_map, resolve
+from worktide.sources.sinks import stored
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,9 +97,59 @@ def series_labels(spark, sf):
     return found.select("series", "label", F.array_join("names", ",").alias("names"), "persons", "mm")
 
 
-QUERIES = {f.__name__: f for f in (task_loads, series_labels, project_pairs, project_merges, merged_details, similar_names, evidence_rows)}
+def scoped_axes(spark, sf):
+    """Answers in ten spellings against each brand's entries."""
+    p, k = _t(spark, sf, "part"), F.col("p_partkey")
+    entry = F.concat("p_name", F.lit("/"), F.lower("p_type"), F.when(k % 3 == 0, F.concat(F.lit(" work "), (k % 2).cast("string"))).otherwise(""), F.when(k % 4 == 1, " (new)").when(k % 4 == 2, " (old)").otherwise(""))
+    pool = p.select("p_brand", entry.alias("entry"), F.regexp_replace(entry, "^[^/]*/", "").alias("detail")).distinct()
+    m = k % 10
+    said = (
+        F.when(m == 0, F.col("entry")).when(m == 1, F.upper("entry")).when(m == 2, F.replace("entry", F.lit("/"), F.lit(" "))).when(m == 3, F.replace("entry", F.lit(" "), F.lit("  "))).when(m == 4, F.concat("entry", F.lit(" - and more")))
+        .when(m == 5, F.concat(F.replace("entry", F.lit(" "), F.lit("")), F.lit(" - and"))).when(m == 6, F.replace("entry", F.lit("/"), F.lit(""))).when(m == 7, F.regexp_replace("entry", r" \(.*$", "")).when(m == 8, F.concat(F.regexp_replace("entry", r"( work.*| \(.*)$", ""), F.lit(".")))
+        .otherwise(F.regexp_replace("entry", "^[^/]*/", ""))
+    )
+    rows = stored(p.select("p_partkey", "p_brand", entry.alias("entry"))).withColumn("said", said).drop("entry")
+    return resolve.resolve_scoped(rows, "said", pool, "entry", "p_brand", "detail").select("p_partkey", "p_brand", "said", "resolved", "axis")
+
+
+QUERIES = {f.__name__: f for f in (scoped_axes, task_loads, series_labels, project_pairs, project_merges, merged_details, similar_names, evidence_rows)}
+
+_PLAIN = r"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
+_FOLD = r"trim(regexp_replace(lower({x}), '[\s_\-./·,]+', ' ', 'g'))"
+_DASHLESS = r"trim(regexp_replace({x}, '\s+[-–—]\s+.*$', ''))"
+_NOTELESS = r"trim(regexp_replace({x}, '\([^()]*\)\s*$', ''))"
+
+
+def _axis_keys(x: str) -> list[str]:
+    """The keys of what was said, axis by axis."""
+    plain, fold = _PLAIN.format(x=x), _FOLD.format(x=x)
+    dashless = _DASHLESS.format(x=plain)
+    end = f"regexp_replace({plain}, '[. ]+$', '')"
+    return [x, f"lower({x})", fold, plain, dashless, f"replace({dashless}, ' ', '')", f"replace({fold}, ' ', '')", _NOTELESS.format(x=dashless), f"CASE WHEN length({end}) >= 8 THEN {end} END", f"replace({fold}, ' ', '')"]
+
+
+def _entry_keys(x: str, detail: str) -> list[str]:
+    own, plain = _axis_keys(x), _PLAIN.format(x=x)
+    return [*own[:4], plain, f"replace({plain}, ' ', '')", own[6], own[7], None, f"replace({_FOLD.format(x=detail)}, ' ', '')"]
+
 
 ORACLE_SQL = {
+    "scoped_axes": rf"""WITH e AS (
+  SELECT *, p_name || '/' || lower(p_type) || CASE WHEN p_partkey % 3 = 0 THEN ' work ' || (p_partkey % 2) ELSE '' END || CASE p_partkey % 4 WHEN 1 THEN ' (new)' WHEN 2 THEN ' (old)' ELSE '' END AS entry FROM part
+), a AS (
+  SELECT p_partkey, p_brand, CASE p_partkey % 10 WHEN 0 THEN entry WHEN 1 THEN upper(entry) WHEN 2 THEN replace(entry, '/', ' ') WHEN 3 THEN replace(entry, ' ', '  ') WHEN 4 THEN entry || ' - and more' WHEN 5 THEN replace(entry, ' ', '') || ' - and' WHEN 6 THEN replace(entry, '/', '')
+    WHEN 7 THEN regexp_replace(entry, ' \(.*$', '') WHEN 8 THEN regexp_replace(entry, '( work.*| \(.*)$', '') || '.' ELSE regexp_replace(entry, '^[^/]*/', '') END AS said FROM e
+), d AS (SELECT DISTINCT p_brand, entry, regexp_replace(entry, '^[^/]*/', '') AS detail FROM e
+), pf AS (SELECT p_brand, entry, {_PLAIN.format(x='entry')} AS t, unnest(range(8, 80)) AS n FROM d
+), k AS (
+  {' UNION '.join(f"SELECT p_brand, entry, {i} AS i, {key} AS key FROM d" for i, key in enumerate(_entry_keys('entry', 'detail')) if key)}
+  UNION SELECT p_brand, entry, 8, t[1:n] FROM pf WHERE n = length(t) OR (n < length(t) AND NOT regexp_matches(t[n + 1], '[\p{{L}}\p{{N}}]'))
+), u AS (SELECT p_brand, i, key, min(entry) AS entry FROM k WHERE key <> '' GROUP BY 1, 2, 3 HAVING count(DISTINCT entry) = 1
+), q AS ({' UNION ALL '.join(f"SELECT p_partkey, p_brand, said, {i} AS i, {key} AS key FROM a" for i, key in enumerate(_axis_keys('said')))}
+), h AS (
+  SELECT p_partkey, arg_min(entry, i) AS resolved, min(i) AS i FROM q JOIN u USING (p_brand, i, key)
+  WHERE i <> 7 OR regexp_extract(said, '\(([^()]*)\)\s*$', 1) = '' OR lower(regexp_extract(said, '\(([^()]*)\)\s*$', 1)) = regexp_extract(entry, '\(([^()]*)\)\s*$', 1) GROUP BY p_partkey
+) SELECT p_partkey, p_brand, said, resolved, ['exact', 'lower', 'fold', 'plain', 'dashless', 'dashless joined', 'key', 'noteless', 'prefix', 'detail'][h.i + 1] AS axis FROM a LEFT JOIN h USING (p_partkey)""",
     "task_loads": """WITH r AS (SELECT p_partkey % 5 AS owner, p_brand AS brand, p_name AS n, sum(p_size / 16.0) AS mm, min(p_partkey) AS row FROM part GROUP BY 1, 2, 3
 ), m AS (
   SELECT p_partkey % 5 AS owner, p_size % 8 AS task, list(DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_brand || ' ' || p_name ELSE 'no ' || reverse(p_name) END) AS works FROM part WHERE p_size > 40 GROUP BY 1, 2
