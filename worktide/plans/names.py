@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from worktide.operators import agentic, grouping, merge_map, resolve
+from worktide.operators import agentic, flows, grouping, merge_map, resolve
 from worktide.sources.sinks import stored
 
 
@@ -112,7 +112,20 @@ def scoped_axes(spark, sf):
     return resolve.resolve_scoped(rows, "said", pool, "entry", "p_brand", "detail").select("p_partkey", "p_brand", "said", "resolved", "axis")
 
 
-QUERIES = {f.__name__: f for f in (scoped_axes, task_loads, series_labels, project_pairs, project_merges, merged_details, similar_names, evidence_rows)}
+def flow_clusters(spark, sf):
+    """Orders as flows of nine people: the lines of an order are its steps."""
+    p = _t(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type")
+    lines = _t(spark, sf, "lineitem").join(p, "l_partkey")
+    k = F.col("l_orderkey")
+    steps = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "p_type"))), lambda s: s["p_type"])
+    told = lines.groupBy("l_orderkey").agg(steps.alias("steps"), F.min(F.struct("l_linenumber", "l_partkey", "p_name", "p_brand")).alias("f"), F.sum(F.col("l_quantity") / 100.0).alias("mm"))
+    detail = F.when(k % 10 == 0, "").when(k % 3 == 0, F.col("f.p_name")).when(k % 3 == 1, F.concat("f.p_name", F.lit(" check"))).otherwise(F.replace("f.p_name", F.lit(" "), F.lit("_")))
+    rows = told.select(k.alias("id"), (k % 2).alias("source"), F.concat(F.lit("o"), k % 9).alias("owner"), "f.p_brand", detail.alias("detail"), F.when(k % 5 == 0, "lead").alias("role"), "steps", F.round("mm", 2).alias("mm"), (k % 3 / 2.0).alias("ax")).withColumnRenamed("p_brand", "project")
+    found = flows.flow_summary(rows)
+    return found.withColumn("steps", F.array_join("steps", ","))
+
+
+QUERIES = {f.__name__: f for f in (flow_clusters, scoped_axes, task_loads, series_labels, project_pairs, project_merges, merged_details, similar_names, evidence_rows)}
 
 _PLAIN = r"trim(regexp_replace(lower({x}), '\s+', ' ', 'g'))"
 _FOLD = r"trim(regexp_replace(lower({x}), '[\s_\-./·,]+', ' ', 'g'))"
@@ -134,6 +147,33 @@ def _entry_keys(x: str, detail: str) -> list[str]:
 
 
 ORACLE_SQL = {
+    "flow_clusters": """WITH RECURSIVE j AS (SELECT l.*, p_name, p_brand, lower(p_type) AS ty FROM lineitem l JOIN part ON l_partkey = p_partkey
+), t AS (
+  SELECT l_orderkey AS id, list(ty ORDER BY l_linenumber, l_partkey, ty) AS steps, arg_min(p_name, (l_linenumber, l_partkey, p_name, p_brand)) AS n, arg_min(p_brand, (l_linenumber, l_partkey, p_name, p_brand)) AS project, round(sum(l_quantity / 100.0), 2) AS mm FROM j GROUP BY 1
+), f AS (
+  SELECT *, id % 2 AS source, 'o' || (id % 9) AS owner, CASE WHEN id % 10 = 0 THEN '' WHEN id % 3 = 0 THEN n WHEN id % 3 = 1 THEN n || ' check' ELSE replace(n, ' ', '_') END AS detail, CASE WHEN id % 5 = 0 THEN 'lead' ELSE '' END AS role, id % 3 / 2.0 AS ax FROM t
+), o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY owner, project, list_sort(list_distinct(steps)), role ORDER BY source, id) AS nth FROM f) WHERE nth = 1
+), c AS (SELECT * FROM (SELECT *, bool_or(detail <> '') OVER (PARTITION BY owner, project) AS finer FROM o) WHERE detail <> ''
+), g AS (SELECT *, replace(replace(detail, ' ', ''), '_', '') AS key, row_number() OVER (PARTITION BY project ORDER BY id) AS i FROM c
+), h AS (SELECT *, list_distinct(list_transform(range(1, length(key)), lambda x: key[x:x + 1])) AS grams FROM g
+), w(project, i, id, slot, held) AS (
+  SELECT project, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::STRUCT(id BIGINT, detail VARCHAR, key VARCHAR, grams VARCHAR[], steps VARCHAR[])[] FROM (SELECT DISTINCT project FROM h)
+  UNION ALL
+  SELECT project, i, id, coalesce(slot, len(held) + 1), CASE WHEN slot IS NULL THEN list_append(held, {'id': id, 'detail': detail, 'key': key, 'grams': grams, 'steps': list_distinct(steps)}) ELSE
+    list_concat(list_append(held[:slot - 1], {'id': held[slot].id, 'detail': CASE WHEN longer THEN detail ELSE held[slot].detail END, 'key': CASE WHEN longer THEN key ELSE held[slot].key END, 'grams': CASE WHEN longer THEN grams ELSE held[slot].grams END,
+      'steps': list_distinct(list_concat(held[slot].steps, steps))}), held[slot + 1:]) END
+  FROM (SELECT *, length(detail) > length(held[slot].detail) OR (length(detail) = length(held[slot].detail) AND detail > held[slot].detail) AS longer FROM (
+    SELECT h.*, w.held, list_position(list_transform(w.held, lambda x: x.key = h.key OR 2.0 * len(list_intersect(x.grams, h.grams)) / (len(x.grams) + len(h.grams)) >= 0.75 OR (len(list_distinct(h.steps)) >= 3 AND len(x.steps) >= 3
+      AND 2.0 * len(list_intersect(x.grams, h.grams)) / (len(x.grams) + len(h.grams)) >= 0.4 AND len(list_intersect(x.steps, h.steps)) >= 0.6 * len(list_distinct(list_concat(x.steps, h.steps))))), true) AS slot
+    FROM w JOIN h ON h.project = w.project AND h.i = w.i + 1))
+), e AS (SELECT project, arg_max(held, i) AS held FROM w GROUP BY project
+), m AS (SELECT h.*, e.held[w.slot].id AS cluster, e.held[w.slot].detail AS label FROM w JOIN h ON h.project = w.project AND h.id = w.id JOIN e ON e.project = w.project
+), s AS (SELECT cluster, any_value(project) AS project, any_value(label) AS label, count(DISTINCT owner) AS people, count(*) AS flows, sum(mm) AS mm, sum(mm * ax) AS ax_mm, avg(ax) AS ax_mean FROM m GROUP BY cluster
+), x AS (SELECT cluster, unnest(steps) AS step, unnest(range(len(steps))) AS place FROM m
+), y AS (SELECT cluster, step, count(*) AS n, avg(place) AS place, any_value(flows) AS flows FROM x JOIN s USING (cluster) GROUP BY 1, 2
+), z AS (SELECT *, bool_or(n * 2 >= flows) OVER (PARTITION BY cluster) AS any_, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, step) AS rank FROM y
+), k AS (SELECT cluster, list(step ORDER BY place, step) AS list FROM z WHERE CASE WHEN any_ THEN n * 2 >= flows ELSE rank <= 7 END GROUP BY 1)
+SELECT cluster, project, label, people, flows, round(mm, 3)::DOUBLE AS mm, round(CASE WHEN mm > 0 THEN ax_mm / mm ELSE ax_mean END, 4)::DOUBLE AS ax, array_to_string(list[:10], ',') AS steps, len(list)::INTEGER AS total FROM s JOIN k USING (cluster)""",
     "scoped_axes": rf"""WITH e AS (
   SELECT *, p_name || '/' || lower(p_type) || CASE WHEN p_partkey % 3 = 0 THEN ' work ' || (p_partkey % 2) ELSE '' END || CASE p_partkey % 4 WHEN 1 THEN ' (new)' WHEN 2 THEN ' (old)' ELSE '' END AS entry FROM part
 ), a AS (
