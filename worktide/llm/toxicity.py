@@ -39,15 +39,19 @@ from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
+from worktide.llm import _hashing as H
 from worktide.llm._common import in_small_batches, saved
 
 MAX_ROWS, MAX_TERMS, PRIOR = 30_000, 400, 30.0
 LEAST_TEXTS, LEAST_RATIO, LEAST_ODDS = 3, 18.0, 1.5
+#: Bytes of text whose terms are held at once.
+TERM_BYTES = 1 << 17
 FIT_PARTITIONS, FOLDS = 8, 3
 
 # Common insults and second persons in English, German, French and Spanish.
@@ -143,15 +147,19 @@ def term_counts(labelled: DataFrame) -> DataFrame:
     of each fold a term is (arrays by fold). Terms of fewer than three toxic texts are
     left out."""
 
-    def terms_of(texts: pd.Series) -> pd.Series:
-        out = []
-        for text in texts:
-            words = set(WORDS.findall((text or "").lower()))
-            out.append(sorted(words | {w[:k] + "*" for w in words for k in (4, 5, 6) if len(w) > k}))
-        return pd.Series(out)
-
-    terms_of.__annotations__ = {"texts": pd.Series, "return": pd.Series}
-    each = labelled.select("label", "fold", F.explode(F.pandas_udf(terms_of, "array<string>")("text")).alias("term"))
+    def terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in H.slices(batch["text"], TERM_BYTES):
+                rows, terms = [], []
+                for i, text in enumerate(texts, first):
+                    words = set(WORDS.findall(text.decode().lower()))
+                    found = words | {w[:k] + "*" for w in words for k in (4, 5, 6) if len(w) > k}
+                    rows += [i] * len(found)
+                    terms += found
+                at = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch["label"].take(at), batch["fold"].take(at), pa.array(terms, pa.string())], names=["label", "fold", "term"])
+
+    each = labelled.select("text", F.col("label").cast("double").alias("label"), F.col("fold").cast("int").alias("fold")).mapInArrow(terms_of, "label double, fold int, term string")
     of = lambda value: F.array(*(F.sum(F.when(F.col("fold") == k, value).otherwise(0.0)) for k in range(FOLDS)))
     counts = each.groupBy("term").agg(of(F.col("label")).alias("toxic"), of(1 - F.col("label")).alias("clean"), F.sum("label").alias("all"))
     return counts.where(F.col("all") >= LEAST_TEXTS).drop("all")
