@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from worktide.functions.config import Settings
+from worktide.functions.numbers import half_up
 from worktide.operators import intervals, sessions
 
 
@@ -66,11 +67,11 @@ def monthly_load(hours: DataFrame, first: str, last: str, settings: Settings = S
     sized = joined.withColumns({"workdays": full, "covered": here})
     out = sized.withColumns(
         {
-            "mm": F.round(F.col("worked") / (F.col("workdays") * settings.std_day_h), 3),
-            "avail_mm": F.round(F.greatest(F.col("covered") - F.col("absent"), F.lit(0.0)) / F.col("workdays"), 3),
+            "mm": half_up(F.col("worked") / (F.col("workdays") * settings.std_day_h), 3),
+            "avail_mm": half_up(F.greatest(F.col("covered") - F.col("absent"), F.lit(0.0)) / F.col("workdays"), 3),
         }
     )
-    load = F.when(F.col("avail_mm") > 0, F.round(F.col("mm") / F.col("avail_mm") * 100, 1))
+    load = F.when(F.col("avail_mm") > 0, half_up(F.col("mm") / F.col("avail_mm") * 100, 1))
     return out.select("owner", F.date_format("month", "yyyy-MM").alias("month"), F.round("worked", 1).alias("worked_h"), "workdays", "avail_mm", "mm", load.alias("load_pct"))
 
 
