@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from worktide.functions import text as T
+from worktide.functions.numbers import half_up
 from worktide.operators import merge_map, resolve
 from worktide.sources.sinks import stored
 
@@ -100,4 +101,4 @@ def flow_summary(flows: DataFrame) -> DataFrame:
     kept = common.where(F.when(F.col("any"), F.col("common")).otherwise(F.col("rank") <= FEW)).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("place", "step"))).alias("list"))
     out = sums.join(kept, "cluster", "left").withColumn("list", F.coalesce("list", F.expr("cast(array() as array<struct<place: double, step: string>>)")))
     ax = F.when(F.col("mm") > 0, F.col("ax_mm") / F.col("mm")).otherwise(F.col("ax_mean"))
-    return out.select("cluster", "project", "label", "people", "flows", F.round("mm", 3).alias("mm"), F.round(ax, 4).alias("ax"), F.slice("list.step", F.lit(1), F.lit(MOST_STEPS)).alias("steps"), F.size("list").alias("total"))
+    return out.select("cluster", "project", "label", "people", "flows", half_up(F.col("mm"), 3).alias("mm"), half_up(ax, 4).alias("ax"), F.slice("list.step", F.lit(1), F.lit(MOST_STEPS)).alias("steps"), F.size("list").alias("total"))
