@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from worktide.functions.config import Settings
 from worktide.functions.numbers import half_up
 from worktide.operators import intervals, sessions
+from worktide.sources.sinks import stored
 
 
 def calendar(spark: SparkSession, first: str, last: str, settings: Settings = Settings()) -> DataFrame:
@@ -113,28 +114,30 @@ def worked_hours(traces: DataFrame, machine: DataFrame, productive: DataFrame, s
     touch = productive.select(*keys, F.lit("touch").alias("kind"), (F.col("minute") - settings.trace_pad_min).alias("a"), (F.col("minute") + settings.trace_pad_min).alias("b"))
     gaps = sampler_bridges(traces.where("kind = 'sampler'"), settings).withColumn("kind", F.lit("bridge"))
     on = machine.select(*keys, F.lit("on").alias("kind"), "a", "b")
-    known = traces.select(*keys, "kind", "a", "b").union(on).union(win).union(touch).union(gaps.select(*keys, "kind", "a", "b"))
+    known = stored(traces.select(*keys, "kind", "a", "b").union(on).union(win).union(touch).union(gaps.select(*keys, "kind", "a", "b")))  # each input is read once
     fixed = known.select(*keys).distinct().select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for k, (a, b) in {"dayw": (low, high), "flex": (low - 60 * settings.flex_edge_h, high + 60 * settings.flex_edge_h), "lunch": settings.lunch, "dinner": settings.dinner}.items()))).alias("s")).select(*keys, "s.kind", "s.a", "s.b")
     kinds = ["session", "meeting", "carried", "sampler", "bridge", "on", "near", "touch", "dayw", "flex", "lunch", "dinner"]
-    segs = intervals.segments(known.union(fixed), kinds)
-    has = lambda k: F.col(f"n_{k}") > 0
-    meal_touched = {m: F.max(F.when(has(m) & (has("touch") | has("meeting")), 1).otherwise(0)).over(W.partitionBy(*keys)) for m in ("lunch", "dinner")}
-    segs = segs.withColumns({f"{m}_touched": t for m, t in meal_touched.items()})
-    meal = (has("lunch") & (F.col("lunch_touched") == 0)) | (has("dinner") & (F.col("dinner_touched") == 0))
+    segs = intervals.tiles(known.union(fixed), kinds, intervals.tasks_for(known.count()))
+    has = lambda p, *k: intervals.on(p, kinds, *k)
+    some = lambda holds: F.exists("pieces", holds)
     holiday = F.col("day").isin(*(F.lit(h).cast("date") for h in settings.holidays)) if settings.holidays else F.lit(False)
     off_day = ~((F.dayofweek("day") + 5) % 7 + 1).isin(*settings.workdays) | holiday
-    segs = segs.withColumn("opens", F.max(F.when(has("near") | has("meeting") | has("sampler"), 1).otherwise(0)).over(W.partitionBy(*keys)) == 1)
-    opens = F.col("opens")
-    traced = has("carried") | (F.when(off_day, opens).otherwise(F.lit(True)) & (has("session") | has("meeting") | has("sampler")))
-    bridged = has("bridge") & ~has("lunch") & ~has("dinner")
-    counted, night = traced | bridged, ~has("dayw")
-    credit = has("on") & has("near") & night & ~counted
-    floored = has("on") & has("dayw") & ~meal & ~has("sampler") & ~has("bridge") & (~off_day | has("near"))
-    flexed = has("on") & has("flex") & night & ~counted & ~credit
-    length = F.col("b") - F.col("a")
-    total = lambda holds: F.sum(F.when(holds, length).otherwise(0.0))
-    sums = {"rest_min": counted & ~night & ~floored, "inside_min": counted & floored, "floor_min": floored, "traced_night": counted & night, "night_on": has("on") & night, "credit_min": credit, "flex_min": flexed}
-    days = segs.groupBy(*keys).agg(*(total(holds).alias(name) for name, holds in sums.items()), F.max(F.when(opens, 1).otherwise(0)).alias("gated"))
+    segs = segs.withColumns({"off_day": off_day, "opens": some(lambda p: has(p, "near", "meeting", "sampler")), "lunch_touched": some(lambda p: has(p, "lunch") & has(p, "touch", "meeting")), "dinner_touched": some(lambda p: has(p, "dinner") & has(p, "touch", "meeting"))})
+    opened, off = ~F.col("off_day") | F.col("opens"), F.col("off_day")
+
+    def marked(p: Column) -> Column:
+        night = ~has(p, "dayw")
+        meal = (has(p, "lunch") & ~F.col("lunch_touched")) | (has(p, "dinner") & ~F.col("dinner_touched"))
+        counted = has(p, "carried") | (opened & has(p, "session", "meeting", "sampler")) | (has(p, "bridge") & ~has(p, "lunch", "dinner"))
+        floored = has(p, "on") & ~night & ~meal & ~has(p, "sampler", "bridge") & (~off | has(p, "near"))
+        return F.struct(p["a"].alias("a"), p["b"].alias("b"), p["on"].alias("on"), night.alias("night"), counted.alias("counted"), floored.alias("floored"))
+
+    credit = lambda p: has(p, "on") & has(p, "near") & p["night"] & ~p["counted"]
+    sums = {
+        "rest_min": lambda p: p["counted"] & ~p["night"] & ~p["floored"], "inside_min": lambda p: p["counted"] & p["floored"], "floor_min": lambda p: p["floored"], "traced_night": lambda p: p["counted"] & p["night"],
+        "night_on": lambda p: has(p, "on") & p["night"], "credit_min": credit, "flex_min": lambda p: has(p, "on") & has(p, "flex") & p["night"] & ~p["counted"] & ~credit(p),
+    }
+    days = segs.withColumn("pieces", F.transform("pieces", marked)).select(*keys, *(intervals.minutes("pieces", holds).alias(name) for name, holds in sums.items()), F.col("opens").cast("int").alias("gated"))
     for extra, column in ((offsite, F.lit(1).alias("off")), (manual, F.col("hours").alias("manual_h")), (absence, F.col("frac").alias("absent"))):
         if extra is not None:
             days = days.join(extra.select(*keys, column), keys, "full")

@@ -9,9 +9,12 @@ Spans that end before they begin, or hold a null, are dropped.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 KEYS = ["owner", "day"]
+ROWS_A_TASK = 150_000
 
 
 def sane(spans: DataFrame) -> DataFrame:
@@ -29,6 +32,39 @@ def segments(spans: DataFrame, kinds: list[str], keys: list[str] = KEYS) -> Data
     return swept.where(F.col("b").isNotNull() & F.greatest(*(F.col(f"n_{k}") for k in kinds), F.lit(0)).__gt__(0))
 
 
+def tiles(spans: DataFrame, kinds: list[str], tasks: int, keys: list[str] = KEYS) -> DataFrame:
+    """A row for each key: ``pieces``, the pieces that some span covers in order, as
+    {a, b, on}; bit i of ``on`` tells whether kinds[i] covers a piece (see ``on``).
+
+    One shuffle by the keys into ``tasks`` parts serves all steps. Within a kind only
+    the ends of its union remain, each of which turns its bit, so that a row holds one
+    number for all kinds; what follows needs no further sort or window."""
+    bits = F.create_map(*(x for i, k in enumerate(kinds) for x in (F.lit(k), F.lit(1 << i).cast("long"))))
+    edge = F.explode(F.array(F.struct(F.col("a").alias("m"), F.lit(1).alias("step")), F.struct(F.col("b").alias("m"), F.lit(-1).alias("step"))))
+    edges = sane(spans).where(F.col("kind").isin(*kinds)).repartition(tasks, *keys).select(*keys, F.element_at(bits, F.col("kind")).alias("bit"), edge.alias("e")).select(*keys, "bit", "e.m", "e.step")
+    ends = edges.groupBy(*keys, "bit", "m").agg(F.sum("step").alias("step")).where("step <> 0")
+    held = ends.withColumn("n", F.sum("step").over(W.partitionBy(*keys, "bit").orderBy("m"))).where("n = 0 OR n = step")
+    along = W.partitionBy(*keys).orderBy("m")
+    turns = held.groupBy(*keys, "m").agg(F.bit_xor("bit").alias("turned"))
+    swept = turns.select(*keys, F.col("m").alias("a"), F.lead("m").over(along).alias("b"), F.bit_xor("turned").over(along).alias("on")).where("b IS NOT NULL AND on <> 0")
+    return swept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("a", "b", "on"))).alias("pieces"))
+
+
+def on(piece: Column, kinds: list[str], *any_of: str) -> Column:
+    """Whether one of some kinds covers a piece of ``tiles``."""
+    return piece["on"].bitwiseAND(F.lit(sum(1 << kinds.index(k) for k in any_of)).cast("long")) != 0
+
+
+def minutes(pieces: Column | str, holds: Callable[[Column], Column]) -> Column:
+    """Length of the pieces for which a predicate holds."""
+    return F.aggregate(pieces, F.lit(0.0), lambda sum_, p: sum_ + F.when(holds(p), p["b"] - p["a"]).otherwise(0.0))
+
+
+def tasks_for(rows: int) -> int:
+    """How many tasks hold a sweep over so many spans, each a bounded part of them."""
+    return max(1, -(-rows // ROWS_A_TASK))
+
+
 def covered(segs: DataFrame, holds: Column, keys: list[str] = KEYS, name: str = "minutes") -> DataFrame:
     """Length of the pieces for which a predicate over the counts holds."""
     return segs.where(holds).groupBy(*keys).agg(F.sum(F.col("b") - F.col("a")).alias(name))
