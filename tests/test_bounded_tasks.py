@@ -2,7 +2,8 @@
 
 import datetime as dt
 
-from worktide.operators import hours, intervals
+from tests.test_whole_days import SCHEMAS
+from worktide.operators import hours, intervals, whole_days as D
 
 DAYS = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(20)]
 
@@ -22,3 +23,10 @@ def test_worked_hours_deal_spans_to_more_tasks_as_they_grow(spark, monkeypatch):
     more = hours.worked_hours(traces, machine, points)
     assert more.rdd.getNumPartitions() == 10 and found.rdd.getNumPartitions() == 1  # 80 spans
     assert sorted(more.collect()) == sorted(found.collect()) and found.count() == len(DAYS)
+
+
+def test_whole_days_deal_spans_to_more_tasks_as_they_grow(spark, monkeypatch):
+    rows = dict.fromkeys(SCHEMAS, []) | {"sessions": [("o", d, 590.0, 610.0) for d in DAYS], "points": [("o", d, 600, True, False) for d in DAYS]}
+    monkeypatch.setattr(intervals, "ROWS_A_TASK", 20)
+    found = D.whole_days(**{k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in rows.items()})
+    assert found.rdd.getNumPartitions() == 12  # 40 spans and 10 windows for each of 20 days

@@ -1,10 +1,11 @@
 """Worked hours of a day from every input at once, with the ledger of what looked odd.
 
 All spans of an owner's day are cut at all their boundaries into pieces that tile the
-day (``intervals.segments``); every rule is then a predicate over the kinds that cover
+day (``intervals.tiles``); every rule is then a predicate over the kinds that cover
 a piece, and what a rule adds is a flag more. Two sweeps, each one shuffle by owner and
 day: the first tells where traces lie, so that machine windows can be trimmed; the
-second holds all windows that follow from it. Between them are sums over a day.
+second holds all windows that follow from it. A day's pieces are one short array, so
+that sums over a day and the rules that need them are columns of its row.
 
 Order of the rules:
 1. Worked: sampled activity, meetings, sessions and blocks of off-site work. A day off
@@ -50,8 +51,11 @@ def kind_of(frame: DataFrame, kind: str | Column) -> DataFrame:
     return frame.select(*KEYS, (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"))
 
 
-def has(kind: str) -> Column:
-    return F.col(f"n_{kind}") > 0
+SEEN = ["act", "meet", "blk", "blkl", "touch", "win", "lunch"]
+
+
+def has(p: Column, *any_of: str, kinds: list[str] = KINDS) -> Column:
+    return intervals.on(p, kinds, *any_of)
 
 
 def hundredths(value: Column) -> Column:
@@ -59,28 +63,31 @@ def hundredths(value: Column) -> Column:
     return F.floor(value * 100 + 0.5 + 1e-7) / 100
 
 
-def total(holds: Column) -> Column:
-    return F.sum(F.when(holds, F.col("b") - F.col("a")).otherwise(0.0))
-
-
-def traced(lunch_known: bool = True) -> tuple[Column, Column]:
+def traced(p: Column, kinds: list[str] = KINDS) -> tuple[Column, Column]:
     """off-site blocks without an untouched lunch, and all traces."""
-    direct = has("touch") | has("meet") | has("act")
-    block = has("blk") | (has("blkl") & ~(has("lunch") & ~direct))
+    direct = has(p, "touch", "meet", "act", kinds=kinds)
+    block = has(p, "blk", kinds=kinds) | (has(p, "blkl", kinds=kinds) & ~(has(p, "lunch", kinds=kinds) & ~direct))
     return block, direct | block
 
 
-def fitted_share(pieces: Column, allowed: Column) -> Column:
-    """The largest share at which growing pieces add no more than ``allowed``.
+def flagged(p: Column, *kept: str, **new: Column) -> Column:
+    """The piece with the flags that it keeps and new ones."""
+    return F.struct(*(p[c].alias(c) for c in ("a", "b", "on", *kept)), *(c.alias(n) for n, c in new.items()))
+
+
+def growth(pieces: Column) -> Column:
+    """What growing pieces add in all at each share where that bends.
 
     A piece {lo, hi, n} adds its n minutes evenly as the share grows from lo to hi.
-    What is added is linear between those points, so the last point that still fits
-    and the next one give the share exactly."""
+    What is added is linear between those points."""
     added = lambda at: F.aggregate(pieces, F.lit(0.0), lambda sum_, p: sum_ + p["n"] * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (at - p["lo"]) / (p["hi"] - p["lo"]))))
     points = F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), pieces["lo"], pieces["hi"]))
-    steps = F.transform(points, lambda x: F.struct(x.alias("at"), added(x).alias("sum")))
-    last = F.array_max(F.filter(steps, lambda s: s["sum"] <= allowed + 1e-9))
-    after = F.array_min(F.filter(steps, lambda s: s["sum"] > allowed + 1e-9))
+    return F.transform(points, lambda x: F.struct(x.alias("at"), added(x).alias("sum")))
+
+
+def fitted_share(last: Column, after: Column, allowed: Column) -> Column:
+    """The largest share at which no more than ``allowed`` is added, from the last point
+    of ``growth`` that still fits and the next one."""
     return F.when(after.isNull(), 1.0).otherwise(F.coalesce(last["at"] + (allowed - last["sum"]) * (after["at"] - last["at"]) / (after["sum"] - last["sum"]), F.lit(0.0)))
 
 
@@ -119,24 +126,30 @@ def whole_days(sessions: DataFrame, meetings: DataFrame, sampler: DataFrame, mac
     rows += [kind_of(sessions, "sess"), kind_of(machine, "win"), kind_of(leave, "leave"), kind_of(solver, "solver")]
     spans = stored(reduce(DataFrame.union, rows))  # each input is read once, and all rules read this
     known = reduce(DataFrame.union, (f.select(*KEYS) for f in (spans, machine_days, points, offsite, manual, absence))).distinct()
+    rows = spans.count()
     lunches = kind_of(known.withColumns({"a": F.lit(l0), "b": F.lit(l1)}), "lunch")
-    seen = ["act", "meet", "blk", "blkl", "touch", "win"]
-    first = intervals.segments(spans.where(F.col("kind").isin(*seen)).union(lunches), [*seen, "lunch"])
-    block, trace = traced()
-    day = W.partitionBy(*KEYS)
-    edged = first.withColumns({"w0": F.min(F.when(has("win"), F.col("a"))).over(day), "w1": F.max(F.when(has("win"), F.col("b"))).over(day)})
-    near = lambda a, b: F.max(trace & (F.col("b") > a) & (F.col("a") < b))
-    shape = edged.groupBy(*KEYS).agg(
-        F.first("w0").alias("w0"), F.first("w1").alias("w1"), near(F.col("w0"), F.col("w0") + trim).alias("near0"), near(F.col("w1") - trim, F.col("w1")).alias("near1"), F.max(block).alias("has_block"), F.max(has("act")).alias("has_act"),
-        F.min(F.when(has("meet") | block, F.col("a"))).alias("m0"), F.max(F.when(has("meet") | block, F.col("b"))).alias("m1"), F.min(F.when(has("meet") | has("act") | block, F.col("a"))).alias("t0"), F.max(F.when(has("meet") | has("act") | block, F.col("b"))).alias("t1"),
-        total(has("act")).alias("act_min"),
+    first = intervals.tiles(spans.where(F.col("kind").isin(*SEEN)).union(lunches), SEEN, intervals.tasks_for(rows))
+
+    def seen(p: Column) -> Column:
+        block, trace = traced(p, SEEN)
+        return flagged(p, block=block, trace=trace, win=has(p, "win", kinds=SEEN), act=has(p, "act", kinds=SEEN), meets=has(p, "meet", kinds=SEEN) | block, met=has(p, "meet", "act", kinds=SEEN) | block)
+
+    starts = lambda flag: F.array_min(F.filter("pieces", lambda p: p[flag])["a"])
+    ends = lambda flag: F.array_max(F.filter("pieces", lambda p: p[flag])["b"])
+    some = lambda holds: F.exists("pieces", holds)
+    edged = first.withColumn("pieces", F.transform("pieces", seen)).withColumns({"w0": starts("win"), "w1": ends("win")})
+    near = lambda a, b: some(lambda p: p["trace"] & (p["b"] > a) & (p["a"] < b))
+    shape = edged.select(
+        *KEYS, "w0", "w1", near(F.col("w0"), F.col("w0") + trim).alias("near0"), near(F.col("w1") - trim, F.col("w1")).alias("near1"), some(lambda p: p["block"]).alias("has_block"), some(lambda p: p["act"]).alias("has_act"),
+        starts("meets").alias("m0"), ends("meets").alias("m1"), starts("met").alias("t0"), ends("met").alias("t1"), intervals.minutes("pieces", lambda p: p["act"]).alias("act_min"),
+        F.transform(F.filter("pieces", lambda p: p["win"]), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))).alias("wins"),
     )
 
     said = direct.groupBy(*KEYS).agg(F.max("accepted").alias("accepted"), F.max("carried").alias("carried"))
     measured = machine.groupBy(*KEYS).agg(F.max("measured").alias("measured"))
-    facts = known
-    for frame in (shape, point_facts(points, s), said, measured, machine_days.select(*KEYS, "on_h", "night_h", "first_min", "last_min"), offsite.select(*KEYS, F.lit(True).alias("is_offsite")), manual.select(*KEYS, F.col("hours").alias("manual_h")), absence.select(*KEYS, F.col("frac").alias("absent"))):
-        facts = facts.join(frame, KEYS, "left")
+    frames = [shape, point_facts(points, s), said, measured, machine_days.select(*KEYS, "on_h", "night_h", "first_min", "last_min"), offsite.select(*KEYS, F.lit(True).alias("is_offsite")), manual.select(*KEYS, F.col("hours").alias("manual_h")), absence.select(*KEYS, F.col("frac").alias("absent"))]
+    every = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [known, *frames])  # each fact comes from one frame, a row a day
+    facts = every.groupBy(*KEYS).agg(*(F.max(c).alias(c) for c in every.columns if c not in KEYS))
     facts = facts.na.fill(0.0, ["on_h", "night_h", "absent", "act_min", "manual_h"]).na.fill(False, ["near0", "near1", "has_block", "has_act", "has_solver", "accepted", "carried", "measured", "is_offsite"])
     facts = facts.withColumns({"off": day_off(s), "is_manual": F.col("manual_h") > 0, "is_offsite": F.col("is_offsite") & (F.col("absent") < 1)})
     has_prod = F.col("prod_min").isNotNull()
@@ -155,10 +168,10 @@ def whole_days(sessions: DataFrame, meetings: DataFrame, sampler: DataFrame, mac
     trims = F.lit(trim > 0) & ~F.col("always")
     facts = facts.withColumns({"w0": F.when(trims & (F.col("w0") > 0) & ~F.col("near0"), F.col("w0") + trim).otherwise(F.col("w0")), "w1": F.when(trims & (F.col("w1") < 1440) & ~F.col("near1"), F.col("w1") - trim).otherwise(F.col("w1"))})
 
-    facts = stored(facts)
-    clipped = spans.where("kind = 'win'").join(facts.select(*KEYS, "w0", "w1"), KEYS).withColumns({"a": F.greatest("a", "w0"), "b": F.least("b", "w1")})
-    edges = intervals.sane(clipped).groupBy(*KEYS).agg(F.min("a").alias("first_on"), F.max("b").alias("last_on"))
-    facts = facts.join(edges, KEYS, "left").withColumns({"has_win": F.col("first_on").isNotNull(), "t_first": F.coalesce("first_on", "first_min"), "t_last": F.coalesce("last_on", "last_min")})
+    clip = lambda p: F.struct(F.greatest(p["a"], F.col("w0")).alias("a"), F.least(p["b"], F.col("w1")).alias("b"))
+    facts = facts.withColumn("wins", F.filter(F.transform(F.coalesce("wins", F.array().cast("array<struct<a: double, b: double>>")), clip), lambda p: p["a"] < p["b"]))
+    facts = stored(facts.withColumns({"first_on": F.array_min(F.col("wins")["a"]), "last_on": F.array_max(F.col("wins")["b"])}))
+    facts = facts.withColumns({"has_win": F.col("first_on").isNotNull(), "t_first": F.coalesce("first_on", "first_min"), "t_last": F.coalesce("last_on", "last_min")})
     floors = ~F.col("off") | (F.lit(weekend == "pc") & F.col("active") & F.col("has_win"))
     facts = facts.withColumn("floors", floors)
     timed = F.col("t_first").isNotNull() & F.col("t_last").isNotNull()
@@ -175,75 +188,95 @@ def whole_days(sessions: DataFrame, meetings: DataFrame, sampler: DataFrame, mac
         "dayw": lit(F.lit(low), F.lit(high), yes), "lunch": lit(F.lit(l0), F.lit(l1), yes), "dinner": lit(F.lit(d0), F.lit(d1), yes),
         "flex": lit(F.lit(max(0.0, low - 60 * s.flex_edge_h)), F.lit(min(1440.0, high + 60 * s.flex_edge_h)), yes), "all": lit(F.lit(0.0), F.lit(1440.0), yes),
     }
-    facts = stored(facts.withColumns({f"w_{k}": w for k, w in windows.items()}))
+    facts = facts.withColumns({f"w_{k}": w for k, w in windows.items()})
     named = F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(f"w_{k}.a").alias("a"), F.col(f"w_{k}.b").alias("b")) for k in windows))).alias("w")
     fixed = intervals.sane(facts.select(*KEYS, named).select(*KEYS, "w.*"))
-    rows = [spans.where("kind NOT IN ('win', 'other')"), kind_of(clipped, "win"), fixed]
-    tiled = intervals.segments(intervals.clip(reduce(DataFrame.union, rows), F.lit(0.0), F.lit(1440.0)), KINDS).join(facts, KEYS)
-
-    night = ~has("dayw")
-    pieces = tiled.withColumns({"block": block, "trace": trace})
-    base = F.when(F.col("off") & ~F.col("active"), has("meet") & F.col("carried")).otherwise(has("act") | has("meet") | has("sess") | F.col("block"))
-    pieces = pieces.withColumns({"base": base, "weekend_lunch": total(has("weekend") & has("lunch")).over(day)})
-    pieces = pieces.withColumn("wide", has("weekend") & ~(has("lunch") & ~F.col("trace") & (F.col("weekend_lunch") >= MEAL_MIN)))
-    pieces = pieces.withColumns({"base_min": total(F.col("base")).over(day), "wide_min": total(F.col("wide") & ~F.col("base")).over(day)})
-    pieces = pieces.withColumn("in1", F.col("base") | (F.col("wide") & (F.col("wide_min") > 1e-9) & (F.col("on_h") * 60 > F.col("base_min") + 1e-9)))
-    pieces = pieces.withColumns({"solved": has("solver") & ~F.col("in1"), "in2": F.col("in1") | has("solver")})
-    pieces = pieces.withColumn("night_used", total(night & F.col("in2") & ~F.col("solved")).over(day))
+    on = kind_of(facts.select(*KEYS, F.explode("wins").alias("w")).select(*KEYS, "w.*"), "win")
+    clipped = intervals.clip(reduce(DataFrame.union, [spans.where("kind NOT IN ('win', 'other')"), on, fixed]), F.lit(0.0), F.lit(1440.0))
+    needed = ["off", "active", "has_act", "has_win", "floors", "is_offsite", "is_manual", "accepted", "has_block", "measured", "always", "carried", "on_h", "night_h", "absent", "manual_h", "act_min", "prod_min", "last_min", "t_last", "w_eve", "w_dawn"]
+    tiled = intervals.tiles(clipped, KINDS, intervals.tasks_for(rows + len(windows) * facts.count())).join(facts.select(*KEYS, *needed), KEYS)
+
+    spent = lambda holds: intervals.minutes("pieces", holds)
+    each = lambda days, mark: days.withColumn("pieces", F.transform("pieces", mark))
+    night = lambda p: ~has(p, "dayw")
+
+    def begun(p: Column) -> Column:
+        block, trace = traced(p)
+        base = F.when(F.col("off") & ~F.col("active"), has(p, "meet") & F.col("carried")).otherwise(has(p, "act", "meet", "sess") | block)
+        return flagged(p, block=block, trace=trace, base=base)
+
+    days = each(tiled, begun).withColumn("no_lunch", spent(lambda p: has(p, "weekend") & has(p, "lunch")) >= MEAL_MIN)
+    wide = lambda p: has(p, "weekend") & ~(F.col("no_lunch") & has(p, "lunch") & ~p["trace"])
+    days = days.withColumns({"base_min": spent(lambda p: p["base"]), "wide_min": spent(lambda p: wide(p) & ~p["base"])})
+    days = days.withColumn("widens", (F.col("wide_min") > 1e-9) & (F.col("on_h") * 60 > F.col("base_min") + 1e-9))
+    in1 = lambda p: p["base"] | (F.col("widens") & wide(p))
+    days = each(days, lambda p: flagged(p, "block", "trace", "base", in1=in1(p), solved=has(p, "solver") & ~in1(p), in2=in1(p) | has(p, "solver")))
+    days = days.withColumn("allowed", F.col("night_h") * 60 - spent(lambda p: night(p) & p["in2"] & ~p["solved"]))
 
     span = lambda k: F.col(f"w_{k}.b") - F.col(f"w_{k}.a")
-    size = (F.col("b") - F.col("a")).alias("n")
-    eve = F.struct(((F.col("w_eve.b") - F.col("b")) / span("eve")).alias("lo"), ((F.col("w_eve.b") - F.col("a")) / span("eve")).alias("hi"), size)
-    dawn = F.struct(((F.col("a") - F.col("w_dawn.a")) / span("dawn")).alias("lo"), ((F.col("b") - F.col("w_dawn.a")) / span("dawn")).alias("hi"), size)
-    growing = F.when(~F.col("in2"), F.when(has("eve"), eve).when(has("dawn"), dawn))
-    grows = has("eve") | has("dawn")
-    pieces = pieces.withColumns({"grown": F.collect_list(growing).over(day), "allowed": F.col("night_h") * 60 - F.col("night_used")})
-    pieces = pieces.withColumn("share", F.when(grows & (F.col("allowed") > 1e-9), fitted_share(F.col("grown"), F.col("allowed"))).otherwise(0.0)).drop("grown")
-    cut = F.when(has("eve"), F.col("w_eve.b") - span("eve") * F.col("share")).when(has("dawn"), F.col("w_dawn.a") + span("dawn") * F.col("share"))
-    halves = F.when((F.col("cut") > F.col("a") + 1e-9) & (F.col("cut") < F.col("b") - 1e-9), F.array(F.struct("a", F.col("cut").alias("b")), F.struct(F.col("cut").alias("a"), "b"))).otherwise(F.array(F.struct("a", "b")))
-    split = pieces.withColumn("cut", cut).withColumn("half", F.explode(halves)).withColumns({"a": F.col("half.a"), "b": F.col("half.b")}).drop("half")
-    fits = (has("eve") & (F.col("a") >= F.col("cut") - 1e-9)) | (has("dawn") & (F.col("b") <= F.col("cut") + 1e-9))
-    split = split.withColumn("in3", F.col("in2") | fills(fits))
-
-    order = day.orderBy("a")
-    turned = F.when(F.col("in3") == F.lag("in3").over(order), 0).otherwise(1)
-    gaps = split.withColumn("turned", turned).withColumn("run", F.sum("turned").over(order))
-    run = W.partitionBy(*KEYS, "run")
-    gaps = gaps.withColumns({"first_in": F.min(F.when(F.col("in3"), F.col("a"))).over(day), "last_in": F.max(F.when(F.col("in3"), F.col("b"))).over(day)})
-    late = (F.col("night_h") > 0) | fills(F.col("t_last") >= d1) | (F.col("last_in") >= d1)
-    gaps = gaps.withColumn("meal", has("lunch") | (has("dinner") & late))
-    gaps = gaps.withColumns({"gap_min": total(yes).over(run), "gap_cov": total(has("cov")).over(run), "gap_work": total(~F.col("meal")).over(run)})
-    between = ~F.col("in3") & (F.col("a") >= F.col("first_in")) & (F.col("b") <= F.col("last_in"))
-    bridged = F.lit(s.gap_bridge_min > 0) & F.col("has_act") & F.col("floors") & between & (F.col("gap_cov") >= F.col("gap_min") - 1e-6) & (F.col("gap_work") > 1e-9) & (F.col("gap_work") <= s.gap_bridge_min + 1e-9) & ~F.col("meal")
-    gaps = gaps.withColumn("in4", F.col("in3") | fills(bridged))
+    part = lambda lo, hi, k, p: F.struct((lo / span(k)).alias("lo"), (hi / span(k)).alias("hi"), (p["b"] - p["a"]).alias("n"))
+    eve = lambda p: part(F.col("w_eve.b") - p["b"], F.col("w_eve.b") - p["a"], "eve", p)
+    dawn = lambda p: part(p["a"] - F.col("w_dawn.a"), p["b"] - F.col("w_dawn.a"), "dawn", p)
+    growing = F.transform(F.filter("pieces", lambda p: ~p["in2"] & has(p, "eve", "dawn")), lambda p: F.when(has(p, "eve"), eve(p)).otherwise(dawn(p)))
+    days = days.withColumn("grows", F.col("w_eve.a").isNotNull() | F.col("w_dawn.a").isNotNull()).withColumn("grown", F.when(F.col("grows") & (F.col("allowed") > 1e-9), growing))
+    days = days.withColumn("steps", growth(F.col("grown"))).drop("grown")
+    days = days.withColumns({"last": F.array_max(F.filter("steps", lambda x: x["sum"] <= F.col("allowed") + 1e-9)), "after": F.array_min(F.filter("steps", lambda x: x["sum"] > F.col("allowed") + 1e-9))})
+    days = days.withColumn("share", F.when(F.col("steps").isNotNull(), fitted_share(F.col("last"), F.col("after"), F.col("allowed"))).otherwise(0.0)).drop("steps", "last", "after")
+    days = days.withColumns({"eve_cut": F.col("w_eve.b") - span("eve") * F.col("share"), "dawn_cut": F.col("w_dawn.a") + span("dawn") * F.col("share")})
+
+    def halves(p: Column) -> Column:
+        cut = F.when(has(p, "eve"), F.col("eve_cut")).when(has(p, "dawn"), F.col("dawn_cut"))
+        made = lambda a, b: F.struct(a.alias("a"), b.alias("b"), *(p[c].alias(c) for c in ("on", "block", "trace", "base", "in1", "solved", "in2")))
+        return F.when((cut > p["a"] + 1e-9) & (cut < p["b"] - 1e-9), F.array(made(p["a"], cut), made(cut, p["b"]))).otherwise(F.array(made(p["a"], p["b"])))
+
+    days = days.withColumn("pieces", F.when(F.col("grows") & (F.col("share") > 0), F.flatten(F.transform("pieces", halves))).otherwise(F.col("pieces")))
+    fits = lambda p: (has(p, "eve") & (p["a"] >= F.col("eve_cut") - 1e-9)) | (has(p, "dawn") & (p["b"] <= F.col("dawn_cut") + 1e-9))
+    days = each(days, lambda p: flagged(p, "block", "trace", "base", "in1", "solved", "in2", in3=p["in2"] | fills(fits(p))))
+
+    inside = F.filter("pieces", lambda p: p["in3"])
+    ahead = F.greatest(F.size("ins") - 1, F.lit(0))
+    between = F.zip_with(F.slice("ins", F.lit(1), ahead), F.slice("ins", F.lit(2), ahead), lambda x, y: F.struct(x["b"].alias("a"), y["a"].alias("b")))
+    days = days.withColumn("ins", inside).withColumn("late", (F.col("night_h") > 0) | fills(F.col("t_last") >= d1) | fills(F.array_max(F.col("ins")["b"]) >= d1))
+    meal = lambda p: has(p, "lunch") | (has(p, "dinner") & F.col("late"))
+    days = days.withColumn("gaps", F.when(F.lit(s.gap_bridge_min > 0) & F.col("has_act") & F.col("floors"), F.filter(between, lambda g: g["b"] > g["a"]))).drop("ins")
+    within = lambda p, g: (p["a"] >= g["a"]) & (p["b"] <= g["b"])
+    gaps = F.transform("gaps", lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"), spent(lambda p: within(p, g) & has(p, "cov")).alias("cov"), spent(lambda p: within(p, g) & ~meal(p)).alias("work")))
+    bridged = lambda g: (g["cov"] >= g["b"] - g["a"] - 1e-6) & (g["work"] > 1e-9) & (g["work"] <= s.gap_bridge_min + 1e-9)
+    days = days.withColumn("gaps", gaps).withColumn("gaps", F.filter("gaps", bridged))
+    in4 = lambda p: p["in3"] | fills(~meal(p) & F.exists("gaps", lambda g: within(p, g)))
+    closed = lambda in4: F.transform("pieces", lambda p: flagged(p, "block", "trace", "base", "in1", "solved", "in2", "in3", in4=in4(p)))
+    days = days.withColumn("pieces", F.when(F.size("gaps") > 0, closed(in4)).otherwise(closed(lambda p: p["in3"]))).drop("gaps")
 
     most = min(MACHINE_DAY_H, (high - low) / 60)
-    on_day = F.least(F.lit(most), F.greatest(F.lit(0.0), F.col("on_h") - F.col("night_h")))
-    based = gaps.withColumns({"on_day": on_day, "clock": F.when(F.col("measured"), "spans").when((on_day > 0) & F.col("has_win"), "window").when(on_day > 0, "hours")})
-    own = F.when(F.col("clock") == "hours", has("dayw")).when(F.col("clock").isNotNull(), has("win") & has("dayw")).otherwise(F.lit(False))
-    based = based.withColumns({"own": own, "own_min": total(own).over(day)})
-    always = F.col("always") & (F.col("own_min") > 0)
-    kept = F.col("own") & (~always | has("tw"))
-    based = based.withColumns({"kept": kept, "kept_min": total(kept).over(day)})
-    bare = (F.col("kept_min") <= 0) & ~F.col("has_act") & ~F.col("is_offsite") & ~F.col("is_manual") & (has_prod | F.col("accepted") | F.col("has_block"))
-    basis = F.when(bare, "trace").when(always, "always_on").otherwise(F.col("clock"))
-    based = based.withColumns({"basis": basis, "bare": bare})
-    ground = F.when(F.col("bare"), has("tm") & has("dayw")).otherwise(F.col("kept"))
-    based = based.withColumns({"ground": ground, "ground_min": total(ground).over(day)})
-    left = F.col("ground") & ~has("leave")
-    based = based.withColumns({"left": left, "left_lunch": total(left & has("lunch")).over(day), "left_min": total(left).over(day)})
+    days = days.withColumn("on_day", F.least(F.lit(most), F.greatest(F.lit(0.0), F.col("on_h") - F.col("night_h"))))
+    days = days.withColumn("clock", F.when(F.col("measured"), "spans").when((F.col("on_day") > 0) & F.col("has_win"), "window").when(F.col("on_day") > 0, "hours"))
+    days = days.withColumns({"by_hours": fills(F.col("clock") == "hours"), "clocked": F.col("clock").isNotNull()})
+    own = lambda p: F.col("clocked") & has(p, "dayw") & (F.col("by_hours") | has(p, "win"))
+    days = days.withColumn("always", F.col("always") & (spent(own) > 0))
+    kept = lambda p: own(p) & (~F.col("always") | has(p, "tw"))
+    has_prod = F.col("prod_min").isNotNull()
+    days = days.withColumn("bare", (spent(kept) <= 0) & ~F.col("has_act") & ~F.col("is_offsite") & ~F.col("is_manual") & (has_prod | F.col("accepted") | F.col("has_block")))
+    days = days.withColumn("basis", F.when(F.col("bare"), "trace").when(F.col("always"), "always_on").otherwise(F.col("clock")))
+    ground = lambda p: F.when(F.col("bare"), has(p, "tm") & has(p, "dayw")).otherwise(kept(p))
+    days = each(days, lambda p: flagged(p, "block", "trace", "base", "in1", "solved", "in2", "in3", "in4", ground=ground(p)))
+    left = lambda p: p["ground"] & ~has(p, "leave")
+    days = days.withColumns({"ground_min": spent(lambda p: p["ground"]), "left_lunch": spent(lambda p: left(p) & has(p, "lunch")), "left_min": spent(left)})
     hours_on = F.when(F.col("basis").isin("window", "hours"), F.col("on_day")).otherwise(F.col("ground_min") / 60)
-    lunches_cut = (F.col("left_lunch") >= MEAL_MIN) & ((F.col("basis") != "window") | (F.col("left_lunch") / 60 <= hours_on + 1e-9))
+    lunches_cut = (F.col("left_lunch") >= MEAL_MIN) & (~F.col("basis").eqNullSafe("window") | (F.col("left_lunch") / 60 <= hours_on + 1e-9))
     dinners_cut = (F.col("night_h") > 0) & (hours_on >= 6) & fills(F.col("last_min") >= d1)
-    unc = F.col("left") & ~(F.col("has_act") & has("cov"))
-    noon, eats = unc & has("lunch") & ~F.col("trace") & lunches_cut, unc & has("dinner") & ~F.col("trace") & dinners_cut
-    used = F.col("in4")
+    days = days.withColumns({"lunches_cut": lunches_cut, "dinners_cut": dinners_cut})
+
+    def judged(p: Column) -> Column:
+        unc = left(p) & ~(F.col("has_act") & has(p, "cov"))
+        noon, eats = unc & has(p, "lunch") & ~p["trace"] & F.col("lunches_cut"), unc & has(p, "dinner") & ~p["trace"] & F.col("dinners_cut")
+        return flagged(p, "block", "base", "in1", "solved", "in2", "in3", "in4", night=night(p), unc=unc, noon=noon, eats=eats, floor=unc & ~noon & ~eats)
+
     sums = {
-        "day_min": used & ~night, "night_min": used & night, "night_ex": used & night & ~F.col("solved"), "floor_raw": unc & ~noon & ~eats, "lunch_min": noon, "dinner_min": eats, "met_min": unc & (has("meet") | F.col("block")),
-        "inside_min": used & ~night & unc, "flex_min": has("win") & has("flex") & night & ~used, "wide_add": F.col("in1") & ~F.col("base"), "solver_min": F.col("solved"), "credit_min": F.col("in3") & ~F.col("in2"), "bridge_min": F.col("in4") & ~F.col("in3"),
+        "day_min": lambda p: p["in4"] & ~p["night"], "night_min": lambda p: p["in4"] & p["night"], "night_ex": lambda p: p["in4"] & p["night"] & ~p["solved"], "floor_raw": lambda p: p["floor"], "lunch_min": lambda p: p["noon"], "dinner_min": lambda p: p["eats"], "met_min": lambda p: p["unc"] & (has(p, "meet") | p["block"]),
+        "inside_min": lambda p: p["in4"] & ~p["night"] & p["unc"], "flex_min": lambda p: has(p, "win") & has(p, "flex") & p["night"] & ~p["in4"], "wide_add": lambda p: p["in1"] & ~p["base"], "solver_min": lambda p: p["solved"], "credit_min": lambda p: p["in3"] & ~p["in2"], "bridge_min": lambda p: p["in4"] & ~p["in3"],
     }
     carried = ["off", "absent", "on_h", "night_h", "on_day", "basis", "active", "floors", "is_offsite", "is_manual", "manual_h", "act_min", "ground_min", "left_min", "has_win"]
-    sizes = based.groupBy(*KEYS).agg(*(total(holds).alias(name) for name, holds in sums.items()), *(F.first(c, ignorenulls=True).alias(c) for c in carried))
+    sizes = each(days, judged).select(*KEYS, *(spent(holds).alias(name) for name, holds in sums.items()), *carried)
 
     hour = lambda c: F.col(c) / 60
     gate = F.col("floors") & (F.col("absent") < 1) & (F.col("day_min") + F.col("night_ex") > 0) & F.col("active")
