@@ -30,3 +30,8 @@ def test_whole_days_deal_spans_to_more_tasks_as_they_grow(spark, monkeypatch):
     monkeypatch.setattr(intervals, "ROWS_A_TASK", 20)
     found = D.whole_days(**{k: spark.createDataFrame(v, SCHEMAS[k]) for k, v in rows.items()})
     assert found.rdd.getNumPartitions() == 12  # 40 spans and 10 windows for each of 20 days
+
+
+def test_a_ledger_does_not_unfold_the_rules(spark):
+    days = D.whole_days(**{k: spark.createDataFrame([], schema) for k, schema in SCHEMAS.items()})
+    assert len(D.anomaly_ledger(days)._jdf.queryExecution().analyzed().toString()) < 5000  # a filter that meets the rules copies all of them

@@ -314,5 +314,9 @@ def whole_days(sessions: DataFrame, meetings: DataFrame, sampler: DataFrame, mac
 
 
 def anomaly_ledger(days: DataFrame) -> DataFrame:
-    """owner, day, kind, hours: a row for each thing that a day's ledger names."""
+    """owner, day, kind, hours: a row for each thing that a day's ledger names.
+
+    The days are written first: a filter on what the rules give would be pushed down
+    through them and copy all of them into itself, more than the planner gets done."""
+    days = stored(days.select(*KEYS, "hours", "anomalies"))
     return days.where("anomalies <> ''").select(*KEYS, F.explode(F.split("anomalies", "; ")).alias("kind"), "hours")
