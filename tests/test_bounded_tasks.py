@@ -14,6 +14,12 @@ def test_tiles_tell_what_covers_each_piece(spark):
     assert [tuple(p) for p in found] == [(0.0, 60.0, 1), (60.0, 90.0, 3), (90.0, 130.0, 2), (200.0, 210.0, 1)]
 
 
+def test_cuts_are_rows_of_the_same_pieces(spark):
+    rows = [("o", DAYS[0], k, a, b) for k, a, b in (("x", 0.0, 60.0), ("y", 30.0, 90.0), ("x", 200.0, 210.0))] + [("p", DAYS[0], "y", 1.0, 2.0)]
+    found = intervals.cuts(spark.createDataFrame(rows, "owner string, day date, kind string, a double, b double"), ["x", "y"], 3).orderBy("owner", "a")
+    assert [(r["owner"], r["a"], r["b"], r["on"]) for r in found.collect()] == [("o", 0.0, 30.0, 1), ("o", 30.0, 60.0, 3), ("o", 60.0, 90.0, 2), ("o", 200.0, 210.0, 1), ("p", 1.0, 2.0, 2)]
+
+
 def test_worked_hours_deal_spans_to_more_tasks_as_they_grow(spark, monkeypatch):
     frame = lambda rows, schema: spark.createDataFrame(rows, f"owner string, day date, {schema}")
     traces = frame([("o", d, "session", 540.0 + i, 600.0 + i) for i, d in enumerate(DAYS)], "kind string, a double, b double")

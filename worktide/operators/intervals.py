@@ -33,8 +33,13 @@ def segments(spans: DataFrame, kinds: list[str], keys: list[str] = KEYS) -> Data
 
 
 def tiles(spans: DataFrame, kinds: list[str], tasks: int, keys: list[str] = KEYS) -> DataFrame:
-    """A row for each key: ``pieces``, the pieces that some span covers in order, as
-    {a, b, on}; bit i of ``on`` tells whether kinds[i] covers a piece (see ``on``).
+    """A row for each key: ``pieces``, those of ``cuts`` in order."""
+    return cuts(spans, kinds, tasks, keys).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("a", "b", "on"))).alias("pieces"))
+
+
+def cuts(spans: DataFrame, kinds: list[str], tasks: int, keys: list[str] = KEYS) -> DataFrame:
+    """keys, a, b, on for every piece that some span covers; bit i of ``on`` tells
+    whether kinds[i] covers it (see ``on``).
 
     One shuffle by the keys into ``tasks`` parts serves all steps. Within a kind only
     the ends of its union remain, each of which turns its bit, so that a row holds one
@@ -46,8 +51,7 @@ def tiles(spans: DataFrame, kinds: list[str], tasks: int, keys: list[str] = KEYS
     held = ends.withColumn("n", F.sum("step").over(W.partitionBy(*keys, "bit").orderBy("m"))).where("n = 0 OR n = step")
     along = W.partitionBy(*keys).orderBy("m")
     turns = held.groupBy(*keys, "m").agg(F.bit_xor("bit").alias("turned"))
-    swept = turns.select(*keys, F.col("m").alias("a"), F.lead("m").over(along).alias("b"), F.bit_xor("turned").over(along).alias("on")).where("b IS NOT NULL AND on <> 0")
-    return swept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("a", "b", "on"))).alias("pieces"))
+    return turns.select(*keys, F.col("m").alias("a"), F.lead("m").over(along).alias("b"), F.bit_xor("turned").over(along).alias("on")).where("b IS NOT NULL AND on <> 0")
 
 
 def on(piece: Column, kinds: list[str], *any_of: str) -> Column:

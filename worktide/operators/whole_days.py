@@ -1,11 +1,11 @@
 """Worked hours of a day from every input at once, with the ledger of what looked odd.
 
 All spans of an owner's day are cut at all their boundaries into pieces that tile the
-day (``intervals.tiles``); every rule is then a predicate over the kinds that cover
-a piece, and what a rule adds is a flag more. Two sweeps, each one shuffle by owner and
-day: the first tells where traces lie, so that machine windows can be trimmed; the
-second holds all windows that follow from it. A day's pieces are one short array, so
-that sums over a day and the rules that need them are columns of its row.
+day (``intervals.cuts``); every rule is then a predicate over the kinds that cover a
+piece. Two sweeps, each one shuffle by owner and day: the first tells where traces lie,
+so that machine windows can be trimmed; the second holds all windows that follow from
+it. What the rules need of a day are sums over its pieces, all taken in one aggregate;
+only days whose evening or dawn grows, or whose gaps may close, keep pieces as an array.
 
 Order of the rules:
 1. Worked: sampled activity, meetings, sessions and blocks of off-site work. A day off
@@ -52,10 +52,26 @@ def kind_of(frame: DataFrame, kind: str | Column) -> DataFrame:
 
 
 SEEN = ["act", "meet", "blk", "blkl", "touch", "win", "lunch"]
+#: Bits of a piece beside its kinds: counted by rules 1 to 3; ground that the floor may count.
+DONE, OPEN = (1 << len(KINDS) + i for i in range(2))
 
 
-def has(p: Column, *any_of: str, kinds: list[str] = KINDS) -> Column:
-    return intervals.on(p, kinds, *any_of)
+def mask(*kinds: str) -> int:
+    return sum(1 << KINDS.index(k) for k in kinds)
+
+
+def has(*any_of: str, kinds: list[str] = KINDS) -> Column:
+    """Whether one of some kinds covers a piece (a row of ``intervals.cuts``)."""
+    return intervals.on({"on": F.col("on")}, kinds, *any_of)
+
+
+def over(p: Column, *any_of: str) -> Column:
+    """The same for a piece in an array."""
+    return intervals.on(p, KINDS, *any_of)
+
+
+def marked(p: Column, mark: int) -> Column:
+    return p["on"].bitwiseAND(F.lit(mark).cast("long")) != 0
 
 
 def hundredths(value: Column) -> Column:
@@ -63,16 +79,16 @@ def hundredths(value: Column) -> Column:
     return F.floor(value * 100 + 0.5 + 1e-7) / 100
 
 
-def traced(p: Column, kinds: list[str] = KINDS) -> tuple[Column, Column]:
+def traced(kinds: list[str] = KINDS) -> tuple[Column, Column]:
     """off-site blocks without an untouched lunch, and all traces."""
-    direct = has(p, "touch", "meet", "act", kinds=kinds)
-    block = has(p, "blk", kinds=kinds) | (has(p, "blkl", kinds=kinds) & ~(has(p, "lunch", kinds=kinds) & ~direct))
+    direct = has("touch", "meet", "act", kinds=kinds)
+    block = has("blk", kinds=kinds) | (has("blkl", kinds=kinds) & ~(has("lunch", kinds=kinds) & ~direct))
     return block, direct | block
 
 
-def flagged(p: Column, *kept: str, **new: Column) -> Column:
-    """The piece with the flags that it keeps and new ones."""
-    return F.struct(*(p[c].alias(c) for c in ("a", "b", "on", *kept)), *(c.alias(n) for n, c in new.items()))
+def grown_by(pieces: Column, share: Column) -> Column:
+    """Minutes that growing pieces {lo, hi, n} add at a share."""
+    return F.aggregate(pieces, F.lit(0.0), lambda sum_, p: sum_ + p["n"] * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (share - p["lo"]) / (p["hi"] - p["lo"]))))
 
 
 def growth(pieces: Column) -> Column:
@@ -80,7 +96,7 @@ def growth(pieces: Column) -> Column:
 
     A piece {lo, hi, n} adds its n minutes evenly as the share grows from lo to hi.
     What is added is linear between those points."""
-    added = lambda at: F.aggregate(pieces, F.lit(0.0), lambda sum_, p: sum_ + p["n"] * F.greatest(F.lit(0.0), F.least(F.lit(1.0), (at - p["lo"]) / (p["hi"] - p["lo"]))))
+    added = lambda at: grown_by(pieces, at)
     points = F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), pieces["lo"], pieces["hi"]))
     return F.transform(points, lambda x: F.struct(x.alias("at"), added(x).alias("sum")))
 
@@ -128,22 +144,17 @@ def whole_days(sessions: DataFrame, meetings: DataFrame, sampler: DataFrame, mac
     known = reduce(DataFrame.union, (f.select(*KEYS) for f in (spans, machine_days, points, offsite, manual, absence))).distinct()
     rows = spans.count()
     lunches = kind_of(known.withColumns({"a": F.lit(l0), "b": F.lit(l1)}), "lunch")
-    first = intervals.tiles(spans.where(F.col("kind").isin(*SEEN)).union(lunches), SEEN, intervals.tasks_for(rows))
-
-    def seen(p: Column) -> Column:
-        block, trace = traced(p, SEEN)
-        return flagged(p, block=block, trace=trace, win=has(p, "win", kinds=SEEN), act=has(p, "act", kinds=SEEN), meets=has(p, "meet", kinds=SEEN) | block, met=has(p, "meet", "act", kinds=SEEN) | block)
-
-    starts = lambda flag: F.array_min(F.filter("pieces", lambda p: p[flag])["a"])
-    ends = lambda flag: F.array_max(F.filter("pieces", lambda p: p[flag])["b"])
-    some = lambda holds: F.exists("pieces", holds)
-    edged = first.withColumn("pieces", F.transform("pieces", seen)).withColumns({"w0": starts("win"), "w1": ends("win")})
-    near = lambda a, b: some(lambda p: p["trace"] & (p["b"] > a) & (p["a"] < b))
-    shape = edged.select(
-        *KEYS, "w0", "w1", near(F.col("w0"), F.col("w0") + trim).alias("near0"), near(F.col("w1") - trim, F.col("w1")).alias("near1"), some(lambda p: p["block"]).alias("has_block"), some(lambda p: p["act"]).alias("has_act"),
-        starts("meets").alias("m0"), ends("meets").alias("m1"), starts("met").alias("t0"), ends("met").alias("t1"), intervals.minutes("pieces", lambda p: p["act"]).alias("act_min"),
-        F.transform(F.filter("pieces", lambda p: p["win"]), lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"))).alias("wins"),
-    )
+    pieces = intervals.cuts(spans.where(F.col("kind").isin(*SEEN)).union(lunches), SEEN, intervals.tasks_for(rows))
+    block, trace = traced(SEEN)
+    is_win, is_act, meets = has("win", kinds=SEEN), has("act", kinds=SEEN), has("meet", kinds=SEEN) | block
+    begins = lambda holds: F.min(F.when(holds, F.col("a")))
+    ends = lambda holds: F.max(F.when(holds, F.col("b")))
+    listed = lambda holds: F.collect_list(F.when(holds, F.struct("a", "b")))
+    near = lambda a, b: F.exists("traces", lambda p: (p["b"] > a) & (p["a"] < b))
+    shape = pieces.groupBy(*KEYS).agg(
+        begins(is_win).alias("w0"), ends(is_win).alias("w1"), F.max(block).alias("has_block"), F.max(is_act).alias("has_act"), begins(meets).alias("m0"), ends(meets).alias("m1"), begins(meets | is_act).alias("t0"), ends(meets | is_act).alias("t1"),
+        F.sum(F.when(is_act, F.col("b") - F.col("a")).otherwise(0.0)).alias("act_min"), listed(is_win).alias("wins"), listed(trace).alias("traces"),
+    ).withColumns({"near0": near(F.col("w0"), F.col("w0") + trim), "near1": near(F.col("w1") - trim, F.col("w1"))}).drop("traces")
 
     said = direct.groupBy(*KEYS).agg(F.max("accepted").alias("accepted"), F.max("carried").alias("carried"))
     measured = machine.groupBy(*KEYS).agg(F.max("measured").alias("measured"))
@@ -193,90 +204,103 @@ def whole_days(sessions: DataFrame, meetings: DataFrame, sampler: DataFrame, mac
     fixed = intervals.sane(facts.select(*KEYS, named).select(*KEYS, "w.*"))
     on = kind_of(facts.select(*KEYS, F.explode("wins").alias("w")).select(*KEYS, "w.*"), "win")
     clipped = intervals.clip(reduce(DataFrame.union, [spans.where("kind NOT IN ('win', 'other')"), on, fixed]), F.lit(0.0), F.lit(1440.0))
-    needed = ["off", "active", "has_act", "has_win", "floors", "is_offsite", "is_manual", "accepted", "has_block", "measured", "always", "carried", "on_h", "night_h", "absent", "manual_h", "act_min", "prod_min", "last_min", "t_last", "w_eve", "w_dawn"]
-    tiled = intervals.tiles(clipped, KINDS, intervals.tasks_for(rows + len(windows) * facts.count())).join(facts.select(*KEYS, *needed), KEYS)
 
-    spent = lambda holds: intervals.minutes("pieces", holds)
-    each = lambda days, mark: days.withColumn("pieces", F.transform("pieces", mark))
-    night = lambda p: ~has(p, "dayw")
-
-    def begun(p: Column) -> Column:
-        block, trace = traced(p)
-        base = F.when(F.col("off") & ~F.col("active"), has(p, "meet") & F.col("carried")).otherwise(has(p, "act", "meet", "sess") | block)
-        return flagged(p, block=block, trace=trace, base=base)
-
-    days = each(tiled, begun).withColumn("no_lunch", spent(lambda p: has(p, "weekend") & has(p, "lunch")) >= MEAL_MIN)
-    wide = lambda p: has(p, "weekend") & ~(F.col("no_lunch") & has(p, "lunch") & ~p["trace"])
-    days = days.withColumns({"base_min": spent(lambda p: p["base"]), "wide_min": spent(lambda p: wide(p) & ~p["base"])})
-    days = days.withColumn("widens", (F.col("wide_min") > 1e-9) & (F.col("on_h") * 60 > F.col("base_min") + 1e-9))
-    in1 = lambda p: p["base"] | (F.col("widens") & wide(p))
-    days = each(days, lambda p: flagged(p, "block", "trace", "base", in1=in1(p), solved=has(p, "solver") & ~in1(p), in2=in1(p) | has(p, "solver")))
-    days = days.withColumn("allowed", F.col("night_h") * 60 - spent(lambda p: night(p) & p["in2"] & ~p["solved"]))
+    most = min(MACHINE_DAY_H, (high - low) / 60)
+    facts = facts.withColumn("on_day", F.least(F.lit(most), F.greatest(F.lit(0.0), F.col("on_h") - F.col("night_h"))))
+    facts = facts.withColumn("clock", F.when(F.col("measured"), "spans").when((F.col("on_day") > 0) & F.col("has_win"), "window").when(F.col("on_day") > 0, "hours"))
+    by_hours = fills(F.col("clock") == "hours")
+    in_day = lambda a, b: F.greatest(a, F.lit(low)) < F.least(b, F.lit(high))
+    owns = F.col("clock").isNotNull() & (by_hours | F.exists("wins", lambda w: in_day(w["a"], w["b"])))  # the machine's record has time inside the day window
+    tw, wide_w = F.col("w_tw"), F.col("w_weekend")
+    owns_traced = tw["a"].isNotNull() & F.when(by_hours, in_day(tw["a"], tw["b"])).otherwise(F.exists("wins", lambda w: in_day(F.greatest(w["a"], tw["a"]), F.least(w["b"], tw["b"]))))
+    facts = facts.withColumn("always", F.col("always") & owns)
+    keeps = owns & (~F.col("always") | fills(owns_traced))
+    facts = facts.withColumn("bare", ~keeps & ~F.col("has_act") & ~F.col("is_offsite") & ~F.col("is_manual") & (has_prod | F.col("accepted") | F.col("has_block")))
+    facts = facts.withColumn("basis", F.when(F.col("bare"), "trace").when(F.col("always"), "always_on").otherwise(F.col("clock")))
+    bits = lambda *kinds: F.lit(mask(*kinds)).cast("long")
+    none = F.lit(0).cast("long")
+    idle = F.col("off") & ~F.col("active")
+    facts = facts.withColumns(
+        {
+            "ground_bits": F.when(F.col("bare"), bits("tm", "dayw")).when(F.col("clock").isNotNull(), bits("dayw") + F.when(by_hours, none).otherwise(bits("win")) + F.when(F.col("always"), bits("tw")).otherwise(none)),
+            "base_bits": F.when(~idle, bits("act", "meet", "sess")).when(F.col("carried"), bits("meet")).otherwise(none), "blocks": ~idle, "closed_bits": bits("leave") + F.when(F.col("has_act"), bits("cov")).otherwise(none),
+            "no_lunch": fills((wide_w["a"] < wide_w["b"]) & (F.least(wide_w["b"], F.lit(l1)) - F.greatest(wide_w["a"], F.lit(l0)) >= MEAL_MIN)),
+            "grows": F.col("w_eve.a").isNotNull() | F.col("w_dawn.a").isNotNull(), "bridges": F.lit(s.gap_bridge_min > 0) & F.col("has_act") & F.col("floors"),
+        }
+    )
+
+    block, trace = traced()
+    anyof = lambda bits: F.col("on").bitwiseAND(F.col(bits)) != 0
+    tiled = intervals.cuts(clipped, KINDS, intervals.tasks_for(rows + len(windows) * facts.count()))
+    tiled = tiled.join(facts.select(*KEYS, "ground_bits", "base_bits", "blocks", "closed_bits", "no_lunch", "grows", "bridges"), KEYS)
+    tiled = tiled.withColumns({"n": F.col("b") - F.col("a"), "block": block, "trace": trace, "ground": fills(F.col("on").bitwiseAND(F.col("ground_bits")) == F.col("ground_bits"))})
+    tiled = tiled.withColumns({"base": anyof("base_bits") | (F.col("blocks") & F.col("block")), "open": F.col("ground") & ~anyof("closed_bits"), "left": F.col("ground") & ~has("leave")})
+    base, unc, done, eats = F.col("base"), F.col("open"), F.col("base") | has("solver"), F.col("open") & ~F.col("trace")
+    wide = has("weekend") & ~(F.col("no_lunch") & has("lunch") & ~F.col("trace")) & ~base
+    is_day = has("dayw")
+    # A weekend's window opens on days without a floor alone, so that rules 4 to 7 never meet what it adds.
+    measures = {
+        "base_min": base, "wide_min": wide, "wide_day": wide & is_day & ~has("solver"), "wide_night": wide & ~is_day & ~has("solver"), "wide_solver": wide & has("solver"),
+        "done_day": done & is_day, "done_night": done & ~is_day, "base_night": base & ~is_day, "solved": has("solver") & ~base,
+        "ground_min": F.col("ground"), "left_min": F.col("left"), "left_lunch": F.col("left") & has("lunch"), "open_min": unc, "noon": eats & has("lunch"), "supper": eats & has("dinner"), "both": eats & has("lunch") & has("dinner"),
+        "met_min": unc & (has("meet") | F.col("block")), "done_inside": done & is_day & unc, "flex_left": has("win") & has("flex") & ~is_day & ~done,
+    }
+    held = F.col("bridges") | (F.col("grows") & ~done & has("eve", "dawn"))
+    told = F.col("on") + F.when(done, F.lit(DONE)).otherwise(0) + F.when(unc, F.lit(OPEN)).otherwise(0)
+    days = tiled.groupBy(*KEYS).agg(*(F.sum(F.when(holds, F.col("n")).otherwise(0.0)).alias(name) for name, holds in measures.items()), F.collect_list(F.when(held, F.struct("a", "b", told.alias("on")))).alias("pieces"))
+    needed = ["off", "active", "floors", "grows", "bridges", "is_offsite", "is_manual", "has_win", "on_h", "night_h", "on_day", "basis", "absent", "manual_h", "act_min", "last_min", "t_last", "w_eve", "w_dawn"]
+    days = days.join(facts.select(*KEYS, *needed), KEYS)
+    days = days.withColumns({"widens": (F.col("wide_min") > 1e-9) & (F.col("on_h") * 60 > F.col("base_min") + 1e-9), "allowed": F.col("night_h") * 60 - F.col("base_night")})
 
     span = lambda k: F.col(f"w_{k}.b") - F.col(f"w_{k}.a")
-    part = lambda lo, hi, k, p: F.struct((lo / span(k)).alias("lo"), (hi / span(k)).alias("hi"), (p["b"] - p["a"]).alias("n"))
+    part = lambda lo, hi, k, p: F.struct((lo / span(k)).alias("lo"), (hi / span(k)).alias("hi"), (p["b"] - p["a"]).alias("n"), (over(p, "win") & over(p, "flex")).alias("flex"))
     eve = lambda p: part(F.col("w_eve.b") - p["b"], F.col("w_eve.b") - p["a"], "eve", p)
     dawn = lambda p: part(p["a"] - F.col("w_dawn.a"), p["b"] - F.col("w_dawn.a"), "dawn", p)
-    growing = F.transform(F.filter("pieces", lambda p: ~p["in2"] & has(p, "eve", "dawn")), lambda p: F.when(has(p, "eve"), eve(p)).otherwise(dawn(p)))
-    days = days.withColumn("grows", F.col("w_eve.a").isNotNull() | F.col("w_dawn.a").isNotNull()).withColumn("grown", F.when(F.col("grows") & (F.col("allowed") > 1e-9), growing))
-    days = days.withColumn("steps", growth(F.col("grown"))).drop("grown")
+    growing = F.transform(F.filter("pieces", lambda p: ~marked(p, DONE) & over(p, "eve", "dawn")), lambda p: F.when(over(p, "eve"), eve(p)).otherwise(dawn(p)))
+    days = days.withColumn("grown", F.when(F.col("grows") & (F.col("allowed") > 1e-9), growing))
+    days = days.withColumn("steps", growth(F.col("grown")))
     days = days.withColumns({"last": F.array_max(F.filter("steps", lambda x: x["sum"] <= F.col("allowed") + 1e-9)), "after": F.array_min(F.filter("steps", lambda x: x["sum"] > F.col("allowed") + 1e-9))})
     days = days.withColumn("share", F.when(F.col("steps").isNotNull(), fitted_share(F.col("last"), F.col("after"), F.col("allowed"))).otherwise(0.0)).drop("steps", "last", "after")
-    days = days.withColumns({"eve_cut": F.col("w_eve.b") - span("eve") * F.col("share"), "dawn_cut": F.col("w_dawn.a") + span("dawn") * F.col("share")})
+    credit = lambda pieces: F.coalesce(grown_by(pieces, F.col("share")), F.lit(0.0))
+    days = days.withColumns({"credit_min": credit(F.col("grown")), "credit_flex": credit(F.filter("grown", lambda p: p["flex"])), "eve_cut": F.col("w_eve.b") - span("eve") * F.col("share"), "dawn_cut": F.col("w_dawn.a") + span("dawn") * F.col("share")}).drop("grown")
 
     def halves(p: Column) -> Column:
-        cut = F.when(has(p, "eve"), F.col("eve_cut")).when(has(p, "dawn"), F.col("dawn_cut"))
-        made = lambda a, b: F.struct(a.alias("a"), b.alias("b"), *(p[c].alias(c) for c in ("on", "block", "trace", "base", "in1", "solved", "in2")))
+        cut = F.when(over(p, "eve"), F.col("eve_cut")).when(over(p, "dawn"), F.col("dawn_cut"))
+        made = lambda a, b: F.struct(a.alias("a"), b.alias("b"), p["on"].alias("on"))
         return F.when((cut > p["a"] + 1e-9) & (cut < p["b"] - 1e-9), F.array(made(p["a"], cut), made(cut, p["b"]))).otherwise(F.array(made(p["a"], p["b"])))
 
-    days = days.withColumn("pieces", F.when(F.col("grows") & (F.col("share") > 0), F.flatten(F.transform("pieces", halves))).otherwise(F.col("pieces")))
-    fits = lambda p: (has(p, "eve") & (p["a"] >= F.col("eve_cut") - 1e-9)) | (has(p, "dawn") & (p["b"] <= F.col("dawn_cut") + 1e-9))
-    days = each(days, lambda p: flagged(p, "block", "trace", "base", "in1", "solved", "in2", in3=p["in2"] | fills(fits(p))))
-
-    inside = F.filter("pieces", lambda p: p["in3"])
+    bridging = F.when(F.col("bridges"), F.array_sort("pieces"))
+    days = days.withColumn("pieces", bridging).withColumn("pieces", F.when(F.col("grows") & (F.col("share") > 0), F.flatten(F.transform("pieces", halves))).otherwise(F.col("pieces")))
+    fits = lambda p: fills((over(p, "eve") & (p["a"] >= F.col("eve_cut") - 1e-9)) | (over(p, "dawn") & (p["b"] <= F.col("dawn_cut") + 1e-9)))
+    counted = lambda p: marked(p, DONE) | fits(p)
     ahead = F.greatest(F.size("ins") - 1, F.lit(0))
     between = F.zip_with(F.slice("ins", F.lit(1), ahead), F.slice("ins", F.lit(2), ahead), lambda x, y: F.struct(x["b"].alias("a"), y["a"].alias("b")))
-    days = days.withColumn("ins", inside).withColumn("late", (F.col("night_h") > 0) | fills(F.col("t_last") >= d1) | fills(F.array_max(F.col("ins")["b"]) >= d1))
-    meal = lambda p: has(p, "lunch") | (has(p, "dinner") & F.col("late"))
-    days = days.withColumn("gaps", F.when(F.lit(s.gap_bridge_min > 0) & F.col("has_act") & F.col("floors"), F.filter(between, lambda g: g["b"] > g["a"]))).drop("ins")
+    days = days.withColumn("ins", F.filter("pieces", counted)).withColumn("late", (F.col("night_h") > 0) | fills(F.col("t_last") >= d1) | fills(F.array_max(F.col("ins")["b"]) >= d1))
+    meal = lambda p: over(p, "lunch") | (over(p, "dinner") & F.col("late"))
+    days = days.withColumn("gaps", F.filter(between, lambda g: g["b"] > g["a"])).drop("ins")
     within = lambda p, g: (p["a"] >= g["a"]) & (p["b"] <= g["b"])
-    gaps = F.transform("gaps", lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"), spent(lambda p: within(p, g) & has(p, "cov")).alias("cov"), spent(lambda p: within(p, g) & ~meal(p)).alias("work")))
+    spent = lambda holds: intervals.minutes("pieces", holds)
+    gaps = F.transform("gaps", lambda g: F.struct(g["a"].alias("a"), g["b"].alias("b"), spent(lambda p: within(p, g) & over(p, "cov")).alias("cov"), spent(lambda p: within(p, g) & ~meal(p)).alias("work")))
     bridged = lambda g: (g["cov"] >= g["b"] - g["a"] - 1e-6) & (g["work"] > 1e-9) & (g["work"] <= s.gap_bridge_min + 1e-9)
     days = days.withColumn("gaps", gaps).withColumn("gaps", F.filter("gaps", bridged))
-    in4 = lambda p: p["in3"] | fills(~meal(p) & F.exists("gaps", lambda g: within(p, g)))
-    closed = lambda in4: F.transform("pieces", lambda p: flagged(p, "block", "trace", "base", "in1", "solved", "in2", "in3", in4=in4(p)))
-    days = days.withColumn("pieces", F.when(F.size("gaps") > 0, closed(in4)).otherwise(closed(lambda p: p["in3"]))).drop("gaps")
+    filled = F.filter("pieces", lambda p: ~meal(p) & F.exists("gaps", lambda g: within(p, g)))
+    days = days.withColumn("pieces", F.when(F.size("gaps") > 0, filled)).drop("gaps")
+    flexed = lambda p: over(p, "win") & over(p, "flex") & ~over(p, "dayw")
+    added = {"bridge_min": lambda p: F.lit(True), "bridge_day": lambda p: over(p, "dayw"), "bridge_inside": lambda p: over(p, "dayw") & marked(p, OPEN), "bridge_flex": flexed}
+    days = days.withColumns({name: F.coalesce(spent(holds), F.lit(0.0)) for name, holds in added.items()})
 
-    most = min(MACHINE_DAY_H, (high - low) / 60)
-    days = days.withColumn("on_day", F.least(F.lit(most), F.greatest(F.lit(0.0), F.col("on_h") - F.col("night_h"))))
-    days = days.withColumn("clock", F.when(F.col("measured"), "spans").when((F.col("on_day") > 0) & F.col("has_win"), "window").when(F.col("on_day") > 0, "hours"))
-    days = days.withColumns({"by_hours": fills(F.col("clock") == "hours"), "clocked": F.col("clock").isNotNull()})
-    own = lambda p: F.col("clocked") & has(p, "dayw") & (F.col("by_hours") | has(p, "win"))
-    days = days.withColumn("always", F.col("always") & (spent(own) > 0))
-    kept = lambda p: own(p) & (~F.col("always") | has(p, "tw"))
-    has_prod = F.col("prod_min").isNotNull()
-    days = days.withColumn("bare", (spent(kept) <= 0) & ~F.col("has_act") & ~F.col("is_offsite") & ~F.col("is_manual") & (has_prod | F.col("accepted") | F.col("has_block")))
-    days = days.withColumn("basis", F.when(F.col("bare"), "trace").when(F.col("always"), "always_on").otherwise(F.col("clock")))
-    ground = lambda p: F.when(F.col("bare"), has(p, "tm") & has(p, "dayw")).otherwise(kept(p))
-    days = each(days, lambda p: flagged(p, "block", "trace", "base", "in1", "solved", "in2", "in3", "in4", ground=ground(p)))
-    left = lambda p: p["ground"] & ~has(p, "leave")
-    days = days.withColumns({"ground_min": spent(lambda p: p["ground"]), "left_lunch": spent(lambda p: left(p) & has(p, "lunch")), "left_min": spent(left)})
     hours_on = F.when(F.col("basis").isin("window", "hours"), F.col("on_day")).otherwise(F.col("ground_min") / 60)
     lunches_cut = (F.col("left_lunch") >= MEAL_MIN) & (~F.col("basis").eqNullSafe("window") | (F.col("left_lunch") / 60 <= hours_on + 1e-9))
     dinners_cut = (F.col("night_h") > 0) & (hours_on >= 6) & fills(F.col("last_min") >= d1)
-    days = days.withColumns({"lunches_cut": lunches_cut, "dinners_cut": dinners_cut})
-
-    def judged(p: Column) -> Column:
-        unc = left(p) & ~(F.col("has_act") & has(p, "cov"))
-        noon, eats = unc & has(p, "lunch") & ~p["trace"] & F.col("lunches_cut"), unc & has(p, "dinner") & ~p["trace"] & F.col("dinners_cut")
-        return flagged(p, "block", "base", "in1", "solved", "in2", "in3", "in4", night=night(p), unc=unc, noon=noon, eats=eats, floor=unc & ~noon & ~eats)
-
+    days = days.withColumns({"lunch_min": F.when(lunches_cut, F.col("noon")).otherwise(0.0), "dinner_min": F.when(dinners_cut, F.col("supper")).otherwise(0.0), "both": F.when(lunches_cut & dinners_cut, F.col("both")).otherwise(0.0)})
+    widened = lambda c: F.when(F.col("widens"), F.col(c)).otherwise(0.0)
+    late_min = F.col("credit_min") + F.col("bridge_min") - F.col("bridge_day")
     sums = {
-        "day_min": lambda p: p["in4"] & ~p["night"], "night_min": lambda p: p["in4"] & p["night"], "night_ex": lambda p: p["in4"] & p["night"] & ~p["solved"], "floor_raw": lambda p: p["floor"], "lunch_min": lambda p: p["noon"], "dinner_min": lambda p: p["eats"], "met_min": lambda p: p["unc"] & (has(p, "meet") | p["block"]),
-        "inside_min": lambda p: p["in4"] & ~p["night"] & p["unc"], "flex_min": lambda p: has(p, "win") & has(p, "flex") & p["night"] & ~p["in4"], "wide_add": lambda p: p["in1"] & ~p["base"], "solver_min": lambda p: p["solved"], "credit_min": lambda p: p["in3"] & ~p["in2"], "bridge_min": lambda p: p["in4"] & ~p["in3"],
+        "day_min": F.col("done_day") + widened("wide_day") + F.col("bridge_day"), "night_min": F.col("done_night") + widened("wide_night") + late_min, "night_ex": F.col("base_night") + late_min, "floor_raw": F.col("open_min") - F.col("lunch_min") - F.col("dinner_min") + F.col("both"),
+        "inside_min": F.col("done_inside") + F.col("bridge_inside"), "flex_min": F.col("flex_left") - F.col("credit_flex") - F.col("bridge_flex"), "wide_add": widened("wide_min"), "solver_min": F.col("solved") - widened("wide_solver"),
     }
-    carried = ["off", "absent", "on_h", "night_h", "on_day", "basis", "active", "floors", "is_offsite", "is_manual", "manual_h", "act_min", "ground_min", "left_min", "has_win"]
-    sizes = each(days, judged).select(*KEYS, *(spent(holds).alias(name) for name, holds in sums.items()), *carried)
+    carried = ["lunch_min", "dinner_min", "met_min", "credit_min", "bridge_min", "off", "absent", "on_h", "night_h", "on_day", "basis", "active", "floors", "is_offsite", "is_manual", "manual_h", "act_min", "ground_min", "left_min", "has_win"]
+    sizes = days.select(*KEYS, *(c.alias(name) for name, c in sums.items()), *carried)
 
     hour = lambda c: F.col(c) / 60
     gate = F.col("floors") & (F.col("absent") < 1) & (F.col("day_min") + F.col("night_ex") > 0) & F.col("active")
