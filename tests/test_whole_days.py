@@ -3,8 +3,10 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from worktide.operators import solver_nights as N, whole_days as D
+from worktide.plans.days import whole_day_hours
 
 WED, SAT = dt.date(2024, 1, 10), dt.date(2024, 1, 13)
 SCHEMAS = {
@@ -78,3 +80,16 @@ def test_nights(spark):
     assert night(spark, [early], [late], machine=machine) == [("2024-01-10", 1380.0, 1440.0)]
     two = [(WED, 300.0, 300.0), (WED, 1410.0, 1410.0)]
     assert night(spark, two, [(WED, 120.0, 120.0), (WED, 1170.0, 1170.0)]) == [("2024-01-10", 1170.0, 1410.0)]  # two nights of one date: four hours in all, the later kept
+
+
+def test_day_of_just_16_hours_is_not_long(spark, tmp_path):
+    """7.75 h by day and 8.25 h at night, whose pieces' sum is 16.000000000000004 in doubles."""
+    rows = [
+        (140477, "2024-01-08 00:34:50", 779, "click"), (147558, "2024-01-08 09:03:18", 779, "click"), (160005, "2024-01-08 23:47:06", 779, "signup"), (161365, "2024-01-09 01:22:35", 779, "click"), (180027, "2024-01-09 23:53:25", 779, "error"), (195423, "2024-01-10 18:19:37", 779, "purchase"),
+        (561744, "2024-01-29 02:07:37", 6910, "purchase"), (566413, "2024-01-29 07:40:37", 6910, "view"), (573408, "2024-01-29 15:55:25", 6910, "error"), (579963, "2024-01-29 23:53:48", 6910, "signup"),
+    ]
+    events = spark.createDataFrame([(*r, 0.0, "{}") for r in rows], "event_id long, ts string, user_id long, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    days = {(r["owner"], str(r["day"])): r for r in whole_day_hours(spark, str(tmp_path)).collect()}
+    for key in ((779, "2024-01-09"), (6910, "2024-01-29")):
+        assert (days[key]["hours"], days[key]["day_h"], days[key]["night_h"], days[key]["long_day"]) == (16.0, 7.75, 8.25, False)

@@ -24,7 +24,8 @@ Order of the rules:
    dinner, where no sampler covers it. It replaces the traces inside, if it is more.
 7. Machine time up to an hour outside the day window, within the night's allowance.
 8. Off-site days count a standard day less the absence, manual hours what they say, as
-   lower bounds; no day has more than 24 hours; long days are flagged, not cut.
+   lower bounds; no day has more than 24 hours; long days are flagged, not cut. A day of
+   just 16 (or 24) hours is not over them, whatever the last bits of its sum are.
 """
 
 from __future__ import annotations
@@ -326,14 +327,14 @@ def whole_days(sessions: DataFrame, meetings: DataFrame, sampler: DataFrame, mac
     done = done.withColumns({"traced_h": traced_h, "worked": F.greatest(traced_h, least)})
     odd = {
         "machine day over 11 h": F.col("on_h") - F.col("night_h") > MACHINE_DAY_H + 1e-9, "sampler active for 20 h or more": F.col("act_min") >= 60 * SAMPLER_MOST_H,
-        "work on a day of absence": (F.col("absent") >= 1) & (F.col("worked") > 0), "more than 24 h": F.col("worked") > 24,
+        "work on a day of absence": (F.col("absent") >= 1) & (F.col("worked") > 0), "more than 24 h": F.col("worked") > 24 + 1e-9,
     }
     ledger = F.concat_ws("; ", *(F.when(holds, name) for name, holds in odd.items()))
     added = {"weekend_h": "wide_add", "solver_h": "solver_min", "credit_h": "credit_min", "bridge_h": "bridge_min", "floor_h": "floor_add", "flex_h": "flex_add"}
     whole_h = {"hours": F.least("worked", F.lit(24.0)), "day_h": (F.col("day_min") + F.col("floor_add")) / 60, "night_h": (F.col("night_min") + F.col("flex_add")) / 60, **{n: hour(c) for n, c in added.items()}, "least_h": F.col("worked") - F.col("traced_h")}
     return done.select(
         *KEYS, *(hundredths(c).alias(name) for name, c in whole_h.items()), F.when(F.col("gate") & (F.col("left_min") > 0), F.col("basis")).alias("basis"), "active",
-        (F.least("worked", F.lit(24.0)) > s.long_day_h).alias("long_day"), ledger.alias("anomalies"),
+        (F.least("worked", F.lit(24.0)) > s.long_day_h + 1e-9).alias("long_day"), ledger.alias("anomalies"),
     )
 
 
